@@ -66,3 +66,19 @@ reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_i
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(reach.other) AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN reach ON d.doc_id = reach.doc_id GROUP BY ALL
 """
+
+SQL["op2_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+full_lines AS (SELECT doc_id, i - 1 AS i, trim(lines[i], ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS l FROM d, unnest(generate_series(1, len(lines))) AS u(i)
+  WHERE trim(lines[i], ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> ''),
+win AS (SELECT doc_id, i AS a, lead(i, 2) OVER w AS b, l || chr(10) || lead(l, 1) OVER w || chr(10) || lead(l, 2) OVER w AS g FROM full_lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+later AS (SELECT doc_id, a, b FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, a) AS k FROM win WHERE b IS NOT NULL) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM later, unnest(generate_series(a, b)) AS u(p)),
+runs AS (SELECT doc_id, min(p) AS s, max(p) AS e FROM (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS grp FROM gone) GROUP BY doc_id, grp),
+spans AS (SELECT doc_id, sum(e - s + 1)::BIGINT AS n_removed, string_agg(s || '-' || e, ',' ORDER BY s) AS removed FROM runs GROUP BY doc_id),
+kept AS (SELECT d.doc_id, string_agg(lines[i], chr(10) ORDER BY i) AS t FROM d JOIN spans USING (doc_id), unnest(generate_series(1, len(lines))) AS u(i)
+  WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = d.doc_id AND p = i - 1) GROUP BY d.doc_id)
+SELECT d.doc_id, len(lines)::BIGINT AS n_lines, coalesce((SELECT count(*) FROM later WHERE later.doc_id = d.doc_id), 0) AS n_repeated,
+  coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, md5(CASE WHEN spans.doc_id IS NULL THEN d.t ELSE coalesce(kept.t, '') END) AS text_md5
+FROM d LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

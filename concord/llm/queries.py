@@ -8,15 +8,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import exact_dedup, jaccard, mixing, packing, quality, rules
+from . import exact_dedup, jaccard, langid, line_dedup, lm, mixing, packing, quality, rules, toxicity
 from .oracles import SQL
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.documents(spark, sf_dir)
+    scored = lm.score(docs, docs.where(C.crc_mod(lm.FOLDS) != lm.HELD_OUT))
+    return scored.select("doc_id", (C.crc_mod(lm.FOLDS) == lm.HELD_OUT).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup_lines(C.documents(spark, sf_dir))
+    span = lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))
+    gone = F.aggregate("__removed", F.lit(0), lambda n, s: n + s["end"] - s["start"] + 1)
+    spans = F.array_join(F.transform("__removed", span), ",")
+    return rows.select("doc_id", F.col("__lines").cast("bigint").alias("n_lines"), F.col("__repeated").cast("bigint").alias("n_repeated"), gone.cast("bigint").alias("n_removed"), spans.alias("removed"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.decisions(C.documents(spark, sf_dir))
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.documents(spark, sf_dir)
+    machine = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, machine).select("doc_id", (C.crc_mod(toxicity.FOLDS) == toxicity.HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rules.apply_policy(rules.ledger(C.documents(spark, sf_dir)))
     failed = F.col("bits").bitwiseAND(F.lit(rules.mask("base-1"))) != 0
@@ -27,6 +47,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sample(C.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.documents(spark, sf_dir)
+    model = langid.train(docs.where(C.crc_mod(langid.FOLDS) != langid.HELD_OUT))
+    found = langid.label(docs, model)
+    return found.select("doc_id", (C.crc_mod(langid.FOLDS) == langid.HELD_OUT).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.documents(spark, sf_dir).select("doc_id", "text")
     trees = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -43,7 +70,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op3_exact_dedup, op5_rule_ledger, op6_mixing, op8_quality, op9_packing, op10_jaccard_join]
+    own = [op1_lm_scoring, op2_line_dedup, op3_exact_dedup, op4_toxicity, op5_rule_ledger, op6_mixing, op7_language_id, op8_quality, op9_packing, op10_jaccard_join]
     return {f.__name__: f for f in own}
 
 
