@@ -19,7 +19,11 @@ from pyspark.sql import functions as F
 from . import common as C
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-SETTINGS = {"spark.sql.streaming.stateStore.providerClass": PROVIDER, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": PROVIDER,
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # or each partition's store claims disk ahead of need
+}
 #: Rows of one text that meet in a task when bytes are compared.
 SALT_ROWS = 256
 KEEPER = "struct<none:boolean,doc_id:bigint,file:string,row:bigint>"
