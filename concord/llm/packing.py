@@ -12,6 +12,7 @@ empty and has the closing id alone; equal rows are packed one by one; an empty t
 from __future__ import annotations
 
 import bisect
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +32,7 @@ WORTH_A_CUT = 16
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker remembers; the memory is emptied when it is full.
 REMEMBERED = 700_000
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 _memory: dict[str, tuple] = {}
 
@@ -42,7 +44,11 @@ def _tokenizer(path: str) -> tuple:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _memory[path] = (Tokenizer.from_file(path), {})
+        tokenizer = Tokenizer.from_file(path)
+        vocabulary = tokenizer.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        _memory[path] = (tokenizer, {}, ends)
     return _memory[path]
 
 
@@ -51,7 +57,7 @@ def encode(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 
     The vocabulary's rules drop white space and never join across it, so each distinct word is encoded once. A text
     with the mark of a special token is encoded whole."""
-    tokenizer, known = _tokenizer(path)
+    tokenizer, known, ends_word = _tokenizer(path)
     special = pc.match_substring(text, "<|").to_numpy(zero_copy_only=False)
     flat, at = C.split_words(pc.ascii_lower(text))
     codes, words = C.encode(flat)
@@ -62,17 +68,28 @@ def encode(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     for w in words:
         if w in known:
             continue
-        core = w.rstrip(b".,")  # marks after a letter are a piece of their own
-        if core and core is not w and core != w and core[-1:].isalpha():
+        core = w.rstrip(MARKS)  # marks after a letter are a piece of their own
+        if len(core) < len(w) and core[-1:].isalpha():
             parts[w] = core, w[len(core) :]
-            new += [x for x in parts[w] if x not in known]
+            new += parts[w]
         else:
             new.append(w)
-    new = list(dict.fromkeys(new))
-    for i in range(0, len(new), 20_000):
-        some = new[i : i + 20_000]
-        for w, e in zip(some, tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+    new = [w for w in dict.fromkeys(new) if w not in known]
+    other: list[bytes] = []
+    plain = []
+    for w in new:
+        (plain if w.isalpha() or not w.isascii() and w.decode().isalpha() else other).append(w)
+    for i in range(0, len(plain), 20_000):  # letters alone are one piece, and its last id has a word end
+        some = plain[i : i + 20_000]
+        ids = np.array(tokenizer.encode(b"\n".join(some).decode(), add_special_tokens=False).ids, "<u4")
+        cut = np.r_[0, 4 * np.flatnonzero(ends_word[ids]) + 4].tolist()
+        if len(cut) == len(some) + 1:
+            raw = ids.tobytes()
+            known.update((w, raw[a:b]) for w, a, b in zip(some, cut, cut[1:], strict=False))
+        else:  # a letter that lower case turns into several
+            other += some
+    for w, e in zip(other, tokenizer.encode_batch_fast([x.decode() for x in other], add_special_tokens=False), strict=True):
+        known[w] = struct.pack(f"<{len(e)}I", *e.ids)
     for w, (core, tail) in parts.items():
         known[w] = known[core] + known[tail]
     coded = [known[w] for w in words]
