@@ -46,7 +46,8 @@ def lookup(ids: DataFrame, table: DataFrame, key: str = "id") -> DataFrame:
 
 def contamination(df: DataFrame, key: str, text: Column, benchmark: DataFrame, bench_key: str, bench_text: Column, width: int = 8) -> DataFrame:
     """(key, bench_key): rows whose text contains a benchmark text. Candidates share its first `width` words in a row
-    (an equi-join); containment is then checked."""
+    (an equi-join); containment is then checked. Benchmark texts of fewer words are too short to be evidence and are
+    left out."""
     words = lambda t: F.filter(F.split(t, " "), lambda x: x != "")
     gram = lambda w, i: F.array_join(F.slice(w, i, width), " ")
     b = benchmark.select(bench_key, bench_text.alias("__bt")).withColumn("__w", words(F.col("__bt"))).where(F.size("__w") > 0).withColumn("__n", F.least(F.size("__w"), F.lit(width)))

@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from ..functions import hashing, text
 from ..operators import audit, dedup, feasibility, labels, metrics, splits
 from ..plans import provenance
+from ..sources.tables import stored
 from .surrogates import CATEGORIES, CORPUS_SQL, ELIGIBLE_SQL, PARTITIONS_SQL, PRIORITIES, RATERS_SQL, SPLIT_SQL, corpus, match_sql, r, rater_rows, roles, sql_int, sql_key, table, votes
 
 QUERIES, SQL = {}, {}
 
 
+def roles_once(spark, sf_dir):
+    """The roles, written once for queries that read them several times."""
+    return stored(roles(spark, sf_dir), "roles")
+
+
 def query(f):
     QUERIES[f.__name__] = f
     return f
@@ -270,7 +276,7 @@ def exact_greedy_match(spark, sf_dir):
 
 @query
 def overlap_training(spark, sf_dir):
-    x = roles(spark, sf_dir)
+    x = roles_once(spark, sf_dir)
     return splits.overlap_training(x, splits.matched_substitution(x))
 
 
@@ -282,8 +288,8 @@ def stratified_split(spark, sf_dir):
     return splits.stratified_split(corpus(spark, sf_dir))
 
 
-SQL["stratified_split"] = f"""WITH {CORPUS_SQL}, s AS (SELECT split_seed, id, label, row_number() OVER (PARTITION BY split_seed, label ORDER BY {sql_key('random', 'id', seed='split_seed')}, id) - 1 AS at, count(*) OVER (PARTITION BY split_seed, label) AS n FROM corpus, (SELECT unnest([42, 123, 2024])::INT AS split_seed))
-SELECT split_seed, id, label, CASE WHEN at < floor(0.7::DOUBLE * n) THEN 'train' WHEN at < floor(0.85::DOUBLE * n) THEN 'val' ELSE 'test' END AS "partition" FROM s"""
+SQL["stratified_split"] = f"""WITH {CORPUS_SQL}, s AS (SELECT split_seed, id, label, row_number() OVER (PARTITION BY split_seed, label ORDER BY {sql_key('random', 'id', seed='split_seed')}, id) - 1 AS pos, count(*) OVER (PARTITION BY split_seed, label) AS n FROM corpus, (SELECT unnest([42, 123, 2024])::INT AS split_seed))
+SELECT split_seed, id, label, CASE WHEN pos < floor(0.7::DOUBLE * n) THEN 'train' WHEN pos < floor(0.85::DOUBLE * n) THEN 'val' ELSE 'test' END AS "partition" FROM s"""
 
 
 @query
@@ -312,7 +318,7 @@ def greedy_blocks(spark, sf_dir):
 
 
 def _jurors(spark, sf_dir):
-    t = roles(spark, sf_dir).where("role = 'train'")
+    t = roles_once(spark, sf_dir).where("role = 'train'")
     return splits.juror_training(t, splits.serpentine_blocks(t))
 
 
@@ -337,7 +343,7 @@ SELECT a, b, n_both, x.n AS n_a, y.n AS n_b, {r('n_both / least(x.n, y.n)')} AS
 
 @query
 def share_drift(spark, sf_dir):
-    t = roles(spark, sf_dir).where("role = 'train'")
+    t = roles_once(spark, sf_dir).where("role = 'train'")
     return splits.share_drift(t, splits.serpentine_blocks(t))
 
 
@@ -349,9 +355,9 @@ SELECT split_seed, {r('max(d)')} AS max_share_drift FROM d GROUP BY split_seed""
 @query
 def split_invariants(spark, sf_dir):
     c = corpus(spark, sf_dir)
-    x = splits.assign_roles(c, splits.author_partitions(c))
-    m = splits.matched_substitution(x)
-    blocks = splits.serpentine_blocks(x.where("role = 'train'"))
+    x = roles_once(spark, sf_dir)
+    m = stored(splits.matched_substitution(x), "matches")
+    blocks = stored(splits.serpentine_blocks(x.where("role = 'train'")), "blocks")
     return audit.split_checks(c, x, m, splits.overlap_training(x, m), splits.stratified_split(c), blocks)
 
 
@@ -362,7 +368,7 @@ FROM (SELECT unnest([42, 123, 2024])::INT AS split_seed) s, (SELECT unnest(range
 # --- feasibility
 @query
 def dose_probe(spark, sf_dir):
-    return feasibility.dose_probe(roles(spark, sf_dir))
+    return feasibility.dose_probe(roles_once(spark, sf_dir))
 
 
 _LEVEL_NAMES = [n for n, _ in splits.LEVELS]
@@ -379,7 +385,7 @@ SQL["dose_probe"] = f"WITH {SPLIT_SQL},\n{_PROBE} SELECT split_seed, dose, n_tra
 
 @query
 def feasibility_decision(spark, sf_dir):
-    x = roles(spark, sf_dir)
+    x = roles_once(spark, sf_dir)
     return feasibility.decision(feasibility.dose_probe(x), feasibility.eligible_support(x, PRIORITIES))
 
 
@@ -399,7 +405,7 @@ SQL["mde"] = f"WITH {SPLIT_SQL}, {_PROFILE} SELECT split_seed, n_eligible_test,
 
 @query
 def structural_diagnosis(spark, sf_dir):
-    x = roles(spark, sf_dir)
+    x = roles_once(spark, sf_dir)
     return feasibility.structural_diagnosis(feasibility.role_profile(x), feasibility.dose_probe(x, (1,)))
 
 
