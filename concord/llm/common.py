@@ -36,6 +36,7 @@ def ready(spark: SparkSession) -> SparkSession:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * SLICE_BYTES))
     return spark
 
 
@@ -52,10 +53,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/concord-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, and lost executors cost no recomputation."""
+def stored(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """Write to the shared folder and read again: cuts lineage, and lost executors cost no recomputation.
+
+    few: the table is narrow next to the data; it is written by four tasks for each core at most."""
     spark = df.sparkSession
-    df.write.parquet(path := scratch(spark, name))
+    (df.coalesce(4 * max(2, spark.sparkContext.defaultParallelism)) if few else df).write.parquet(path := scratch(spark, name))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -99,6 +102,46 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iter
     return df.mapInArrow(run, schema)
 
 
+def grouped(df: DataFrame, keys: list[str], f: Callable[[list[pa.Table]], pa.Table], schema: str, batch_bytes: int = 4 << 20, large: int = 64) -> DataFrame:
+    """Apply f to lists of groups, each with the rows of one key; groups of more than `large` rows come alone.
+
+    Rows are dealt and sorted by Spark and cut where the key changes, which for many small groups costs far less than
+    a call for each."""
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            own = list(zip(*(batch[k].to_pylist() for k in keys), strict=True))
+            cuts = [0, *(i for i in range(1, len(own)) if own[i] != own[i - 1]), len(own)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if held and own[a] != last:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = own[a]
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, size = [], 0
+        for group in groups(batches):
+            if group.num_rows > large:
+                yield from f([group]).to_batches()
+                continue
+            some.append(group)
+            size += group.nbytes
+            if size >= batch_bytes:
+                yield from f(some).to_batches()
+                some, size = [], 0
+        if some:
+            yield from f(some).to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about `most` bytes of text (one row at least)."""
     if "text" not in batch.schema.names:

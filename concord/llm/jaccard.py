@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ WIDTH, PERCENT = 4, 85
 SKETCH, SHARED = 32, 8
 #: Groups of at most so many sets are compared as pairs (one comparison for all keys that a pair shares).
 PAIRS_UP_TO = 16
+#: Tokens of a segment before the bound is tested.
+HEAD = 64
 #: Shingles that a block of a large group has, about; a task holds two blocks.
 BLOCK = 400_000
 
@@ -68,146 +71,241 @@ def shingle_sets(text: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
     return out
 
 
-class PrefixTree:
-    """A radix tree over sorted sets. Nodes are lists: label, children, members, least and greatest size, live members."""
-
-    LABEL, CHILDREN, MEMBERS, LEAST, MOST, LIVE, END = range(7)
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-        self.root = self._node(np.zeros(0, np.uint64), 0)
-        self.paths: dict[int, list] = {}
-        stack = [self.root]
-        before = np.zeros(0, np.uint64)
-        for i in order:
-            s = sets[i]
-            m = min(len(s), len(before))
-            differ = s[:m] != before[:m]
-            common = int(differ.argmax()) if differ.any() else m
-            last = None
-            while stack[-1][self.END] > common:
-                last = stack.pop()
-            if stack[-1][self.END] < common:  # split the edge that led further
-                top = stack[-1]
-                cut = common - top[self.END]
-                middle = self._node(last[self.LABEL][:cut], common)
-                last[self.LABEL] = last[self.LABEL][cut:]
-                middle[self.CHILDREN].append(last)
-                top[self.CHILDREN][-1] = middle
-                stack.append(middle)
-            if len(s) > common:
-                leaf = self._node(s[common:], len(s))
-                stack[-1][self.CHILDREN].append(leaf)
-                stack.append(leaf)
-            stack[-1][self.MEMBERS].append(i)
-            before = s
-        self._finish()
-
-    @staticmethod
-    def _node(label: np.ndarray, end: int) -> list:
-        return [label, [], [], 1 << 62, 0, 0, end]
-
-    def _finish(self) -> None:
-        todo = [(self.root, None, False)]
-        parent: dict[int, list | None] = {}
-        while todo:
-            node, above, done = todo.pop()
-            if not done:
-                parent[id(node)] = above
-                todo.append((node, above, True))
-                todo += [(c, node, False) for c in node[self.CHILDREN]]
-                continue
-            sizes = [len(self.sets[i]) for i in node[self.MEMBERS]]
-            node[self.LEAST] = min([*sizes, *(c[self.LEAST] for c in node[self.CHILDREN])])
-            node[self.MOST] = max([*sizes, *(c[self.MOST] for c in node[self.CHILDREN])])
-            node[self.LIVE] = len(sizes) + sum(c[self.LIVE] for c in node[self.CHILDREN])
-            for i in node[self.MEMBERS]:
-                self.paths[i] = node
-        self.parent = parent
-
-    def remove(self, i: int) -> None:
-        node = self.paths.pop(i)
-        node[self.MEMBERS].remove(i)
-        while node is not None:
-            node[self.LIVE] -= 1
-            node = self.parent[id(node)]
-
-    def probe(self, x: np.ndarray, percent: int = PERCENT, step: int = 96) -> list[int]:
-        """Live members whose Jaccard similarity with x is percent / 100 or more."""
-        found, n = [], len(x)
-        todo = [(self.root, 0)]
-        while todo:
-            node, overlap = todo.pop()
-            label, children, members, least, most, live, end = node
-            if not live or 100 * most < percent * n or 100 * n < percent * least:
-                continue
-            need = -(-percent * (n + max(least, -(-percent * n // 100))) // (100 + percent))
-            depth = end - len(label)
-            possible = True
-            for k in range(0, len(label), step):
-                part = label[k : k + step]
-                at = np.searchsorted(x, part)
-                overlap += int(np.count_nonzero(x[np.minimum(at, n - 1)] == part))
-                used = int(np.searchsorted(x, part[-1], "right"))
-                depth += len(part)
-                if overlap + min(n - used, most - depth) < need:
-                    possible = False
-                    break
-            if possible:
-                for i in members:
-                    if 100 * overlap >= percent * (n + len(self.sets[i]) - overlap):
-                        found.append(i)
-                todo += [(c, overlap) for c in children]
-        return found
-
-
-def links(sets: list[np.ndarray], component: list[int]) -> list[tuple[int, int]]:
-    """Links between sets of different components, one for each merger that they bring about.
-
-    The component with the fewest open sets probes all others with each of them and is then done: whatever it links
-    with is known. The last component has nothing left to probe."""
-    tree = PrefixTree(sets)
-    home = dict(enumerate(component))
-    open_of: dict[int, list[int]] = {}
-    for i, c in enumerate(component):
-        open_of.setdefault(c, []).append(i)
-    heap = [(len(v), c) for c, v in open_of.items()]
-    heapq.heapify(heap)
-    out = []
-    while len(open_of) > 1:
-        size, c = heapq.heappop(heap)
-        if c not in open_of or len(open_of[c]) != size:
-            continue
-        mine = open_of.pop(c)
-        for i in mine:
-            tree.remove(i)
-        met: dict[int, None] = {}
-        for i in mine:
-            for j in tree.probe(sets[i]):
-                if home[j] not in met:
-                    met[home[j]] = None
-                    out.append((i, j))
-        if len(met) > 1:  # they are one component now
-            first, *rest = sorted(met, key=lambda k: -len(open_of[k]))
+class Forest:
+    """Prefix trees over the sorted sets of several groups, walked for one probe of each group at a time.
+
+    A tree is kept as segments: in lexicographic order, a set adds the tokens after what it has in common with the set
+    before, and hangs on the segment that this common part ends in. A walk goes down level by level, all trees at once:
+    a segment starts with the overlap counted at its place on its parent, so common beginnings are counted once. After
+    a segment's first tokens the bound is tested: if what is left of the probe, or of the longest set below, cannot
+    reach the overlap that the shortest set below asks for, the rest of the segment and all that hangs on it is cut."""
+
+    def __init__(self, groups: list[list[np.ndarray]], percent: int = PERCENT):
+        self.percent = percent
+        self.first = np.cumsum([0, *map(len, groups)])  # of each group's sets, which are numbered through
+        self.group = np.repeat(np.arange(len(groups)), np.diff(self.first))
+        n = len(self.group)
+        self.n = np.array([len(s) for g in groups for s in g], np.int64)
+        codes, base = [], [0]
+        for g in groups:  # tokens as their ranks within the group
+            kinds, code = np.unique(np.concatenate(g), return_inverse=True)
+            codes.append(code + base[-1])
+            base.append(base[-1] + len(kinds))
+        self.base, flat = np.array(base), np.concatenate(codes)
+        at = np.r_[0, np.cumsum(self.n)]
+        self.sets = [flat[a:b] for a, b in itertools.pairwise(at.tolist())]
+        self.shared, self.parent, self.level = np.zeros(n, np.int64), np.full(n, -1), np.zeros(n, np.int64)
+        self.least, self.most = self.n.copy(), self.n.copy()
+        order = []
+        for g in range(len(groups)):
+            own = sorted(range(self.first[g], self.first[g + 1]), key=lambda i: self.sets[i].astype(">u4").tobytes())
+            stack: list[int] = []
+            for k, i in enumerate(own):
+                if k:
+                    x, y = self.sets[own[k - 1]], self.sets[i]
+                    m = min(len(x), len(y))
+                    differ = x[:m] != y[:m]
+                    d = int(differ.argmax())
+                    self.shared[i] = common = d if m and differ[d] else m
+                    while stack and self.shared[stack[-1]] >= common:
+                        stack.pop()
+                    if stack:
+                        self.parent[i], self.level[i] = stack[-1], self.level[stack[-1]] + 1
+                stack.append(i)
+            order += own
+        for i in reversed(order):
+            if (q := self.parent[i]) >= 0:
+                self.least[q], self.most[q] = min(self.least[q], self.least[i]), max(self.most[q], self.most[i])
+        own = self.n - self.shared
+        self.head = np.minimum(own, HEAD)  # tokens before the bound is tested, and after
+        self.tail = own - self.head
+        self.head_at, self.tail_at = np.r_[0, np.cumsum(self.head)], np.r_[0, np.cumsum(self.tail)]
+        self.head_tokens = flat[_ragged(at[:-1] + self.shared, self.head)]
+        self.tail_tokens = flat[_ragged(at[:-1] + self.shared + self.head, self.tail)]
+        self.levels = [np.flatnonzero(self.level == k) for k in range(int(self.level.max(initial=0)) + 1)]
+
+    def walk(self, probes: np.ndarray) -> np.ndarray:
+        """probes: for each group the number of its probe or -1. True for the sets that are linked with their group's."""
+        use = probes[probes >= 0]
+        mask = np.zeros(int(self.base[-1]), bool)
+        mask[np.concatenate([self.sets[i] for i in use])] = True
+        upto = np.r_[0, np.cumsum(mask)]
+        probe = probes[self.group]
+        on = probe >= 0
+        size = np.where(on, self.n[probe], 0)
+        head = np.r_[0, np.cumsum(mask[self.head_tokens])]
+        tail = np.zeros(max(1, len(self.tail_tokens)), np.int64)  # counts from the beginning of each tail
+        start, total = np.zeros(len(self.n), np.int64), np.full(len(self.n), -1)
+        walked = np.zeros(len(self.n), bool)  # the tail was counted
+        p = self.percent
+        least = np.maximum(self.least, -(-p * size // 100))
+        need = -(-p * (size + least) // (100 + p))
+        fits = on & (100 * self.most >= p * size) & (100 * size >= p * self.least)
+        for segments in self.levels:
+            s = segments[fits[segments]]
+            q = self.parent[s]
+            deep = np.where(q >= 0, self.shared[s] - self.shared[q], 0)
+            in_head = deep <= self.head[q]
+            beyond = np.maximum(deep - self.head[q], 0)
+            near = start[q] + head[self.head_at[q] + np.minimum(deep, self.head[q])] - head[self.head_at[q]]
+            far = near + tail[np.clip(self.tail_at[q] + beyond - 1, 0, len(tail) - 1)]
+            start[s] = np.where(q < 0, 0, np.where(in_head, near, far))
+            lost = (q >= 0) & (~fits[q] | ~in_head & ~walked[q])
+            fits[s[lost]] = False
+            s = s[~lost]
+            got = start[s] + head[self.head_at[s + 1]] - head[self.head_at[s]]
+            depth = self.shared[s] + self.head[s]
+            last = np.where(self.head[s] > 0, self.head_tokens[np.maximum(self.head_at[s + 1] - 1, 0)] if len(self.head_tokens) else 0, self.base[self.group[s]] - 1)
+            left = size[s] - (upto[last + 1] - upto[self.base[self.group[s]]])
+            ok = (got + np.minimum(left, self.most[s] - depth) >= need[s]) | (self.head[s] == 0)
+            ok &= self.tail[s] > 0
+            more = s[ok]
+            if len(more):
+                at = _ragged(self.tail_at[more], self.tail[more])
+                hit = np.cumsum(mask[self.tail_tokens[at]])
+                ends = np.cumsum(self.tail[more]) - 1
+                tail[at] = run = hit - np.repeat(np.r_[0, hit[ends[:-1]]], self.tail[more])
+                walked[more] = True
+                total[more] = got[ok] + run[ends]
+            done = self.tail[s] == 0
+            total[s[done]] = got[done]
+        return on & (total >= 0) & (100 * total >= p * (size + self.n - total)) & (probe != np.arange(len(self.n)))
+
+
+def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places from each start on."""
+    ends = np.cumsum(size)
+    return np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Merger:
+    """Which set of a group probes next. The component with the fewest open sets probes all others with each of its sets
+    and is then done: whatever it links with is known, and is merged. The last component has nothing left to probe."""
+
+    def __init__(self, component: list[int], runs: int | None = None):
+        self.home = dict(enumerate(component))
+        self.open: dict[int, list[int]] = {}
+        for i, c in self.home.items():
+            self.open.setdefault(c, []).append(i)
+        self.heap = [(len(v), c) for c, v in self.open.items()]
+        heapq.heapify(self.heap)
+        self.mine: list[int] = []
+        self.met: dict[int, None] = {}
+        self.runs = runs
+
+    def next(self) -> tuple[int | None, list[int]]:
+        """The next probe (None: all is known), and the sets that are no longer to be found."""
+        if self.mine:
+            return self.mine.pop(), []
+        if len(self.met) > 1:
+            first, *rest = sorted(self.met, key=lambda k: (-len(self.open[k]), k))
             for k in rest:
-                for j in open_of[k]:
-                    home[j] = first
-                open_of[first] += open_of.pop(k)
-            heapq.heappush(heap, (len(open_of[first]), first))
+                for j in self.open[k]:
+                    self.home[j] = first
+                self.open[first] += self.open.pop(k)
+            heapq.heappush(self.heap, (len(self.open[first]), first))
+        self.met = {}
+        if self.runs == 0:
+            return None, []
+        while len(self.open) > 1:
+            size, c = heapq.heappop(self.heap)
+            if c in self.open and len(self.open[c]) == size:
+                gone = self.open.pop(c)
+                self.mine = gone[:]
+                self.runs = self.runs and self.runs - 1
+                return self.mine.pop(), gone
+        return None, []
+
+    def hit(self, j: int) -> bool:
+        """Whether the link to j is news."""
+        new = self.home[j] not in self.met
+        self.met[self.home[j]] = None
+        return new
+
+
+def links(groups: list[list[np.ndarray]], components: list[list[int]], runs: int | None = None) -> list[tuple[int, int, int]]:
+    """(group, i, j): links between sets of different components, one for each merger that they bring about.
+
+    runs: stop after so many components have probed."""
+    out = []
+    mergers = [Merger(c, runs) for c in components]
+    active = [g for g, c in enumerate(components) if len(set(c)) > 1]
+    if not active:
+        return out
+    forest, number = Forest(groups), None
+    live = np.ones(len(forest.group), bool)
+    while active:
+        probes = np.full(len(groups), -1)
+        still = []
+        for g in active:
+            i, gone = mergers[g].next()
+            at = forest.first[g] if number is None else 0
+            place = (lambda k: number[k]) if number is not None else (lambda k, at=at: at + k)
+            for k in gone:
+                live[place(k)] = False
+            if i is not None:
+                probes[g] = place(i)
+                still.append(g)
+        active = still
+        if not active:
+            break
+        found = np.flatnonzero(forest.walk(probes) & live)
+        for g, j in zip(forest.group[found].tolist(), found.tolist(), strict=True):
+            own, other = probes[g], j
+            a, b = (back[own], back[other]) if number is not None else (own - forest.first[g], other - forest.first[g])
+            if mergers[g].hit(int(b)):
+                out.append((g, int(a), int(b)))
+        if len(groups) == 1 and not mergers[0].mine and 64 < 2 * live.sum() < len(live):  # the done sets leave the tree
+            old = back if number is not None else np.arange(len(live))
+            back = old[live]
+            number = dict(zip(back.tolist(), range(len(back)), strict=True))
+            forest = Forest([[groups[0][k] for k in back.tolist()]])
+            live = np.ones(len(back), bool)
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) of every node of the edges (a, b): the least node that it reaches. Labels spread along edges and
-    jump to their label's label, so rounds grow with the logarithm of a chain's length; each round is stored."""
-    both = C.stored(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct(), "edges")
-    now = C.stored(both.groupBy("node").agg(F.least("node", F.min("other")).alias("comp")), "labels")
+EDGE = "a bigint, b bigint"
+#: So many edges are joined up by one task; more of them in rounds over all executors.
+EDGES_IN_A_TASK = 500_000
+
+
+def components(edges: DataFrame, one_task: int = EDGES_IN_A_TASK) -> DataFrame:
+    """(node, comp) of every node of the stored edges (a, b): the least node that it reaches."""
+    return _in_one_task(edges) if edges.limit(one_task + 1).count() <= one_task else _in_rounds(edges)
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            above.setdefault(x, x)
+            while above[x] != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
+                a, b = top(a), top(b)
+                above[max(a, b)] = min(a, b)
+        nodes = list(above)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["node", "comp"])
+
+    return C.stored(edges.coalesce(1).mapInArrow(run, "node bigint, comp bigint"), "labels")
+
+
+def _in_rounds(edges: DataFrame) -> DataFrame:
+    """Labels spread along edges and jump to their label's label, so the rounds grow with the logarithm of a chain's
+    length; each round is stored."""
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    both = C.stored(both.distinct(), "edges", few=True)
+    now = C.stored(both.groupBy("node").agg(F.least("node", F.min("other")).alias("comp")), "labels", few=True)
     while True:
         near = both.join(now.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("comp").alias("near"))
         jump = now.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
         after = now.join(near, "node").join(jump, "comp", "left")
-        after = C.stored(after.select("node", F.least("near", F.coalesce("next", "comp"), "comp").alias("comp"), F.col("comp").alias("was")), "labels")
+        after = after.select("node", F.least("near", F.coalesce("next", "comp"), "comp").alias("comp"), F.col("comp").alias("was"))
+        after = C.stored(after, "labels", few=True)
         if after.where("comp != was").isEmpty():
             return after.select("node", "comp")
         now = after.select("node", "comp")
@@ -241,25 +339,22 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return C.stored(C.map_arrow(rows.select("node", "n", "text"), compute, "node bigint, n bigint, set binary"), "sets")
 
 
-EDGE = "a bigint, b bigint"
+def _edges(tables: list[pa.Table], components: list[list[int]], runs: int | None = None) -> pa.Table:
+    nodes = [t["node"].to_pylist() for t in tables]
+    sets = [[np.frombuffer(x, "<u8") for x in t["set"].to_pylist()] for t in tables]
+    found = links(sets, components, runs)
+    return pa.table({"a": pa.array([nodes[g][i] for g, i, _ in found], pa.int64()), "b": pa.array([nodes[g][j] for g, _, j in found], pa.int64())})
 
 
-def _join(table: pa.Table) -> pa.Table:
-    """One group: links between the components of its sets."""
-    nodes, comps = table["node"].to_pylist(), table["comp"].to_pylist()
-    found = []
-    if len(set(comps)) > 1:
-        found = links([np.frombuffer(s, "<u8") for s in table["set"].to_pylist()], comps)
-    return pa.table({"a": pa.array([nodes[i] for i, _ in found], pa.int64()), "b": pa.array([nodes[j] for _, j in found], pa.int64())})
+def _join(tables: list[pa.Table]) -> pa.Table:
+    """Links between the components of the sets of each group."""
+    tables = [t for t in tables if t.num_rows > 1]
+    return _edges(tables, [t["comp"].to_pylist() for t in tables])
 
 
-def _verify(table: pa.Table) -> pa.Table:
-    """One set against its candidates: the row whose node is the group's is the probe."""
-    a, nodes, sets = table["a"][0].as_py(), table["node"].to_pylist(), [np.frombuffer(s, "<u8") for s in table["set"].to_pylist()]
-    others = [i for i, x in enumerate(nodes) if x != a]
-    tree = PrefixTree([sets[i] for i in others])
-    found = [nodes[others[j]] for j in tree.probe(sets[nodes.index(a)])] if others else []
-    return pa.table({"a": pa.array([a] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
+def _verify(tables: list[pa.Table]) -> pa.Table:
+    """Links of one set of each group, whose node is the group's key, with the others."""
+    return _edges(tables, [[-1 if x == t["a"][0].as_py() else x for x in t["node"].to_pylist()] for t in tables], runs=1)
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
@@ -269,7 +364,7 @@ def _candidates(classes: DataFrame) -> DataFrame:
     need = F.when(F.col("n") <= SKETCH, F.ceil(F.col("n") * PERCENT / 100)).otherwise(F.lit(SHARED)).cast("int")
     ordered = tokens.join(common, "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))  # at most SKETCH entries
     keys = ordered.where(F.size("t") >= need).select("node", "n", F.inline(F.slice("t", F.lit(1), F.size("t") - need + 1)))
-    return C.stored(keys, "keys")
+    return C.stored(keys, "keys", few=True)
 
 
 def _blocks(keys: DataFrame, known: DataFrame | None) -> DataFrame:
@@ -305,24 +400,24 @@ def join(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     keys = _candidates(classes)
     nodes = keys.select("node").distinct().join(classes.select("node", "n", "first"), "node").select("node", "n", "first.__file", "first.__row")
-    sets = _sets_of(docs, C.stored(nodes, "nodes"), width).select("node", "set")
+    sets = _sets_of(docs, C.stored(nodes, "nodes", few=True), width).select("node", "set")
 
     two = keys.groupBy("node", "n").agg(F.min("token").alias("x"), F.max(F.struct("df", "token")).alias("y"))
     two = two.select("node", "n", F.explode(F.array_distinct(F.array("x", "y.token"))).alias("token"))
-    a = _blocks(two, None).withColumn("comp", F.col("node")).join(sets, "node").groupBy("token", "part").applyInArrow(_join, EDGE)
-    a = C.stored(a.distinct(), "edges-a")
+    a = C.grouped(_blocks(two, None).withColumn("comp", F.col("node")).join(sets, "node"), ["token", "part"], _join, EDGE)
+    a = C.stored(a, "edges-a", few=True)
     known = components(a)
 
     small = keys.join(known, "node", "left").select("token", "node", "n", F.coalesce("comp", "node").alias("comp"))
     size = small.groupBy("token").agg(F.count(F.lit(1)).alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(f"lo != hi and g <= {PAIRS_UP_TO}").select("token")
-    small = C.stored(small.join(size, "token", "left_semi"), "small-groups")
+    small = C.stored(small.join(size, "token", "left_semi"), "small-groups", few=True)
     other = small.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
     near = (F.col("node") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & (100 * F.least("n", "n_b") >= PERCENT * F.greatest("n", "n_b"))
-    pairs = C.stored(small.join(other, "token").where(near).select(F.col("node").alias("a"), "b").distinct(), "pairs")  # groups of PAIRS_UP_TO at most
+    pairs = C.stored(small.join(other, "token").where(near).select(F.col("node").alias("a"), "b").distinct(), "pairs", few=True)  # groups of PAIRS_UP_TO at most
     shipped = pairs.select("a", F.col("b").alias("node")).unionByName(pairs.select("a", F.col("a").alias("node")).distinct())
-    b = shipped.join(sets, "node").groupBy("a").applyInArrow(_verify, EDGE)
-    c = _blocks(keys, known).join(sets, "node").groupBy("token", "part").applyInArrow(_join, EDGE)
-    found = components(C.stored(a.unionByName(b).unionByName(c), "edges-b"))
+    b = C.grouped(shipped.join(sets, "node"), ["a"], _verify, EDGE)
+    c = C.grouped(_blocks(keys, known).join(sets, "node"), ["token", "part"], _join, EDGE)
+    found = components(C.stored(a.unionByName(b).unionByName(c), "edges-b", few=False))
 
     own = classes.join(found, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"), "first")
     head = own.groupBy("comp").agg(F.min("first").alias("head"))

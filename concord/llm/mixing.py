@@ -70,7 +70,7 @@ def sample(docs: DataFrame, weight: Column | None = None, share: float = SHARE,
 
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"), F.avg("key").alias("scale")), share)
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")))
-    plan = C.stored(plan.withColumn("buckets", F.ceil(F.col("n") / bucket_rows)), "mix-plan")
+    plan = C.stored(plan.withColumn("buckets", F.ceil(F.col("n") / bucket_rows)), "mix-plan", few=True)
     # 1 - exp(-key / mean) rises with the key and spreads keys over the buckets
     bucket = F.least(F.floor((1 - F.exp(-F.col("key") / F.col("scale"))) * F.col("buckets")), F.col("buckets") - 1)
     dealt = _with(rows, plan.select("source", "scale", "buckets"), "left").withColumn("bucket", bucket)
@@ -79,20 +79,20 @@ def sample(docs: DataFrame, weight: Column | None = None, share: float = SHARE,
     upto = Window.partitionBy("source").orderBy("bucket")
     totals = totals.withColumn("upto", F.sum("words").over(upto))
     ends = _with(totals, plan.select("source", "rest")).where("upto > rest").groupBy("source").agg(F.min(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("words")).alias("room"))).alias("end"))
-    ends = C.stored(ends.select("source", F.col("end.bucket").alias("last"), F.col("end.room").alias("room")), "mix-ends")
+    ends = C.stored(ends.select("source", F.col("end.bucket").alias("last"), F.col("end.room").alias("room")), "mix-ends", few=True)
     near = _with(dealt, ends, "left").select("__file", "__row", "doc_id", "source", "size", "key", "bucket", "last", "room")
     rank = Window.partitionBy("source").orderBy("key", "doc_id", "__file", "__row").rowsBetween(Window.unboundedPreceding, 0)
     edge = near.where("bucket = last").withColumn("run", F.sum("size").over(rank))  # one bucket of each source
-    edge = C.stored(edge.where("run <= room"), "mix-edge")  # the rest of the draw within the last bucket
+    edge = C.stored(edge.where("run <= room"), "mix-edge", few=True)  # the rest of the draw within the last bucket
     gaps = _with(ends, edge.groupBy("source").agg(F.max("run").alias("run")), "left").select("source", (F.col("room") - F.coalesce("run", F.lit(0))).alias("gap"))
-    gaps = C.stored(gaps, "mix-gaps")
+    gaps = C.stored(gaps, "mix-gaps", few=True)
     inside = C.small(edge.select("__file", "__row"))
     unused = near.where("bucket >= last").join(inside, ["__file", "__row"], "left_anti")
     closing = _with(unused, gaps).where("size < 2 * gap").groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "key", "doc_id", "__file", "__row")).alias("c"))
-    extra = C.stored(edge.select("__file", "__row").unionByName(closing.select("c.__file", "c.__row")).withColumn("picked", F.lit(True)), "mix-picked")
+    extra = C.stored(edge.select("__file", "__row").unionByName(closing.select("c.__file", "c.__row")).withColumn("picked", F.lit(True)), "mix-picked", few=True)
 
     final = _with(plan, ends, "left").select("source", "source_size", "target", "epochs", "rest", "last")
-    out = _with(dealt, C.stored(final, "mix-final"), "left").join(C.small(extra), ["__file", "__row"], "left")
+    out = _with(dealt, C.stored(final, "mix-final", few=True), "left").join(C.small(extra), ["__file", "__row"], "left")
     drawn = F.when(F.col("rest") <= 0, 0).when(F.col("last").isNull(), 1).when((F.col("bucket") < F.col("last")) | F.coalesce("picked", F.lit(False)), 1).otherwise(0)
     out = out.withColumn("copies", (F.col("epochs") + drawn).cast("bigint"))
     return out.select("__file", "__row", "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
