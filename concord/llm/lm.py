@@ -34,7 +34,7 @@ from . import common as C
 FOLDS, HELD_OUT = 5, 1
 #: Bytes of exact counts and filter that are broadcast at a time.
 SEGMENT = 256 << 20
-BITS, HASHES = 10, 4
+BITS, HASHES = 14, 6  # a false positive in 500 probes
 #: Distinct keys that a task gathers before it sends them on.
 GATHERED = 4_000_000
 #: No word has a space.
@@ -65,12 +65,10 @@ def level_of(count: np.ndarray) -> np.ndarray:
     return np.searchsorted(STEPS, count, side="right")
 
 
-def _places(key: np.ndarray, level: int | np.ndarray, bits: np.ndarray) -> Iterator[np.ndarray]:
-    a = C.mix(key ^ (np.uint64(0x9E3779B97F4A7C15) * np.asarray(level).astype(np.uint64)))
-    step = C.mix(a)
-    for _ in range(HASHES):
-        yield ((a >> np.uint64(32)) * bits) >> np.uint64(32)
-        a = a + step
+def _hashes(key: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Probe k of an item is at first + k * step, scaled to the bits of its part."""
+    first = C.mix(key ^ (np.uint64(0x9E3779B97F4A7C15 * level % (1 << 64))))
+    return first, C.mix(first)
 
 
 def filter_of(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
@@ -82,34 +80,40 @@ def filter_of(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
     for level in range(1, int(levels.max(initial=0)) + 1):
         keys = keys[levels >= level]
         levels = levels[levels >= level]
-        for p in _places(keys, level, np.uint64(bits)):
-            out[p] = True
+        first, step = _hashes(keys, level)
+        for k in range(HASHES):
+            out[(((first + np.uint64(k) * step) >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32)] = True
     return np.packbits(out, bitorder="little"), bits
 
 
 class Filter:
-    """Parts of a filter, side by side. A key's part is chosen by its hash."""
+    """Parts of a filter, side by side; `place` tells a key's part. Parts are filled in as they arrive, so the driver holds
+    the filter once."""
 
-    def __init__(self, parts: int, rows: list[tuple[int, bytes, int]]):
-        self.parts = parts
+    def __init__(self, parts: int, place, rows: DataFrame):
+        self.parts, self.place = parts, place
         self.bits, self.at = np.full(parts, 64, np.uint64), np.zeros(parts, np.int64)
-        at, data = 8, [bytes(8)]
-        for part, raw, bits in sorted(rows):
+        at = 8  # absent parts are empty
+        for part, bits in sorted(map(tuple, rows.select("part", "bits").collect())):
             self.bits[part], self.at[part] = bits, at
-            at += len(raw)
-            data.append(raw)
-        self.data = np.frombuffer(b"".join(data), np.uint8)
+            at += bits // 8
+        self.data = np.zeros(at, np.uint8)
+        for r in rows.select("part", "filter").toLocalIterator():
+            raw = np.frombuffer(r["filter"], np.uint8)
+            self.data[self.at[r["part"]] : self.at[r["part"]] + len(raw)] = raw
 
     def levels(self, key: np.ndarray) -> np.ndarray:
-        part = part_of(key, self.parts)
+        part = self.place(key, self.parts)
         bits, at = self.bits[part], self.at[part]
         out = np.zeros(len(key), np.int64)
         alive = np.arange(len(key))
         for level in range(1, len(STEPS) + 1):
-            keep = np.ones(len(key), bool)
-            for p in _places(key, level, bits):
-                keep &= (self.data[at + (p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            key, bits, at, alive = key[keep], bits[keep], at[keep], alive[keep]
+            left = np.arange(len(key))
+            first, step = _hashes(key, level)
+            for k in range(HASHES):
+                at_bit = (((first[left] + np.uint64(k) * step[left]) >> np.uint64(32)) * bits[left]) >> np.uint64(32)
+                left = left[(self.data[at[left] + (at_bit >> np.uint64(3)).astype(np.int64)] >> (at_bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+            key, bits, at, alive = key[left], bits[left], at[left], alive[left]
             if not len(alive):
                 break
             out[alive] = level
@@ -120,12 +124,17 @@ def part_of(key: np.ndarray, parts: int) -> np.ndarray:
     return (C.mix(key ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(40)).astype(np.int64) % parts
 
 
-def _gather(keys_of, parts: int):
+def range_of(key: np.ndarray, parts: int) -> np.ndarray:
+    """Parts (a power of two) by ranges of the key: in the order of the parts, keys are sorted."""
+    return (key >> np.uint64(65 - parts.bit_length())).astype(np.int64) if parts > 1 else np.zeros(len(key), np.int64)
+
+
+def _gather(keys_of, parts: int, place):
     """mapInArrow: distinct keys of the texts with counts, in a blob for each part."""
 
     def send(keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
         key, count = _summed(np.concatenate(keys), np.concatenate(counts))
-        part = part_of(key, parts)
+        part = place(key, parts)
         order = np.argsort(part, kind="stable")
         ends = np.searchsorted(part[order], np.arange(parts + 1))
         key, count = key[order].astype("<u8"), count[order].astype("<u4")
@@ -179,7 +188,7 @@ def _unigrams(train: DataFrame, parts: int) -> DataFrame:
         raw, bits = filter_of(key, count)
         return pa.table({"part": [table["part"][0].as_py()], "keys": [key.astype("<u8").tobytes()], "counts": [count.astype("<i8").tobytes()], "filter": [raw.tobytes()], "bits": [bits], "v": [len(key)], "n": [int(count.sum())]}, pa.schema([("part", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("filter", pa.binary()), ("bits", pa.int64()), ("v", pa.int64()), ("n", pa.int64())]))
 
-    sent = train.select("text").mapInArrow(_gather(keys_of, parts), SENT)
+    sent = train.select("text").mapInArrow(_gather(keys_of, parts, range_of), SENT)
     return C.stored(sent.groupBy("part").applyInArrow(build, "part bigint, keys binary, counts binary, filter binary, bits bigint, v bigint, n bigint"), "lm-words")
 
 
@@ -195,11 +204,11 @@ def _bigrams(train: DataFrame, parts: int, low: int, high: int, words: tuple) ->
     def build(table: pa.Table) -> pa.Table:
         key, count = _arrived(table)
         raw, bits = filter_of(key, count)
-        of = magnitude(lookup(*known.value, key >> np.uint64(32)))
+        of = lookup(*known.value, (key >> np.uint64(32)).astype(np.uint32))
         cells = [np.bincount(of, x, BUCKETS).astype(np.int64) for x in (count, np.ones(len(count)), count == 1, count == 2)]
         return pa.table({"part": [table["part"][0].as_py()], "filter": [raw.tobytes()], "bits": [bits], "sums": [np.concatenate(cells).tolist()]}, pa.schema([("part", pa.int64()), ("filter", pa.binary()), ("bits", pa.int64()), ("sums", pa.list_(pa.int64()))]))
 
-    sent = train.select("text").mapInArrow(_gather(keys_of, parts), SENT)
+    sent = train.select("text").mapInArrow(_gather(keys_of, parts, part_of), SENT)
     return C.stored(sent.groupBy("part").applyInArrow(build, "part bigint, filter binary, bits bigint, sums array<bigint>"), "lm-bigrams")
 
 
@@ -222,9 +231,18 @@ def score(docs: DataFrame, train: DataFrame, segment: int = SEGMENT, parts: int
     parts = parts or max(64, 1 << (2 * train.rdd.getNumPartitions() - 1).bit_length())
     unigrams = _unigrams(train, parts)
     n, v = (int(x or 0) for x in unigrams.agg(F.sum("n"), F.sum("v")).first())
-    segments = max(1, -(-(16 * v + 13 * n // 10) // segment))
-    levels = Filter(parts, [tuple(r) for r in unigrams.select("part", "filter", "bits").toLocalIterator()])
-    out = [_segment(spark, docs, train, unigrams, levels, n, v, parts, (k << 64) // segments, ((k + 1) << 64) // segments) for k in range(segments)]
+    segments = min(parts, max(1, -(-(12 * v + n * BITS // 8) // segment)))
+    levels = Filter(parts, range_of, unigrams)
+    cuts = [(k * parts // segments, (k + 1) * parts // segments) for k in range(segments)]
+    built = [_built(train, unigrams, parts, low, high) for low, high in cuts]
+    sums = np.zeros((4, BUCKETS))
+    for rows in built:  # all segments share the discount and the back-off weights
+        got = rows.select(*(F.sum(F.col("sums")[i]) for i in range(4 * BUCKETS))).first()
+        sums += np.array([x or 0 for x in got], np.float64).reshape(4, BUCKETS)
+    once, twice = sums[2].sum(), sums[3].sum()
+    discount = once / (once + 2 * twice) if once else 0.5
+    backoff = np.clip(np.where(sums[0] > 0, discount * sums[1] / np.maximum(sums[0], 1), 1.0), 1e-6, 1.0)
+    out = [_scored(spark, docs, unigrams, rows, levels, n, v, parts, low, high, discount, backoff) for rows, (low, high) in zip(built, cuts, strict=True)]
     if segments == 1:
         return out[0]
     both = out[0]
@@ -234,19 +252,30 @@ def score(docs: DataFrame, train: DataFrame, segment: int = SEGMENT, parts: int
     return both.groupBy("__file", "__row").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.first("train_tokens").alias("train_tokens"), *add)
 
 
-def _segment(spark, docs, train, unigrams, levels, n, v, parts, low, high) -> DataFrame:
-    """Score the tokens whose hash (base) or whose history's hash (model) is in [low, high)."""
-    low, high = low >> 32 << 32, high >> 32 << 32
-    got = [_within(np.frombuffer(r["keys"], "<u8"), np.frombuffer(r["counts"], "<i8"), low, high) for r in unigrams.select("keys", "counts").toLocalIterator()]
-    keys, counts = _summed(np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in got)]).astype(np.uint64), np.concatenate([np.zeros(0, np.int64), *(c for _, c in got)]))
-    histories = _summed(keys >> np.uint64(32), counts)
-    rows = _bigrams(train, parts, low, high, histories).collect()  # one segment, bounded
-    pairs = Filter(parts, [(r["part"], bytes(r["filter"]), r["bits"]) for r in rows])
-    sums = np.sum([np.zeros(4 * BUCKETS), *(r["sums"] for r in rows)], 0).reshape(4, BUCKETS)
-    once, twice = sums[2].sum(), sums[3].sum()
-    discount = once / (once + 2 * twice) if once else 0.5
-    backoff = np.clip(np.where(sums[0] > 0, discount * sums[1] / np.maximum(sums[0], 1), 1.0), 1e-6, 1.0)
+def _bounds(parts: int, low: int, high: int) -> tuple[int, int]:
+    return tuple(x << 64 - (parts.bit_length() - 1) for x in (low, high))
+
+
+def _of_parts(unigrams: DataFrame, low: int, high: int) -> DataFrame:
+    return unigrams.where((F.col("part") >= low) & (F.col("part") < high))
+
+
+def _built(train: DataFrame, unigrams: DataFrame, parts: int, low: int, high: int) -> DataFrame:
+    """The stored filter parts of one segment."""
+    keys, counts = _dictionary(_of_parts(unigrams, low, high))
+    history = (keys >> np.uint64(32)).astype(np.uint32)
+    first = np.flatnonzero(np.r_[True, history[1:] != history[:-1]]) if len(history) else np.zeros(0, np.int64)
+    sizes = magnitude(np.add.reduceat(counts, first, dtype=np.int64) if len(first) else counts).astype(np.uint8)
+    return _bigrams(train, parts, *_bounds(parts, low, high), (history[first], sizes))
+
+
+def _scored(spark, docs, unigrams, rows, levels, n, v, parts, low, high, discount, backoff) -> DataFrame:
+    """Score the tokens whose hash (base) or whose history's hash (model) is in the segment."""
+    keys, counts = _dictionary(_of_parts(unigrams, low, high))
+    low, high = _bounds(parts, low, high)
+    pairs = Filter(parts, part_of, rows)
     shared = spark.sparkContext.broadcast((keys, counts, levels, pairs, discount, backoff))
+    del keys, counts, pairs
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -261,9 +290,11 @@ def _segment(spark, docs, train, unigrams, levels, n, v, parts, low, high) -> Da
         mine = np.flatnonzero(here[history])
         h, w = history[mine], codes[mine]
         key = (hashes[h] & np.uint64(0xFFFFFFFF00000000)) | (hashes[w] >> np.uint64(32))
-        seen = VALUES[pairs.levels(key)]
+        seen = np.zeros(len(key))
+        known = about[w] > 0  # a bigram is no more frequent than its words
+        seen[known] = np.minimum(VALUES[pairs.levels(key[known])], np.minimum(about[w[known]], np.maximum(about[h[known]], 1)))
         weight = backoff[magnitude(exact[h])]
-        p = np.where(exact[h] > 0, np.maximum(seen - discount, 0) / np.maximum(np.maximum(about[h], seen), 1), 0.0) + np.where(exact[h] > 0, weight, 1.0) * single[w]
+        p = np.where(exact[h] > 0, np.maximum(seen - discount, 0) / np.maximum(about[h], 1), 0.0) + np.where(exact[h] > 0, weight, 1.0) * single[w]
         model = np.zeros(len(codes))
         model[mine] = np.log10(np.minimum(p, 1.0))
         cols = [pa.array(np.diff(at), pa.int64()), pa.array(C.sums((exact > 0)[codes], at), pa.int64()), pa.array(np.full(len(batch), n), pa.int64()), pa.array(C.sums(base[codes], at)), pa.array(C.sums(model, at))]
@@ -272,6 +303,15 @@ def _segment(spark, docs, train, unigrams, levels, n, v, parts, low, high) -> Da
     return C.map_arrow(C.located(docs.select("doc_id", "text")), apply, f"doc_id {kind}, __file string, __row bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
-def _within(keys: np.ndarray, counts: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    ok = (keys >= np.uint64(low)) & (keys <= np.uint64(high - 1))
-    return keys[ok], counts[ok]
+def _dictionary(unigrams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted word hashes and their counts, filled in part by part."""
+    size = sorted(map(tuple, unigrams.select("part", "v").collect()))
+    at = dict(zip([p for p, _ in size], np.cumsum([0, *(v for _, v in size)]).tolist(), strict=False))
+    total = sum(v for _, v in size)
+    keys, counts = np.zeros(total, np.uint64), np.zeros(total, np.uint32)
+    for r in unigrams.select("part", "keys", "counts").toLocalIterator():
+        k, c = np.frombuffer(r["keys"], "<u8"), np.frombuffer(r["counts"], "<i8")
+        if counts.dtype == np.uint32 and c.max(initial=0) >> 32:
+            counts = counts.astype(np.int64)
+        keys[at[r["part"]] : at[r["part"]] + len(k)], counts[at[r["part"]] : at[r["part"]] + len(k)] = k, c
+    return keys, counts
