@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -90,6 +91,22 @@ def located(docs: DataFrame) -> DataFrame:
     return docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, after which the worker gives freed memory back: workers stay alive and would keep the most they ever used."""
+
+    def wrapper(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return wrapper
+
+
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Apply f to slices of each Arrow batch that hold a bounded amount of text."""
 
@@ -99,7 +116,7 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iter
                 out = f(part)
                 yield from ([out] if isinstance(out, pa.RecordBatch) else out)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def grouped(df: DataFrame, keys: list[str], f: Callable[[list[pa.Table]], pa.Table], schema: str, batch_bytes: int = 4 << 20, large: int = 64) -> DataFrame:
@@ -139,7 +156,7 @@ def grouped(df: DataFrame, keys: list[str], f: Callable[[list[pa.Table]], pa.Tab
         if some:
             yield from f(some).to_batches()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(trimmed(run), schema)
 
 
 def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -155,7 +172,9 @@ def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
 
 
 def texts_of(batch: pa.RecordBatch) -> pa.Array:
-    return pc.fill_null(batch["text"].cast(pa.large_string()), "")
+    """The texts, null as empty, in buffers of their own: some Arrow functions misread a slice of larger buffers."""
+    text = pc.fill_null(batch["text"].cast(pa.large_string()), "")
+    return text.take(pa.array(np.arange(len(text)))) if len(text) else text
 
 
 def split_words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:

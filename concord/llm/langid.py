@@ -176,7 +176,7 @@ def train(docs: DataFrame) -> Model:
         rows = [(k, a.tobytes(), b.tobytes()) for k, (a, b) in held.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["lang", "counts", "scripts"])
 
-    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang").mapInArrow(count, COUNTED)
+    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang").mapInArrow(C.trimmed(count), COUNTED)
     got = sorted((r["lang"], bytes(r["counts"]), bytes(r["scripts"])) for r in rows.groupBy("lang").applyInArrow(_sum_group, COUNTED).collect())  # one row per language
     return Model([r[0] for r in got], np.array([np.frombuffer(r[1], np.int64) for r in got]).reshape(-1, width), np.array([np.frombuffer(r[2], np.int64) for r in got]).reshape(-1, OTHER + 1))
 

@@ -188,7 +188,7 @@ def _unigrams(train: DataFrame, parts: int) -> DataFrame:
         raw, bits = filter_of(key, count)
         return pa.table({"part": [table["part"][0].as_py()], "keys": [key.astype("<u8").tobytes()], "counts": [count.astype("<i8").tobytes()], "filter": [raw.tobytes()], "bits": [bits], "v": [len(key)], "n": [int(count.sum())]}, pa.schema([("part", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("filter", pa.binary()), ("bits", pa.int64()), ("v", pa.int64()), ("n", pa.int64())]))
 
-    sent = train.select("text").mapInArrow(_gather(keys_of, parts, range_of), SENT)
+    sent = train.select("text").mapInArrow(C.trimmed(_gather(keys_of, parts, range_of)), SENT)
     return C.stored(sent.groupBy("part").applyInArrow(build, "part bigint, keys binary, counts binary, filter binary, bits bigint, v bigint, n bigint"), "lm-words")
 
 
@@ -208,7 +208,7 @@ def _bigrams(train: DataFrame, parts: int, low: int, high: int, words: tuple) ->
         cells = [np.bincount(of, x, BUCKETS).astype(np.int64) for x in (count, np.ones(len(count)), count == 1, count == 2)]
         return pa.table({"part": [table["part"][0].as_py()], "filter": [raw.tobytes()], "bits": [bits], "sums": [np.concatenate(cells).tolist()]}, pa.schema([("part", pa.int64()), ("filter", pa.binary()), ("bits", pa.int64()), ("sums", pa.list_(pa.int64()))]))
 
-    sent = train.select("text").mapInArrow(_gather(keys_of, parts, part_of), SENT)
+    sent = train.select("text").mapInArrow(C.trimmed(_gather(keys_of, parts, part_of)), SENT)
     return C.stored(sent.groupBy("part").applyInArrow(build, "part bigint, filter binary, bits bigint, sums array<bigint>"), "lm-bigrams")
 
 
