@@ -2,17 +2,16 @@
 
 The kernel of two words sums, over all common subsequences of `ORDER` bytes, a decay for every byte that their
 occurrences span, so a word with inserted characters or with gaps still resembles the insult in it. Landmarks are
-the words that labelled texts tie most to toxicity, and common other words; the Nyström map turns a word's kernel
-values at the landmarks into a vector. A sentence takes the largest kernel value of its words at each landmark, single
-characters in a row (as in "i d i o t") being read as one word too. The machine is trained on labelled sentences: all
-chosen sentences of clean texts against, for each toxic text, the sentence that the machine itself finds worst. A
-text scores as its worst sentence.
+the words that labelled texts tie most to toxicity, and common other words that come near them; the Nyström map turns a word's kernel values at the landmarks into a vector.
+A sentence is as toxic as its worst word, so no friendly word makes up for an insult; single characters in a row (as in
+"i d i o t") are read as one word too. The machine is trained on labelled sentences: the worst words of all clean ones
+against, for each toxic text, the word that the machine itself finds worst. A text scores as its worst sentence.
 
 The kernel is zero unless the longest common subsequence has ORDER bytes; that is tested first, for all landmarks at
 once in the bits of machine words, so most words of a text never reach the kernel.
 
 Null and empty texts have no sentence and score as the machine's bias says; without labels of both kinds all score
-0.0; equal rows are scored one by one; an empty table gives no rows.
+0.0, with none that words tell apart the share of toxic ones; equal rows are scored one by one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,20 +29,23 @@ from . import common as C
 from .quality import sampled_labels
 
 FOLDS, HELD_OUT = 5, 0
-#: Labelled texts that the machine is fitted on, at most, and sentences kept of each.
-TRAIN_ROWS, KEPT = 8_000, 6
+#: Labelled texts that the machine is fitted on, at most, and words kept of each.
+TRAIN_ROWS, KEPT = 8_000, 8
 ORDER, DECAY = 5, 0.6
-TOXIC_LANDMARKS, OTHER_LANDMARKS = 32, 12
+TOXIC_LANDMARKS, OTHER_LANDMARKS = 40, 8
 #: Words considered for landmarks, and how much a new one may resemble each of those of its kind already chosen.
 CONSIDERED, ALIKE, KIN = 600, 0.3, 3
 LONGEST = 24  # bytes of a landmark
 WINDOW = 48  # longer words are read in overlapping windows
+#: ASCII other than letters, which is dropped from words.
+MARKS = bytes(b for b in range(128) if not chr(b).isalpha())
 ENDS = np.zeros(256, bool)
 ENDS[list(b".!?")] = True
 
 
 def units(text: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-    """Codes of words, distinct words, the sentence of each (numbered through all texts) and the text of each sentence.
+    """Codes of words, distinct words (their letters), the sentence of each word (numbered through all texts) and the text
+    of each sentence.
 
     Runs of three or more single characters add the word that they spell, at the place of their first."""
     flat, at = C.split_words(pc.utf8_lower(text))
@@ -70,7 +72,9 @@ def units(text: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarr
                     extra_sentences.append(sentence[p])
     if extra_codes:
         codes, sentence = np.r_[codes, extra_codes], np.r_[sentence, extra_sentences]
-    return codes, words, sentence, texts
+    letters: dict[bytes, int] = {}
+    same = np.array([letters.setdefault(w.translate(None, MARKS), len(letters)) for w in words], np.int64)
+    return same[codes], list(letters), sentence, texts
 
 
 class Kernel:
@@ -146,40 +150,46 @@ class Kernel:
         return out
 
 
-def sentences(text: pa.Array, kernel: Kernel) -> tuple[np.ndarray, np.ndarray]:
-    """Kernel values of the sentences that have any, and their texts."""
-    codes, words, sentence, texts = units(text)
-    value = kernel(words)
-    use = value.any(1)[codes] if len(codes) else np.zeros(0, bool)
-    codes, sentence = codes[use], sentence[use]
-    if not len(codes):
-        return np.zeros((0, len(kernel.landmarks)), np.float32), np.zeros(0, np.int64)
-    order = np.argsort(sentence, kind="stable")
-    codes, sentence = codes[order], sentence[order]
-    first = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
-    return np.maximum.reduceat(value[codes], first), texts[sentence[first]]
+def worst_of(value: np.ndarray, codes: np.ndarray, place: np.ndarray, n: int, floor: float) -> np.ndarray:
+    """The largest value of the words of each sentence or text, no less than floor."""
+    out = np.full(n, floor)
+    np.maximum.at(out, place, value[codes])
+    return out
 
 
 class Machine:
     def __init__(self, kernel: Kernel, weight: np.ndarray, bias: float, slope: float, shift: float):
         self.kernel, self.weight, self.bias, self.slope, self.shift = kernel, weight, bias, slope, shift
 
+    def value(self, words: list[bytes]) -> np.ndarray:
+        return spread(self.kernel(words)) @ self.weight + self.bias
+
     def score(self, text: pa.Array) -> np.ndarray:
         worst = np.full(len(text), self.bias)
         if len(self.weight):
-            x, of = sentences(text, self.kernel)
-            np.maximum.at(worst, of, x @ self.weight + self.bias)
+            codes, words, sentence, texts = units(text)
+            bad = worst_of(self.value(words), codes, sentence, len(texts), self.bias)
+            np.maximum.at(worst, texts, bad)
         return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -30, 30)))
 
 
+def spread(k: np.ndarray) -> np.ndarray:
+    """Values of two kernels: the string kernel, and its cube (a product of kernels is one), which tells near words apart."""
+    return np.c_[k, k**3]
+
+
 def nystrom(kernel: Kernel) -> np.ndarray:
-    """The inverse root of the landmarks' own kernel matrix."""
-    k = kernel(kernel.words).astype(np.float64) * np.sqrt(kernel.scale[None, :] / kernel.scale[:, None])  # back to a symmetric scale
-    value, vector = np.linalg.eigh((k + k.T) / 2)
-    return vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
+    """The inverse roots of the landmarks' own matrices under both kernels, as one block matrix."""
+    k = kernel(kernel.words).astype(np.float64) * np.sqrt(kernel.scale[None, :] / kernel.scale[:, None])  # to a symmetric scale
+    k, n = (k + k.T) / 2, len(k)
+    out = np.zeros((2 * n, 2 * n))
+    for at, m in ((0, k), (n, k**3)):
+        value, vector = np.linalg.eigh(m)
+        out[at : at + n, at : at + n] = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
+    return out
 
 
-def svm(x: np.ndarray, y: np.ndarray, rounds: int = 300, c: float = 50.0) -> tuple[np.ndarray, float]:
+def svm(x: np.ndarray, y: np.ndarray, rounds: int = 400, c: float = 100.0) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss and balanced classes, by accelerated gradient steps."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
     a = np.c_[x, np.ones(len(x))]
@@ -193,6 +203,11 @@ def svm(x: np.ndarray, y: np.ndarray, rounds: int = 300, c: float = 50.0) -> tup
     return w[:-1], float(w[-1])
 
 
+def bent_forms(word: bytes) -> list[bytes]:
+    """The word with one more letter at each inner place, by rule."""
+    return [word[:k] + bytes([97 + (7 * k + len(word)) % 26]) + word[k:] for k in range(1, len(word))]
+
+
 def spread_out(words: list[bytes], most: int) -> list[bytes]:
     """The first words of the list, but at most KIN that resemble one another."""
     if not words:
@@ -210,12 +225,12 @@ def spread_out(words: list[bytes], most: int) -> list[bytes]:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
     spark = C.ready(docs.sparkSession)
     chosen = docs.select("doc_id", "text").join(F.broadcast(sampled_labels(labels, "toxic", HELD_OUT, FOLDS, rows)), "doc_id")  # at most `rows` rows
-    chosen = C.stored(chosen.select("text", "__label"), "toxic-sample")
+    chosen = C.stored(chosen.select("text", "__label").distinct(), "toxic-sample")  # copies of a text are one example
 
     def distinct(batch: pa.RecordBatch) -> pa.RecordBatch:
         flat, at = C.split_words(pc.utf8_lower(C.texts_of(batch)))
         codes, words = C.encode(flat)
-        words = [w.strip(b".,;:!?\"'()#*$%&|<>") for w in words]
+        words = [w.translate(None, MARKS) for w in words]
         place = np.repeat(np.arange(len(batch)), np.diff(at))
         label = batch["__label"].to_numpy(zero_copy_only=False)
         seen = {(int(p), words[c]) for p, c in set(zip(place.tolist(), codes.tolist(), strict=True))}
@@ -232,41 +247,52 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     words = C.map_arrow(chosen, distinct, "word binary, clean bigint, toxic bigint").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     words = C.stored(words, "toxic-words")
     p, q = (F.col("toxic") + 0.5) / (pos + 1), (F.col("clean") + 0.5) / (neg + 1)
-    tied = words.where(F.col("toxic") >= max(2, pos // 200)).where(p > 4 * q).orderBy((F.col("toxic") * F.log(p / q)).desc(), "word").limit(CONSIDERED).collect()
+    tied = words.where(F.col("toxic") >= max(2, min(6, pos // 8), pos // 58)).where(p > 8 * q).orderBy((F.col("toxic") * F.log(p / q)).desc(), "word").limit(CONSIDERED).collect()
     bad = spread_out([bytes(r["word"]) for r in tied], TOXIC_LANDMARKS)
     usual = [bytes(r["word"]) for r in words.where("clean > 0").where(p < q).orderBy(F.desc("clean"), "word").limit(4 * CONSIDERED).collect()]
     close = Kernel(bad)(usual).max(1, initial=0)
     good = [usual[i] for i in np.argsort(-close, kind="stable")[:OTHER_LANDMARKS]]  # common clean words that come nearest
     kernel = Kernel(bad + good)
     few = len(bad)
+    sure = {bytes(r["word"]) for r in tied if r["toxic"] >= 20 * r["clean"] * pos / neg}  # in toxic texts nearly alone
 
     def worst(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, of = sentences(C.texts_of(batch), kernel)
-        label = batch["__label"].to_numpy(zero_copy_only=False)
-        order = np.lexsort((-(x[:, :few].max(1, initial=0)), of))
+        codes, words, sentence, texts = units(C.texts_of(batch))
+        x = kernel(words)
+        near = x[:, :few].max(1, initial=0)
+        pairs = np.unique(texts[sentence] * max(1, len(words)) + codes) if len(codes) else np.zeros(0, np.int64)
+        of, code = pairs // max(1, len(words)), pairs % max(1, len(words))
+        use = near[code] > 0
+        of, code = of[use], code[use]
+        order = np.lexsort((code, -near[code], of))
         rank = np.arange(len(of)) - np.searchsorted(of[order], of[order])
         keep = order[rank < KEPT]
+        label = batch["__label"].to_numpy(zero_copy_only=False)
         key = [xxhash.xxh64_hexdigest(t or "") for t in batch["text"].to_pylist()]  # equal texts are one example
-        return pa.RecordBatch.from_arrays([pa.array([key[i] for i in of[keep]], pa.string()), pa.array(label[of[keep]].astype(np.int32)), pa.array(list(x[keep].astype(np.float64)), pa.list_(pa.float64()))], ["id", "label", "x"])
+        return pa.RecordBatch.from_arrays([pa.array([key[i] for i in of[keep]], pa.string()), pa.array(label[of[keep]].astype(np.int32)), pa.array([words[i] in sure for i in code[keep]], pa.bool_()), pa.array(list(x[code[keep]].astype(np.float64)), pa.list_(pa.float64()))], ["id", "label", "sure", "x"])
 
-    got = C.map_arrow(chosen, worst, "id string, label int, x array<double>").limit(KEPT * 2 * rows).toArrow()
+    got = C.map_arrow(chosen, worst, "id string, label int, sure boolean, x array<double>").limit(KEPT * 2 * rows).toArrow()
+    if len({*got["label"].to_pylist()}) < 2:  # no word that tells the kinds apart: the share of toxic texts
+        return Machine(Kernel([]), np.zeros(0), 0.0, 0.0, float(np.log(pos / neg)))
     root = nystrom(kernel)
     x = np.array(got["x"].to_pylist(), np.float64).reshape(-1, len(kernel.landmarks))
+    known = got["sure"].to_numpy(zero_copy_only=False)
     y, ids = got["label"].to_numpy(), np.unique(got["id"].to_numpy(zero_copy_only=False), return_inverse=True)[1]
     order = np.lexsort((*x.T, y))  # the fit doesn't depend on the order of arrival
-    x, y, ids = x[order], y[order], ids[order]
-    z = (x * np.sqrt(kernel.scale)) @ root
-    spread = np.maximum(z.std(0), 1e-6)
-    z = z / spread
+    x, y, ids, known = x[order], y[order], ids[order], known[order]
+    bent = kernel([v for w in bad for v in bent_forms(w)])  # insults with a letter put in are insults
+    z = spread(x) @ root
+    width = np.maximum(z.std(0), 1e-6)
+    z, bent = z / width, spread(bent) @ root / width
     f = x[:, :few].max(1, initial=0)
     clean = np.flatnonzero(y == 0)
     for _ in range(4):
         top = np.lexsort((-f, ids))
         first = top[np.r_[True, ids[top][1:] != ids[top][:-1]]]
-        use = np.r_[first[y[first] == 1], clean]
-        w, b = svm(z[use], np.where(y[use] == 1, 1.0, -1.0))
+        use = np.r_[np.union1d(first[y[first] == 1], np.flatnonzero(known & (y == 1))), clean]
+        w, b = svm(np.r_[z[use], bent, bent, bent], np.r_[np.where(y[use] == 1, 1.0, -1.0), np.ones(3 * len(bent))])
         f = z @ w + b
-    weight = np.sqrt(kernel.scale) * (root @ (w / spread))
+    weight = root @ (w / width)
     per = np.full(ids.max(initial=-1) + 1, b)
     np.maximum.at(per, ids, f)
     mark = np.zeros(len(per))
