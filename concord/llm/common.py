@@ -24,6 +24,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that one step of a Python operator holds at a time.
 SLICE_BYTES = 8 << 20
+#: The same for operators that gain nothing from words that texts share.
+SMALL_SLICE = 2 << 20
 
 #: A table is broadcast only when it was counted and has at most so many (narrow) rows.
 BROADCAST_ROWS = 200_000
@@ -107,12 +109,12 @@ def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
     return wrapper
 
 
-def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str, most: int = SLICE_BYTES) -> DataFrame:
     """Apply f to slices of each Arrow batch that hold a bounded amount of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most):
                 out = f(part)
                 yield from ([out] if isinstance(out, pa.RecordBatch) else out)
 

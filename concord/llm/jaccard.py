@@ -322,7 +322,7 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         sketch = pa.ListArray.from_arrays(np.cumsum([0, *map(len, heads)]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *heads]))
         return pa.RecordBatch.from_arrays([batch["doc_id"], batch["__file"], batch["__row"], pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), sketch], ["doc_id", "__file", "__row", "n", "digest", "sketch"])
 
-    return C.map_arrow(C.located(docs.select("doc_id", "text")), sign, f"doc_id {kind}, __file string, __row bigint, n bigint, digest binary, sketch array<bigint>")
+    return C.map_arrow(C.located(docs.select("doc_id", "text")), sign, f"doc_id {kind}, __file string, __row bigint, n bigint, digest binary, sketch array<bigint>", C.SMALL_SLICE)
 
 
 def _raw(s: np.ndarray) -> bytes:
@@ -336,7 +336,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch["node"], batch["n"], pa.array([_raw(s) for s in shingle_sets(C.texts_of(batch), width)], pa.binary())], ["node", "n", "set"])
 
     rows = C.located(docs.select("text")).join(C.small(nodes), ["__file", "__row"])
-    return C.stored(C.map_arrow(rows.select("node", "n", "text"), compute, "node bigint, n bigint, set binary"), "sets")
+    return C.stored(C.map_arrow(rows.select("node", "n", "text"), compute, "node bigint, n bigint, set binary", C.SMALL_SLICE), "sets")
 
 
 def _edges(tables: list[pa.Table], components: list[list[int]], runs: int | None = None) -> pa.Table:

@@ -12,6 +12,7 @@ empty and has the closing id alone; equal rows are packed one by one; an empty t
 from __future__ import annotations
 
 import bisect
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,8 +31,10 @@ SEQUENCE, OPEN, MERGED, CLOSING_ID = 2048, 16, 32, 1
 #: A window with at least so much room is completed with a cut; smaller gaps are padded.
 WORTH_A_CUT = 16
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 700_000
+#: Words whose ids a task remembers (the memory is emptied when it is full), and a worker between tasks.
+REMEMBERED, KEPT_WORDS = 400_000, 100_000
+#: Bytes of text that are encoded at a time.
+PIECE_BYTES = 2 << 20
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 _memory: dict[str, tuple] = {}
@@ -52,6 +55,15 @@ def _tokenizer(path: str) -> tuple:
     return _memory[path]
 
 
+def forget(path: str) -> None:
+    """Keep only the words met first, mostly frequent ones, from one task of a worker to the next."""
+    if path in _memory:
+        known = _memory[path][1]
+        first = list(itertools.islice(known.items(), KEPT_WORDS))
+        known.clear()
+        known.update(first)
+
+
 def encode(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids (uint32) of all texts and where each text's begin.
 
@@ -79,8 +91,8 @@ def encode(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     plain = []
     for w in new:
         (plain if w.isalpha() or not w.isascii() and w.decode().isalpha() else other).append(w)
-    for i in range(0, len(plain), 20_000):  # letters alone are one piece, and its last id has a word end
-        some = plain[i : i + 20_000]
+    for i in range(0, len(plain), 5_000):  # letters alone are one piece, and its last id has a word end
+        some = plain[i : i + 5_000]
         ids = np.array(tokenizer.encode(b"\n".join(some).decode(), add_special_tokens=False).ids, "<u4")
         cut = np.r_[0, 4 * np.flatnonzero(ends_word[ids]) + 4].tolist()
         if len(cut) == len(some) + 1:
@@ -164,7 +176,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = SEQUENCE, with_
         part, count, windows, kind = TaskContext.get().partitionId(), 0, Windows(length, OPEN), None
         for batch in batches:
             kind = batch["doc_id"].type
-            for piece in C.slices(batch):
+            for piece in C.slices(batch, PIECE_BYTES):
                 ids, at = encode(C.texts_of(piece), path)
                 done = []
                 for i, doc in enumerate(piece["doc_id"].to_pylist()):
@@ -174,6 +186,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = SEQUENCE, with_
                         count += 1
                 windows.open = [(r, n, [(d, s, x.copy(), t) for d, s, x, t in p]) for r, n, p in windows.open]  # lets go of the slice
                 yield _rows(done, kind, None, with_ids)
+        forget(path)
         if windows.open:
             yield _rows([(0, pieces) for _, _, pieces in windows.open], kind, part // MERGED, True)
 
@@ -193,7 +206,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = SEQUENCE, with_
                 start, ids, room = start + min(room, len(ids)), ids[room:], room - min(room, len(ids))
         return pa.Table.from_batches([_rows(out, kind, None, with_ids)])
 
-    rows = C.stored(docs.select("doc_id", "text").mapInArrow(online, schema), "packed")
+    rows = C.stored(docs.select("doc_id", "text").mapInArrow(C.trimmed(online), schema), "packed")
     merged = rows.where("leftover is not null").groupBy("leftover").applyInArrow(merge, schema)
     out = rows.where("leftover is null").unionByName(merged)
     return out.select("doc_id", *COLUMNS, *["ids"] * with_ids)

@@ -103,7 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
         x = features(C.texts_of(batch))
         return pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.string()), batch["__label"], pa.array(list(x), pa.list_(pa.float64()))], ["id", "label", "x"])
 
-    got = C.map_arrow(chosen.select("doc_id", "text", "__label"), compute, "id string, label int, x array<double>").limit(2 * rows).toArrow()
+    got = C.map_arrow(chosen.select("doc_id", "text", "__label"), compute, "id string, label int, x array<double>", C.SMALL_SLICE).limit(2 * rows).toArrow()
     x = np.array(got["x"].to_pylist(), np.float64).reshape(-1, N_FEATURES)
     y = got["label"].to_numpy().astype(np.float64)
     order = np.lexsort([*x.T, y])  # the fit doesn't depend on the order of arrival
@@ -120,7 +120,7 @@ def score(docs: DataFrame, trees: Trees) -> DataFrame:
         got = model.value.score(features(C.texts_of(batch)))
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], [*batch.schema.names, "__score"])
 
-    return C.map_arrow(docs, apply, schema)
+    return C.map_arrow(docs, apply, schema, C.SMALL_SLICE)
 
 
 def accepted(docs: DataFrame, trees: Trees) -> DataFrame:

@@ -68,7 +68,7 @@ def ledger(docs: DataFrame) -> DataFrame:
             bits |= np.asarray(rule.fails(m)).astype(np.int64) << i
         return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(bits), *(pa.array(m[k].astype(np.int64)) for k in MEASURES)], ["doc_id", "bits", *MEASURES])
 
-    return C.map_arrow(docs.select("doc_id", "text"), evaluate, f"doc_id {kind}, bits long, " + ", ".join(f"{k} long" for k in MEASURES))
+    return C.map_arrow(docs.select("doc_id", "text"), evaluate, f"doc_id {kind}, bits long, " + ", ".join(f"{k} long" for k in MEASURES), C.SMALL_SLICE)
 
 
 def apply_policy(rows: DataFrame, policy: str = "prose-1") -> DataFrame:
