@@ -32,9 +32,9 @@ SEQUENCE, OPEN, MERGED, CLOSING_ID = 2048, 16, 32, 1
 WORTH_A_CUT = 16
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a task remembers (the memory is emptied when it is full), and a worker between tasks.
-REMEMBERED, KEPT_WORDS = 400_000, 100_000
+REMEMBERED, KEPT_WORDS = 500_000, 250_000
 #: Bytes of text that are encoded at a time.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 4 << 20
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 _memory: dict[str, tuple] = {}
