@@ -5,8 +5,8 @@ A shingle is a 64-bit hash; hash order is the global order of all sets. Equal se
 Candidates. The smallest `SKETCH` shingles of a set are its sketch. Of the smallest SKETCH shingles of a union, each is
 in both sets with probability J, and if it is, it is in both sketches. So linked pairs (J >= 0.85) of large sets share
 at least `SHARED` sketch shingles but for a chance under 1e-14 (binomial tail), and sets of at most SKETCH shingles
-share 85 % of them with certainty. By the prefix principle, with a set's sketch shingles in the order of their frequency,
-two such sets meet in one of the first (size - SHARED + 1), so the most common shingles (boilerplate) are never
+share `least_shared` of them with certainty (about 85 %, less what a larger partner's sketch leaves out). By the prefix
+principle, with a set's sketch shingles in the order of their frequency, two such sets meet in one of the first (size - SHARED + 1), so the most common shingles (boilerplate) are never
 keys, and sets with too few shingles known to any other set drop out at once.
 
 Verification. Sets that meet are stored in a prefix tree over the global order. A probe walks it once: sets with a
@@ -357,11 +357,19 @@ def _verify(tables: list[pa.Table]) -> pa.Table:
     return _edges(tables, [[-1 if x == t["a"][0].as_py() else x for x in t["node"].to_pylist()] for t in tables], runs=1)
 
 
+def least_shared(n: int) -> int:
+    """The least number of sketch shingles that a set of n <= SKETCH shingles shares with a set that it is linked with: the
+    least overlap that their sizes ask for, less what the partner's sketch leaves out."""
+    sizes = range(-(-PERCENT * n // 100), 100 * n // PERCENT + 1)
+    return min(-(-PERCENT * (n + m) // (100 + PERCENT)) - max(0, m - SKETCH) for m in sizes)
+
+
 def _candidates(classes: DataFrame) -> DataFrame:
     """(token, node, n, df): the keys of each set that can have a link at all."""
     tokens = classes.select("node", "n", F.explode("sketch").alias("token"))
     common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    need = F.when(F.col("n") <= SKETCH, F.ceil(F.col("n") * PERCENT / 100)).otherwise(F.lit(SHARED)).cast("int")
+    small = F.array(*(F.lit(least_shared(n)) for n in range(1, SKETCH + 1)))
+    need = F.when(F.col("n") <= SKETCH, F.get(small, F.col("n") - 1)).otherwise(F.lit(SHARED)).cast("int")
     ordered = tokens.join(common, "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))  # at most SKETCH entries
     keys = ordered.where(F.size("t") >= need).select("node", "n", F.inline(F.slice("t", F.lit(1), F.size("t") - need + 1)))
     return C.stored(keys, "keys", few=True)

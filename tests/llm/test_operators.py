@@ -228,6 +228,20 @@ def test_jaccard_components_are_those_of_all_pairs(spark, docs, odd, pairs_up_to
         assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in jaccard.join(df).collect()) == want
 
 
+def test_jaccard_of_sets_about_as_large_as_a_sketch(spark):
+    rows = []
+    for g, (n, m) in enumerate([(n, m) for n in range(28, 41) for m in range(n + 1, 41) if 100 * n >= 85 * m] + [(32, 37)] * 40):
+        w = [f"g{g}w{i}" for i in range(m + 3)]  # m shingles, and n of them
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(w[: n + 3]))]
+    assert [r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string")).orderBy("doc_id").collect()] == brute_components(rows)[1]
+
+
+def test_least_shared_is_reached_and_never_missed():
+    for n in range(1, jaccard.SKETCH + 1):
+        linked = [(m, k) for m in range(1, 2 * n + 2) for k in range(min(n, m) + 1) if 100 * k >= jaccard.PERCENT * (n + m - k)]
+        assert jaccard.least_shared(n) == min(k - max(0, m - jaccard.SKETCH) for m, k in linked)
+
+
 def test_forest_finds_what_all_pairs_have():
     rng = np.random.default_rng(5)
     for _ in range(25):
