@@ -2,7 +2,9 @@
 
 The kernel of two words sums, over all common subsequences of `ORDER` bytes, a decay for every byte that their
 occurrences span, so a word with inserted characters or with gaps still resembles the insult in it. Landmarks are
-the words that labelled texts tie most to toxicity, and common other words that come near them; the Nyström map turns a word's kernel values at the landmarks into a vector.
+the words that labelled texts tie to toxicity, and common other words that come near them; the Nyström map turns a word's kernel values at the landmarks into a vector.
+A word is tied by a share of the toxic texts, or in any number of them that chance does not explain. Each toxic text with
+a tied word has one that is a landmark or resembles one.
 A sentence is as toxic as its worst word, so no friendly word makes up for an insult; single characters in a row (as in
 "i d i o t") are read as one word too. The machine is trained on labelled sentences: the worst words of all clean ones
 against, for each toxic text, the word that the machine itself finds worst. A text scores as its worst sentence.
@@ -22,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -32,8 +34,9 @@ FOLDS, HELD_OUT = 5, 0
 #: Labelled texts that the machine is fitted on, at most, and words kept of each.
 TRAIN_ROWS, KEPT = 8_000, 8
 ORDER, DECAY = 5, 0.6
+#: Toxic landmarks before those that are left to cover all toxic texts.
 TOXIC_LANDMARKS, OTHER_LANDMARKS = 40, 8
-#: Words considered for landmarks, and how much a new one may resemble each of those of its kind already chosen.
+#: Words considered for the first landmarks, and how much a new one may resemble each of those of its kind already chosen.
 CONSIDERED, ALIKE, KIN = 600, 0.3, 3
 LONGEST = 24  # bytes of a landmark
 WINDOW = 48  # longer words are read in overlapping windows
@@ -222,6 +225,30 @@ def spread_out(words: list[bytes], most: int) -> list[bytes]:
     return [words[i] for i in chosen]
 
 
+def covering(words: list[bytes], chosen: list[bytes], texts: list[list[int]]) -> list[bytes]:
+    """The chosen words, and the first words of the list that texts (places of their words in it) without a word like a chosen
+    one still need."""
+    near = Kernel(chosen)(words).max(1, initial=0) > ALIKE
+    bare = [set(t) for t in texts if t and not near[t].any()]
+    out = list(chosen)
+    while bare:
+        first = min(min(t) for t in bare)
+        out.append(words[first])
+        bare = [t for t in bare if first not in t]
+    return out
+
+
+def unlikely(words: DataFrame, pos: int, neg: int) -> Column:
+    """Whether a word is in so many toxic texts that less than one word is expected to be by chance: Chernoff's bound on the
+    binomial tail, times the number of words that are in as many texts (rarer ones cannot reach the bound)."""
+    n, rate = F.col("clean") + F.col("toxic"), pos / (pos + neg)
+    seen = sorted((r["n"], r["k"]) for r in words.groupBy(n.alias("n")).agg(F.count(F.lit(1)).alias("k")).collect())  # at most a row for each number of texts
+    upto = np.cumsum([k for _, k in seen[::-1]])[::-1].tolist()
+    tests = F.element_at(F.create_map(*(F.lit(x) for (size, _), k in zip(seen, upto, strict=True) for x in (size, float(k)))), n) if seen else F.lit(1.0)
+    part = lambda x, p: F.when(x > 0, x * F.log(x / (n * p))).otherwise(0.0)
+    return (F.col("toxic") > n * rate) & (part(F.col("toxic"), rate) + part(F.col("clean"), 1 - rate) > F.log(tests))
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
     spark = C.ready(docs.sparkSession)
     chosen = docs.select("doc_id", "text").join(F.broadcast(sampled_labels(labels, "toxic", HELD_OUT, FOLDS, rows)), "doc_id")  # at most `rows` rows
@@ -247,8 +274,23 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     words = C.map_arrow(chosen, distinct, "word binary, clean bigint, toxic bigint").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     words = C.stored(words, "toxic-words")
     p, q = (F.col("toxic") + 0.5) / (pos + 1), (F.col("clean") + 0.5) / (neg + 1)
-    tied = words.where(F.col("toxic") >= max(2, min(6, pos // 8), pos // 58)).where(p > 8 * q).orderBy((F.col("toxic") * F.log(p / q)).desc(), "word").limit(CONSIDERED).collect()
-    bad = spread_out([bytes(r["word"]) for r in tied], TOXIC_LANDMARKS)
+    often = (F.col("toxic") >= max(2, min(6, pos // 8), pos // 58)) | (F.col("toxic") >= 2) & unlikely(words, pos, neg)
+    tied = words.where(often).where(p > 8 * q).orderBy((F.col("toxic") * F.log(p / q)).desc(), "word").collect()
+    names = [bytes(r["word"]) for r in tied]
+    number = {w: i for i, w in enumerate(names)}
+
+    def ties(batch: pa.RecordBatch) -> pa.RecordBatch:
+        flat, at = C.split_words(pc.utf8_lower(C.texts_of(batch)))
+        codes, words = C.encode(flat)
+        code = np.array([number.get(w.translate(None, MARKS), -1) for w in words], np.int64)[codes]
+        place = np.repeat(np.arange(len(batch)), np.diff(at))
+        own: list[set[int]] = [set() for _ in range(len(batch))]
+        for p, c in zip(place[code >= 0].tolist(), code[code >= 0].tolist(), strict=True):
+            own[p].add(c)
+        return pa.RecordBatch.from_arrays([pa.array([sorted(x) for x in own], pa.list_(pa.int32()))], ["tied"])
+
+    texts = [r["tied"] for r in C.map_arrow(chosen.where("__label = 1"), ties, "tied array<int>").collect()]  # at most `rows` rows
+    bad = covering(names, spread_out(names[:CONSIDERED], TOXIC_LANDMARKS), texts)
     usual = [bytes(r["word"]) for r in words.where("clean > 0").where(p < q).orderBy(F.desc("clean"), "word").limit(4 * CONSIDERED).collect()]
     close = Kernel(bad)(usual).max(1, initial=0)
     good = [usual[i] for i in np.argsort(-close, kind="stable")[:OTHER_LANDMARKS]]  # common clean words that come nearest
@@ -269,9 +311,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
         keep = order[rank < KEPT]
         label = batch["__label"].to_numpy(zero_copy_only=False)
         key = [xxhash.xxh64_hexdigest(t or "") for t in batch["text"].to_pylist()]  # equal texts are one example
-        return pa.RecordBatch.from_arrays([pa.array([key[i] for i in of[keep]], pa.string()), pa.array(label[of[keep]].astype(np.int32)), pa.array([words[i] in sure for i in code[keep]], pa.bool_()), pa.array(list(x[code[keep]].astype(np.float64)), pa.list_(pa.float64()))], ["id", "label", "sure", "x"])
+        return pa.RecordBatch.from_arrays([pa.array([key[i] for i in of[keep]], pa.string()), pa.array(label[of[keep]].astype(np.int32)), pa.array([words[i] in sure for i in code[keep]], pa.bool_()), pa.array(list(x[code[keep]]), pa.list_(pa.float32()))], ["id", "label", "sure", "x"])
 
-    got = C.map_arrow(chosen, worst, "id string, label int, sure boolean, x array<double>").limit(KEPT * 2 * rows).toArrow()
+    got = C.map_arrow(chosen, worst, "id string, label int, sure boolean, x array<float>").limit(KEPT * 2 * rows).toArrow()
     if len({*got["label"].to_pylist()}) < 2:  # no word that tells the kinds apart: the share of toxic texts
         return Machine(Kernel([]), np.zeros(0), 0.0, 0.0, float(np.log(pos / neg)))
     root = nystrom(kernel)

@@ -385,6 +385,21 @@ def test_toxicity_tolerates_gaps_and_insertions(spark):
     assert (clean < 0.5).mean() > 0.95
 
 
+@pytest.mark.parametrize("counts", [[240, 240, 212, 8], [8] * 50])  # one insult is rare; there are many
+def test_toxicity_finds_rare_and_many_insults(spark, counts):
+    rng = np.random.default_rng(6)
+    plain = ["".join(rng.choice(list("abcdefghilmnop"), int(rng.integers(2, 9)))) for _ in range(300)]
+    bad = ["".join(rng.choice(list("abcdefghilmnop"), 9)) for _ in counts]
+    sentence = lambda: " ".join(rng.choice(plain, 8)) + ". "
+    ids = (i for i in range(10**6) if zlib.crc32(str(i).encode()) % toxicity.FOLDS != toxicity.HELD_OUT)
+    rows = [(next(ids), f"{sentence()}{w} {sentence()}", 1) for w, n in zip(bad, counts, strict=True) for _ in range(n)]
+    rows += [(next(ids), sentence() + sentence(), 0) for _ in range(2100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    machine = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert (machine.score(pa.array([f"{sentence()}{w} {sentence()}" for w in bad], pa.large_string())) > 0.5).all()
+    assert (machine.score(pa.array([sentence() + sentence() for _ in range(40)], pa.large_string())) < 0.5).mean() > 0.95
+
+
 def test_toxicity_held_out(spark, sf_dir):
     big = "/root/testdata/sf0.01"
     d, labels = common.documents(spark, big), spark.read.parquet(f"{big}/labels.parquet")
