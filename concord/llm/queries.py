@@ -14,7 +14,7 @@ from .oracles import SQL
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.documents(spark, sf_dir)
-    scored = lm.score(docs, docs.where(C.crc_mod(lm.FOLDS) != lm.HELD_OUT))
+    scored = lm.score(docs, lm.train(docs.where(C.crc_mod(lm.FOLDS) != lm.HELD_OUT)))
     return scored.select("doc_id", (C.crc_mod(lm.FOLDS) == lm.HELD_OUT).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

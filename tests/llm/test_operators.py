@@ -270,39 +270,82 @@ def test_one_of_each_component_stays(spark):
 
 
 # --- language model
-def test_language_model_counts(docs, odd):
+def test_language_model_counts(docs, odd, monkeypatch):
     for df in (docs, odd):
         train = df.where(common.crc_mod(5) != 1)
         rows = [(r.doc_id, [*lower(r.text), b" end"]) for r in df.collect()]
         counts = collections.Counter(w for r in train.collect() for w in [*lower(r.text), b" end"])
         n, v = sum(counts.values()), len(counts)
         want = sorted(str((d, len(w), sum(x in counts for x in w), n, round(sum(np.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), 5))) for d, w in rows)
-        for segment in (lm.SEGMENT, 60_000):
-            got = lm.score(df, train, segment=segment).collect()
+        for parts, chunk in ((None, lm.CHUNK), (4, 3_000)):
+            monkeypatch.setattr(lm, "CHUNK", chunk)
+            model = lm.train(train, parts)
+            got = lm.score(df, model).collect()
             assert sorted(str((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, np.float64(round(r.base_score, 5)))) for r in got) == want
             assert all(np.isfinite(r.score) and r.score <= 0 for r in got)
+            exact = brute_language_model([lower(r.text) for r in train.collect()], model.mu, rows)
+            close = [abs(r.score - e) / r.n_tokens for r, e in zip(sorted(got, key=lambda r: str((r.doc_id, r.n_tokens))), sorted(exact, key=lambda x: str(x[:2])), strict=True) for e in [e[2]]]
+            assert np.mean(close) < 0.05 and max(close) < 0.5  # quantised counts; false positives in short texts
+
+
+def brute_language_model(train, mu, rows):
+    """(doc_id, tokens, score) with the quantised values of exact counts, pair by pair."""
+    value = lambda c: float(lm.VALUES[lm.level_of(np.array([c]))[0]])
+    one, two = collections.Counter(), collections.Counter()
+    for t in train:
+        t = [*t, b" end"]
+        one.update(t)
+        two.update(zip([b" end", *t], t))
+    held = sum(value(c) for c in one.values())
+    out = []
+    for d, t in rows:
+        total = 0.0
+        for h, w in zip([b" end", *t], t):
+            q = min(value(two[h, w]), value(one[h]), value(one[w]))
+            total += np.log10((q + mu * (value(one[w]) + 0.5) / (held + 0.5 * (len(one) + 1))) / (value(one[h]) + mu))
+        out.append((d, len(t), total))
+    return out
+
+
+def test_language_model_is_nearly_a_distribution(spark, docs):
+    """The sum over the whole vocabulary (and unknown words) after each history, read from the filter itself."""
+    model = lm.train(docs, 1)
+    words, pairs = sorted(model.rows.collect(), key=lambda r: r.part)
+    keys = lm.unpacked_keys(words["keys"])
+    about = lm.VALUES[lm.levels_in(np.frombuffer(words["filter"], np.uint8), keys)]
+    single = (about + 0.5) / (model.held + 0.5 * (model.v + 1))
+    assert 0.98 < single.sum() + 0.5 / (model.held + 0.5 * (model.v + 1)) < 1.02
+    data, sums = np.frombuffer(pairs["filter"], np.uint8), []
+    for i in np.argsort(-about)[:40].tolist() + list(range(0, len(keys), len(keys) // 60)):
+        pair = lm.VALUES[lm.levels_in(data, common.mix(keys[i : i + 1] * np.uint64(0x9E3779B97F4A7C15) + keys))]
+        sums.append(lm.bigram_p(pair, about[i], about, single, model.mu).sum())
+    assert 0.75 < min(sums) and max(sums) < 1.3 and 0.95 < np.mean(sums) < 1.05, (min(sums), max(sums), np.mean(sums))
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(3)
+    for x in (np.zeros(0, np.uint64), np.array([5]), rng.integers(0, 2**63, 1000).astype(np.uint64), np.array([2**64 - 1], np.uint64), np.arange(300)):
+        assert (lm.unpacked(lm.packed(x)) == x).all() and (lm.unpacked_keys(lm.packed_keys(np.unique(x.astype(np.uint64)))) == np.unique(x)).all()
 
 
 def test_language_model_beats_the_base_on_held_out_texts(docs):
-    got = lm.score(docs, docs.where(common.crc_mod(5) != 1)).where(common.crc_mod(5) == 1).collect()
+    got = lm.score(docs, lm.train(docs.where(common.crc_mod(5) != 1))).where(common.crc_mod(5) == 1).collect()
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
-def test_filter_never_loses_a_level(spark):
+def test_filter_never_loses_a_level():
     rng = np.random.default_rng(2)
     keys = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64))
     counts = np.maximum(1, rng.geometric(0.1, len(keys)) ** 2)
-    raw, bits = lm.filter_of(keys, counts)
-    rows = spark.createDataFrame([(0, bytearray(raw.tobytes()), bits)], "part bigint, filter binary, bits bigint")
-    f = lm.Filter(1, lm.part_of, rows)
-    assert (f.levels(keys) >= lm.level_of(counts)).all() and (f.levels(keys) == lm.level_of(counts)).mean() > 0.97
+    f = lm.filter_of(keys, counts)
+    assert (lm.levels_in(f, keys) >= lm.level_of(counts)).all() and (lm.levels_in(f, keys) == lm.level_of(counts)).mean() > 0.97
     other = rng.integers(0, 2**63, 20_000).astype(np.uint64)
-    assert (f.levels(other) > 0).mean() < 0.01
+    assert (lm.levels_in(f, other) > 0).mean() < 0.001
     assert all(abs(np.log(lm.VALUES[lm.level_of(np.array([c]))[0]] / c)) < 0.25 for c in range(1, 10_000))
 
 
 def test_language_model_without_training(docs):
-    r = lm.score(docs.limit(3), docs.limit(0)).first()
+    r = lm.score(docs.limit(3), lm.train(docs.limit(0))).first()
     assert r.train_tokens == 0 and r.base_score == 0.0 and r.score == 0.0
 
 
@@ -440,7 +483,7 @@ def test_empty_tables(spark, empty):
     assert mixing.sample(empty).count() == 0 and mixing.mix(empty).count() == 0
     assert packing.pack(empty).count() == 0
     assert jaccard.join(empty).count() == 0 and jaccard.one_of_each(empty).count() == 0
-    assert lm.score(empty, empty).count() == 0
+    assert lm.score(empty, lm.train(empty)).count() == 0
     assert langid.label(empty, langid.train(empty)).count() == 0
     assert toxicity.score(empty, toxicity.train(empty, labels)).count() == 0
     assert line_dedup.dedup_lines(empty).count() == 0
