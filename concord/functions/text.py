@@ -18,10 +18,10 @@ ACTIVITY_EDGES = ((1, "1"), (2, "2"), (4, "3-4"), (9, "5-9"), (None, "10+"))
 
 
 def normalise(text: Column) -> Column:
-    """Lower case without name and religion masks, links and marks; single spaces."""
+    """Lower case; name and religion masks, links and marks become spaces; single spaces."""
     x = F.lower(text)
-    x = F.regexp_replace(x, r"\[(name|religion)\]", "")
-    x = F.regexp_replace(x, r"http\S+", "")
+    x = F.regexp_replace(x, r"\[(name|religion)\]", " ")
+    x = F.regexp_replace(x, r"http\S+", " ")
     x = F.regexp_replace(x, r"[^a-z0-9\s]", " ")
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 

@@ -21,12 +21,13 @@ def boundary_overlap(df: DataFrame, source: str, norm: str) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_shared"))
 
 
-def pairwise_overlap(sets: DataFrame, name: str = "set_name", key: str = "id") -> DataFrame:
-    """Intersection, O = intersection / smaller, Jaccard of every pair of sets; pairs without a common id are left out."""
-    size = sets.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
-    a, b = sets.select(F.col(name).alias("a"), key), sets.select(F.col(name).alias("b"), key)
-    both = a.join(b, key).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_both"))
-    both = both.join(size.select(F.col(name).alias("a"), F.col("n").alias("n_a")), "a").join(size.select(F.col(name).alias("b"), F.col("n").alias("n_b")), "b")
+def pairwise_overlap(sets: DataFrame, name: str = "set_name", key: str = "id", by: list[str] | None = None) -> DataFrame:
+    """Intersection, O = intersection / smaller, Jaccard of every pair of sets (of each `by`); pairs without a common id are left out."""
+    by = by or []
+    size = sets.groupBy(*by, name).agg(F.count(F.lit(1)).alias("n"))
+    a, b = sets.select(*by, F.col(name).alias("a"), key), sets.select(*by, F.col(name).alias("b"), key)
+    both = a.join(b, [*by, key]).where("a < b").groupBy(*by, "a", "b").agg(F.count(F.lit(1)).alias("n_both"))
+    both = both.join(size.select(*by, F.col(name).alias("a"), F.col("n").alias("n_a")), [*by, "a"]).join(size.select(*by, F.col(name).alias("b"), F.col("n").alias("n_b")), [*by, "b"])
     return both.withColumn("overlap", ratio(F.col("n_both"), F.least("n_a", "n_b"))).withColumn("jaccard", ratio(F.col("n_both"), F.col("n_a") + F.col("n_b") - F.col("n_both")))
 
 
@@ -44,18 +45,33 @@ def lookup(ids: DataFrame, table: DataFrame, key: str = "id") -> DataFrame:
     return got.withColumn("__found", check).where("__found").drop("__found")
 
 
+def boundary_audit(df: DataFrame, split: str, norm: str, closed: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
+    """One row: texts that occur twice or more in train alone (reported), texts that span closed splits, and whether that fails."""
+    g = df.where(F.col(norm) != "").groupBy(norm).agg(F.collect_set(F.when(F.col(split).isin(*closed), F.col(split))).alias("s"), F.count_if(F.col(split) == closed[0]).alias("n"))
+    t = g.agg(F.count_if((F.size("s") == 1) & (F.col("n") > 1)).alias("n_within_train"), F.count_if(F.size("s") > 1).alias("n_spanning"))
+    return t.withColumn("failed", F.col("n_spanning") > 0)
+
+
 def contamination(df: DataFrame, key: str, text: Column, benchmark: DataFrame, bench_key: str, bench_text: Column, width: int = 8) -> DataFrame:
-    """(key, bench_key): rows whose text contains a benchmark text. Candidates share its first `width` words in a row
-    (an equi-join); containment is then checked. Benchmark texts of fewer words are too short to be evidence and are
-    left out."""
+    """(key, bench_key): rows whose words have those of a benchmark text in a row, whatever its length; benchmark texts without words
+    are in nothing.
+
+    Candidates share the benchmark text's first `width` words (all of a shorter one) in a row: an equi-join of hashes and
+    keys. Texts are fetched for candidates only, and compared."""
     words = lambda t: F.filter(F.split(t, " "), lambda x: x != "")
-    gram = lambda w, i: F.array_join(F.slice(w, i, width), " ")
-    b = benchmark.select(bench_key, bench_text.alias("__bt")).withColumn("__w", words(F.col("__bt"))).where(F.size("__w") > 0).withColumn("__n", F.least(F.size("__w"), F.lit(width)))
-    b = b.withColumn("__g", F.array_join(F.slice("__w", 1, width), " ")).select(bench_key, "__bt", "__g", "__n")
-    lengths = F.when(F.size("__w") >= width, F.array(F.lit(width))).otherwise(F.array(F.size("__w")))
-    d = df.select(key, text.alias("__t")).withColumn("__w", words(F.col("__t"))).where(F.size("__w") > 0).withColumn("__k", F.explode(lengths))
-    grams = d.select(key, "__t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("__w") - F.col("__k") + 1), lambda i: gram(F.col("__w"), i)))).alias("__g"))
-    return grams.join(b.where(F.col("__n") == width), "__g").where(F.contains("__t", "__bt")).select(key, bench_key).distinct()
+    gram = lambda w, i, n: F.xxhash64(n, F.array_join(F.slice(w, i, n), " "))
+    b = benchmark.select(bench_key, words(bench_text).alias("__w")).where(F.size("__w") > 0).withColumn("__n", F.least(F.size("__w"), F.lit(width)))
+    b = b.select(bench_key, F.array_join("__w", " ").alias("__bt"), "__n", gram(F.col("__w"), F.lit(1), F.col("__n")).alias("__g"))
+    lengths = [r["__n"] for r in b.select("__n").distinct().collect()]  # `width` of them at most
+    if not lengths:
+        return df.select(key).limit(0).crossJoin(benchmark.select(bench_key).limit(0))  # no rows on either side
+    d = df.select(key, words(text).alias("__w"))
+    at = lambda n: F.when(F.size("__w") >= n, F.transform(F.sequence(F.lit(1), F.size("__w") - n + 1), lambda i: gram(F.col("__w"), i, F.lit(n))))
+    grams = d.select(key, F.explode(F.array_distinct(F.flatten(F.array(*(F.coalesce(at(n), F.array().cast("array<bigint>")) for n in lengths))))).alias("__g"))
+    hits = grams.join(b.select(bench_key, "__g"), "__g").select(key, bench_key).distinct()
+    padded = lambda t: F.concat(F.lit(" "), t, F.lit(" "))
+    found = hits.join(d.select(key, F.array_join("__w", " ").alias("__t")), key).join(b.select(bench_key, "__bt"), bench_key)
+    return found.where(F.contains(padded(F.col("__t")), padded(F.col("__bt")))).select(key, bench_key).distinct()
 
 
 #: Checks of one split, in order. Fixed values.

@@ -43,9 +43,9 @@ def knn_edges(vectors: DataFrame, key: str, vector: str, k: int = 10, threshold:
         pairs = v.join(w, "bucket").where("a != b").dropDuplicates(["a", "b"])
     else:
         pairs = v.join(w, F.col("a") != F.col("b"))
-    near = pairs.select("a", "b", dot(F.col("va"), F.col("vb")).alias("sim"))
+    near = pairs.select("a", "b", dot(F.col("va"), F.col("vb")).alias("sim")).where(F.col("sim") > threshold)  # ranks among these are the ranks among all
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
-    top = near.withColumn("rank", rank).where((F.col("rank") <= k - 1) & (F.col("sim") > threshold))
+    top = near.withColumn("rank", rank).where(F.col("rank") <= k - 1)
     return top.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").groupBy("a", "b").agg(F.max("sim").alias("sim"))
 
 

@@ -70,11 +70,12 @@ def detectable_effect(sizes: DataFrame, n: str) -> DataFrame:
     return sizes.select("*", r).withColumn("mde_points", effect)
 
 
-def structural_diagnosis(profile: DataFrame, probe: DataFrame) -> DataFrame:
-    """Is there a mechanism at all: the least reserve and the least overlap at dose 1 over the splits."""
+def structural_diagnosis(profile: DataFrame, probe: DataFrame, activity: DataFrame) -> DataFrame:
+    """Is there a mechanism at all: the least reserve and the least overlap at dose 1 over the splits; and how active authors are."""
     a = profile.agg(F.min("reserve_pct").alias("min_reserve_pct"))
     b = probe.where("dose = 1").agg(F.min("overlap_pct").alias("max_overlap_pct"))
-    return a.crossJoin(b).withColumn("mechanism", F.col("max_overlap_pct") >= MIN_OVERLAP_PCT)  # two single rows
+    c = activity.select(F.try_divide(F.col("n_posts").cast("double"), F.col("n_authors").cast("double")).alias("posts_per_author"), "pct_authors_ge2", "pct_posts_multi")
+    return a.crossJoin(b).withColumn("mechanism", F.col("max_overlap_pct") >= MIN_OVERLAP_PCT).crossJoin(c)  # three single rows
 
 
 def eligible_support(roles: DataFrame, labels: list[str]) -> DataFrame:

@@ -26,15 +26,17 @@ def _replicates(df: DataFrame, reps: int) -> DataFrame:
     return df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
 
 
-def permutation_accuracy(pairs: DataFrame, reps: int = 10_000, seed: int = 42, fast: bool = False) -> DataFrame:
-    """One row: n, delta, extreme, p. Only examples whose correctness differs are signed; the divisor is all n."""
-    d = pairs.select("example_id", ((F.col("true_label") == F.col("pred_a")).cast("int") - (F.col("true_label") == F.col("pred_b")).cast("int")).alias("d"))
-    base = d.agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("sum_d"), F.count_if(F.col("d") != 0).alias("n_differ"))
+def permutation_accuracy(pairs: DataFrame, reps: int = 10_000, seed: int = 42, fast: bool = False, by: list[str] | None = None) -> DataFrame:
+    """One row (of each `by`): n, delta, extreme, p. Only examples whose correctness differs are signed; the divisor is all n."""
+    by = by or []
+    d = pairs.select(*by, "example_id", ((F.col("true_label") == F.col("pred_a")).cast("int") - (F.col("true_label") == F.col("pred_b")).cast("int")).alias("d"))
+    base = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("sum_d"), F.count_if(F.col("d") != 0).alias("n_differ"))
     each = _replicates(d.where("d != 0"), reps).withColumn("s", F.when(_bit(seed, "perm_acc", fast) == 1, F.col("d")).otherwise(-F.col("d")))
-    stat = each.groupBy("rep").agg(F.sum("s").alias("s"))
-    count = stat.crossJoin(F.broadcast(base)).agg(F.count_if(F.abs("s") >= F.abs("sum_d")).alias("extreme"))  # a single row
-    out = base.crossJoin(count)
-    return out.select("n", "n_differ", ratio(F.col("sum_d"), F.col("n")).alias("delta"), "extreme", F.when(F.col("n_differ") == 0, 1.0).otherwise((F.col("extreme") + 1) / F.lit(float(reps + 1))).alias("p"))
+    stat = each.groupBy(*by, "rep").agg(F.sum("s").alias("s"))
+    meet = lambda x, y, how: x.join(y, by, how) if by else x.crossJoin(F.broadcast(y))  # noqa: E731  a row for each `by`, or a single one
+    count = meet(stat, base, "inner").groupBy(*by).agg(F.count_if(F.abs("s") >= F.abs("sum_d")).alias("extreme"))
+    out = meet(base, count, "left").withColumn("extreme", F.coalesce("extreme", F.lit(0)))
+    return out.select(*by, "n", "n_differ", ratio(F.col("sum_d"), F.col("n")).alias("delta"), "extreme", F.when(F.col("n_differ") == 0, 1.0).otherwise((F.col("extreme") + 1) / F.lit(float(reps + 1))).alias("p"))
 
 
 def _macro_delta(rows: DataFrame, k: int, by: list[str]) -> DataFrame:
@@ -78,23 +80,25 @@ def draws(rows: DataFrame, reps: int, seed: int, namespace: str, strata: list[st
     key = [F.col("rep").cast("string"), *(F.col(s).cast("string") for s in strata), F.col("__slot").cast("string")]
     pick = F.pmod(F.xxhash64(F.lit(seed), F.lit(namespace), *key), F.col("__n")) if fast else uniform_int(F.col("__n"), seed, namespace, *key)
     drawn = _replicates(at, reps).withColumn("__pos", pick.cast("int")).select(*strata, "rep", "__pos")
-    return drawn.join(pos.drop("__n"), [*strata, "__pos"]).drop("__pos")
+    # the optimiser does not see that drawn is `reps` times as large as pos, so the side to be hashed is named
+    return drawn.join(pos.drop("__n").hint("shuffle_hash"), [*strata, "__pos"]).drop("__pos")
 
 
 def percentile_interval(stat: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     return stat.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("reps"), F.percentile(value, F.lit(0.025)).alias("ci_low"), F.percentile(value, F.lit(0.975)).alias("ci_high"))
 
 
-def bootstrap_delta(pairs: DataFrame, k: int, reps: int = 10_000, seed: int = 42, metric: str = "accuracy", strata: list[str] | None = None, fast: bool = False) -> DataFrame:
-    """Interval of metric(a) - metric(b) under shared resamples."""
-    rows = pairs.select("example_id", "true_label", F.col("pred_a").alias("a"), F.col("pred_b").alias("b"))
-    d = draws(rows, reps, seed, "boot", strata, fast)
+def bootstrap_delta(pairs: DataFrame, k: int, reps: int = 10_000, seed: int = 42, metric: str = "accuracy", strata: list[str] | None = None, fast: bool = False, by: list[str] | None = None) -> DataFrame:
+    """Interval of metric(a) - metric(b) under shared resamples, within each `by`."""
+    by = by or []
+    rows = pairs.select(*by, "example_id", "true_label", F.col("pred_a").alias("a"), F.col("pred_b").alias("b"))
+    d = draws(rows, reps, seed, "boot", [*by, *(strata or [])], fast)
     if metric == "accuracy":
         hit = lambda c: F.sum((F.col(c) == F.col("true_label")).cast("int"))
-        stat = d.groupBy("rep").agg(ratio(hit("a") - hit("b"), F.count(F.lit(1))).alias("delta"))
+        stat = d.groupBy(*by, "rep").agg(ratio(hit("a") - hit("b"), F.count(F.lit(1))).alias("delta"))
     else:
-        stat = _macro_delta(d, k, ["rep"])
-    return percentile_interval(stat, "delta")
+        stat = _macro_delta(d, k, [*by, "rep"])
+    return percentile_interval(stat, "delta", by)
 
 
 def bootstrap_gain(wide: DataFrame, members: list[str], reps: int = 10_000, seed: int = 42, rechoose: bool = True, fast: bool = False) -> DataFrame:

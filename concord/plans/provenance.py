@@ -5,13 +5,13 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Mapping
+from datetime import datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-
 class GateError(RuntimeError):
     """A precondition failed; nothing may be computed."""
 
@@ -56,24 +56,44 @@ def load_config(path: str, required: Mapping[str, object]) -> dict:
     return config
 
 
-#: What an amendment may say. Fixed values.
+#: What an amendment must say. Fixed values.
 AMENDMENT = {"hypothesis": "H1", "from_status": "confirmatory", "to_status": "exploratory"}
+#: What it must have besides. Fixed values.
+AMENDMENT_FIELDS = ("exploratory_dose_k", "h1_primary_metric", "decision_text", "decided_by", "decided_at_utc")
+
+
+def is_utc_instant(value: object) -> bool:
+    if not isinstance(value, str) or not value.endswith("Z"):
+        return False
+    try:
+        datetime.fromisoformat(value[:-1] + "+00:00")
+    except ValueError:
+        return False
+    return True
 
 
-def check_amendment(amendment: Mapping, decision: Mapping, report_sha256: str) -> int:
-    """An amendment may only weaken the one hypothesis, must name the report it answers, and its dose is that of the
-    report's exploratory decision. Returns the dose."""
+def check_amendment(amendment: Mapping, decision: Mapping, report_sha256: str, corpus_sha256: str) -> int:
+    """An amendment may only weaken the one hypothesis, must name the report and the corpus that it answers, who decided what and when, and
+    keeps the dose and the metric that the report's decision found. Whatever is absent is refused. Returns the dose."""
     if decision.get("feasible"):
         raise GateError("the design is feasible: there is nothing to amend")
-    for field, value in AMENDMENT.items():
-        if field in amendment and amendment[field] != value or field != "from_status" and field not in amendment:
+    bound = AMENDMENT | {"section0_report_sha256": report_sha256, "corpus_content_sha256": corpus_sha256}
+    for field, value in bound.items():
+        if not value or amendment.get(field) != value:
             raise GateError(f"amendment: {field} must be {value!r}")
-    if amendment.get("section0_report_sha256") != report_sha256:
-        raise GateError("amendment: bound to another report")
-    dose = amendment.get("exploratory_dose_k")
-    if dose is None or dose != decision.get("exploratory_dose"):
-        raise GateError("amendment: dose differs from the report's exploratory dose")
-    return int(dose)
+    for field in AMENDMENT_FIELDS:
+        if not amendment.get(field):
+            raise GateError(f"amendment: no {field}")
+    for field in ("decision_text", "decided_by"):
+        said = str(amendment[field]).strip()
+        if len(said) < 3 or said.startswith("<") or said.endswith(">"):
+            raise GateError(f"amendment: {field} is not filled in")
+    if not is_utc_instant(amendment["decided_at_utc"]):
+        raise GateError("amendment: decided_at_utc is no UTC instant")
+    for field, found in (("exploratory_dose_k", decision.get("exploratory_dose")), ("h1_primary_metric", decision.get("metric"))):
+        if found is not None and amendment[field] != found:
+            raise GateError(f"amendment: {field} differs from the report's decision")
+    return int(amendment["exploratory_dose_k"])
 
 
 def split_hash_mismatches(reported: DataFrame, rebuilt: DataFrame) -> DataFrame:

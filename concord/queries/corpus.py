@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import hashing, text
 from ..operators import audit, dedup, feasibility, labels, metrics, splits
 from ..plans import provenance
-from ..sources.tables import stored
+from ..schemas import struct
+from ..sources.tables import file_digests, read_csvs, read_ids, read_json_lines, read_manifest, replace_directory, scratch, stored, write_csv
 from .surrogates import CATEGORIES, CORPUS_SQL, ELIGIBLE_SQL, PARTITIONS_SQL, PRIORITIES, RATERS_SQL, SPLIT_SQL, corpus, match_sql, r, rater_rows, roles, sql_int, sql_key, table, votes
 
 QUERIES, SQL = {}, {}
@@ -76,14 +77,14 @@ MAPPING = {"RF": "returned", "RO": "returned", "AF": "accepted", "AO": "accepted
 
 
 def _multi_hot(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat("l_returnflag", "l_linestatus").alias("f"), "l_linenumber")
-    on = F.array(*(F.max(F.when(F.col("l_linenumber") <= 2, (F.col("f") == x).cast("int")).otherwise(0)) for x in FLAGS))
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat("l_returnflag", "l_linestatus").alias("f"))
+    on = F.array(*(F.max((F.col("f") == x).cast("int")) for x in FLAGS))
     v = l.groupBy("l_orderkey").agg(on.alias("v"))
     target, reason = labels.retention(labels.decode_multi_hot(F.col("v"), FLAGS), MAPPING)
     return v.select("l_orderkey", target.alias("target"), reason.alias("reason"))
 
 
-_HOT_SQL = f"""hot AS (SELECT l_orderkey, {', '.join(f"coalesce(max((l_returnflag || l_linestatus = '{x}')::INT) FILTER (WHERE l_linenumber <= 2), 0) AS {x}" for x in FLAGS)} FROM lineitem GROUP BY l_orderkey),
+_HOT_SQL = f"""hot AS (SELECT l_orderkey, {', '.join(f"max((l_returnflag || l_linestatus = '{x}')::INT) AS {x}" for x in FLAGS)} FROM lineitem GROUP BY l_orderkey),
 kept AS (SELECT l_orderkey, ({' + '.join(FLAGS)}) AS n_on, "NO" AS unmapped, (greatest(RF, RO) + greatest(AF, AO) + NF) AS kinds, CASE WHEN greatest(RF, RO) = 1 THEN 'returned' WHEN greatest(AF, AO) = 1 THEN 'accepted' ELSE 'none' END AS t FROM hot),
 reasons AS (SELECT l_orderkey, t, CASE WHEN n_on = 0 THEN 'no_active' WHEN unmapped = 1 THEN 'unmapped' WHEN kinds > 1 THEN 'multiple' ELSE 'retained' END AS reason FROM kept)"""
 
@@ -104,7 +105,7 @@ def exclusion_reasons(spark, sf_dir):
 SQL["exclusion_reasons"] = f"WITH {_HOT_SQL} SELECT reason, count(*) AS n FROM reasons GROUP BY reason"
 
 # --- texts
-_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '\[(name|religion)\]', '', 'g'), 'http\S+', '', 'g'), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '\[(name|religion)\]', ' ', 'g'), 'http\S+', ' ', 'g'), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
 def norm_sql(c: str) -> str:
@@ -161,7 +162,23 @@ def contamination_hits(spark, sf_dir):
 
 
 SQL["contamination_hits"] = f"""WITH d AS (SELECT doc_id, {norm_sql('text')} AS t FROM documents), b AS (SELECT item_id, {norm_sql('text')} AS t FROM benchmark)
-SELECT doc_id, item_id FROM d JOIN b ON (' ' || d.t || ' ') LIKE ('% ' || b.t || ' %') OR (len(string_split(b.t, ' ')) >= 8 AND (' ' || d.t) LIKE ('% ' || b.t || '%')) WHERE len(string_split(b.t, ' ')) >= 8"""
+SELECT doc_id, item_id FROM d JOIN b ON contains(' ' || d.t || ' ', ' ' || b.t || ' ') WHERE b.t <> ''"""
+
+
+def _parted(spark, sf_dir):
+    part = hashing.uniform_int(10, 42, "boundary", F.col("doc_id").cast("string"))
+    d = table(spark, sf_dir, "documents").select(F.col("text"), F.when(part < 7, "train").when(part < 8, "val").when(part < 9, "test").otherwise("spare").alias("part"))
+    return d.select("part", F.coalesce(text.normalise(F.col("text")), F.lit("")).alias("norm"))
+
+
+@query
+def boundary_audit(spark, sf_dir):
+    return audit.boundary_audit(_parted(spark, sf_dir), "part", "norm")
+
+
+SQL["boundary_audit"] = f"""WITH p AS (SELECT {sql_int(sql_key('boundary', 'doc_id'))} % 10 AS p, coalesce({norm_sql('text')}, '') AS t FROM documents),
+g AS (SELECT t, count(DISTINCT CASE WHEN p < 7 THEN 1 WHEN p < 8 THEN 2 WHEN p < 9 THEN 3 END) AS s, count(*) FILTER (WHERE p < 7) AS n FROM p WHERE t <> '' GROUP BY t)
+SELECT count(*) FILTER (WHERE s = 1 AND n > 1) AS n_within_train, count(*) FILTER (WHERE s > 1) AS n_spanning, count(*) FILTER (WHERE s > 1) > 0 AS failed FROM g"""
 
 
 @query
@@ -292,6 +309,16 @@ SQL["stratified_split"] = f"""WITH {CORPUS_SQL}, s AS (SELECT split_seed, id, la
 SELECT split_seed, id, label, CASE WHEN pos < floor(0.7::DOUBLE * n) THEN 'train' WHEN pos < floor(0.85::DOUBLE * n) THEN 'val' ELSE 'test' END AS "partition" FROM s"""
 
 
+@query
+def stratified_split_analysis(spark, sf_dir):
+    """The other population: rows with a role in the first split's analysis set."""
+    rows = roles(spark, sf_dir).where("split_seed = 42 AND role IN ('train', 'val', 'test')")
+    return splits.stratified_split(rows.select("id", "label"))
+
+
+SQL["stratified_split_analysis"] = f"WITH {SPLIT_SQL}, pop AS (SELECT id, label FROM roles WHERE split_seed = 42 AND role IN ('train', 'val', 'test')), s AS" + SQL["stratified_split"].split(", s AS", 1)[1].replace("FROM corpus", "FROM pop")
+
+
 @query
 def hash_sample(spark, sf_dir):
     return splits.hash_sample(corpus(spark, sf_dir).select("id", "label"), "id", 200, 42, "R")
@@ -333,12 +360,13 @@ SQL["juror_training"] = f"WITH {SPLIT_SQL}, {_SERPENTINE}, {_JURORS} SELECT spli
 
 @query
 def training_overlap(spark, sf_dir):
-    return audit.pairwise_overlap(_jurors(spark, sf_dir).where("split_seed = 42").select(F.col("juror").alias("set_name"), "id"))
+    return audit.pairwise_overlap(_jurors(spark, sf_dir).select("split_seed", F.col("juror").alias("set_name"), "id"), by=["split_seed"])
 
 
-SQL["training_overlap"] = f"""WITH {SPLIT_SQL}, {_SERPENTINE}, {_JURORS}, s AS (SELECT juror, id FROM jt WHERE split_seed = 42), n AS (SELECT juror, count(*) AS n FROM s GROUP BY juror),
-p AS (SELECT a.juror AS a, b.juror AS b, count(*) AS n_both FROM s a JOIN s b ON a.id = b.id AND a.juror < b.juror GROUP BY ALL)
-SELECT a, b, n_both, x.n AS n_a, y.n AS n_b, {r('n_both / least(x.n, y.n)')} AS overlap, {r('n_both / (x.n + y.n - n_both)')} AS jaccard FROM p JOIN n x ON a = x.juror JOIN n y ON b = y.juror"""
+SQL["training_overlap"] = f"""WITH {SPLIT_SQL}, {_SERPENTINE}, {_JURORS}, n AS (SELECT split_seed, juror, count(*) AS n FROM jt GROUP BY ALL),
+p AS (SELECT a.split_seed, a.juror AS a, b.juror AS b, count(*) AS n_both FROM jt a JOIN jt b ON a.split_seed = b.split_seed AND a.id = b.id AND a.juror < b.juror GROUP BY ALL)
+SELECT p.split_seed, a, b, n_both, x.n AS n_a, y.n AS n_b, {r('n_both / least(x.n, y.n)')} AS overlap, {r('n_both / (x.n + y.n - n_both)')} AS jaccard
+FROM p JOIN n x ON a = x.juror AND p.split_seed = x.split_seed JOIN n y ON b = y.juror AND p.split_seed = y.split_seed"""
 
 
 @query
@@ -361,8 +389,32 @@ def split_invariants(spark, sf_dir):
     return audit.split_checks(c, x, m, splits.overlap_training(x, m), splits.stratified_split(c), blocks)
 
 
-SQL["split_invariants"] = f"""SELECT s.split_seed, k.i::INT AS check_id, [{', '.join(repr(x) for x in audit.CHECKS)}][k.i] AS name, true AS passed
-FROM (SELECT unnest([42, 123, 2024])::INT AS split_seed) s, (SELECT unnest(range(1, {len(audit.CHECKS) + 1})) AS i) k"""
+_OWN = "split_seed = {seed}"  # filled in for each split: what does not depend on an outer row needs no correlated subquery
+_SHARED = lambda a, b: f"(SELECT count(*) FROM (SELECT author FROM roles WHERE {_OWN} AND role = '{a}' INTERSECT SELECT author FROM roles WHERE {_OWN} AND role = '{b}')) = 0"
+_INVARIANTS = [
+    f"(SELECT count(*) = count(DISTINCT id) FROM roles WHERE {_OWN})",
+    f"(SELECT max(n) = 1 FROM (SELECT count(*) AS n FROM roles WHERE {_OWN} GROUP BY id))",
+    f"(SELECT count(DISTINCT id) FROM roles WHERE {_OWN}) = (SELECT count(*) FROM corpus)",
+    _SHARED("train", "val"), _SHARED("train", "test"), _SHARED("val", "test"),
+    f"(SELECT count(*) FROM (SELECT author FROM roles WHERE {_OWN} AND \"partition\" = 'test' GROUP BY author HAVING count(*) FILTER (WHERE role = 'test') <> 1)) = 0",
+    f"(SELECT bool_and(link_id_valid OR NOT strict) FROM roles WHERE {_OWN} AND role = 'test')",
+    f"(SELECT bool_and(role IS NOT DISTINCT FROM 'reserve') FROM injr WHERE {_OWN}) AND (SELECT bool_and(role IS NOT DISTINCT FROM 'train') AND count(*) = count(DISTINCT removed_id) FROM remr WHERE {_OWN})",
+    f"(SELECT count(*) = count(DISTINCT id) AND count(*) FILTER (WHERE own = 'train') = (SELECT count(*) FROM roles WHERE {_OWN} AND role = 'train') - (SELECT count(*) FROM remr WHERE {_OWN}) AND count(*) FILTER (WHERE own = 'reserve') = (SELECT count(*) FROM injr WHERE {_OWN}) FROM ovr WHERE {_OWN}) AND (SELECT count(*) > 0 FROM remr WHERE {_OWN}) AND (SELECT count(*) > 0 FROM injr WHERE {_OWN})",
+    f"(SELECT count(*) FROM ovr WHERE {_OWN}) = (SELECT count(*) FROM roles WHERE {_OWN} AND role = 'train')",
+    f"(SELECT count(*) FROM (SELECT label, count(*) AS n FROM ovr WHERE {_OWN} GROUP BY label) x FULL JOIN (SELECT label, count(*) AS n FROM roles WHERE {_OWN} AND role = 'train' GROUP BY label) y ON x.label = y.label WHERE x.n IS DISTINCT FROM y.n) = 0",
+    f"(SELECT count(*) > 0 AND max(n) = 1 AND min(n) = 1 AND count(*) = (SELECT count(*) FROM roles WHERE {_OWN} AND role = 'test' AND strict) FROM (SELECT author, count(*) AS n FROM injr WHERE {_OWN} GROUP BY author))",
+    f"(SELECT bool_and(coalesce(injr.link_id <> t.link_id, false)) FROM injr LEFT JOIN (SELECT * FROM roles WHERE role = 'test') t ON injr.author = t.author AND injr.split_seed = t.split_seed WHERE injr.{_OWN})",
+    f"(SELECT bool_and(level <> 'failed') FROM injr WHERE {_OWN})",
+    f"(SELECT count(*) = count(DISTINCT id) FROM strat WHERE {_OWN})",
+    f"(SELECT count(*) = count(DISTINCT author) FROM blocks WHERE {_OWN}) AND (SELECT count(*) FROM ((SELECT author FROM blocks WHERE {_OWN} EXCEPT SELECT author FROM roles WHERE {_OWN} AND role = 'train') UNION ALL (SELECT author FROM roles WHERE {_OWN} AND role = 'train' EXCEPT SELECT author FROM blocks WHERE {_OWN}))) = 0",
+]
+SQL["split_invariants"] = f"""WITH {SPLIT_SQL},\n{match_sql()}, {_SERPENTINE}, strat AS ({SQL['stratified_split']}),
+injr AS (SELECT m.split_seed, m.injected_id, m.level, x.role, x.author, x.link_id FROM match m LEFT JOIN roles x ON x.split_seed = m.split_seed AND x.id = m.injected_id),
+remr AS (SELECT m.split_seed, m.removed_id, x.role FROM match m LEFT JOIN roles x ON x.split_seed = m.split_seed AND x.id = m.removed_id WHERE m.removed_id IS NOT NULL),
+ovr AS (SELECT x.split_seed, x.id, x.label, x.role AS own FROM roles x WHERE role = 'train' AND NOT EXISTS (SELECT 1 FROM match m WHERE m.split_seed = x.split_seed AND m.removed_id = x.id)
+  UNION ALL SELECT m.split_seed, m.injected_id, x.label, x.role FROM match m LEFT JOIN roles x ON x.split_seed = m.split_seed AND x.id = m.injected_id),
+{', '.join(f"v{i}_{seed} AS (SELECT {seed} AS split_seed, {i + 1} AS check_id, coalesce({e.replace('{seed}', str(seed))}, false) AS passed)" for seed in splits.SEEDS for i, e in enumerate(_INVARIANTS))}
+SELECT split_seed::INT AS split_seed, check_id::INT AS check_id, [{', '.join(repr(x) for x in audit.CHECKS)}][check_id] AS name, passed FROM ({' UNION ALL '.join(f'SELECT * FROM v{i}_{seed}' for seed in splits.SEEDS for i in range(len(_INVARIANTS)))})"""
 
 
 # --- feasibility
@@ -406,10 +458,12 @@ SQL["mde"] = f"WITH {SPLIT_SQL}, {_PROFILE} SELECT split_seed, n_eligible_test,
 @query
 def structural_diagnosis(spark, sf_dir):
     x = roles_once(spark, sf_dir)
-    return feasibility.structural_diagnosis(feasibility.role_profile(x), feasibility.dose_probe(x, (1,)))
+    return feasibility.structural_diagnosis(feasibility.role_profile(x), feasibility.dose_probe(x, (1,)), feasibility.activity_profile(corpus(spark, sf_dir)))
 
 
-SQL["structural_diagnosis"] = f"WITH {SPLIT_SQL},\n{_PROBE}, {_PROFILE} SELECT {r('(SELECT min(100 * n_reserve / n) FROM rp)')} AS min_reserve_pct, {r('min(overlap_pct)')} AS max_overlap_pct, min(overlap_pct) >= 5 AS mechanism FROM probe WHERE dose = 1"
+SQL["structural_diagnosis"] = f"""WITH {SPLIT_SQL},\n{_PROBE}, {_PROFILE}, act AS (SELECT author, count(*) AS n FROM corpus GROUP BY author)
+SELECT {r('(SELECT min(100 * n_reserve / n) FROM rp)')} AS min_reserve_pct, {r('min(overlap_pct)')} AS max_overlap_pct, min(overlap_pct) >= 5 AS mechanism, {r('(SELECT sum(n) / count(*) FROM act)')} AS posts_per_author,
+  {r('(SELECT 100 * count(*) FILTER (WHERE n >= 2) / count(*) FROM act)')} AS pct_authors_ge2, {r('(SELECT 100 * sum(CASE WHEN n >= 2 THEN n ELSE 0 END) / sum(n) FROM act)')} AS pct_posts_multi FROM probe WHERE dose = 1"""
 
 
 # --- near copies
@@ -493,3 +547,124 @@ def ordered_fingerprint(spark, sf_dir):
 
 SQL["ordered_fingerprint"] = f"""WITH {CORPUS_SQL}, l AS (SELECT id, '"' || id || '","' || label || '","' || author || '","' || sub || '","' || link_id || '"' AS l FROM corpus)
 SELECT sha256(string_agg(l, chr(10) ORDER BY id) || chr(10)) AS sha256, count(*) AS n_rows FROM l"""
+
+
+# --- set relations, bindings, sources and sinks
+@query
+def set_relations(spark, sf_dir):
+    x = roles_once(spark, sf_dir).where("split_seed = 42")
+    own = lambda *r: x.where(F.col("role").isin(*r)).select("id")
+    tag = lambda name, df: df.select(F.lit(name).alias("pair"), "*")
+    disjoint = tag("train-test", audit.set_relations(own("train"), own("test")))
+    subset = tag("test-all", audit.set_relations(own("test"), corpus(spark, sf_dir).select("id")))
+    equal = tag("roles-all", audit.set_relations(x.select("id"), corpus(spark, sf_dir).select("id")))
+    return disjoint.unionByName(subset).unionByName(equal)
+
+
+_SETS = {"train-test": ("SELECT id FROM roles WHERE split_seed = 42 AND role = 'train'", "SELECT id FROM roles WHERE split_seed = 42 AND role = 'test'"), "test-all": ("SELECT id FROM roles WHERE split_seed = 42 AND role = 'test'", "SELECT id FROM corpus"), "roles-all": ("SELECT id FROM roles WHERE split_seed = 42", "SELECT id FROM corpus")}
+SQL["set_relations"] = f"WITH {SPLIT_SQL} SELECT *, n_both = 0 AS disjoint, n_both = n_a AS subset, n_both = n_a AND n_a = n_b AS equal FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS pair, (SELECT count(DISTINCT id) FROM ({a})) AS n_a, (SELECT count(DISTINCT id) FROM ({b})) AS n_b, (SELECT count(*) FROM ({a} INTERSECT {b})) AS n_both" for k, (a, b) in _SETS.items()) + ")"
+
+
+@query
+def strict_lookup(spark, sf_dir):
+    return audit.lookup(table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+
+
+SQL["strict_lookup"] = "SELECT doc_id, lang FROM labels JOIN documents USING (doc_id) WHERE toxic = 1"
+
+
+@query
+def split_hash_mismatches(spark, sf_dir):
+    h = hashing.id_set_hash(roles_once(spark, sf_dir), "id", "construction", ("split_seed", "role"))
+    reported = h.where("role != 'reserve'").withColumn("set_sha256", F.when(F.col("role") == "val", F.lit("x")).otherwise(F.col("set_sha256")))
+    return provenance.split_hash_mismatches(reported, h)
+
+
+SQL["split_hash_mismatches"] = f"WITH {SPLIT_SQL} SELECT DISTINCT split_seed, role FROM roles WHERE role IN ('reserve', 'val')"
+
+
+@query
+def evaluation_pool(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("text")
+    pool = provenance.evaluation_pool({"documents": d, "benchmark": table(spark, sf_dir, "benchmark").select("text")})
+    return pool.groupBy("set_name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+SQL["evaluation_pool"] = "SELECT 'documents' AS set_name, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents UNION ALL SELECT 'benchmark', count(*), sum(length(text))::BIGINT FROM benchmark"
+
+
+@query
+def inconsistent_metrics(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("run_id"), (F.col("n_nationkey") / 7).alias("m"))
+    chosen = n.where("m != 0").withColumn("m", F.when(F.col("run_id") < "C", F.col("m") + 1e-6).otherwise(F.col("m") + 1e-14))
+    return provenance.inconsistent_metrics(n, chosen, "m").select("run_id")
+
+
+SQL["inconsistent_metrics"] = "SELECT n_name AS run_id FROM nation WHERE n_name < 'C' OR n_nationkey = 0"
+
+
+@query
+def csv_source(spark, sf_dir):
+    """Two CSV files in a given order, written and read back."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("k"), F.col("n_name").alias("name"))
+    paths = [scratch(spark, "csv"), scratch(spark, "csv")]
+    n.where("k < 10").write.option("header", True).csv(paths[0])
+    write_csv(n.where("k >= 10"), paths[1])
+    return read_csvs(spark, paths, struct("k int, name string")).select("k", "name", "_src")
+
+
+SQL["csv_source"] = "SELECT n_nationkey::INT AS k, n_name AS name, (n_nationkey >= 10)::INT AS _src FROM nation"
+
+
+@query
+def json_lines_source(spark, sf_dir):
+    table(spark, sf_dir, "conversations").select("conv_id", "role", "text").write.json(path := scratch(spark, "jsonl"))
+    return read_json_lines(spark, path, table(spark, sf_dir, "conversations").select("conv_id", "role", "text").schema)
+
+
+SQL["json_lines_source"] = "SELECT conv_id, role, text FROM conversations"
+
+
+@query
+def id_list_source(spark, sf_dir):
+    table(spark, sf_dir, "customer").select(F.concat(F.lit(" "), F.col("c_custkey").cast("string"), F.lit(" ")).alias("v")).write.text(path := scratch(spark, "ids"))
+    return read_ids(spark, path).select("id")
+
+
+SQL["id_list_source"] = "SELECT c_custkey::VARCHAR AS id FROM customer"
+
+
+@query
+def manifest_check(spark, sf_dir):
+    """A manifest of stored files, one of which it has a wrong digest for, and one that is missing."""
+    for k in (1, 2, 3):
+        if k == 1:
+            root = scratch(spark, "files")
+        spark.range(1).select(F.lit(f"file {k}").alias("v")).coalesce(1).write.text(f"{root}/{k}")
+    found = file_digests(spark, root).where("path LIKE '%.txt'").select(F.substring("path", 1, 1).alias("path"), "digest")
+    lines = found.select(F.concat(F.when(F.col("path") == "2", F.lit("0" * 64)).otherwise(F.col("digest")), F.lit("  "), F.col("path")).alias("v"))
+    lines.unionByName(spark.range(1).select(F.lit("1" * 64 + "  4").alias("v"))).write.text(listed := scratch(spark, "manifest"))
+    return provenance.manifest_failures(read_manifest(spark, listed), found)
+
+
+SQL["manifest_check"] = "SELECT * FROM (VALUES ('2', 'digest differs'), ('4', 'missing')) t(path, reason)"
+
+
+@query
+def replaced_directory(spark, sf_dir):
+    """A sink that is written twice, the second time whole over the first."""
+    path = scratch(spark, "sink")
+    replace_directory(table(spark, sf_dir, "region"), path)
+    replace_directory(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), path)
+    return spark.read.parquet(path)
+
+
+SQL["replaced_directory"] = "SELECT n_nationkey, n_name FROM nation"
+
+
+@query
+def session_runs(spark, sf_dir):
+    return provenance.session_runs(provenance.job_grid(spark), 7)
+
+
+SQL["session_runs"] = f"WITH {_GRID} SELECT * FROM grid ORDER BY run_id LIMIT 7"

@@ -8,6 +8,7 @@ from ..functions.stats import cohen_h as effect_h
 from ..functions.stats import mcnemar_exact, normal_cdf
 from ..operators import ensemble, inference, metrics
 from ..operators import splits as splits_
+from ..sources.tables import stored
 from .surrogates import ENSEMBLE_SQL, JURORS, K, PRED_SQL, REPS, bundle_select, class_sql, corpus, predictions, r, sql_int, sql_key, table
 
 QUERIES, SQL = {}, {}
@@ -22,18 +23,37 @@ def _test(spark, sf_dir):
     return predictions(spark, sf_dir).where("part = 'test'").drop("part")
 
 
-def _weights(spark, sf_dir):
-    scores = metrics.bundle(predictions(spark, sf_dir).where("part = 'val'").withColumn("one", F.lit(1)), ["one", "juror"], K)
+def _stored(spark, sf_dir):
+    """The predictions, written once for queries that read them several times."""
+    return stored(predictions(spark, sf_dir), "predictions")
+
+
+def _weights(spark, sf_dir, p=None):
+    scores = metrics.bundle((p if p is not None else predictions(spark, sf_dir)).where("part = 'val'").withColumn("one", F.lit(1)), ["one", "juror"], K)
     return ensemble.juror_weights(scores, ["one"])
 
 
 def _pairs(spark, sf_dir):
     """Equal soft vote against the first juror."""
-    t = _test(spark, sf_dir)
+    t = _stored(spark, sf_dir).where("part = 'test'").drop("part")
     b = t.where("juror = 'J1'").select("example_id", F.col("pred_label").alias("pred_b"))
     return ensemble.soft_vote(t, K).select("example_id", "true_label", F.col("pred_label").alias("pred_a")).join(b, "example_id")
 
 
+def _jury(spark, sf_dir):
+    """Arguments of a weighted vote."""
+    p = _stored(spark, sf_dir)
+    return p.where("part = 'test'").drop("part"), K, _weights(spark, sf_dir, p)
+
+
+def _systems(spark, sf_dir, other: str):
+    """The weighted soft vote against the first juror (h2) or the equal vote (h3)."""
+    t, k, w = _jury(spark, sf_dir)
+    b = t.where("juror = 'J1'") if other == "h2" else ensemble.soft_vote(t, k)
+    a = ensemble.soft_vote(t, k, w).select("example_id", "true_label", F.col("pred_label").alias("pred_a"))
+    return stored(a.join(b.select("example_id", F.col("pred_label").alias("pred_b")), "example_id"), "systems")
+
+
 # --- metrics
 @query
 def confusion(spark, sf_dir):
@@ -128,7 +148,7 @@ SQL["soft_vote"] = f"WITH {ENSEMBLE_SQL} SELECT * FROM soft_eq"
 
 @query
 def weighted_vote(spark, sf_dir):
-    return ensemble.soft_vote(_test(spark, sf_dir), K, _weights(spark, sf_dir)).select("example_id", "true_label", "pred_label")
+    return ensemble.soft_vote(*_jury(spark, sf_dir)).select("example_id", "true_label", "pred_label")
 
 
 SQL["weighted_vote"] = f"WITH {ENSEMBLE_SQL} SELECT * FROM soft_we"
@@ -152,7 +172,7 @@ SQL["hard_vote_c"] = f"WITH {ENSEMBLE_SQL} SELECT vn.example_id, vn.true_label,
 
 @query
 def weighted_hard(spark, sf_dir):
-    return ensemble.weighted_hard(_test(spark, sf_dir), K, _weights(spark, sf_dir))
+    return ensemble.weighted_hard(*_jury(spark, sf_dir))
 
 
 SQL["weighted_hard"] = f"WITH {ENSEMBLE_SQL}, s AS (SELECT example_id, true_label, pred_label AS c, sum(weight) AS n FROM test JOIN w ON test.juror = w.juror GROUP BY ALL) SELECT example_id, true_label, arg_max(c, (n, -c)) AS pred_label FROM s GROUP BY ALL"
@@ -160,7 +180,7 @@ SQL["weighted_hard"] = f"WITH {ENSEMBLE_SQL}, s AS (SELECT example_id, true_labe
 
 @query
 def weight_activation(spark, sf_dir):
-    return ensemble.weight_activation(_test(spark, sf_dir), K, _weights(spark, sf_dir))
+    return ensemble.weight_activation(*_jury(spark, sf_dir))
 
 
 SQL["weight_activation"] = f"""WITH {ENSEMBLE_SQL}, k AS (SELECT example_id, count(DISTINCT pred_label) AS kinds FROM test GROUP BY example_id)
@@ -364,31 +384,59 @@ SQL["replication"] = f"SELECT r_regionkey, {r('d')} AS d, {r('lo')} AS lo, verdi
 
 
 # --- the four hypotheses, composed
+def _analysis(spark, sf_dir, other: str):
+    """One row: accuracies and macro-F1 of both systems, permutation p and interval of their macro-F1 difference, McNemar, Cohen's h, TOST."""
+    p = _systems(spark, sf_dir, other)
+    right = lambda c: F.col("true_label") == F.col(c)
+    long = p.select("true_label", F.inline(F.array(*(F.struct(F.lit(s).alias("sys"), F.col(f"pred_{s}").alias("pred_label")) for s in "ab"))))
+    f1 = metrics.bundle(long, ["sys"], K).agg(*(F.max(F.when(F.col("sys") == s, F.col("macro_f1"))).alias(f"macro_f1_{s}") for s in "ab"))
+    one = p.agg(F.count_if(right("pred_a") & ~right("pred_b")).alias("b"), F.count_if(~right("pred_a") & right("pred_b")).alias("c"), F.avg(right("pred_a").cast("double")).alias("acc_a"), F.avg(right("pred_b").cast("double")).alias("acc_b"))
+    one = one.withColumn("mcnemar_p", mcnemar_exact(F.col("b"), F.col("c"))).withColumn("h", effect_h(F.col("acc_a"), F.col("acc_b")))
+    test = inference.permutation_macro(p, K, REPS).select("n", "delta", "p")
+    ci = inference.bootstrap_delta(p, K, REPS, metric="macro_f1").select("ci_low", "ci_high")
+    t = inference.tost(p).select("z_low", "z_high", "inside")
+    return one.crossJoin(f1).crossJoin(test).crossJoin(ci).crossJoin(t)  # single rows
+
+
+_PAIRS = ENSEMBLE_SQL[ENSEMBLE_SQL.index("\npairs AS") :]
+
+
+def _analysis_sql(other: str) -> str:
+    source = "test" if other == "h2" else "soft_eq"
+    where = " WHERE juror = 'J1'" if other == "h2" else ""
+    pairs = f"\npairs AS (SELECT soft_we.example_id, soft_we.true_label, soft_we.pred_label AS pred_a, o.pred_label AS pred_b FROM soft_we JOIN {source} o ON soft_we.example_id = o.example_id{where})"
+    part = lambda name: SQL[name].replace(_PAIRS, pairs)
+    return f"""SELECT m.b, m.c, h.acc_a, h.acc_b, m.p AS mcnemar_p, h.h, f.macro_f1_a, f.macro_f1_b, t.n, t.delta, t.p, ci.ci_low, ci.ci_high, z.z_low, z.z_high, z.inside
+FROM ({part('mcnemar')}) m, ({part('cohen_h')}) h, ({part('perm_macro')}) t, ({part('boot_macro')}) ci, ({part('tost_z')}) z,
+  (WITH {ENSEMBLE_SQL.replace(_PAIRS, pairs)}, l AS (SELECT 'a' AS sys, true_label, pred_a AS pred_label FROM pairs UNION ALL SELECT 'b', true_label, pred_b FROM pairs), {class_sql('l', ['sys'])},
+   m AS (SELECT sys, avg(f1) AS f FROM cc GROUP BY sys) SELECT {r("max(f) FILTER (WHERE sys = 'a')")} AS macro_f1_a, {r("max(f) FILTER (WHERE sys = 'b')")} AS macro_f1_b FROM m) f"""
+
+
 @query
 def h2_jury_against_single(spark, sf_dir):
-    p = _pairs(spark, sf_dir)
-    one = p.agg(F.avg((F.col("true_label") == F.col("pred_a")).cast("double")).alias("acc_jury"), F.avg((F.col("true_label") == F.col("pred_b")).cast("double")).alias("acc_single"))
-    test = inference.permutation_accuracy(p, REPS).select("delta", "p")
-    return one.crossJoin(test).crossJoin(inference.bootstrap_delta(p, K, REPS).select("ci_low", "ci_high"))  # single rows
+    return _analysis(spark, sf_dir, "h2")
 
 
-SQL["h2_jury_against_single"] = f"""WITH {ENSEMBLE_SQL}, {_DISC}, {_DRAWS}, d AS (SELECT example_id, (true_label = pred_a)::INT - (true_label = pred_b)::INT AS d FROM pairs),
-s AS (SELECT rep, sum(CASE WHEN {sql_int(sql_key('perm_acc', 'rep', 'example_id'))} % 2 = 1 THEN d ELSE -d END) AS s FROM d, (SELECT unnest(range(1, {REPS + 1})) AS rep) WHERE d <> 0 GROUP BY rep),
-b AS (SELECT rep, (sum((pred_a = true_label)::INT) - sum((pred_b = true_label)::INT)) / count(*) AS d FROM draws GROUP BY rep)
-SELECT {r('acc_a')} AS acc_jury, {r('acc_b')} AS acc_single, {r('(SELECT sum(d) / count(*) FROM d)')} AS delta, {r(f'CASE WHEN b + c = 0 AND (SELECT count(*) FROM s) = 0 THEN 1 ELSE ((SELECT count(*) FROM s WHERE abs(s) >= abs((SELECT sum(d) FROM d))) + 1) / {REPS + 1} END')} AS p,
-  {r('(SELECT quantile_cont(d, 0.025) FROM b)')} AS ci_low, {r('(SELECT quantile_cont(d, 0.975) FROM b)')} AS ci_high FROM disc"""
+SQL["h2_jury_against_single"] = _analysis_sql("h2")
 
 
 @query
 def h3_weighted_against_equal(spark, sf_dir):
-    t = _test(spark, sf_dir)
-    e = metrics.bundle(ensemble.soft_vote(t, K).withColumn("vote", F.lit("equal")), ["vote"], K)
-    w = metrics.bundle(ensemble.soft_vote(t, K, _weights(spark, sf_dir)).withColumn("vote", F.lit("weighted")), ["vote"], K)
-    return e.unionByName(w).select("vote", "n", "accuracy", "macro_f1")
+    return _analysis(spark, sf_dir, "h3")
 
 
-SQL["h3_weighted_against_equal"] = f"""WITH {ENSEMBLE_SQL}, v AS (SELECT 'equal' AS vote, true_label, pred_label FROM soft_eq UNION ALL SELECT 'weighted', true_label, pred_label FROM soft_we), {class_sql('v', ['vote'])}
-SELECT vote, sum(support)::BIGINT AS n, {r('sum(tp) / sum(support)')} AS accuracy, {r('avg(f1)')} AS macro_f1 FROM cc GROUP BY vote"""
+SQL["h3_weighted_against_equal"] = _analysis_sql("h3")
+
+
+@query
+def h2_h3_holm(spark, sf_dir):
+    """The primary p values of both hypotheses, adjusted."""
+    test = lambda h: inference.permutation_macro(_systems(spark, sf_dir, h), K, REPS).select(F.lit(h).alias("test"), F.round("p", 10).alias("p"), F.lit("f").alias("family"))
+    return inference.holm(test("h2").unionByName(test("h3")), ["family"])
+
+
+SQL["h2_h3_holm"] = f"""WITH t AS (SELECT 'h2' AS test, p, 'f' AS family FROM ({_analysis_sql('h2')}) UNION ALL SELECT 'h3', p, 'f' FROM ({_analysis_sql('h3')})), k AS (SELECT *, row_number() OVER (ORDER BY p, test)::INT AS rank FROM t)
+SELECT test, p, family, rank, {r('max(least(1, p * (3 - rank))) OVER (ORDER BY rank)')} AS p_holm FROM k"""
 
 
 @query
@@ -403,22 +451,39 @@ SQL["h4_dependence_against_gain"] = f"""WITH {ENSEMBLE_SQL}, {_DEP}, a AS (SELEC
 SELECT {r('(SELECT avg(r) FROM dep)')} AS mean_r, (SELECT count(r) FROM dep) AS n_defined, {r('e.acc')} AS acc, {r('(SELECT max(acc) FROM a)')} AS best, {r('e.acc - (SELECT max(acc) FROM a)')} AS gain FROM e"""
 
 
+MODEL_SEEDS = (1, 2, 3)
+
+
 @query
 def h1_overlap_stress(spark, sf_dir):
-    """Orders stand in for examples: two systems by hash, compared on the strictly eligible test rows of each split."""
+    """Orders stand in for examples: two systems by hash for each model seed, compared on the strictly eligible test rows of each split."""
     c = corpus(spark, sf_dir)
-    x = splits_.assign_roles(c, splits_.author_partitions(c)).where("role = 'test' AND strict")
-    guess = lambda ns: F.when(splits_.order_key(F.col("split_seed"), ns, "id") < "c", F.col("label")).otherwise("none")
-    g = x.select("split_seed", "label", guess("sys_a").alias("a"), guess("sys_b").alias("b"))
-    right = lambda c: (F.col("label") == F.col(c)).cast("double")
-    return g.groupBy("split_seed").agg(F.count(F.lit(1)).alias("n"), F.avg(right("a")).alias("acc_overlap"), F.avg(right("b")).alias("acc_clean"), (F.avg(right("a")) - F.avg(right("b"))).alias("delta"))
+    x = splits_.assign_roles(c, splits_.author_partitions(c)).where("role = 'test' AND strict").select("split_seed", F.col("id").alias("example_id"), F.col("label").alias("true_label"), F.explode(F.array(*map(F.lit, MODEL_SEEDS))).alias("model_seed"))
+    guess = lambda ns: F.when(splits_.order_key(F.col("split_seed"), ns, F.col("model_seed").cast("string"), "example_id") < "c", F.col("true_label")).otherwise("none")
+    by = ["split_seed", "model_seed"]
+    p = stored(x.select(*by, "example_id", "true_label", guess("sys_a").alias("pred_a"), guess("sys_b").alias("pred_b")), "h1")
+    right = lambda c: F.col("true_label") == F.col(c)
+    one = p.groupBy(*by).agg(F.avg(right("pred_a").cast("double")).alias("acc_overlap"), F.avg(right("pred_b").cast("double")).alias("acc_clean"), F.count_if(right("pred_a") & ~right("pred_b")).alias("b"), F.count_if(~right("pred_a") & right("pred_b")).alias("c"))
+    one = one.withColumn("mcnemar_p", mcnemar_exact(F.col("b"), F.col("c"))).withColumn("h", effect_h(F.col("acc_overlap"), F.col("acc_clean")))
+    return one.join(inference.permutation_accuracy(p, REPS, by=by).select(*by, "n", "delta", "p"), by).join(inference.bootstrap_delta(p, K, REPS, by=by).select(*by, "ci_low", "ci_high"), by)  # a row for each split and seed
 
 
 def _h1_sql() -> str:
     from .surrogates import SPLIT_SQL
 
-    right = lambda ns: f"avg(({sql_key(ns, 'id', seed='split_seed')} < 'c')::INT)"
-    return f"WITH {SPLIT_SQL} SELECT split_seed, count(*) AS n, {r(right('sys_a'))} AS acc_overlap, {r(right('sys_b'))} AS acc_clean, {r(right('sys_a') + ' - ' + right('sys_b'))} AS delta FROM roles WHERE role = 'test' AND strict GROUP BY split_seed"
+    guess = lambda ns: f"{sql_key(ns, 'model_seed', 'id', seed='split_seed')} < 'c'"
+    reps = f"(SELECT unnest(range(1, {REPS + 1})) AS rep)"
+    return f"""WITH {SPLIT_SQL}, g AS (SELECT split_seed, model_seed, id, {guess('sys_a')} AS x, {guess('sys_b')} AS y FROM roles, (SELECT unnest([1, 2, 3])::INT AS model_seed) WHERE role = 'test' AND strict),
+base AS (SELECT split_seed, model_seed, count(*) AS n, avg(x::INT) AS acc_overlap, avg(y::INT) AS acc_clean, count(*) FILTER (WHERE x AND NOT y) AS b, count(*) FILTER (WHERE y AND NOT x) AS c, sum(x::INT - y::INT) AS d FROM g GROUP BY ALL),
+s AS (SELECT split_seed, model_seed, rep, sum(CASE WHEN {sql_int(sql_key('perm_acc', 'rep', 'id'))} % 2 = 1 THEN x::INT - y::INT ELSE y::INT - x::INT END) AS s FROM g, {reps} WHERE x <> y GROUP BY ALL),
+ex AS (SELECT base.split_seed, base.model_seed, count(s.rep) FILTER (WHERE abs(s.s) >= abs(base.d)) AS extreme FROM base LEFT JOIN s ON s.split_seed = base.split_seed AND s.model_seed = base.model_seed GROUP BY ALL),
+pos AS (SELECT *, row_number() OVER (PARTITION BY split_seed, model_seed ORDER BY id) - 1 AS pos, count(*) OVER (PARTITION BY split_seed, model_seed) AS n FROM g),
+dr AS (SELECT d.split_seed, d.model_seed, rep, sum(p2.x::INT - p2.y::INT) / any_value(p2.n) AS delta FROM (SELECT split_seed, model_seed, rep, {sql_int(sql_key('boot', 'rep', 'split_seed', 'model_seed', 'pos'))} % n AS at FROM pos, {reps}) d JOIN pos p2 ON p2.split_seed = d.split_seed AND p2.model_seed = d.model_seed AND p2.pos = d.at GROUP BY ALL),
+ci AS (SELECT split_seed, model_seed, quantile_cont(delta, 0.025) AS lo, quantile_cont(delta, 0.975) AS hi FROM dr GROUP BY ALL)
+SELECT base.split_seed, base.model_seed, n, b, c, {r('acc_overlap')} AS acc_overlap, {r('acc_clean')} AS acc_clean, {r('d / n')} AS delta, {r(f'CASE WHEN b + c = 0 THEN 1 ELSE (extreme + 1) / {REPS + 1} END')} AS p, {r('lo')} AS ci_low, {r('hi')} AS ci_high,
+  {r('CASE WHEN b + c = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))) END')} AS mcnemar_p,
+  {r('2 * asin(sqrt(acc_overlap)) - 2 * asin(sqrt(acc_clean))')} AS h
+FROM base JOIN ex ON ex.split_seed = base.split_seed AND ex.model_seed = base.model_seed JOIN ci ON ci.split_seed = base.split_seed AND ci.model_seed = base.model_seed"""
 
 
 SQL["h1_overlap_stress"] = _h1_sql()

@@ -12,6 +12,8 @@ from ..operators import labels, splits
 
 CATEGORIES = ["click", "error", "purchase", "signup", "view"]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+#: Classes; replicates of the registered resampling queries. The operators' own default is 10,000, for which the draws by SHA-256 that
+#: the SQL can repeat are too slow.
 K, REPS = 10, 200
 JUROR_BLOCKS = {"J1": (0, 1), "J2": (0, 2), "J3": (1, 2)}
 JURORS = list(JUROR_BLOCKS)

@@ -15,9 +15,11 @@ from pyspark.sql import types as T
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the cluster shares (spark.checkpoint.dir), or a temporary one where none is set."""
+    """A fresh path in the folder that the cluster shares (spark.checkpoint.dir); a temporary one only where none is set and all workers are on this machine."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = getattr(scratch, "own", None)
         if base is None:
             base = scratch.own = tempfile.mkdtemp(prefix="concord-")

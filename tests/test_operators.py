@@ -22,6 +22,8 @@ def one(df):
 def test_normalise(spark):
     df = spark.createDataFrame([("Hi [NAME], see http://x.y/z  it's A-1!",), (None,), ("",)], "t string")
     assert [r[0] for r in df.select(text.normalise(F.col("t"))).collect()] == ["hi see it s a 1", None, ""]
+    inside = spark.createDataFrame([("hi[NAME]there",), ("a[Religion]b c",), ("seehttp://x.y/z it",), ("[name][name]x",), ("http",), ("https://a b",)], "t string")
+    assert [r[0] for r in inside.select(text.normalise(F.col("t"))).collect()] == ["hi there", "a b c", "see it", "x", "http", "b"]  # masks and links leave a space
 
 
 def test_placeholder_authors_and_threads(spark):
@@ -254,11 +256,15 @@ def test_manifest_and_gates(spark, tmp_path):
     provenance.bind({str(d / "a.txt"): digest})
     with pytest.raises(provenance.GateError):
         provenance.bind({str(d / "a.txt"): "0" * 64})
-    ok = {"hypothesis": "H1", "to_status": "exploratory", "section0_report_sha256": "s", "exploratory_dose_k": 1}
-    assert provenance.check_amendment(ok, {"feasible": False, "exploratory_dose": 1}, "s") == 1
-    for change in ({"hypothesis": "H2"}, {"to_status": "dropped"}, {"section0_report_sha256": "x"}, {"exploratory_dose_k": 2}):
+    ok = {"hypothesis": "H1", "from_status": "confirmatory", "to_status": "exploratory", "section0_report_sha256": "s", "corpus_content_sha256": "c", "exploratory_dose_k": 1, "h1_primary_metric": "accuracy", "decision_text": "demote", "decided_by": "the board", "decided_at_utc": "2026-08-30T14:05:00Z"}
+    decision = {"feasible": False, "exploratory_dose": 1, "metric": "accuracy"}
+    assert provenance.check_amendment(ok, decision, "s", "c") == 1
+    wrong = [{"hypothesis": "H2"}, {"to_status": "dropped"}, {"section0_report_sha256": "x"}, {"exploratory_dose_k": 2}, {"h1_primary_metric": "macro_f1"}, {"corpus_content_sha256": "x"}, {"decided_at_utc": "yesterday"}, {"decided_at_utc": "2026-08-30T14:05:00"}, {"decided_by": "<name>"}, {"decision_text": "no"}]
+    for bad in [ok | x for x in wrong] + [{k: v for k, v in ok.items() if k != gone} for gone in ok]:
         with pytest.raises(provenance.GateError):
-            provenance.check_amendment(ok | change, {"feasible": False, "exploratory_dose": 1}, "s")
+            provenance.check_amendment(bad, decision, "s", "c")
+    with pytest.raises(provenance.GateError):
+        provenance.check_amendment(ok, decision | {"feasible": True}, "s", "c")
 
 
 def test_pending_runs_and_sessions(spark):
@@ -283,3 +289,40 @@ def test_results_do_not_depend_on_partitions(spark, sf_dir):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert a == b
+
+
+def test_contamination_by_whole_words_of_any_length(spark):
+    d = spark.createDataFrame([(1, "x one two three four five six seven eight nine y"), (2, "one two three four five six seven eight ninety"), (3, "short words here"), (4, "shorter words here"), (5, None), (6, "")], "k int, t string")
+    b = spark.createDataFrame([(10, "one two three four five six seven eight nine"), (11, "short words"), (12, ""), (13, "here"), (14, None)], "i int, u string")
+    got = audit.contamination(d, "k", F.col("t"), b, "i", F.col("u")).collect()
+    assert sorted(map(tuple, got)) == [(1, 10), (3, 11), (3, 13), (4, 13)]
+    assert audit.contamination(d, "k", F.col("t"), b.where("i = 12"), "i", F.col("u")).count() == 0
+
+
+def test_split_checks_see_planted_violations(spark, sf_dir):
+    from concord.queries.surrogates import corpus
+
+    c = corpus(spark, sf_dir)
+    c = tables.stored(c, "corpus")
+    x = tables.stored(splits.assign_roles(c, splits.author_partitions(c, (42,))), "roles")
+    m = tables.stored(splits.matched_substitution(x), "matches").where("level != 'failed'")
+    o, r = splits.overlap_training(x, m), splits.stratified_split(c, seeds=(42,))
+    blocks = tables.stored(splits.serpentine_blocks(x.where("role = 'train'")), "blocks")
+    run = lambda x=x, m=m, o=o, r=r, b=blocks: {k.name for k in audit.split_checks(c, x, m, o, r, b).collect() if not k.passed}
+    sound = run()
+    assert sound <= {"uniform_coverage"}  # tiny splits may lack partners, and those rows were left out
+    train = x.where("role = 'train'").limit(1)
+    val = x.where("role = 'val'").first()
+    assert run(x=x.unionByName(train)) - sound >= {"ids_unique", "partitions_disjoint"}
+    assert run(x=x.where(F.col("id") != val.id)) - sound == {"partitions_cover"}
+    assert "train_val_author_disjoint" in run(x=x.withColumn("author", F.when(F.col("id") == train.first().id, val.author).otherwise(F.col("author"))))
+    assert run(m=m.withColumn("level", F.lit("failed"))) - sound == {"match_complete"}
+    assert run(o=o.limit(o.count() - 1)) - sound >= {"overlap_reconstructed", "sizes_identical", "class_counts_identical"}
+    assert run(r=r.unionByName(r.limit(1))) - sound == {"random_partitions_disjoint"}
+    assert run(b=blocks.limit(3)) - sound == {"blocks_partition_train_authors"}
+    assert "injected_from_reserve_removed_from_train" in run(m=m.withColumn("removed_id", F.lit(val.id)))
+
+
+def test_boundary_audit(spark):
+    df = spark.createDataFrame([("train", "a"), ("train", "a"), ("train", "b"), ("test", "b"), ("spare", "c"), ("train", "c"), ("val", "")], "part string, norm string")
+    assert tuple(one(audit.boundary_audit(df, "part", "norm"))) == (1, 1, True)
