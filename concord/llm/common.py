@@ -202,6 +202,12 @@ def bytes_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8), at - at[0]
 
 
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places from each start on."""
+    ends = np.cumsum(size)
+    return np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sum of x between neighbouring places of `at`."""
     if not len(x):

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import bisect
 import itertools
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -31,93 +30,121 @@ SEQUENCE, OPEN, MERGED, CLOSING_ID = 2048, 16, 32, 1
 #: A window with at least so much room is completed with a cut; smaller gaps are padded.
 WORTH_A_CUT = 16
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a task remembers (the memory is emptied when it is full), and a worker between tasks.
-REMEMBERED, KEPT_WORDS = 500_000, 250_000
+#: Bytes of words and their ids that a worker remembers; when there are more, only those of the slice at hand stay.
+REMEMBERED = 16 << 20
 #: Bytes of text that are encoded at a time.
-PIECE_BYTES = 4 << 20
-MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+PIECE_BYTES = 2 << 20
+#: Words that go through the tokenizer in one call.
+JOINTLY = 5_000
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: ASCII letters.
+_LETTER = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
 COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
-_memory: dict[str, tuple] = {}
+_memory: dict[str, Memory] = {}
 
 
-def _tokenizer(path: str) -> tuple:
-    if path not in _memory:
+class Memory:
+    """A tokenizer, and the ids of the words met lately: Arrow words, and their ids one after the other."""
+
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        vocabulary = tokenizer.get_vocab()
-        ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        _memory[path] = (tokenizer, {}, ends)
-    return _memory[path]
-
-
-def forget(path: str) -> None:
-    """Keep only the words met first, mostly frequent ones, from one task of a worker to the next."""
-    if path in _memory:
-        known = _memory[path][1]
-        first = list(itertools.islice(known.items(), KEPT_WORDS))
-        known.clear()
-        known.update(first)
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.words, self.size, self.ids = pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For distinct words: where the ids of each begin in an array of ids, how many they are, and that array."""
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(pc.is_null(at))
+        if len(new):
+            size, ids = self._encoded(new)
+            place = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            place[place < 0] = len(self.words) + np.arange(len(new))
+            self.words, self.size, self.ids = pa.concat_arrays([self.words, new]), np.r_[self.size, size], np.r_[self.ids, ids]
+        else:
+            place = at.to_numpy(zero_copy_only=False).astype(np.int64)
+        begin = np.cumsum(self.size) - self.size
+        out = begin[place], self.size[place], self.ids
+        if self.words.nbytes + self.size.nbytes + self.ids.nbytes > REMEMBERED:
+            self.words, self.size, self.ids = words, out[1], self.ids[C.ragged(out[0], out[1])]
+        return out
+
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and the ids. Letters alone are one piece, whose last id has a word end; such words go
+        through the tokenizer together, and one by one only if the ends don't add up (a letter may become several)."""
+        letters = pc.utf8_is_alpha(words).to_numpy(zero_copy_only=False)
+        alone, order, sizes, ids = [np.flatnonzero(~letters)], [], [], []
+        together = np.flatnonzero(letters)
+        for i in range(0, len(together), JOINTLY):
+            own = together[i : i + JOINTLY]
+            got = np.array(self.tokenizer.encode_batch_fast(["\n".join(words.take(pa.array(own)).to_pylist())], add_special_tokens=False)[0].ids, "<u4")  # without offsets
+            ends = np.flatnonzero(self.ends_word[got])
+            if len(ends) == len(own) and len(got) == ends[-1] + 1:
+                order.append(own)
+                sizes.append(np.diff(np.r_[-1, ends]))
+                ids.append(got)
+            else:
+                alone.append(own)
+        alone = np.concatenate(alone)
+        for some in np.array_split(alone, max(1, -(-len(alone) // JOINTLY))):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(words.take(pa.array(some)).to_pylist(), add_special_tokens=False)]
+            order.append(some)
+            sizes.append(np.array(list(map(len, got)), np.int64))
+            ids.append(np.fromiter(itertools.chain.from_iterable(got), "<u4"))
+        order, size, flat = np.concatenate(order), np.concatenate(sizes), np.concatenate(ids)
+        back = np.argsort(order)
+        begin = np.cumsum(size) - size
+        return size[back], flat[C.ragged(begin[back], size[back])]
 
 
 def encode(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids (uint32) of all texts and where each text's begin.
 
-    The vocabulary's rules drop white space and never join across it, so each distinct word is encoded once. A text
+    The vocabulary's rules drop white space and never join across it, so each distinct word is encoded once; marks after
+    an ASCII letter are a piece of their own, so a word and the marks at its end are looked up apart. A text
     with the mark of a special token is encoded whole."""
-    tokenizer, known, ends_word = _tokenizer(path)
+    if path not in _memory:
+        _memory[path] = Memory(path)
+    memory = _memory[path]
     special = pc.match_substring(text, "<|").to_numpy(zero_copy_only=False)
     flat, at = C.split_words(pc.ascii_lower(text))
-    codes, words = C.encode(flat)
-    if len(known) + len(words) > REMEMBERED:
-        known.clear()
-    parts: dict[bytes, tuple[bytes, bytes]] = {}
-    new = []
-    for w in words:
-        if w in known:
-            continue
-        core = w.rstrip(MARKS)  # marks after a letter are a piece of their own
-        if len(core) < len(w) and core[-1:].isalpha():
-            parts[w] = core, w[len(core) :]
-            new += parts[w]
-        else:
-            new.append(w)
-    new = [w for w in dict.fromkeys(new) if w not in known]
-    other: list[bytes] = []
-    plain = []
-    for w in new:
-        (plain if w.isalpha() or not w.isascii() and w.decode().isalpha() else other).append(w)
-    for i in range(0, len(plain), 5_000):  # letters alone are one piece, and its last id has a word end
-        some = plain[i : i + 5_000]
-        ids = np.array(tokenizer.encode(b"\n".join(some).decode(), add_special_tokens=False).ids, "<u4")
-        cut = np.r_[0, 4 * np.flatnonzero(ends_word[ids]) + 4].tolist()
-        if len(cut) == len(some) + 1:
-            raw = ids.tobytes()
-            known.update((w, raw[a:b]) for w, a, b in zip(some, cut, cut[1:], strict=False))
-        else:  # a letter that lower case turns into several
-            other += some
-    for w, e in zip(other, tokenizer.encode_batch_fast([x.decode() for x in other], add_special_tokens=False), strict=True):
-        known[w] = struct.pack(f"<{len(e)}I", *e.ids)
-    for w, (core, tail) in parts.items():
-        known[w] = known[core] + known[tail]
-    coded = [known[w] for w in words]
-    size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-    table = np.frombuffer(b"".join(coded), "<u4")
-    begin = np.cumsum(size) - size
-    per_word = size[codes]
-    ends = np.r_[0, np.cumsum(per_word)]
-    ids = table[np.repeat(begin[codes] - ends[:-1], per_word) + np.arange(ends[-1])]
-    place = ends[at]
+    coded = pc.dictionary_encode(flat)
+    codes, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    core = pc.ascii_rtrim(words, MARKS)
+    data, ends = C.bytes_of(core)
+    last = data[np.maximum(ends[1:] - 1, 0)] if len(data) else np.zeros(len(words), np.uint8)
+    cut = (np.diff(ends) > 0) & (last < 128) & _LETTER[last] & (np.diff(ends) < np.diff(C.bytes_of(words)[1]))
+    whole = pc.dictionary_encode(pa.concat_arrays([pc.if_else(pa.array(cut), core, words), _tails(words, core, cut)]))
+    of = whole.indices.to_numpy().astype(np.int64)
+    first, size, ids = memory.of(whole.dictionary)
+    tail = np.full(len(words), -1)
+    tail[cut] = of[len(words) :]
+    pieces = np.stack([of[: len(words)], tail], 1)[codes].ravel()  # a word's ids, then those of its marks
+    pieces = pieces[pieces >= 0] if len(pieces) else pieces
+    per_word = size[of[: len(words)]] + np.where(tail >= 0, size[tail] if len(size) else 0, 0)
+    place = np.r_[0, np.cumsum(per_word[codes])][at]
+    ids = ids[C.ragged(first[pieces], size[pieces])]
     if special.any():
-        texts = [np.array(tokenizer.encode(text[i].as_py(), add_special_tokens=False).ids, "<u4") if special[i] else ids[place[i] : place[i + 1]] for i in range(len(text))]
+        texts = [np.array(memory.tokenizer.encode(text[i].as_py(), add_special_tokens=False).ids, "<u4") if special[i] else ids[place[i] : place[i + 1]] for i in range(len(text))]
         ids, place = np.concatenate([np.zeros(0, "<u4"), *texts]), np.r_[0, np.cumsum([len(x) for x in texts])]
     return ids, place
 
 
+def _tails(words: pa.Array, core: pa.Array, cut: np.ndarray) -> pa.Array:
+    """What follows the core of the chosen words."""
+    data, at = C.bytes_of(words)
+    start = at[:-1][cut] + np.diff(C.bytes_of(core)[1])[cut]
+    size = at[1:][cut] - start
+    ends = np.r_[0, np.cumsum(size)].astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(ends), pa.py_buffer(data[C.ragged(start, size)].tobytes()))
+
+
 class Windows:
     """Open windows, ordered by their room. A piece is (doc, start, ids, doc_tokens)."""
 
@@ -186,7 +213,6 @@ def pack(docs: DataFrame, path: str | None = None, length: int = SEQUENCE, with_
                         count += 1
                 windows.open = [(r, n, [(d, s, x.copy(), t) for d, s, x, t in p]) for r, n, p in windows.open]  # lets go of the slice
                 yield _rows(done, kind, None, with_ids)
-        forget(path)
         if windows.open:
             yield _rows([(0, pieces) for _, _, pieces in windows.open], kind, part // MERGED, True)
 
