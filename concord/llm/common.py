@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, as a Java and RE2 character class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -27,8 +28,12 @@ SLICE_BYTES = 8 << 20
 #: The same for operators that gain nothing from words that texts share.
 SMALL_SLICE = 2 << 20
 
-#: A table is broadcast only when it was counted and has at most so many (narrow) rows.
-BROADCAST_ROWS = 200_000
+#: A table is broadcast only when it was counted and has at most so many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 2 << 20
+#: A file of a table that `stored` wrote, in one go; its part's number is its name in every run.
+OWN_FILE = r"^.*/concord-[^/]*-[0-9a-f]{12}/part-(\d+)-[0-9a-f-]{36}-c(\d+).*$"
+#: Keys with most rows that are joined by broadcast, so that no task gets all rows of such a key.
+HEAVY = 1_000
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -46,9 +51,11 @@ def ready(spark: SparkSession) -> SparkSession:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the cluster shares (spark.checkpoint.dir).
 
-    Only where that setting is absent (local tests) a temporary folder takes its place."""
+    Only where that setting is absent and all workers are on this machine (tests) a temporary folder takes its place."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = getattr(scratch, "own", None)
         if base is None:
             base = scratch.own = tempfile.mkdtemp(prefix="concord-")
@@ -56,6 +63,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/concord-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
 def stored(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage, and lost executors cost no recomputation.
 
@@ -65,9 +77,46 @@ def stored(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A stored table, with a broadcast hint only if it was counted to be small; larger ones are shuffled."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def bytes_of_column(c: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.size(c), F.lit(0)) * 8 + 16
+    if isinstance(kind, T.StructType):
+        return sum((bytes_of_column(c[f.name], f.dataType) for f in kind), F.lit(16))
+    return F.lit(8)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A stored table, with a broadcast hint only if it was measured to be small; larger ones are shuffled."""
+    each = sum((bytes_of_column(df[f.name], f.dataType) for f in df.schema), F.lit(0))
+    n, size = df.select(each.cast("bigint").alias("b")).limit(rows + 1).agg(F.count(F.lit(1)), F.sum("b")).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= most else df
+
+
+def by_place(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """Join rows (which hold texts) with a table that has one row for some places. Both are dealt by place and the table is
+    hashed, whatever its size: it grows with the rows, so it is not broadcast. The order of the rows that come out is that
+    of their places, so a later step that depends on it (packing) does the same in every run."""
+    return rows.join(table.hint("shuffle_hash"), ["__file", "__row"], how).sortWithinPartitions("__file", "__row")
+
+
+def skew_join(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """Inner join of stored rows with one stored row for each key, whose column `size` says how many rows the key has.
+
+    The HEAVY largest keys are broadcast and the others shuffled, so a task gets no key with more than 1 / HEAVY of the rows."""
+    heavy = F.broadcast(groups.orderBy(F.desc(size), key).limit(HEAVY))
+    rest = groups.join(heavy.select(key), key, "left_anti")
+    columns = [*rows.columns, *(c for c in groups.columns if c != key)]
+    some = rows.join(heavy, key).select(columns)
+    return some.unionByName(rows.join(heavy.select(key), key, "left_anti").join(rest, key).select(columns))
+
+
+def reserved(docs: DataFrame, *names: str) -> None:
+    """Refuse columns of docs that have the names of result columns."""
+    if clash := sorted({*map(str.lower, docs.columns)} & set(names)):
+        raise ValueError(f"the operator adds columns of these names: {', '.join(clash)}")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,15 +131,22 @@ def crc_mod(n: int, col: str = "doc_id") -> Column:
 def plain(docs: DataFrame, name: str = "rows") -> DataFrame:
     """docs itself if Spark can tell the file and row of its rows; other frames are stored first."""
     try:
-        docs.select("_metadata.file_path")
+        docs.select(docs.metadataColumn("_metadata")["row_index"])
         return docs
     except AnalysisException:
         return stored(docs, name)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """A plain frame with __file and __row, which name a row for good."""
-    return docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+def located(docs: DataFrame, *columns: str | Column) -> DataFrame:
+    """The chosen columns of a plain frame, and __file (a 64-bit hash of the file's path) and __row, which name a row for good."""
+    place = docs.metadataColumn("_metadata")
+    file = F.regexp_replace(place["file_path"], OWN_FILE, "$1-$2")
+    return docs.select(*columns, F.xxhash64(file).alias("__file"), place["row_index"].alias("__row"))
+
+
+def whole(docs: DataFrame) -> DataFrame:
+    """The rows of a plain frame as one column __all, which no other name can clash with, and their places."""
+    return located(docs, F.struct("*").alias("__all"))
 
 
 def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

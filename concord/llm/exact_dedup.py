@@ -7,14 +7,19 @@
 3. Rows whose digest is in use by others are hits; the full bytes of each are compared with those of the row that
    stays. Texts that share a digest but differ are then grouped by their bytes.
 
-Texts move only for hits. A hot text is salted in that comparison. Null text counts as empty; null ids come after
-all others; of rows with equal ids the first by locator stays; an empty table gives no rows.
+Texts move only for hits. A hot text is salted in that comparison, and keys with most rows are joined by broadcast. With a
+`state` path, a call that was cut off is taken up again where its stream stopped.
+
+Null text counts as empty; null ids come after all others, ids of any ordered type are allowed; of rows with equal ids the
+first by locator stays; texts of any length are compared whole; columns but doc_id and text are not looked at, whatever their names; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
@@ -26,7 +31,6 @@ SETTINGS = {
 }
 #: Rows of one text that meet in a task when bytes are compared.
 SALT_ROWS = 256
-KEEPER = "struct<none:boolean,doc_id:bigint,file:string,row:bigint>"
 
 
 def normalised(text: str = "text") -> Column:
@@ -36,61 +40,69 @@ def normalised(text: str = "text") -> Column:
 def records(docs: DataFrame, key_bytes: int = 32) -> DataFrame:
     """(key, sha, doc_id, __file, __row) of each row."""
     sha = F.unhex(F.sha2(normalised(), 256))
-    return C.located(docs.select("doc_id", "text")).select(F.substring(sha, 1, key_bytes).alias("key"), sha.alias("sha"), F.col("doc_id").cast("bigint"), "__file", "__row")
+    return C.located(docs, "doc_id", sha.alias("sha")).select(F.substring("sha", 1, key_bytes).alias("key"), "sha", "doc_id", "__file", "__row")
+
+
+def _first() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__file").alias("file"), F.col("__row").alias("row"))
 
 
-def keyed_state(rows: DataFrame, path: str, bytes_per_trigger: int = 256 << 20, files_per_trigger: int | None = None) -> DataFrame:
-    """(key, group_size, keeper) from the streaming aggregation over the stored rows."""
+def keyed_state(rows: DataFrame, path: str, bytes_per_trigger: int = 256 << 20, files_per_trigger: int | None = None, home: str | None = None) -> DataFrame:
+    """(key, group_size, keeper) from the streaming aggregation over the stored rows; home has its log and its updates."""
     spark = rows.sparkSession
+    home = home or C.scratch(spark, "dedup-state")
     limit = {"maxFilesPerTrigger": files_per_trigger} if files_per_trigger else {"maxBytesPerTrigger": bytes_per_trigger}
     stream = spark.readStream.schema(rows.schema).options(**limit).parquet(path)
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__file").alias("file"), F.col("__row").alias("row"))
-    state = stream.groupBy("key").agg(F.count(F.lit(1)).alias("group_size"), F.min(first).alias("keeper"))
-    out = C.scratch(spark, "dedup-state")
+    state = stream.groupBy("key").agg(F.count(F.lit(1)).alias("group_size"), F.min(_first()).alias("keeper"))
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")  # a repeated batch replaces itself
+        batch.write.mode("overwrite").parquet(f"{home}/updates/batch={number}")  # a repeated batch replaces itself
 
     before = {k: spark.conf.get(k, None) for k in SETTINGS}
     try:
         for k, v in SETTINGS.items():
             spark.conf.set(k, v)
-        query = state.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", C.scratch(spark, "dedup-log")).trigger(availableNow=True).start()
+        query = state.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{home}/log").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
-    done = spark.read.schema(f"key binary, group_size bigint, keeper {KEEPER}, batch int")
-    if query.lastProgress is None:  # no files: nothing was ever written
-        return spark.createDataFrame([], "key binary, group_size bigint, keeper " + KEEPER)
-    return done.parquet(out).groupBy("key").agg(F.max_by(F.struct("group_size", "keeper"), "batch").alias("s")).select("key", "s.*")
+    schema = T.StructType([*state.schema.fields])
+    if not C.exists(spark, f"{home}/updates"):  # no files: nothing was ever written
+        return spark.createDataFrame([], schema)
+    done = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{home}/updates")
+    return done.groupBy("key").agg(F.max_by(F.struct("group_size", "keeper"), "batch").alias("s")).select("key", "s.*")
 
 
-def decisions(docs: DataFrame, key_bytes: int = 32, files_per_trigger: int | None = None) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and the locator (__file, __row)."""
+def decisions(docs: DataFrame, key_bytes: int = 32, files_per_trigger: int | None = None, state: str | None = None) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and the locator (__file, __row).
+
+    state: a path of this job in the shared folder. A call that finds records or a stream's log there goes on with them, so
+    it must be the same docs that it is called with."""
     spark = C.ready(docs.sparkSession)
-    docs = C.plain(docs).select("doc_id", "text")
-    path = C.scratch(spark, "dedup-rows")
-    records(docs, key_bytes).write.parquet(path)
+    docs = C.plain(docs)
+    state = state or C.scratch(spark, "dedup")
+    path = f"{state}/records"
+    if not C.exists(spark, f"{path}/_SUCCESS"):
+        records(docs, key_bytes).write.mode("overwrite").parquet(path)
     rows = spark.read.parquet(path)
-    state = C.stored(keyed_state(rows, path, files_per_trigger=files_per_trigger), "dedup-groups")
-    hits = state.where("group_size > 1")
-    own = F.col("__row") == F.col("keeper.row"), F.col("__file") == F.col("keeper.file")
+    groups = C.stored(keyed_state(rows, path, files_per_trigger=files_per_trigger, home=state), "dedup-groups")
 
-    # full bytes of the hits, against those of the row that stays
-    bytes_of = C.located(docs).select(F.substring(F.unhex(F.sha2(normalised(), 256)), 1, key_bytes).alias("key"), F.col("doc_id").cast("bigint"), "__file", "__row", normalised().alias("bytes"))
+    # full bytes of the hits, against those of the row that stays; rows are found by narrow keys before any text moves
+    places = C.skew_join(rows.select("key", "__file", "__row"), groups.where("group_size > 1"), "key", "group_size")
+    mine = (F.col("__row") == F.col("keeper.row")) & (F.col("__file") == F.col("keeper.file"))
     salts = F.ceil(F.col("group_size") / SALT_ROWS).cast("bigint")
-    texts = C.stored(bytes_of.join(C.small(hits), "key").withColumn("mine", own[0] & own[1]).withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("__file", "__row"), "salts")).drop("keeper", "group_size"), "dedup-hits")
+    places = C.stored(places.select("key", "__file", "__row", mine.alias("mine"), salts.alias("salts"), F.pmod(F.xxhash64("__file", "__row"), salts).alias("salt")), "dedup-places")
+    texts = C.stored(C.by_place(C.located(docs, "doc_id", normalised().alias("bytes")), places), "dedup-hits")
     keepers = texts.where("mine").select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.col("bytes").alias("first"))
     differ = C.stored(texts.where("not mine").join(keepers, ["key", "salt"]).where("bytes != first").select("key").distinct(), "dedup-differ")
+    whole = C.skew_join(rows, groups, "key", "group_size")
     if differ.isEmpty():
-        return _labelled(rows.join(state, "key"))
+        return _labelled(whole)
     clash = texts.join(C.small(differ), "key", "left_semi")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__file").alias("file"), F.col("__row").alias("row")))
-    groups = clash.groupBy("key", "bytes").agg(F.count(F.lit(1)).alias("group_size"), first.alias("keeper"))
-    apart = clash.select("key", "bytes", "doc_id", "__file", "__row").join(groups, ["key", "bytes"]).select("key", F.unhex(F.sha2("bytes", 256)).alias("sha"), "doc_id", "__file", "__row", "group_size", "keeper")
-    whole = rows.join(state, "key").join(C.small(differ), "key", "left_anti").select(apart.columns)
-    return _labelled(whole.unionByName(apart))
+    apart = clash.groupBy("key", "bytes").agg(F.count(F.lit(1)).alias("group_size"), F.min(_first()).alias("keeper"))
+    apart = clash.select("key", "bytes", "doc_id", "__file", "__row").join(apart, ["key", "bytes"]).select("key", F.unhex(F.sha2("bytes", 256)).alias("sha"), "doc_id", "__file", "__row", "group_size", "keeper")
+    return _labelled(whole.join(C.small(differ), "key", "left_anti").select(apart.columns).unionByName(apart))
 
 
 def _labelled(rows: DataFrame) -> DataFrame:
@@ -102,4 +114,4 @@ def dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     docs = C.plain(docs)
     gone = C.stored(decisions(docs).where("not kept").select("__file", "__row"), "dedup-gone")
-    return C.located(docs).join(C.small(gone), ["__file", "__row"], "left_anti").select(docs.columns)
+    return C.by_place(C.whole(docs), gone, "left_anti").select("__all.*")

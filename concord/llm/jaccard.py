@@ -18,8 +18,12 @@ one component are not compared again. Round B takes every other key whose sets a
 pairs from small groups, and large groups in blocks, the minority's against all. No group has to fit into one task,
 no pairs within a component are made, nothing is capped.
 
-Null and empty texts and texts without words have empty sets and are their own components; a null id counts as larger
-than all others; an empty table gives no rows.
+Blocks of round A share one set of their group, so a large group of copies of one text is whole after it. Keys, sets and copies
+with most rows are joined by broadcast (the HEAVY largest), so no task gets all rows of one.
+
+Null and empty texts and texts without words have empty sets and are their own components; a text of any length is one set; equal
+rows are one node; a null id counts as larger than all others; other columns are passed on (`one_of_each`) or not looked at,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -120,8 +124,8 @@ class Forest:
         self.head = np.minimum(own, HEAD)  # tokens before the bound is tested, and after
         self.tail = own - self.head
         self.head_at, self.tail_at = np.r_[0, np.cumsum(self.head)], np.r_[0, np.cumsum(self.tail)]
-        self.head_tokens = flat[_ragged(at[:-1] + self.shared, self.head)]
-        self.tail_tokens = flat[_ragged(at[:-1] + self.shared + self.head, self.tail)]
+        self.head_tokens = flat[C.ragged(at[:-1] + self.shared, self.head)]
+        self.tail_tokens = flat[C.ragged(at[:-1] + self.shared + self.head, self.tail)]
         self.levels = [np.flatnonzero(self.level == k) for k in range(int(self.level.max(initial=0)) + 1)]
 
     def walk(self, probes: np.ndarray) -> np.ndarray:
@@ -161,7 +165,7 @@ class Forest:
             ok &= self.tail[s] > 0
             more = s[ok]
             if len(more):
-                at = _ragged(self.tail_at[more], self.tail[more])
+                at = C.ragged(self.tail_at[more], self.tail[more])
                 hit = np.cumsum(mask[self.tail_tokens[at]])
                 ends = np.cumsum(self.tail[more]) - 1
                 tail[at] = run = hit - np.repeat(np.r_[0, hit[ends[:-1]]], self.tail[more])
@@ -172,12 +176,6 @@ class Forest:
         return on & (total >= 0) & (100 * total >= p * (size + self.n - total)) & (probe != np.arange(len(self.n)))
 
 
-def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """All places from each start on."""
-    ends = np.cumsum(size)
-    return np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
-
-
 class Merger:
     """Which set of a group probes next. The component with the fewest open sets probes all others with each of its sets
     and is then done: whatever it links with is known, and is merged. The last component has nothing left to probe."""
@@ -195,8 +193,9 @@ class Merger:
 
     def next(self) -> tuple[int | None, list[int]]:
         """The next probe (None: all is known), and the sets that are no longer to be found."""
-        if self.mine:
+        if self.mine and len(self.met) < len(self.open):  # else all others are met, and one component is left
             return self.mine.pop(), []
+        self.mine = []
         if len(self.met) > 1:
             first, *rest = sorted(self.met, key=lambda k: (-len(self.open[k]), k))
             for k in rest:
@@ -322,7 +321,7 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         sketch = pa.ListArray.from_arrays(np.cumsum([0, *map(len, heads)]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *heads]))
         return pa.RecordBatch.from_arrays([batch["doc_id"], batch["__file"], batch["__row"], pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), sketch], ["doc_id", "__file", "__row", "n", "digest", "sketch"])
 
-    return C.map_arrow(C.located(docs.select("doc_id", "text")), sign, f"doc_id {kind}, __file string, __row bigint, n bigint, digest binary, sketch array<bigint>", C.SMALL_SLICE)
+    return C.map_arrow(C.located(docs, "doc_id", "text"), sign, f"doc_id {kind}, __file bigint, __row bigint, n bigint, digest binary, sketch array<bigint>", C.SMALL_SLICE)
 
 
 def _raw(s: np.ndarray) -> bytes:
@@ -335,7 +334,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     def compute(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch["node"], batch["n"], pa.array([_raw(s) for s in shingle_sets(C.texts_of(batch), width)], pa.binary())], ["node", "n", "set"])
 
-    rows = C.located(docs.select("text")).join(C.small(nodes), ["__file", "__row"])
+    rows = C.by_place(C.located(docs, "text"), nodes)
     return C.stored(C.map_arrow(rows.select("node", "n", "text"), compute, "node bigint, n bigint, set binary", C.SMALL_SLICE), "sets")
 
 
@@ -370,7 +369,7 @@ def _candidates(classes: DataFrame) -> DataFrame:
     common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     small = F.array(*(F.lit(least_shared(n)) for n in range(1, SKETCH + 1)))
     need = F.when(F.col("n") <= SKETCH, F.get(small, F.col("n") - 1)).otherwise(F.lit(SHARED)).cast("int")
-    ordered = tokens.join(common, "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))  # at most SKETCH entries
+    ordered = C.skew_join(tokens, C.stored(common, "common"), "token", "df").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))  # at most SKETCH entries
     keys = ordered.where(F.size("t") >= need).select("node", "n", F.inline(F.slice("t", F.lit(1), F.size("t") - need + 1)))
     return C.stored(keys, "keys", few=True)
 
@@ -379,15 +378,17 @@ def _blocks(keys: DataFrame, known: DataFrame | None) -> DataFrame:
     """(token, part, node): large groups in blocks of bounded size, so that any two sets of different components meet."""
     members = keys.select("token", "node", "n")
     if known is None:
-        totals = members.groupBy("token").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("total")).where("g > 1")
-        dealt = members.join(totals, "token").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("total") / BLOCK)))
-        return dealt.select("token", F.col("part").cast("string").alias("part"), "node")
-    members = members.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        members = C.stored(members, "members", few=True)
+        totals = members.groupBy("token").agg(F.count(F.lit(1)).alias("g"), F.ceil(F.sum("n") / BLOCK).alias("parts"), F.min("node").alias("pivot")).where("g > 1")
+        dealt = C.skew_join(members, C.stored(totals, "groups", few=True), "token", "g")
+        part = F.explode(F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("parts")))))
+        return dealt.select("token", part.alias("part"), "node").select("token", F.col("part").cast("string").alias("part"), "node")
+    members = C.stored(members.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "members", few=True)
     per = members.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("total"))
     most = per.groupBy("token").agg(F.sum("g").alias("g"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("total", "comp")).alias("major"), F.sum("total").alias("total")).where(f"comps > 1 and g > {PAIRS_UP_TO}")
     cut = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK)).cast("int")
-    most = most.select("token", F.col("major.comp").alias("major"), cut(F.col("major.total")).alias("k"), cut(F.col("total") - F.col("major.total")).alias("m"))
-    dealt = members.join(most, "token")
+    most = most.select("token", "g", F.col("major.comp").alias("major"), cut(F.col("major.total")).alias("k"), cut(F.col("total") - F.col("major.total")).alias("m"))
+    dealt = C.skew_join(members, C.stored(most, "groups", few=True), "token", "g")
     own = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     name = lambda kind, i, j: F.concat_ws(":", F.lit(kind), i.cast("string"), j.cast("string"))
@@ -403,7 +404,7 @@ def join(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     docs = C.plain(docs)
     signed = C.stored(signatures(docs, width), "signatures")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__file", "__row")).alias("first")
-    classes = signed.where("n > 0").groupBy("digest").agg(least, F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = signed.where("n > 0").groupBy("digest").agg(least, F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = C.stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # stored, so the number stays
 
     keys = _candidates(classes)
@@ -418,7 +419,7 @@ def join(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     small = keys.join(known, "node", "left").select("token", "node", "n", F.coalesce("comp", "node").alias("comp"))
     size = small.groupBy("token").agg(F.count(F.lit(1)).alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(f"lo != hi and g <= {PAIRS_UP_TO}").select("token")
-    small = C.stored(small.join(size, "token", "left_semi"), "small-groups", few=True)
+    small = C.stored(small.join(size, "token", "left_semi"), "small-groups", few=True)  # at most PAIRS_UP_TO rows a key
     other = small.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
     near = (F.col("node") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & (100 * F.least("n", "n_b") >= PERCENT * F.greatest("n", "n_b"))
     pairs = C.stored(small.join(other, "token").where(near).select(F.col("node").alias("a"), "b").distinct(), "pairs", few=True)  # groups of PAIRS_UP_TO at most
@@ -427,10 +428,13 @@ def join(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     c = C.grouped(_blocks(keys, known).join(sets, "node"), ["token", "part"], _join, EDGE)
     found = components(C.stored(a.unionByName(b).unionByName(c), "edges-b", few=False))
 
-    own = classes.join(found, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"), "first")
-    head = own.groupBy("comp").agg(F.min("first").alias("head"))
-    ids = own.join(head, "comp").select("digest", "comp", "head")
-    out = signed.join(ids, "digest", "left")
+    own = classes.join(found, "node", "left").select("digest", "copies", F.coalesce("comp", "node").alias("comp"), "first")
+    own = C.stored(own, "named")
+    heads = own.groupBy("comp").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("sets"))
+    ids = C.skew_join(own, C.stored(heads, "heads"), "comp", "sets").select("digest", "copies", "head")
+    every = signed.select("doc_id", "n", "digest", "__file", "__row")
+    out = C.skew_join(every.where("n > 0"), C.stored(ids, "ids"), "digest", "copies").drop("copies")
+    out = out.unionByName(every.where("n = 0"), allowMissingColumns=True)
     mine = (F.col("head.__file") == F.col("__file")) & (F.col("head.__row") == F.col("__row"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"), F.coalesce(mine, F.lit(True)).alias("first"), "digest", "__file", "__row")
 
@@ -439,4 +443,4 @@ def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of docs that are the first of their component, with all their columns."""
     docs = C.plain(docs)
     gone = C.stored(join(docs, width).where("not first").select("__file", "__row"), "jaccard-gone")
-    return C.located(docs).join(C.small(gone), ["__file", "__row"], "left_anti").select(docs.columns)
+    return C.by_place(C.whole(docs), gone, "left_anti").select("__all.*")

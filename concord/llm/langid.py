@@ -125,13 +125,14 @@ def viterbi(e: np.ndarray, at: np.ndarray, switch: float = SWITCH) -> np.ndarray
     length = np.diff(at)
     order = np.argsort(-length, kind="stable")
     start, length = at[:-1][order], length[order]
-    label = np.zeros(n, np.int8)
+    small = np.min_scalar_type(max(1, size))  # the labels' type has room for all languages
+    label = np.zeros(n, small)
     if not n:
         return label
     active = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")  # texts with more than t words
     best = np.zeros((len(order), size), np.float32)
     moved = np.zeros((n, size), bool)  # the best way into a label comes from `source`
-    source = np.zeros(n, np.int8)
+    source = np.zeros(n, small)
     for t, m in enumerate(active):
         row = start[:m] + t
         now = best[:m]

@@ -7,10 +7,12 @@ Each source first takes as many complete epochs as fit. The rest is drawn withou
 -ln(u) / weight with u from a hash of its id and weight from its quality; documents are sorted by key and taken
 while their running size stays within the rest; then the one unused document whose size comes nearest to the gap
 is taken if that brings the source nearer. The sort within a source is cut into buckets of the key's range, so no
-task sorts a whole source: bucket totals are summed first, and only the bucket that the budget ends in is ranked.
+task sorts a whole source: bucket totals are summed first, in runs of SPAN buckets and then within the run that the budget
+ends in, and only the bucket that it ends in is ranked.
 
-Null text has size 0; a null source is a source of its own; equal rows are told apart by their place; null ids are
-drawn like others; empty tables and sources without words take nothing.
+Null text has size 0; a text of any length is one draw of its size; a null source is a source of its own; equal rows are told
+apart by their place; null ids are drawn like others; other columns are passed on whatever their names; empty tables and
+sources without words take nothing.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ SHARE = 1.5
 EPOCHS = 2
 #: Documents to a bucket of a source's keys, about.
 BUCKET_ROWS = 128
+#: Buckets whose totals are added up first.
+SPAN = 1024
 SEED = "mix-1"
 
 
@@ -65,7 +69,7 @@ def sample(docs: DataFrame, weight: Column | None = None, share: float = SHARE,
     docs = C.plain(docs)
     digits = F.substring(F.sha2(F.concat(F.lit(f"{SEED}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 13)
     u = (F.conv(digits, 16, 10).cast("bigint") + 1).cast("double") / float(2**52 + 2)
-    rows = C.located(docs).select("__file", "__row", "doc_id", "source", size_of().alias("size"), (-F.log(u) / (weight if weight is not None else quality())).alias("key"))
+    rows = C.located(docs, "doc_id", "source", size_of().alias("size"), (-F.log(u) / (weight if weight is not None else quality())).alias("key"))
     rows = C.stored(rows, "mix-rows")
 
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"), F.avg("key").alias("scale")), share)
@@ -76,10 +80,18 @@ def sample(docs: DataFrame, weight: Column | None = None, share: float = SHARE,
     dealt = _with(rows, plan.select("source", "scale", "buckets"), "left").withColumn("bucket", bucket)
 
     totals = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("source").orderBy("bucket")
-    totals = totals.withColumn("upto", F.sum("words").over(upto))
-    ends = _with(totals, plan.select("source", "rest")).where("upto > rest").groupBy("source").agg(F.min(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("words")).alias("room"))).alias("end"))
-    ends = C.stored(ends.select("source", F.col("end.bucket").alias("last"), F.col("end.room").alias("room")), "mix-ends", few=True)
+    totals = C.stored(totals.withColumn("span", F.floor(F.col("bucket") / SPAN)), "mix-totals", few=True)
+
+    def crossing(parts: DataFrame, budget: DataFrame, at: str) -> DataFrame:
+        """(source, at, room): the first part with which the running size exceeds `rest`, and what of rest is left before it."""
+        run = parts.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy(at)))
+        over = _with(run, budget.select("source", "rest")).where("upto > rest")
+        return over.groupBy("source").agg(F.min(F.struct(at, (F.col("rest") - F.col("upto") + F.col("words")).alias("room"))).alias("end")).select("source", f"end.{at}", "end.room")
+
+    spans = C.stored(crossing(totals.groupBy("source", "span").agg(F.sum("words").alias("words")), plan, "span"), "mix-spans", few=True)
+    inner = _with(totals, spans.select("source", F.col("span").alias("in_span"))).where("span = in_span").select("source", "bucket", "words")
+    ends = crossing(inner, spans.select("source", F.col("room").alias("rest")), "bucket")
+    ends = C.stored(ends.select("source", F.col("bucket").alias("last"), "room"), "mix-ends", few=True)
     near = _with(dealt, ends, "left").select("__file", "__row", "doc_id", "source", "size", "key", "bucket", "last", "room")
     rank = Window.partitionBy("source").orderBy("key", "doc_id", "__file", "__row").rowsBetween(Window.unboundedPreceding, 0)
     edge = near.where("bucket = last").withColumn("run", F.sum("size").over(rank))  # one bucket of each source
@@ -102,4 +114,5 @@ def mix(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """The mixture itself: rows of docs, each as often as it is taken. Texts without words are taken with their source's epochs."""
     docs = C.plain(docs)
     copies = C.stored(sample(docs, share=share).where("copies > 0").select("__file", "__row", "copies"), "mix-copies")
-    return C.located(docs).join(C.small(copies), ["__file", "__row"]).select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
+    rows = C.by_place(C.whole(docs), copies)
+    return rows.select("__all", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("__all.*")

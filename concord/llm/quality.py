@@ -4,7 +4,10 @@ Statistics of whole texts are computed on the executors. The trees are fitted on
 `TRAIN_ROWS` labelled rows (chosen by hash of the id), then flattened into arrays (feature, threshold, leaf values,
 complete trees), which go to the executors (some kilobytes) for vectorised traversal.
 
-Null and empty texts get the score of a text without words; a table without usable labels scores 0.5 throughout.
+Null and empty texts get the score of a text without words; texts of any length are measured whole; equal rows are scored
+one by one, and rows whose id repeats are that many examples, of which the first TRAIN_ROWS by hash are used; ties between splits go to the first
+feature and the lowest threshold; a table without usable labels scores 0.5 throughout; other columns are passed on, but one named
+__score is refused, as the result has it; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -103,7 +106,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
         x = features(C.texts_of(batch))
         return pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.string()), batch["__label"], pa.array(list(x), pa.list_(pa.float64()))], ["id", "label", "x"])
 
-    got = C.map_arrow(chosen.select("doc_id", "text", "__label"), compute, "id string, label int, x array<double>", C.SMALL_SLICE).limit(2 * rows).toArrow()
+    got = C.map_arrow(chosen.select("doc_id", "text", "__label"), compute, "id string, label int, x array<double>", C.SMALL_SLICE)
+    got = got.orderBy(F.xxhash64("id"), "id", "label", "x").limit(rows).toArrow()  # more only if ids repeat
     x = np.array(got["x"].to_pylist(), np.float64).reshape(-1, N_FEATURES)
     y = got["label"].to_numpy().astype(np.float64)
     order = np.lexsort([*x.T, y])  # the fit doesn't depend on the order of arrival
@@ -113,6 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
 def score(docs: DataFrame, trees: Trees) -> DataFrame:
     """All columns of docs, and __score."""
     C.ready(docs.sparkSession)
+    C.reserved(docs, "__score")
     model = docs.sparkSession.sparkContext.broadcast(trees)
     schema = docs.select("*").schema.add("__score", "double")
 

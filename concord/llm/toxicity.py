@@ -253,6 +253,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     spark = C.ready(docs.sparkSession)
     chosen = docs.select("doc_id", "text").join(F.broadcast(sampled_labels(labels, "toxic", HELD_OUT, FOLDS, rows)), "doc_id")  # at most `rows` rows
     chosen = C.stored(chosen.select("text", "__label").distinct(), "toxic-sample")  # copies of a text are one example
+    if chosen.count() > rows:  # ids repeat: the first by hash
+        order = F.xxhash64("text", "__label")
+        chosen = C.stored(chosen.withColumn("__h", order).join(F.broadcast(chosen.select(order.alias("__h")).orderBy("__h").limit(rows)), "__h", "left_semi").drop("__h"), "toxic-sample")
 
     def distinct(batch: pa.RecordBatch) -> pa.RecordBatch:
         flat, at = C.split_words(pc.utf8_lower(C.texts_of(batch)))
@@ -306,21 +309,23 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
         of, code = pairs // max(1, len(words)), pairs % max(1, len(words))
         use = near[code] > 0
         of, code = of[use], code[use]
-        order = np.lexsort((code, -near[code], of))
+        alphabetic = np.zeros(max(1, len(words)), np.int64)
+        alphabetic[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
+        order = np.lexsort((alphabetic[code], -near[code], of))
         rank = np.arange(len(of)) - np.searchsorted(of[order], of[order])
         keep = order[rank < KEPT]
         label = batch["__label"].to_numpy(zero_copy_only=False)
         key = [xxhash.xxh64_hexdigest(t or "") for t in batch["text"].to_pylist()]  # equal texts are one example
         return pa.RecordBatch.from_arrays([pa.array([key[i] for i in of[keep]], pa.string()), pa.array(label[of[keep]].astype(np.int32)), pa.array([words[i] in sure for i in code[keep]], pa.bool_()), pa.array(list(x[code[keep]]), pa.list_(pa.float32()))], ["id", "label", "sure", "x"])
 
-    got = C.map_arrow(chosen, worst, "id string, label int, sure boolean, x array<float>").limit(KEPT * 2 * rows).toArrow()
+    got = C.map_arrow(chosen, worst, "id string, label int, sure boolean, x array<float>").toArrow()  # KEPT words of each text at most
     if len({*got["label"].to_pylist()}) < 2:  # no word that tells the kinds apart: the share of toxic texts
         return Machine(Kernel([]), np.zeros(0), 0.0, 0.0, float(np.log(pos / neg)))
     root = nystrom(kernel)
     x = np.array(got["x"].to_pylist(), np.float64).reshape(-1, len(kernel.landmarks))
     known = got["sure"].to_numpy(zero_copy_only=False)
     y, ids = got["label"].to_numpy(), np.unique(got["id"].to_numpy(zero_copy_only=False), return_inverse=True)[1]
-    order = np.lexsort((*x.T, y))  # the fit doesn't depend on the order of arrival
+    order = np.lexsort((known, ids, *x.T, y))  # the fit doesn't depend on the order of arrival
     x, y, ids, known = x[order], y[order], ids[order], known[order]
     bent = kernel([v for w in bad for v in bent_forms(w)])  # insults with a letter put in are insults
     z = spread(x) @ root

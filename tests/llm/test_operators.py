@@ -473,6 +473,64 @@ def test_line_dedup(spark, docs, odd):
     assert len(got) == len(ODD) and sum(r.text is None for r in got) == 2
 
 
+# --- names, hot keys, many of a kind
+CLASHING = ["key", "size", "digest", "removed", "copies", "n_repeated", "__file", "__row", "__all", "_metadata", "bucket", "node", "h", "bytes", "lines", "__copy", "__label", "first"]
+
+
+def test_columns_of_any_name_are_passed_on(spark, docs):
+    df = docs.select("*", *(F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")).alias(c) for c in CLASHING))
+    stored = common.stored(df, "clashing")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(100)], "doc_id bigint, quality int, toxic int")
+    for frame in (df, stored):
+        plain = {r.doc_id: r for r in frame.collect()}
+        for got in (exact_dedup.dedup(frame), jaccard.one_of_each(frame), mixing.mix(frame), quality.accepted(frame, quality.train(frame, labels)), line_dedup.dedup_lines(frame).drop("__lines", "__repeated", "__removed")):
+            assert got.columns == df.columns
+            assert all({**r.asDict(), "text": 0} == {**plain[r.doc_id].asDict(), "text": 0} for r in got.collect())
+    for refused, f in (("__score", lambda x: quality.score(x, None)), ("__removed", line_dedup.dedup_lines)):
+        with pytest.raises(ValueError, match=refused):
+            f(docs.withColumn(refused, F.lit(1)))
+
+
+def test_exact_dedup_takes_ids_of_any_type_and_goes_on_where_it_stopped(spark, docs):
+    df = common.stored(docs.select(F.format_string("d%05d", "doc_id").alias("doc_id"), "text"), "ids")
+    home = common.scratch(spark, "resumed")
+    cols = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    want = sorted((f"d{r.doc_id:05d}", f"d{r.keep_id:05d}", *r[2:]) for r in exact_dedup.decisions(docs).select(cols).collect())
+    for _ in range(2):  # the second call finds all records in the state
+        assert sorted(map(tuple, exact_dedup.decisions(df, state=home).select(cols).collect())) == want
+
+
+def test_heavy_keys_are_joined_apart(spark, docs, monkeypatch):
+    rows = near_copies(groups=3) + [(1000 + i, "the very same text in many rows") for i in range(60)] + [(2000 + i, f"a\nb\nc\nd{i}\n") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    cols = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    look = lambda: (sorted(map(tuple, exact_dedup.decisions(df).select(cols).collect())), sorted(map(tuple, jaccard.join(df).select("doc_id", "n_shingles", "component_id").collect())), sorted(map(str, line_dedup.dedup_lines(df).collect())), sorted(map(tuple, mixing.sample(docs).select("doc_id", "taken").collect())))
+    want = look()
+    monkeypatch.setattr(common, "HEAVY", 1)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common.small, "__defaults__", (0, 0))
+    monkeypatch.setattr(exact_dedup, "SALT_ROWS", 7)
+    monkeypatch.setattr(jaccard, "BLOCK", 900)
+    monkeypatch.setattr(mixing, "SPAN", 2)
+    assert look() == want
+    assert [r[2] for r in want[1]] == brute_components(rows)[1]
+
+
+def test_viterbi_of_many_languages():
+    e = np.zeros((5, 200), np.float32)
+    e[:, 150] = 9
+    assert langid.viterbi(e, np.array([0, 5])).tolist() == [150] * 5
+
+
+def test_repeated_labelled_ids_are_bounded_alike(spark, docs):
+    twice = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" again"))))
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(100)], "doc_id bigint, quality int, toxic int")
+    a, b = (quality.train(x, labels, rows=40) for x in (twice, twice.repartition(7)))
+    assert (a.threshold == b.threshold).all() and (a.value == b.value).all()
+    a, b = (toxicity.train(x, labels, rows=40) for x in (twice, twice.repartition(7)))
+    assert a.bias == b.bias and a.kernel.words == b.kernel.words
+
+
 # --- all of them
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
