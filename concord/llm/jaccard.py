@@ -1,13 +1,14 @@
-"""Jaccard join of 4-word shingle sets with prefix trees, and the components of its links.
+"""Jaccard join of word shingle sets with prefix trees, and the components of its links.
 
-A shingle is a 64-bit hash; hash order is the global order of all sets. Equal sets collapse into one node first.
+The width of a shingle in words and the least similarity in percent are parameters. A shingle is a 64-bit hash; hash order is the global order of all sets. Equal sets collapse into one node first.
 
 Candidates. The smallest `SKETCH` shingles of a set are its sketch. Of the smallest SKETCH shingles of a union, each is
-in both sets with probability J, and if it is, it is in both sketches. So linked pairs (J >= 0.85) of large sets share
-at least `SHARED` sketch shingles but for a chance under 1e-14 (binomial tail), and sets of at most SKETCH shingles
-share `least_shared` of them with certainty (about 85 %, less what a larger partner's sketch leaves out). By the prefix
-principle, with a set's sketch shingles in the order of their frequency, two such sets meet in one of the first (size - SHARED + 1), so the most common shingles (boilerplate) are never
-keys, and sets with too few shingles known to any other set drop out at once.
+in both sets with probability J, and if it is, it is in both sketches. So linked pairs of large sets share
+at least `usually_shared` sketch shingles (8 at 85 %, 6 at 80 %) but for a chance under `MISSED` (binomial tail), and sets of at most
+SKETCH shingles share `least_shared` of them with certainty (about the percentage asked for, less what a larger partner's sketch
+leaves out). By the prefix principle, with a set's sketch shingles in the order of their frequency, two such sets meet in one of the
+first (size - shared + 1), so the most common shingles (boilerplate) are never keys, and sets with too few shingles known to any other
+set drop out at once.
 
 Verification. Sets that meet are stored in a prefix tree over the global order. A probe walks it once: sets with a
 common beginning share the overlap counted so far, and a subtree is cut off when what remains, of the probe or of the
@@ -31,7 +32,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import itertools
+import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +46,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WIDTH, PERCENT = 4, 85
-SKETCH, SHARED = 32, 8
+#: Shingles of a sketch, and the chance that a linked pair of larger sets is missed.
+SKETCH, MISSED = 32, 1e-14
 #: Groups of at most so many sets are compared as pairs (one comparison for all keys that a pair shares).
 PAIRS_UP_TO = 16
 #: Tokens of a segment before the bound is tested.
@@ -222,7 +226,7 @@ class Merger:
         return new
 
 
-def links(groups: list[list[np.ndarray]], components: list[list[int]], runs: int | None = None) -> list[tuple[int, int, int]]:
+def links(groups: list[list[np.ndarray]], components: list[list[int]], runs: int | None = None, percent: int = PERCENT) -> list[tuple[int, int, int]]:
     """(group, i, j): links between sets of different components, one for each merger that they bring about.
 
     runs: stop after so many components have probed."""
@@ -231,7 +235,7 @@ def links(groups: list[list[np.ndarray]], components: list[list[int]], runs: int
     active = [g for g, c in enumerate(components) if len(set(c)) > 1]
     if not active:
         return out
-    forest, number = Forest(groups), None
+    forest, number = Forest(groups, percent), None
     live = np.ones(len(forest.group), bool)
     while active:
         probes = np.full(len(groups), -1)
@@ -258,7 +262,7 @@ def links(groups: list[list[np.ndarray]], components: list[list[int]], runs: int
             old = back if number is not None else np.arange(len(live))
             back = old[live]
             number = dict(zip(back.tolist(), range(len(back)), strict=True))
-            forest = Forest([[groups[0][k] for k in back.tolist()]])
+            forest = Forest([[groups[0][k] for k in back.tolist()]], percent)
             live = np.ones(len(back), bool)
     return out
 
@@ -338,37 +342,47 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return C.stored(C.map_arrow(rows.select("node", "n", "text"), compute, "node bigint, n bigint, set binary", C.SMALL_SLICE), "sets")
 
 
-def _edges(tables: list[pa.Table], components: list[list[int]], runs: int | None = None) -> pa.Table:
+def _edges(tables: list[pa.Table], components: list[list[int]], percent: int, runs: int | None = None) -> pa.Table:
     nodes = [t["node"].to_pylist() for t in tables]
     sets = [[np.frombuffer(x, "<u8") for x in t["set"].to_pylist()] for t in tables]
-    found = links(sets, components, runs)
+    found = links(sets, components, runs, percent)
     return pa.table({"a": pa.array([nodes[g][i] for g, i, _ in found], pa.int64()), "b": pa.array([nodes[g][j] for g, _, j in found], pa.int64())})
 
 
-def _join(tables: list[pa.Table]) -> pa.Table:
+def _join(tables: list[pa.Table], percent: int) -> pa.Table:
     """Links between the components of the sets of each group."""
     tables = [t for t in tables if t.num_rows > 1]
-    return _edges(tables, [t["comp"].to_pylist() for t in tables])
+    return _edges(tables, [t["comp"].to_pylist() for t in tables], percent)
 
 
-def _verify(tables: list[pa.Table]) -> pa.Table:
+def _verify(tables: list[pa.Table], percent: int) -> pa.Table:
     """Links of one set of each group, whose node is the group's key, with the others."""
-    return _edges(tables, [[-1 if x == t["a"][0].as_py() else x for x in t["node"].to_pylist()] for t in tables], runs=1)
+    return _edges(tables, [[-1 if x == t["a"][0].as_py() else x for x in t["node"].to_pylist()] for t in tables], percent, runs=1)
 
 
-def least_shared(n: int) -> int:
+def usually_shared(percent: int = PERCENT) -> int:
+    """The most sketch shingles that a pair at the least similarity shares but for a chance under MISSED."""
+    p, chance = percent / 100, 0.0
+    for k in range(SKETCH + 1):
+        chance += math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)
+        if chance >= MISSED:
+            return k
+    return SKETCH
+
+
+def least_shared(n: int, percent: int = PERCENT) -> int:
     """The least number of sketch shingles that a set of n <= SKETCH shingles shares with a set that it is linked with: the
     least overlap that their sizes ask for, less what the partner's sketch leaves out."""
-    sizes = range(-(-PERCENT * n // 100), 100 * n // PERCENT + 1)
-    return min(-(-PERCENT * (n + m) // (100 + PERCENT)) - max(0, m - SKETCH) for m in sizes)
+    sizes = range(-(-percent * n // 100), 100 * n // percent + 1)
+    return min(-(-percent * (n + m) // (100 + percent)) - max(0, m - SKETCH) for m in sizes)
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
+def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     """(token, node, n, df): the keys of each set that can have a link at all."""
     tokens = classes.select("node", "n", F.explode("sketch").alias("token"))
     common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    small = F.array(*(F.lit(least_shared(n)) for n in range(1, SKETCH + 1)))
-    need = F.when(F.col("n") <= SKETCH, F.get(small, F.col("n") - 1)).otherwise(F.lit(SHARED)).cast("int")
+    small = F.array(*(F.lit(least_shared(n, percent)) for n in range(1, SKETCH + 1)))
+    need = F.when(F.col("n") <= SKETCH, F.get(small, F.col("n") - 1)).otherwise(F.lit(usually_shared(percent))).cast("int")
     ordered = C.skew_join(tokens, C.stored(common, "common"), "token", "df").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))  # at most SKETCH entries
     keys = ordered.where(F.size("t") >= need).select("node", "n", F.inline(F.slice("t", F.lit(1), F.size("t") - need + 1)))
     return C.stored(keys, "keys", few=True)
@@ -398,8 +412,10 @@ def _blocks(keys: DataFrame, known: DataFrame | None) -> DataFrame:
     return dealt.select("token", F.explode(F.when(F.col("comp") == F.col("major"), major).otherwise(F.concat(against, among))).alias("part"), "node", "comp")
 
 
-def join(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, and __file, __row, digest."""
+    if width < 1 or percent > 100 or not usually_shared(percent):
+        raise ValueError("shingles have one word or more, and sketches find links from 64 % to 100 %")
     C.ready(docs.sparkSession)
     docs = C.plain(docs)
     signed = C.stored(signatures(docs, width), "signatures")
@@ -407,13 +423,13 @@ def join(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     classes = signed.where("n > 0").groupBy("digest").agg(least, F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = C.stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # stored, so the number stays
 
-    keys = _candidates(classes)
+    keys = _candidates(classes, percent)
     nodes = keys.select("node").distinct().join(classes.select("node", "n", "first"), "node").select("node", "n", "first.__file", "first.__row")
     sets = _sets_of(docs, C.stored(nodes, "nodes", few=True), width).select("node", "set")
 
     two = keys.groupBy("node", "n").agg(F.min("token").alias("x"), F.max(F.struct("df", "token")).alias("y"))
     two = two.select("node", "n", F.explode(F.array_distinct(F.array("x", "y.token"))).alias("token"))
-    a = C.grouped(_blocks(two, None).withColumn("comp", F.col("node")).join(sets, "node"), ["token", "part"], _join, EDGE)
+    a = C.grouped(_blocks(two, None).withColumn("comp", F.col("node")).join(sets, "node"), ["token", "part"], partial(_join, percent=percent), EDGE)
     a = C.stored(a, "edges-a", few=True)
     known = components(a)
 
@@ -421,11 +437,11 @@ def join(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     size = small.groupBy("token").agg(F.count(F.lit(1)).alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(f"lo != hi and g <= {PAIRS_UP_TO}").select("token")
     small = C.stored(small.join(size, "token", "left_semi"), "small-groups", few=True)  # at most PAIRS_UP_TO rows a key
     other = small.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-    near = (F.col("node") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & (100 * F.least("n", "n_b") >= PERCENT * F.greatest("n", "n_b"))
+    near = (F.col("node") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b"))
     pairs = C.stored(small.join(other, "token").where(near).select(F.col("node").alias("a"), "b").distinct(), "pairs", few=True)  # groups of PAIRS_UP_TO at most
     shipped = pairs.select("a", F.col("b").alias("node")).unionByName(pairs.select("a", F.col("a").alias("node")).distinct())
-    b = C.grouped(shipped.join(sets, "node"), ["a"], _verify, EDGE)
-    c = C.grouped(_blocks(keys, known).join(sets, "node"), ["token", "part"], _join, EDGE)
+    b = C.grouped(shipped.join(sets, "node"), ["a"], partial(_verify, percent=percent), EDGE)
+    c = C.grouped(_blocks(keys, known).join(sets, "node"), ["token", "part"], partial(_join, percent=percent), EDGE)
     found = components(C.stored(a.unionByName(b).unionByName(c), "edges-b", few=False))
 
     own = classes.join(found, "node", "left").select("digest", "copies", F.coalesce("comp", "node").alias("comp"), "first")
@@ -439,8 +455,8 @@ def join(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"), F.coalesce(mine, F.lit(True)).alias("first"), "digest", "__file", "__row")
 
 
-def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that are the first of their component, with all their columns."""
     docs = C.plain(docs)
-    gone = C.stored(join(docs, width).where("not first").select("__file", "__row"), "jaccard-gone")
+    gone = C.stored(join(docs, width, percent).where("not first").select("__file", "__row"), "jaccard-gone")
     return C.by_place(C.whole(docs), gone, "left_anti").select("__all.*")

@@ -21,8 +21,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near copies."""
-    return jaccard.one_of_each(docs)
+    """One row of each component of near copies: shingles of five words, a similarity of 80 %."""
+    return jaccard.one_of_each(docs, width=5, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -180,11 +180,11 @@ def test_encoding_of_single_words():
 
 
 # --- jaccard
-def brute_components(rows):
+def brute_components(rows, width=4, percent=85):
     sets = []
     for _, t in rows:
         w = lower(t)
-        sets.append(frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3)) if len(w) > 3 else frozenset([tuple(w)] if w else []))
+        sets.append(frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else []))
     top = list(range(len(rows)))
 
     def find(x):
@@ -194,7 +194,7 @@ def brute_components(rows):
 
     for i, a in enumerate(sets):
         for j in range(i):
-            if a and sets[j] and 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
                 top[find(i)] = find(j)
     least = collections.defaultdict(list)
     for i, (d, _) in enumerate(rows):
@@ -216,30 +216,34 @@ def near_copies(seed=3, groups=6, words=120):
     return rows
 
 
-@pytest.mark.parametrize("pairs_up_to", [16, 2])
-def test_jaccard_components_are_those_of_all_pairs(spark, docs, odd, pairs_up_to, monkeypatch):
+@pytest.mark.parametrize(("pairs_up_to", "width", "percent"), [(16, 4, 85), (2, 4, 85), (16, 5, 80)])
+def test_jaccard_components_are_those_of_all_pairs(spark, docs, odd, pairs_up_to, width, percent, monkeypatch):
     monkeypatch.setattr(jaccard, "PAIRS_UP_TO", pairs_up_to)  # 2: nearly all groups go through blocks
     monkeypatch.setattr(jaccard, "BLOCK", 1500)
     frames = [spark.createDataFrame(near_copies(), "doc_id bigint, text string"), odd] + ([docs] if pairs_up_to == 16 else [])
     for df in frames:
         rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
-        sets, comps = brute_components(rows)
+        sets, comps = brute_components(rows, width, percent)
         want = sorted(str((d, len(s), c)) for (d, _), s, c in zip(rows, sets, comps, strict=True))
-        assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in jaccard.join(df).collect()) == want
+        assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in jaccard.join(df, width, percent).collect()) == want
 
 
-def test_jaccard_of_sets_about_as_large_as_a_sketch(spark):
+@pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80)])
+def test_jaccard_of_sets_about_as_large_as_a_sketch(spark, width, percent):
     rows = []
-    for g, (n, m) in enumerate([(n, m) for n in range(28, 41) for m in range(n + 1, 41) if 100 * n >= 85 * m] + [(32, 37)] * 40):
-        w = [f"g{g}w{i}" for i in range(m + 3)]  # m shingles, and n of them
-        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(w[: n + 3]))]
-    assert [r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string")).orderBy("doc_id").collect()] == brute_components(rows)[1]
+    for g, (n, m) in enumerate([(n, m) for n in range(28, 41) for m in range(n + 1, 41) if 100 * n >= percent * m] + [(32, 3200 // percent)] * 40):
+        w = [f"g{g}w{i}" for i in range(m + width - 1)]  # m shingles, and n of them
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(w[: n + width - 1]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert [r.component_id for r in jaccard.join(df, width, percent).orderBy("doc_id").collect()] == brute_components(rows, width, percent)[1]
 
 
-def test_least_shared_is_reached_and_never_missed():
+@pytest.mark.parametrize("percent", [64, 80, 85, 100])
+def test_least_shared_is_reached_and_never_missed(percent):
     for n in range(1, jaccard.SKETCH + 1):
-        linked = [(m, k) for m in range(1, 2 * n + 2) for k in range(min(n, m) + 1) if 100 * k >= jaccard.PERCENT * (n + m - k)]
-        assert jaccard.least_shared(n) == min(k - max(0, m - jaccard.SKETCH) for m, k in linked)
+        linked = [(m, k) for m in range(1, 2 * n + 2) for k in range(min(n, m) + 1) if 100 * k >= percent * (n + m - k)]
+        assert jaccard.least_shared(n, percent) == min(k - max(0, m - jaccard.SKETCH) for m, k in linked)
+    assert (jaccard.usually_shared(63), jaccard.usually_shared(80), jaccard.usually_shared(85)) == (0, 6, 8) and jaccard.usually_shared(64) > 0
 
 
 def test_forest_finds_what_all_pairs_have():

@@ -56,7 +56,7 @@ def test_pipeline_stages(spark, sf_dir):
                 first[t] = min(first.get(t, r.doc_id), r.doc_id)
             assert got == collections.Counter(first.values())
         if name == "near_dedup":
-            assert got == collections.Counter(set(brute_components([(r.doc_id, r.text) for r in rows])[1]))
+            assert got == collections.Counter(set(brute_components([(r.doc_id, r.text) for r in rows], 5, 80)[1]))
         if name in ("quality", "mixing"):
             assert set(got) <= {r.doc_id for r in rows} and max(got.values()) <= (2 if name == "mixing" else 1)
         if name == "packing":
