@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,16 +23,16 @@ def juror_weights(scores: DataFrame, by: list[str], score: str = "macro_f1", tem
     return scores.select(*by, "juror", softmax_over(F.col(score), by, temperature).alias("weight"))
 
 
-def mean_probs(preds: DataFrame, k: int, weights: DataFrame | None = None) -> DataFrame:
-    """Weighted mean probabilities of each example; the weights of its jurors are brought to sum 1."""
+def mean_probs(preds: DataFrame, k: int, weights: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Weighted mean probabilities of each example (within each `by`); the weights of its jurors are brought to sum 1."""
     rows = preds.withColumn("weight", F.lit(1.0)) if weights is None else preds.join(F.broadcast(weights.select("juror", "weight")), "juror")  # one row for each juror
     total = F.sum("weight")
     sums = F.array(*(F.sum(F.col("weight") * F.col("probs")[i]) / total for i in range(k)))
-    return rows.groupBy(*EX).agg(sums.alias("probs"))
+    return rows.groupBy(*by, *EX).agg(sums.alias("probs"))
 
 
-def soft_vote(preds: DataFrame, k: int, weights: DataFrame | None = None) -> DataFrame:
-    return mean_probs(preds, k, weights).select(*EX, argmax(F.col("probs")).alias("pred_label"), "probs")
+def soft_vote(preds: DataFrame, k: int, weights: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
+    return mean_probs(preds, k, weights, by).select(*by, *EX, argmax(F.col("probs")).alias("pred_label"), "probs")
 
 
 def _counts(preds: DataFrame, k: int, weights: DataFrame | None = None) -> DataFrame:
@@ -70,17 +72,17 @@ def weight_activation(preds: DataFrame, k: int, weights: DataFrame) -> DataFrame
     return got.crossJoin(top).withColumn("dominant", F.col("max_weight") > 0.5)  # two single rows
 
 
-def wide_correct(preds: DataFrame, jurors: list[str]) -> DataFrame:
+def wide_correct(preds: DataFrame, jurors: list[str], by: Sequence[str] = ()) -> DataFrame:
     """example_id and a 0/1 column of correctness for each juror."""
-    return preds.groupBy("example_id").agg(*(F.max(F.when(F.col("juror") == j, (F.col("true_label") == F.col("pred_label")).cast("int"))).alias(j) for j in jurors))
+    return preds.groupBy(*by, "example_id").agg(*(F.max(F.when(F.col("juror") == j, (F.col("true_label") == F.col("pred_label")).cast("int"))).alias(j) for j in jurors))
 
 
-def dependence(preds: DataFrame, jurors: list[str]) -> DataFrame:
+def dependence(preds: DataFrame, jurors: list[str], by: Sequence[str] = ()) -> DataFrame:
     """Of each pair of jurors: 2x2 counts of correctness, correlation (null without variance), Q, disagreement, kappa."""
     pairs = [(a, b) for i, a in enumerate(jurors) for b in jurors[i + 1 :]]
-    rows = wide_correct(preds, jurors).select(F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs))))
+    rows = wide_correct(preds, jurors, by).select(*by, F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs))))
     cell = lambda x, y: F.count_if((F.col("x") == x) & (F.col("y") == y))
-    t = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), cell(1, 1).alias("n11"), cell(1, 0).alias("n10"), cell(0, 1).alias("n01"), cell(0, 0).alias("n00"))
+    t = rows.groupBy(*by, "a", "b").agg(F.count(F.lit(1)).alias("n"), cell(1, 1).alias("n11"), cell(1, 0).alias("n10"), cell(0, 1).alias("n01"), cell(0, 0).alias("n00"))
     d = {c: F.col(c).cast("double") for c in ("n", "n11", "n10", "n01", "n00")}
     vx, vy = (d["n11"] + d["n10"]) * (d["n01"] + d["n00"]), (d["n11"] + d["n01"]) * (d["n10"] + d["n00"])
     det = d["n11"] * d["n00"] - d["n10"] * d["n01"]
@@ -89,9 +91,9 @@ def dependence(preds: DataFrame, jurors: list[str]) -> DataFrame:
     return t.withColumns({"r": F.when((vx > 0) & (vy > 0), F.try_divide(det, F.sqrt(vx * vy))), "q": F.try_divide(det, d["n11"] * d["n00"] + d["n10"] * d["n01"]), "disagreement": ratio(d["n10"] + d["n01"], d["n"]), "kappa": F.try_divide(po - pe, 1 - pe)})
 
 
-def error_summary(preds: DataFrame, jurors: list[str]) -> DataFrame:
+def error_summary(preds: DataFrame, jurors: list[str], by: Sequence[str] = ()) -> DataFrame:
     """Mean of the defined pairwise correlations, and how many are defined."""
-    return dependence(preds, jurors).agg(F.avg("r").alias("mean_r"), F.count("r").alias("n_defined"), F.count(F.lit(1)).alias("n_pairs"))
+    return dependence(preds, jurors, by).groupBy(*by).agg(F.avg("r").alias("mean_r"), F.count("r").alias("n_defined"), F.count(F.lit(1)).alias("n_pairs"))
 
 
 def gain(ensemble: DataFrame, members: DataFrame, metric: str, by: list[str]) -> DataFrame:

@@ -101,20 +101,21 @@ def bootstrap_delta(pairs: DataFrame, k: int, reps: int = 10_000, seed: int = 42
     return percentile_interval(stat, "delta", by)
 
 
-def bootstrap_gain(wide: DataFrame, members: list[str], reps: int = 10_000, seed: int = 42, rechoose: bool = True, fast: bool = False) -> DataFrame:
-    """Interval of the ensemble's accuracy over the best member's; wide has 0/1 columns `ensemble` and the members.
+def bootstrap_gain(wide: DataFrame, members: list[str], reps: int = 10_000, seed: int = 42, rechoose: bool = True, fast: bool = False, by: list[str] | None = None) -> DataFrame:
+    """Interval of the ensemble's accuracy over the best member's, within each `by`; wide has 0/1 columns `ensemble` and the members.
 
     rechoose: the best member is chosen again in each replicate, else once on all examples."""
-    d = draws(wide, reps, seed, "boot", None, fast)
-    means = d.groupBy("rep").agg(F.avg("ensemble").alias("e"), *(F.avg(m).alias(m) for m in members))
+    by = by or []
+    d = draws(wide, reps, seed, "boot", by, fast)
+    means = d.groupBy(*by, "rep").agg(F.avg("ensemble").alias("e"), *(F.avg(m).alias(m) for m in members))
     if rechoose:
         best = F.greatest(*(F.col(m) for m in members))
     else:
-        top = wide.agg(*(F.avg(m).alias(f"t_{m}") for m in members))
-        means = means.crossJoin(F.broadcast(top))  # a single row
+        top = wide.groupBy(*by).agg(*(F.avg(m).alias(f"t_{m}") for m in members))
+        means = means.join(top, by) if by else means.crossJoin(F.broadcast(top))  # a single row
         peak = F.greatest(*(F.col(f"t_{m}") for m in members))
         best = F.coalesce(*(F.when(F.col(f"t_{m}") == peak, F.col(m)) for m in members))
-    return percentile_interval(means.select((F.col("e") - best).alias("gain")), "gain")
+    return percentile_interval(means.select(*by, (F.col("e") - best).alias("gain")), "gain", by)
 
 
 def tost(pairs: DataFrame, margin: float = 0.01) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions.stats import mcnemar_exact, normal_cdf
 from ..operators import ensemble, inference, metrics
 from ..operators import splits as splits_
 from ..sources.tables import stored
-from .surrogates import ENSEMBLE_SQL, JURORS, K, PRED_SQL, REPS, bundle_select, class_sql, corpus, predictions, r, sql_int, sql_key, table
+from .surrogates import ENSEMBLE_SQL, JURORS, K, LADDER, LADDER_SQL, PRED_SQL, REPS, bundle_select, class_sql, corpus, ladder_predictions, predictions, r, sql_int, sql_key, table
 
 QUERIES, SQL = {}, {}
 
@@ -441,14 +441,29 @@ SELECT test, p, family, rank, {r('max(least(1, p * (3 - rank))) OVER (ORDER BY r
 
 @query
 def h4_dependence_against_gain(spark, sf_dir):
-    t = _test(spark, sf_dir)
-    acc = t.groupBy("juror").agg(F.avg((F.col("true_label") == F.col("pred_label")).cast("double")).alias("acc")).agg(F.max("acc").alias("best"))
-    e = ensemble.soft_vote(t, K).agg(F.avg((F.col("true_label") == F.col("pred_label")).cast("double")).alias("acc"))
-    return ensemble.error_summary(t, JURORS).select("mean_r", "n_defined").crossJoin(e).crossJoin(acc).withColumn("gain", F.col("acc") - F.col("best"))  # single rows
-
-
-SQL["h4_dependence_against_gain"] = f"""WITH {ENSEMBLE_SQL}, {_DEP}, a AS (SELECT juror, avg((true_label = pred_label)::INT) AS acc FROM test GROUP BY juror), e AS (SELECT avg((true_label = pred_label)::INT) AS acc FROM soft_eq)
-SELECT {r('(SELECT avg(r) FROM dep)')} AS mean_r, (SELECT count(r) FROM dep) AS n_defined, {r('e.acc')} AS acc, {r('(SELECT max(acc) FROM a)')} AS best, {r('e.acc - (SELECT max(acc) FROM a)')} AS gain FROM e"""
+    """Each ensemble of the ladder on each split: dependence of errors against the gain over the best member, with its interval."""
+    by = ["split_seed", "config"]
+    t = stored(ladder_predictions(spark, sf_dir), "ladder")
+    e = ensemble.soft_vote(t, K, by=by).select(*by, "example_id", (F.col("true_label") == F.col("pred_label")).cast("int").alias("ensemble"))
+    wide = stored(ensemble.wide_correct(t, JURORS, by).join(e, [*by, "example_id"]), "ladder-hits")
+    one = wide.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("ensemble").alias("acc"), F.greatest(*(F.avg(j) for j in JURORS)).alias("best")).withColumn("gain", F.col("acc") - F.col("best"))
+    overlap = F.create_map(*(F.lit(x) for c, (o, _) in LADDER.items() for x in (c, o)))
+    errors = ensemble.error_summary(t, JURORS, by).select(*by, "mean_r", "n_defined")
+    ci = inference.bootstrap_gain(wide, JURORS, REPS, by=by).select(*by, "ci_low", "ci_high")
+    return one.join(errors, by).join(ci, by).withColumn("overlap", overlap[F.col("config")])  # a row for each split and ensemble
+
+
+_LADDER_R = "(count(*) * sum(x * y) - sum(x) * sum(y)) / nullif(sqrt(((count(*) * sum(x) - sum(x) * sum(x)) * (count(*) * sum(y) - sum(y) * sum(y)))::DOUBLE), 0)"
+SQL["h4_dependence_against_gain"] = f"""WITH {LADDER_SQL}, pr AS ({' UNION ALL '.join(f"SELECT split_seed, config, '{a}{b}' AS pair, {a} AS x, {b} AS y FROM lwide" for a, b in (('J1', 'J2'), ('J1', 'J3'), ('J2', 'J3')))}),
+rs AS (SELECT split_seed, config, pair, {_LADDER_R} AS r FROM pr GROUP BY ALL), es AS (SELECT split_seed, config, avg(r) AS mean_r, count(r) AS n_defined FROM rs GROUP BY ALL),
+one AS (SELECT split_seed, config, count(*) AS n, avg(e) AS acc, greatest(avg(J1), avg(J2), avg(J3)) AS best FROM lwide GROUP BY ALL),
+pos AS (SELECT *, row_number() OVER (PARTITION BY split_seed, config ORDER BY example_id) - 1 AS pos, count(*) OVER (PARTITION BY split_seed, config) AS n FROM lwide),
+dr AS (SELECT split_seed, config, rep, {sql_int(sql_key('boot', 'rep', 'split_seed', 'config', 'pos'))} % n AS at FROM pos, (SELECT unnest(range(1, {REPS + 1})) AS rep)),
+ms AS (SELECT dr.split_seed, dr.config, rep, avg(e) - greatest(avg(J1), avg(J2), avg(J3)) AS g FROM dr JOIN pos ON dr.split_seed = pos.split_seed AND dr.config = pos.config AND dr.at = pos.pos GROUP BY ALL),
+ci AS (SELECT split_seed, config, quantile_cont(g, 0.025) AS lo, quantile_cont(g, 0.975) AS hi FROM ms GROUP BY ALL)
+SELECT one.split_seed, one.config, n, {r('acc')} AS acc, {r('best')} AS best, {r('acc - best')} AS gain, {r('mean_r')} AS mean_r, n_defined, {r('lo')} AS ci_low, {r('hi')} AS ci_high,
+  {r('CASE one.config ' + ' '.join(f"WHEN '{c}' THEN {o}" for c, (o, _) in LADDER.items()) + ' END')} AS overlap
+FROM one JOIN es ON one.split_seed = es.split_seed AND one.config = es.config JOIN ci ON one.split_seed = ci.split_seed AND one.config = ci.config"""
 
 
 MODEL_SEEDS = (1, 2, 3)
