@@ -137,7 +137,8 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = mean.groupBy("juror", "true_label").agg(F.array_sort(F.collect_list(F.struct("d", "m"))).alias("v"))
     model = one.groupBy("juror").agg(F.array_sort(F.collect_list(F.struct("true_label", F.col("v.m").alias("v")))).alias("c"))  # a row for each juror
     scored = e.where("part >= 6").crossJoin(F.broadcast(model))
-    probs = softmax(F.transform("c", lambda c: 4.0 * dot(F.col("embedding"), c["v"])))
+    scored = scored.withColumn("scores", F.transform("c", lambda c: 4.0 * dot(F.col("embedding"), c["v"])))  # a column of its own is computed once
+    probs = softmax(F.col("scores"))
     out = scored.select("juror", "example_id", "true_label", F.when(F.col("part") < 8, "val").otherwise("test").alias("part"), probs.alias("probs"))
     return out.withColumn("pred_label", argmax(F.col("probs")))
 
@@ -179,7 +180,8 @@ def ladder_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = mean.groupBy("split_seed", "config", "juror", "true_label").agg(F.array_sort(F.collect_list(F.struct("d", "m"))).alias("v"))
     model = one.groupBy("split_seed", "config", "juror").agg(F.array_sort(F.collect_list(F.struct("true_label", F.col("v.m").alias("v")))).alias("c"))
     scored = e.where("part >= 8").join(F.broadcast(model), "split_seed")  # a row for each split and juror
-    probs = softmax(F.transform("c", lambda c: 4.0 * dot(F.col("embedding"), c["v"])))
+    scored = scored.withColumn("scores", F.transform("c", lambda c: 4.0 * dot(F.col("embedding"), c["v"])))
+    probs = softmax(F.col("scores"))
     return scored.select("split_seed", "config", "juror", "example_id", "true_label", probs.alias("probs")).withColumn("pred_label", argmax(F.col("probs")))
 
 
