@@ -82,3 +82,38 @@ SELECT d.doc_id, len(lines)::BIGINT AS n_lines, coalesce((SELECT count(*) FROM l
   coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, md5(CASE WHEN spans.doc_id IS NULL THEN d.t ELSE coalesce(kept.t, '') END) AS text_md5
 FROM d LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+SQL["op11_chat_format"] = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+t AS (SELECT *, role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS first,
+  CASE role WHEN 'system' THEN 6 WHEN 'user' THEN 4 WHEN 'assistant' THEN 9 ELSE 1 + length(role) END AS label,
+  length(text) + length(text) - length(replace(text, '\', '')) + len(regexp_extract_all(text, '</?turn>'))
+    + coalesce(list_sum(list_transform(regexp_extract_all(text, '###+'), lambda x: length(x) - 2)), 0) AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(chars + CASE WHEN first THEN 4 + label + 2 + 8 ELSE 6 END)::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, part, arg_min(entry, (s, entry)) AS entry, min(s) AS s FROM
+  (SELECT p.vec_id, p.part, b.entry, sum((p.x - b.y) * (p.x - b.y))::BIGINT AS s FROM p JOIN b{i} b ON p.part = b.part AND p.d = b.d GROUP BY ALL) GROUP BY vec_id, part)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (SELECT a.part, a.entry, p.d, sum(p.x)::BIGINT AS s, count(*) AS c FROM a{i} a JOIN p ON a.vec_id = p.vec_id AND a.part = p.part GROUP BY ALL),
+b{i + 1} AS MATERIALIZED (SELECT b.part, b.entry, b.d, CASE WHEN c IS NULL THEN y ELSE (s - ((s % c + c) % c)) // c END AS y FROM b{i} b LEFT JOIN m{i} m ON b.part = m.part AND b.entry = m.entry AND b.d = m.d)""")
+    return f"""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, (d - 1) // w AS part, (d - 1) % w AS d, x FROM (SELECT vec_id, unnest(x) AS x, generate_subscripts(x, 1) AS d, len(x) // 4 AS w FROM v)),
+b0 AS MATERIALIZED (SELECT p.part, k.entry, p.d, p.x AS y FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v) k JOIN p ON p.vec_id = k.vec_id WHERE entry < 256),
+{', '.join(steps)},
+e AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(s)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+SELECT e.vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg(y, ',' ORDER BY part, entry, d)) FROM b{rounds}) AS codebooks_sha256
+FROM e JOIN v ON e.vec_id = v.vec_id"""
+
+
+SQL["op12_vector_codes"] = _codes_sql()

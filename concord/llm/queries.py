@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import exact_dedup, jaccard, langid, line_dedup, lm, mixing, packing, quality, rules, toxicity
+from . import chat, codes, exact_dedup, jaccard, langid, line_dedup, lm, mixing, packing, quality, rules, toxicity, whitening
 from .oracles import SQL
 
 
@@ -69,8 +69,26 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(C.documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    read = chat.read_back(chat.format_chats(turns.unionByName(chat.planted(spark))))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learnt = F.array_join("loss_texts", "")
+    return read.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.char_length(learnt).cast("bigint").alias("loss_chars"), F.sha2(learnt, 256).alias("loss_sha256"), "formatted_chars")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return rows.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_lm_scoring, op2_line_dedup, op3_exact_dedup, op4_toxicity, op5_rule_ledger, op6_mixing, op7_language_id, op8_quality, op9_packing, op10_jaccard_join]
+    own = [op1_lm_scoring, op2_line_dedup, op3_exact_dedup, op4_toxicity, op5_rule_ledger, op6_mixing, op7_language_id, op8_quality, op9_packing, op10_jaccard_join, op11_chat_format, op12_vector_codes, op13_whitening]
     return {f.__name__: f for f in own}
 
 
