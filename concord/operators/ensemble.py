@@ -25,7 +25,7 @@ def juror_weights(scores: DataFrame, by: list[str], score: str = "macro_f1", tem
 
 def mean_probs(preds: DataFrame, k: int, weights: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Weighted mean probabilities of each example (within each `by`); the weights of its jurors are brought to sum 1."""
-    rows = preds.withColumn("weight", F.lit(1.0)) if weights is None else preds.join(F.broadcast(weights.select("juror", "weight")), "juror")  # one row for each juror
+    rows = preds.withColumn("weight", F.lit(1.0)) if weights is None else preds.join(F.broadcast(weights.select(*by, "juror", "weight")), [*by, "juror"])  # one row for each juror (and `by`)
     total = F.sum("weight")
     sums = F.array(*(F.sum(F.col("weight") * F.col("probs")[i]) / total for i in range(k)))
     return rows.groupBy(*by, *EX).agg(sums.alias("probs"))
@@ -35,18 +35,18 @@ def soft_vote(preds: DataFrame, k: int, weights: DataFrame | None = None, by: Se
     return mean_probs(preds, k, weights, by).select(*by, *EX, argmax(F.col("probs")).alias("pred_label"), "probs")
 
 
-def _counts(preds: DataFrame, k: int, weights: DataFrame | None = None) -> DataFrame:
+def _counts(preds: DataFrame, k: int, weights: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Votes (or weight) for each class and mean probabilities of each example, in one aggregation."""
     rows = preds.withColumn("weight", F.lit(1.0)) if weights is None else preds.join(F.broadcast(weights.select("juror", "weight")), "juror")
     n = F.array(*(F.sum(F.when(F.col("pred_label") == i, F.col("weight")).otherwise(0.0)) for i in range(k)))
     mean = F.array(*(F.avg(F.col("probs")[i]) for i in range(k)))
-    return rows.groupBy(*EX).agg(n.alias("n"), mean.alias("mean"))
+    return rows.groupBy(*by, *EX).agg(n.alias("n"), mean.alias("mean"))
 
 
-def hard_vote_any(preds: DataFrame, k: int) -> DataFrame:
+def hard_vote_any(preds: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
     """Majority if two or more agree, else the argmax of the mean over all classes (which nobody may have chosen)."""
-    c = _counts(preds, k)
-    return c.select(*EX, F.when(F.array_max("n") >= 2, argmax(F.col("n"))).otherwise(argmax(F.col("mean"))).alias("pred_label"))
+    c = _counts(preds, k, by=by)
+    return c.select(*by, *EX, F.when(F.array_max("n") >= 2, argmax(F.col("n"))).otherwise(argmax(F.col("mean"))).alias("pred_label"))
 
 
 def hard_vote_tied(preds: DataFrame, k: int) -> DataFrame:

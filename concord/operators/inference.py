@@ -1,7 +1,7 @@
 """Paired tests and resampling. Input: one row per example with true_label, pred_a, pred_b (paired systems).
 
-Replicates are a column. Random bits and draws come from SHA-256 (portable to SQL) or, with fast=True, from xxhash64.
-A permutation p never reaches 0: (extreme + 1) / (B + 1).
+Replicates are drawn in count space (`resampling`): one pass counts the cells that the statistic depends on, and permutations and bootstrap
+samples are drawn of these counts, so their cost does not depend on the number of examples. A permutation p never reaches 0: (extreme + 1) / (B + 1).
 """
 
 from __future__ import annotations
@@ -9,124 +9,140 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import uniform_int
-from ..functions.stats import ratio
-from .metrics import class_counts, per_class
+from ..functions.stats import ratio, tost_p
+from ..sources.tables import stored
+from .resampling import binomial, multinomial, replicated, uniform
 
 TOLERANCE = 1e-12
+REPLICATES = 10_000
 
 
-def _bit(seed: int, namespace: str, fast: bool) -> Column:
-    if fast:
-        return F.pmod(F.xxhash64(F.lit(seed), F.lit(namespace), "rep", "example_id"), F.lit(2))
-    return uniform_int(2, seed, namespace, F.col("rep").cast("string"), F.col("example_id").cast("string"))
+def _right(pred: str) -> Column:
+    return F.coalesce(F.col("true_label") == F.col(pred), F.lit(False)).cast("int")
 
 
-def _replicates(df: DataFrame, reps: int) -> DataFrame:
-    return df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+def _p(extreme: str, differ: str, reps: int) -> Column:
+    return F.when(F.col(differ) == 0, 1.0).otherwise((F.col(extreme) + 1) / F.lit(float(reps + 1)))
 
 
-def permutation_accuracy(pairs: DataFrame, reps: int = 10_000, seed: int = 42, fast: bool = False, by: list[str] | None = None) -> DataFrame:
+def _flips(rows: DataFrame, n: str, reps: int, seed: int, namespace: str, *key: str) -> DataFrame:
+    """Replicates of a few rows with x, how many of their n examples swap the systems."""
+    drawn = replicated(rows, reps, *key).withColumn("p", F.lit(0.5)).withColumn("u", uniform(seed, namespace, "rep", *key))
+    return binomial(drawn, n, "p", "u", "x").drop("p", "u")
+
+
+def permutation_accuracy(pairs: DataFrame, reps: int = REPLICATES, seed: int = 42, by: list[str] | None = None) -> DataFrame:
     """One row (of each `by`): n, delta, extreme, p. Only examples whose correctness differs are signed; the divisor is all n."""
     by = by or []
-    d = pairs.select(*by, "example_id", ((F.col("true_label") == F.col("pred_a")).cast("int") - (F.col("true_label") == F.col("pred_b")).cast("int")).alias("d"))
-    base = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("sum_d"), F.count_if(F.col("d") != 0).alias("n_differ"))
-    each = _replicates(d.where("d != 0"), reps).withColumn("s", F.when(_bit(seed, "perm_acc", fast) == 1, F.col("d")).otherwise(-F.col("d")))
-    stat = each.groupBy(*by, "rep").agg(F.sum("s").alias("s"))
-    meet = lambda x, y, how: x.join(y, by, how) if by else x.crossJoin(F.broadcast(y))  # noqa: E731  a row for each `by`, or a single one
-    count = meet(stat, base, "inner").groupBy(*by).agg(F.count_if(F.abs("s") >= F.abs("sum_d")).alias("extreme"))
-    out = meet(base, count, "left").withColumn("extreme", F.coalesce("extreme", F.lit(0)))
-    return out.select(*by, "n", "n_differ", ratio(F.col("sum_d"), F.col("n")).alias("delta"), "extreme", F.when(F.col("n_differ") == 0, 1.0).otherwise((F.col("extreme") + 1) / F.lit(float(reps + 1))).alias("p"))
-
-
-def _macro_delta(rows: DataFrame, k: int, by: list[str]) -> DataFrame:
-    """delta of macro-F1 of columns a and b, by replicate."""
-    long = rows.select(*by, "true_label", F.inline(F.array(F.struct(F.lit("a").alias("sys"), F.col("a").alias("p")), F.struct(F.lit("b").alias("sys"), F.col("b").alias("p")))))
-    m = per_class(class_counts(long, [*by, "sys"], k, "true_label", "p")).groupBy(*by, "sys").agg(F.avg("f1").alias("m"))
-    return m.groupBy(*by).agg((F.max(F.when(F.col("sys") == "a", F.col("m"))) - F.max(F.when(F.col("sys") == "b", F.col("m")))).alias("delta"))
-
-
-def permutation_macro(pairs: DataFrame, k: int, reps: int = 10_000, seed: int = 42, fast: bool = False) -> DataFrame:
-    """One row: n, delta, extreme, p; each example's predictions swap with probability one half.
-
-    Only rows whose predictions differ can change anything: those are replicated, and the constant counts of the others
-    are added to every replicate, class by class."""
-    rows = pairs.select("example_id", "true_label", F.col("pred_a").alias("a"), F.col("pred_b").alias("b"))
-    actual = _macro_delta(rows.withColumn("rep", F.lit(0)), k, ["rep"]).select(F.col("delta").alias("actual"))
-    same = class_counts(rows.where("a = b").withColumn("one", F.lit(1)), ["one"], k, "true_label", "a").select("label", "tp", "predicted")
-    support = rows.groupBy("true_label").agg(F.count(F.lit(1)).alias("support")).select(F.col("true_label").alias("label"), "support")
-    swap = _replicates(rows.where("a != b"), reps).withColumn("s", _bit(seed, "perm_macro", fast) == 1)
-    swap = swap.select("rep", "true_label", F.when(F.col("s"), F.col("b")).otherwise(F.col("a")).alias("x"), F.when(F.col("s"), F.col("a")).otherwise(F.col("b")).alias("z"))
-    cells = [F.count_if(c).alias(f"{n}{i}") for i in range(k) for n, c in (("tx", (F.col("x") == i) & (F.col("true_label") == i)), ("px", F.col("x") == i), ("tz", (F.col("z") == i) & (F.col("true_label") == i)), ("pz", F.col("z") == i))]
-    per = swap.groupBy("rep").agg(*cells)
-    each = per.select("rep", F.inline(F.array(*(F.struct(F.lit(i).alias("label"), *(F.col(f"{n}{i}").alias(n) for n in ("tx", "px", "tz", "pz"))) for i in range(k)))))
-    each = each.join(F.broadcast(same), "label", "left").join(F.broadcast(support), "label", "left")  # a row for each class
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    score = lambda t, p: ratio(2 * (F.col(t) + zero("tp")), F.col(p) + zero("predicted") + zero("support"))
-    stat = each.groupBy("rep").agg((F.avg(score("tx", "px")) - F.avg(score("tz", "pz"))).alias("delta"))
-    count = stat.crossJoin(F.broadcast(actual)).agg(F.count_if(F.abs("delta") >= F.abs("actual") - TOLERANCE).alias("extreme"))
-    n = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") != F.col("b")).alias("n_differ"))
-    out = n.crossJoin(actual).crossJoin(count)  # single rows
-    return out.select("n", "n_differ", F.col("actual").alias("delta"), "extreme", F.when(F.col("n_differ") == 0, 1.0).otherwise((F.col("extreme") + 1) / F.lit(float(reps + 1))).alias("p"))
-
-
-def draws(rows: DataFrame, reps: int, seed: int, namespace: str, strata: list[str] | None = None, fast: bool = False) -> DataFrame:
-    """rows drawn with replacement, `reps` times as many in replicates; the draw depends on replicate, place and stratum
-    only, so all systems that are columns of a row share it, and so do runs with the same examples."""
-    strata = strata or []
-    w = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))
-    pos = rows.withColumn("__pos", F.row_number().over(w.orderBy("example_id")) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
-    at = pos.select(*strata, F.col("__pos").alias("__slot"), "__n")
-    key = [F.col("rep").cast("string"), *(F.col(s).cast("string") for s in strata), F.col("__slot").cast("string")]
-    pick = F.pmod(F.xxhash64(F.lit(seed), F.lit(namespace), *key), F.col("__n")) if fast else uniform_int(F.col("__n"), seed, namespace, *key)
-    drawn = _replicates(at, reps).withColumn("__pos", pick.cast("int")).select(*strata, "rep", "__pos")
-    # the optimiser does not see that drawn is `reps` times as large as pos, so the side to be hashed is named
-    return drawn.join(pos.drop("__n").hint("shuffle_hash"), [*strata, "__pos"]).drop("__pos")
+    d = pairs.select(*by, (_right("pred_a") - _right("pred_b")).alias("d"))
+    base = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("d"), F.lit(0)).alias("sum_d"), F.count_if(F.col("d") != 0).alias("n_differ"))
+    each = _flips(base, "n_differ", reps, seed, "perm_acc", *by)  # x of n_differ signs are positive
+    out = each.groupBy(*by, "n", "sum_d", "n_differ").agg(F.count_if(F.abs(2 * F.col("x") - F.col("n_differ")) >= F.abs("sum_d")).alias("extreme"))
+    out = out.withColumn("extreme", F.when(F.col("n_differ") == 0, 0).otherwise(F.col("extreme")))
+    return out.select(*by, "n", "n_differ", ratio(F.col("sum_d"), F.col("n")).alias("delta"), "extreme", _p("extreme", "n_differ", reps).alias("p"))
+
+
+def _label_cells(pairs: DataFrame, k: int, by: list[str]) -> DataFrame:
+    """Counts by true label and both predictions; whatever is no label of 0..k-1 is k."""
+    known = lambda c: F.when(F.col(c).between(0, k - 1), F.col(c).cast("int")).otherwise(k)
+    return pairs.groupBy(*by, known("true_label").alias("t"), known("pred_a").alias("a"), known("pred_b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _class_sums(k: int, parts: list[tuple[str, str, str]]) -> list[Column]:
+    """tp<name><class> and pred<name><class> of systems; parts: a system's name, a prediction, and how many examples have it, as expressions' texts."""
+    out = []
+    for name in sorted({p[0] for p in parts}):
+        for i in range(k):
+            for kind, also in (("tp", f" AND t = {i}"), ("pred", "")):
+                counts = " + ".join(f"IF({pred} = {i}{also}, {n}, 0L)" for x, pred, n in parts if x == name)
+                out.append(F.expr(f"sum({counts}) AS {kind}{name}{i}"))
+    return out
+
+
+def _support(k: int) -> list[Column]:
+    return [F.expr(f"sum(IF(t = {i}, n, 0L)) AS support{i}") for i in range(k)]
+
+
+def _macro(k: int, system: str, *more: str) -> Column:
+    """Macro-F1 of a system from its class sums; those of the names in `more` are added."""
+    add = lambda kind, i: " + ".join(f"{kind}{x}{i}" for x in (system, *more))
+    f1 = [f"coalesce(try_divide(2D * ({add('tp', i)}), CAST({add('pred', i)} + support{i} AS DOUBLE)), 0D)" for i in range(k)]
+    return F.expr(f"({' + '.join(f1)}) / {k}D")
+
+
+def permutation_macro(pairs: DataFrame, k: int, reps: int = REPLICATES, seed: int = 42, by: list[str] | None = None) -> DataFrame:
+    """One row (of each `by`): n, delta, extreme, p; each example's predictions swap with probability one half.
+
+    Of the cells with two different predictions a binomial share swaps; the counts of the others are the same in every replicate."""
+    by = by or []
+    cells = stored(_label_cells(pairs, k, by), "cells")
+    base = cells.groupBy(*by).agg(*_support(k), *_class_sums(k, [("a", "a", "n"), ("b", "b", "n"), ("same", "a", "IF(a = b, n, 0L)")]), F.expr("coalesce(sum(n), 0L) AS n"), F.expr("coalesce(sum(IF(a != b, n, 0L)), 0L) AS n_differ"))
+    base = base.withColumn("actual", _macro(k, "a") - _macro(k, "b")).drop(*(f"{c}{s}{i}" for c in ("tp", "pred") for s in "ab" for i in range(k)))
+    base = stored(base.withColumn("__g", F.struct(F.lit(0), *by)), "cells-base")  # a struct is never null, a `by` may be
+    swapped = _flips(cells.where("a != b"), "n", reps, seed, "perm_macro", *by, "t", "a", "b")
+    per = swapped.groupBy(*by, "rep").agg(*_class_sums(k, [("x", "a", "(n - x)"), ("x", "b", "x"), ("z", "b", "(n - x)"), ("z", "a", "x")]))
+    each = per.withColumn("__g", F.struct(F.lit(0), *by)).drop(*by).join(base.drop(*by), "__g")
+    stat = each.select("__g", "actual", (_macro(k, "x", "same") - _macro(k, "z", "same")).alias("delta"))
+    count = stat.groupBy("__g").agg(F.count_if(F.abs("delta") >= F.abs("actual") - TOLERANCE).alias("extreme"))
+    out = base.join(count, "__g", "left").withColumn("extreme", F.coalesce("extreme", F.lit(0)))
+    return out.select(*by, "n", "n_differ", F.coalesce("actual", F.lit(0.0)).alias("delta"), "extreme", _p("extreme", "n_differ", reps).alias("p"))
 
 
 def percentile_interval(stat: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     return stat.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("reps"), F.percentile(value, F.lit(0.025)).alias("ci_low"), F.percentile(value, F.lit(0.975)).alias("ci_high"))
 
 
-def bootstrap_delta(pairs: DataFrame, k: int, reps: int = 10_000, seed: int = 42, metric: str = "accuracy", strata: list[str] | None = None, fast: bool = False, by: list[str] | None = None) -> DataFrame:
-    """Interval of metric(a) - metric(b) under shared resamples, within each `by`."""
-    by = by or []
-    rows = pairs.select(*by, "example_id", "true_label", F.col("pred_a").alias("a"), F.col("pred_b").alias("b"))
-    d = draws(rows, reps, seed, "boot", [*by, *(strata or [])], fast)
+def bootstrap_delta(pairs: DataFrame, k: int, reps: int = REPLICATES, seed: int = 42, metric: str = "accuracy", strata: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """Interval of metric(a) - metric(b) under shared resamples, within each `by`; strata keep their sizes."""
+    by, strata = by or [], strata or []
+    groups = [*by, *(s for s in strata if s not in by)]
     if metric == "accuracy":
-        hit = lambda c: F.sum((F.col(c) == F.col("true_label")).cast("int"))
-        stat = d.groupBy(*by, "rep").agg(ratio(hit("a") - hit("b"), F.count(F.lit(1))).alias("delta"))
+        cell = (2 * _right("pred_a") + _right("pred_b")).alias("cell")
+        drawn = multinomial(pairs.groupBy(*groups, cell).agg(F.count(F.lit(1)).alias("n")), reps, seed, "boot", groups)
+        sign = F.when(F.col("cell") == 2, F.col("n")).when(F.col("cell") == 1, -F.col("n")).otherwise(0)
+        stat = drawn.groupBy(*by, "rep").agg(ratio(F.sum(sign), F.sum("n")).alias("delta"))
     else:
-        stat = _macro_delta(d, k, [*by, "rep"])
+        keys = [*by, *(f"__s{i}" for i in range(len(strata)))]
+        cells = _label_cells(pairs.select("*", *(F.col(s).alias(f"__s{i}") for i, s in enumerate(strata))), k, keys)
+        split = multinomial(cells.select(*keys, F.struct("t", "a", "b").alias("cell"), "n"), reps, seed, "boot", keys).select(*by, "rep", "n", "cell.*")
+        sums = split.groupBy(*by, "rep").agg(*_support(k), *_class_sums(k, [("a", "a", "n"), ("b", "b", "n")]))
+        stat = sums.select(*by, "rep", (_macro(k, "a") - _macro(k, "b")).alias("delta"))
     return percentile_interval(stat, "delta", by)
 
 
-def bootstrap_gain(wide: DataFrame, members: list[str], reps: int = 10_000, seed: int = 42, rechoose: bool = True, fast: bool = False, by: list[str] | None = None) -> DataFrame:
+def bootstrap_gain(wide: DataFrame, members: list[str], reps: int = REPLICATES, seed: int = 42, rechoose: bool = True, by: list[str] | None = None) -> DataFrame:
     """Interval of the ensemble's accuracy over the best member's, within each `by`; wide has 0/1 columns `ensemble` and the members.
 
-    rechoose: the best member is chosen again in each replicate, else once on all examples."""
+    rechoose: the best member is chosen again in each replicate, else once on all examples. Replicates are drawn of the 2 ** (members + 1) patterns of who is right."""
     by = by or []
-    d = draws(wide, reps, seed, "boot", by, fast)
-    means = d.groupBy(*by, "rep").agg(F.avg("ensemble").alias("e"), *(F.avg(m).alias(m) for m in members))
+    columns = ["ensemble", *members]
+    pattern = sum((F.coalesce(F.col(c), F.lit(0)) * (1 << i) for i, c in enumerate(columns)), F.lit(0)).cast("int")
+    cells = stored(wide.groupBy(*by, pattern.alias("cell")).agg(F.count(F.lit(1)).alias("n")), "patterns")
+    has = lambda i: F.call_function("shiftright", F.col("cell"), F.lit(i)) % 2 * F.col("n")
+    share = [ratio(F.sum(has(i)), F.sum("n"), None).alias(c) for i, c in enumerate(columns)]
+    means = multinomial(cells, reps, seed, "boot", by).groupBy(*by, "rep").agg(*share)
     if rechoose:
         best = F.greatest(*(F.col(m) for m in members))
     else:
-        top = wide.groupBy(*by).agg(*(F.avg(m).alias(f"t_{m}") for m in members))
-        means = means.join(top, by) if by else means.crossJoin(F.broadcast(top))  # a single row
-        peak = F.greatest(*(F.col(f"t_{m}") for m in members))
-        best = F.coalesce(*(F.when(F.col(f"t_{m}") == peak, F.col(m)) for m in members))
-    return percentile_interval(means.select(*by, (F.col("e") - best).alias("gain")), "gain", by)
-
-
-def tost(pairs: DataFrame, margin: float = 0.01) -> DataFrame:
-    """Equivalence of paired accuracies: mean difference, se (ddof 1) and the two z; both infinite without variance.
-    `tost_p` turns them into p values."""
-    d = (F.col("true_label") == F.col("pred_a")).cast("double") - (F.col("true_label") == F.col("pred_b")).cast("double")
-    t = pairs.select(d.alias("d")).agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("diff"), F.sum("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("ss"))
+        top = cells.groupBy(*by).agg(*share)
+        peak = F.greatest(*(F.col(m) for m in members))
+        first = F.coalesce(*(F.when(F.col(m) == peak, F.lit(m)) for m in members))
+        chosen = top.select(F.struct(F.lit(0), *by).alias("__g"), first.alias("chosen"))
+        means = means.withColumn("__g", F.struct(F.lit(0), *by)).join(chosen, "__g").drop("__g")
+        best = F.coalesce(*(F.when(F.col("chosen") == m, F.col(m)) for m in members))
+    return percentile_interval(means.select(*by, (F.col("ensemble") - best).alias("gain")), "gain", by)
+
+
+def tost(pairs: DataFrame, margin: float = 0.01, by: list[str] | None = None) -> DataFrame:
+    """Equivalence of paired accuracies (of each `by`): mean difference, se (ddof 1), the two z (null without variance) and the larger one-sided p."""
+    by = by or []
+    d = (_right("pred_a") - _right("pred_b")).cast("double")
+    t = pairs.select(*by, d.alias("d")).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("diff"), F.sum("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("ss"))
     n = F.col("n").cast("double")
     var = F.when(F.col("n") > 1, (F.col("ss") - F.col("s") * F.col("s") / n) / (n - 1)).otherwise(0.0)
     t = t.withColumn("se", F.sqrt(F.greatest(var, F.lit(0.0)) / n))
-    return t.select("n", "diff", "se", F.try_divide(F.col("diff") + margin, F.col("se")).alias("z_low"), F.try_divide(F.col("diff") - margin, F.col("se")).alias("z_high"), (F.abs("diff") < margin).alias("inside"))
+    t = t.select(*by, "n", "diff", "se", F.try_divide(F.col("diff") + margin, F.col("se")).alias("z_low"), F.try_divide(F.col("diff") - margin, F.col("se")).alias("z_high"), (F.abs("diff") < margin).alias("inside"))
+    return t.withColumn("p", tost_p(F.col("z_low"), F.col("z_high"), F.col("se"), F.col("inside")))
 
 
 def holm(tests: DataFrame, family: list[str], name: str = "test", p: str = "p") -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.stats import cohen_h as effect_h
-from ..functions.stats import mcnemar_exact, normal_cdf
+from ..functions.stats import mcnemar_exact
 from ..operators import ensemble, inference, metrics
 from ..operators import splits as splits_
 from ..sources.tables import stored
-from .surrogates import ENSEMBLE_SQL, JURORS, K, LADDER, LADDER_SQL, PRED_SQL, REPS, bundle_select, class_sql, corpus, ladder_predictions, predictions, r, sql_int, sql_key, table
+from . import resampling_sql as RS
+from .surrogates import ENSEMBLE_SQL, JURORS, K, LADDER, LADDER_SQL, PRED_SQL, REPS, bundle_select, class_sql, corpus, ladder_predictions, ladder_sql, predictions, r, sql_int, sql_key, table
 
 QUERIES, SQL = {}, {}
 
@@ -248,10 +249,7 @@ def perm_accuracy(spark, sf_dir):
     return inference.permutation_accuracy(_pairs(spark, sf_dir), REPS)
 
 
-SQL["perm_accuracy"] = f"""WITH {ENSEMBLE_SQL}, d AS (SELECT example_id, (true_label = pred_a)::INT - (true_label = pred_b)::INT AS d FROM pairs),
-s AS (SELECT rep, sum(CASE WHEN {sql_int(sql_key('perm_acc', 'rep', 'example_id'))} % 2 = 1 THEN d ELSE -d END) AS s FROM d, (SELECT unnest(range(1, {REPS + 1})) AS rep) WHERE d <> 0 GROUP BY rep)
-SELECT count(*) AS n, count(*) FILTER (WHERE d <> 0) AS n_differ, {r('sum(d) / count(*)')} AS delta, (SELECT count(*) FROM s WHERE abs(s) >= abs((SELECT sum(d) FROM d))) AS extreme,
-  {r(f'CASE WHEN count(*) FILTER (WHERE d <> 0) = 0 THEN 1 ELSE ((SELECT count(*) FROM s WHERE abs(s) >= abs((SELECT sum(d) FROM d))) + 1) / {REPS + 1} END')} AS p FROM d"""
+SQL["perm_accuracy"] = f"WITH {ENSEMBLE_SQL},\n{RS.perm_accuracy('pairs', REPS, [])}\nSELECT * FROM pa"
 
 
 @query
@@ -259,15 +257,7 @@ def perm_macro(spark, sf_dir):
     return inference.permutation_macro(_pairs(spark, sf_dir), K, REPS)
 
 
-SQL["perm_macro"] = f"""WITH {ENSEMBLE_SQL}, b AS (SELECT rep, example_id, true_label, {sql_int(sql_key('perm_macro', 'rep', 'example_id'))} % 2 = 1 AS s, pred_a, pred_b FROM pairs, (SELECT unnest(range(1, {REPS + 1})) AS rep)),
-sw AS (SELECT rep, true_label, CASE WHEN s THEN pred_b ELSE pred_a END AS pred_label, 'x' AS sys FROM b UNION ALL SELECT rep, true_label, CASE WHEN s THEN pred_a ELSE pred_b END, 'z' FROM b
-  UNION ALL SELECT 0, true_label, pred_a, 'x' FROM pairs UNION ALL SELECT 0, true_label, pred_b, 'z' FROM pairs),
-{class_sql('sw', ['rep', 'sys'])}, m AS (SELECT rep, sys, avg(f1) AS f FROM cc GROUP BY ALL), dl AS (SELECT rep, max(f) FILTER (WHERE sys = 'x') - max(f) FILTER (WHERE sys = 'z') AS d FROM m GROUP BY rep),
-x AS (SELECT (SELECT d FROM dl WHERE rep = 0) AS actual, count(*) FILTER (WHERE rep > 0 AND abs(d) >= abs((SELECT d FROM dl WHERE rep = 0)) - 1e-12) AS extreme FROM dl)
-SELECT (SELECT count(*) FROM pairs) AS n, (SELECT count(*) FROM pairs WHERE pred_a <> pred_b) AS n_differ, {r('actual')} AS delta, extreme, {r(f'CASE WHEN (SELECT count(*) FROM pairs WHERE pred_a <> pred_b) = 0 THEN 1 ELSE (extreme + 1) / {REPS + 1} END')} AS p FROM x"""
-
-_DRAWS = f"""pos AS (SELECT *, row_number() OVER (ORDER BY example_id) - 1 AS pos, count(*) OVER () AS n FROM pairs),
-draws AS (SELECT rep, p2.example_id, p2.true_label, p2.pred_a, p2.pred_b FROM (SELECT rep, {sql_int(sql_key('boot', 'rep', 'pos'))} % n AS at FROM pos, (SELECT unnest(range(1, {REPS + 1})) AS rep)) d JOIN pos p2 ON d.at = p2.pos)"""
+SQL["perm_macro"] = f"WITH {ENSEMBLE_SQL},\n{RS.perm_macro('pairs', K, REPS, [])}\nSELECT * FROM pm"
 
 
 @query
@@ -275,7 +265,7 @@ def boot_delta(spark, sf_dir):
     return inference.bootstrap_delta(_pairs(spark, sf_dir), K, REPS)
 
 
-SQL["boot_delta"] = f"WITH {ENSEMBLE_SQL}, {_DRAWS}, s AS (SELECT rep, (sum((pred_a = true_label)::INT) - sum((pred_b = true_label)::INT)) / count(*) AS d FROM draws GROUP BY rep) SELECT count(*) AS reps, {r('quantile_cont(d, 0.025)')} AS ci_low, {r('quantile_cont(d, 0.975)')} AS ci_high FROM s"
+SQL["boot_delta"] = f"WITH RECURSIVE {ENSEMBLE_SQL},\n{RS.boot_accuracy('pairs', REPS, [])}\nSELECT * FROM ba"
 
 
 @query
@@ -283,8 +273,7 @@ def boot_macro(spark, sf_dir):
     return inference.bootstrap_delta(_pairs(spark, sf_dir), K, REPS, metric="macro_f1")
 
 
-SQL["boot_macro"] = f"""WITH {ENSEMBLE_SQL}, {_DRAWS}, sw AS (SELECT rep, 'x' AS sys, true_label, pred_a AS pred_label FROM draws UNION ALL SELECT rep, 'z', true_label, pred_b FROM draws), {class_sql('sw', ['rep', 'sys'])},
-m AS (SELECT rep, sys, avg(f1) AS f FROM cc GROUP BY ALL), s AS (SELECT rep, max(f) FILTER (WHERE sys = 'x') - max(f) FILTER (WHERE sys = 'z') AS d FROM m GROUP BY rep) SELECT count(*) AS reps, {r('quantile_cont(d, 0.025)')} AS ci_low, {r('quantile_cont(d, 0.975)')} AS ci_high FROM s"""
+SQL["boot_macro"] = f"WITH RECURSIVE {ENSEMBLE_SQL},\n{RS.boot_macro('pairs', K, REPS, [])}\nSELECT * FROM bm"
 
 
 @query
@@ -292,9 +281,7 @@ def boot_stratified(spark, sf_dir):
     return inference.bootstrap_delta(_pairs(spark, sf_dir), K, REPS, strata=["true_label"])
 
 
-SQL["boot_stratified"] = f"""WITH {ENSEMBLE_SQL}, pos AS (SELECT *, row_number() OVER (PARTITION BY true_label ORDER BY example_id) - 1 AS pos, count(*) OVER (PARTITION BY true_label) AS n FROM pairs),
-draws AS (SELECT rep, p2.* FROM (SELECT rep, true_label, {sql_int(sql_key('boot', 'rep', 'true_label', 'pos'))} % n AS at FROM pos, (SELECT unnest(range(1, {REPS + 1})) AS rep)) d JOIN pos p2 ON d.at = p2.pos AND d.true_label = p2.true_label),
-s AS (SELECT rep, (sum((pred_a = true_label)::INT) - sum((pred_b = true_label)::INT)) / count(*) AS d FROM draws GROUP BY rep) SELECT count(*) AS reps, {r('quantile_cont(d, 0.025)')} AS ci_low, {r('quantile_cont(d, 0.975)')} AS ci_high FROM s"""
+SQL["boot_stratified"] = f"WITH RECURSIVE {ENSEMBLE_SQL},\n{RS.boot_accuracy('pairs', REPS, [], ['true_label'])}\nSELECT * FROM ba"
 
 
 def _wide(spark, sf_dir):
@@ -308,10 +295,8 @@ def boot_gain(spark, sf_dir):
     return inference.bootstrap_gain(_wide(spark, sf_dir), JURORS, REPS)
 
 
-_GAIN = f"""wide AS (SELECT t.example_id, max((t.true_label = t.pred_label)::INT) FILTER (WHERE juror = 'J1') AS J1, max((t.true_label = t.pred_label)::INT) FILTER (WHERE juror = 'J2') AS J2, max((t.true_label = t.pred_label)::INT) FILTER (WHERE juror = 'J3') AS J3, max((s.true_label = s.pred_label)::INT) AS e FROM test t JOIN soft_eq s ON t.example_id = s.example_id GROUP BY t.example_id),
-pos AS (SELECT *, row_number() OVER (ORDER BY example_id) - 1 AS pos, count(*) OVER () AS n FROM wide),
-means AS (SELECT rep, avg(p2.e) AS e, avg(p2.J1) AS J1, avg(p2.J2) AS J2, avg(p2.J3) AS J3 FROM (SELECT rep, {sql_int(sql_key('boot', 'rep', 'pos'))} % n AS at FROM pos, (SELECT unnest(range(1, {REPS + 1})) AS rep)) d JOIN pos p2 ON d.at = p2.pos GROUP BY rep)"""
-SQL["boot_gain"] = f"WITH {ENSEMBLE_SQL}, {_GAIN} SELECT count(*) AS reps, {r('quantile_cont(e - greatest(J1, J2, J3), 0.025)')} AS ci_low, {r('quantile_cont(e - greatest(J1, J2, J3), 0.975)')} AS ci_high FROM means"
+_WIDE = "wide AS (SELECT t.example_id, max((t.true_label = t.pred_label)::INT) FILTER (WHERE juror = 'J1') AS J1, max((t.true_label = t.pred_label)::INT) FILTER (WHERE juror = 'J2') AS J2, max((t.true_label = t.pred_label)::INT) FILTER (WHERE juror = 'J3') AS J3, max((s.true_label = s.pred_label)::INT) AS e FROM test t JOIN soft_eq s ON t.example_id = s.example_id GROUP BY t.example_id)"
+SQL["boot_gain"] = f"WITH RECURSIVE {ENSEMBLE_SQL}, {_WIDE},\n{RS.boot_gain('wide', JURORS, REPS, [])}\nSELECT * FROM bg"
 
 
 @query
@@ -319,8 +304,7 @@ def boot_gain_fixed(spark, sf_dir):
     return inference.bootstrap_gain(_wide(spark, sf_dir), JURORS, REPS, rechoose=False)
 
 
-SQL["boot_gain_fixed"] = f"""WITH {ENSEMBLE_SQL}, {_GAIN}, top AS (SELECT avg(J1) AS a, avg(J2) AS b, avg(J3) AS c FROM wide), g AS (SELECT e - CASE WHEN a >= b AND a >= c THEN J1 WHEN b >= c THEN J2 ELSE J3 END AS g FROM means, top)
-SELECT count(*) AS reps, {r('quantile_cont(g, 0.025)')} AS ci_low, {r('quantile_cont(g, 0.975)')} AS ci_high FROM g"""
+SQL["boot_gain_fixed"] = f"WITH RECURSIVE {ENSEMBLE_SQL}, {_WIDE},\n{RS.boot_gain('wide', JURORS, REPS, [], rechoose=False)}\nSELECT * FROM bg"
 
 
 def _discordant(spark, sf_dir):
@@ -347,7 +331,7 @@ SQL["cohen_h"] = f"WITH {ENSEMBLE_SQL}, {_DISC} SELECT {r('acc_a')} AS acc_a, {r
 
 @query
 def tost_z(spark, sf_dir):
-    return inference.tost(_pairs(spark, sf_dir))
+    return inference.tost(_pairs(spark, sf_dir)).drop("p")
 
 
 SQL["tost_z"] = f"""WITH {ENSEMBLE_SQL}, d AS (SELECT (true_label = pred_a)::INT - (true_label = pred_b)::INT AS d FROM pairs), t AS (SELECT count(*) AS n, avg(d) AS diff, coalesce(stddev_samp(d), 0) / sqrt(count(*)) AS se FROM d)
@@ -356,9 +340,10 @@ SELECT n, {r('diff')} AS diff, {r('se')} AS se, {r('(diff + 0.01) / nullif(se, 0
 
 @query
 def tost_p(spark, sf_dir):
-    t = inference.tost(_pairs(spark, sf_dir))
-    p = F.greatest(1 - normal_cdf(F.col("z_low")), normal_cdf(F.col("z_high")))
-    return t.select("n", "diff", F.when(F.col("se") > 0, p).otherwise(F.when(F.col("inside"), 0.0).otherwise(1.0)).alias("p"))
+    return inference.tost(_pairs(spark, sf_dir)).select("n", "diff", "p")
+
+
+SQL["tost_p"] = f"WITH {ENSEMBLE_SQL}, {RS.tost('pairs', [])} SELECT n, {r('diff')} AS diff, {r('p')} AS p FROM tost"
 
 
 @query
@@ -454,56 +439,178 @@ def h4_dependence_against_gain(spark, sf_dir):
 
 
 _LADDER_R = "(count(*) * sum(x * y) - sum(x) * sum(y)) / nullif(sqrt(((count(*) * sum(x) - sum(x) * sum(x)) * (count(*) * sum(y) - sum(y) * sum(y)))::DOUBLE), 0)"
-SQL["h4_dependence_against_gain"] = f"""WITH {LADDER_SQL}, pr AS ({' UNION ALL '.join(f"SELECT split_seed, config, '{a}{b}' AS pair, {a} AS x, {b} AS y FROM lwide" for a, b in (('J1', 'J2'), ('J1', 'J3'), ('J2', 'J3')))}),
+SQL["h4_dependence_against_gain"] = f"""WITH RECURSIVE {LADDER_SQL}, pr AS ({' UNION ALL '.join(f"SELECT split_seed, config, '{a}{b}' AS pair, {a} AS x, {b} AS y FROM lwide" for a, b in (('J1', 'J2'), ('J1', 'J3'), ('J2', 'J3')))}),
 rs AS (SELECT split_seed, config, pair, {_LADDER_R} AS r FROM pr GROUP BY ALL), es AS (SELECT split_seed, config, avg(r) AS mean_r, count(r) AS n_defined FROM rs GROUP BY ALL),
 one AS (SELECT split_seed, config, count(*) AS n, avg(e) AS acc, greatest(avg(J1), avg(J2), avg(J3)) AS best FROM lwide GROUP BY ALL),
-pos AS (SELECT *, row_number() OVER (PARTITION BY split_seed, config ORDER BY example_id) - 1 AS pos, count(*) OVER (PARTITION BY split_seed, config) AS n FROM lwide),
-dr AS (SELECT split_seed, config, rep, {sql_int(sql_key('boot', 'rep', 'split_seed', 'config', 'pos'))} % n AS at FROM pos, (SELECT unnest(range(1, {REPS + 1})) AS rep)),
-ms AS (SELECT dr.split_seed, dr.config, rep, avg(e) - greatest(avg(J1), avg(J2), avg(J3)) AS g FROM dr JOIN pos ON dr.split_seed = pos.split_seed AND dr.config = pos.config AND dr.at = pos.pos GROUP BY ALL),
-ci AS (SELECT split_seed, config, quantile_cont(g, 0.025) AS lo, quantile_cont(g, 0.975) AS hi FROM ms GROUP BY ALL)
-SELECT one.split_seed, one.config, n, {r('acc')} AS acc, {r('best')} AS best, {r('acc - best')} AS gain, {r('mean_r')} AS mean_r, n_defined, {r('lo')} AS ci_low, {r('hi')} AS ci_high,
+{RS.boot_gain('lwide', JURORS, REPS, ['split_seed', 'config'], name='ci')}
+SELECT one.split_seed, one.config, n, {r('acc')} AS acc, {r('best')} AS best, {r('acc - best')} AS gain, {r('mean_r')} AS mean_r, n_defined, ci_low, ci_high,
   {r('CASE one.config ' + ' '.join(f"WHEN '{c}' THEN {o}" for c, (o, _) in LADDER.items()) + ' END')} AS overlap
 FROM one JOIN es ON one.split_seed = es.split_seed AND one.config = es.config JOIN ci ON one.split_seed = ci.split_seed AND one.config = ci.config"""
 
 
-MODEL_SEEDS = (1, 2, 3)
+# --- the jury of two blocks each on every split: validation weights, systems, and the two hypotheses about them
+JURY = "two_blocks"
+BY_SPLIT = ["split_seed"]
+
+
+def _jury_by_split(spark, sf_dir):
+    """Test predictions and validation weights by split."""
+    p = stored(ladder_predictions(spark, sf_dir, (JURY,), 6).drop("config"), "jury")
+    scores = metrics.bundle(p.where("part < 8"), [*BY_SPLIT, "juror"], K).select(*BY_SPLIT, "juror", "macro_f1")
+    w = stored(ensemble.juror_weights(scores, BY_SPLIT).join(scores, [*BY_SPLIT, "juror"]), "jury-weights")
+    return p.where("part >= 8").drop("part"), w
+
+
+def _systems_by_split(spark, sf_dir):
+    """split_seed, example_id, true_label and the predictions of the systems."""
+    t, w = _jury_by_split(spark, sf_dir)
+    own = lambda df, name: df.select(*BY_SPLIT, "example_id", F.col("pred_label").alias(name))
+    weighted = ensemble.soft_vote(t, K, w, BY_SPLIT).select(*BY_SPLIT, "example_id", "true_label", F.col("pred_label").alias("weighted"))
+    rest = [own(ensemble.soft_vote(t, K, by=BY_SPLIT), "equal"), own(t.where("juror = 'J1'"), "single"), own(ensemble.hard_vote_any(t, K, BY_SPLIT), "hard")]
+    for other in rest:
+        weighted = weighted.join(other, [*BY_SPLIT, "example_id"])
+    return stored(weighted, "systems-by-split")
+
+
+_JURY_SQL = f"""{ladder_sql((JURY,), 6)},
+lval AS (SELECT * FROM lone WHERE part < 8), {class_sql('lval', ['split_seed', 'juror'], 'lvc')}, lvs AS (SELECT split_seed, juror, avg(f1) AS macro_f1 FROM lvc GROUP BY ALL),
+lw AS (SELECT split_seed, juror, macro_f1, exp(macro_f1) / sum(exp(macro_f1)) OVER (PARTITION BY split_seed) AS weight FROM lvs),
+lt AS (SELECT lp.*, weight FROM lp JOIN lw ON lp.split_seed = lw.split_seed AND lp.juror = lw.juror WHERE part >= 8),
+lm2 AS (SELECT split_seed, example_id, true_label, c, avg(p) AS pe, sum(weight * p) / sum(weight) AS pw FROM lt GROUP BY ALL),
+lsoft AS (SELECT split_seed, example_id, true_label, arg_max(c, (pw, -c)) AS weighted, arg_max(c, (pe, -c)) AS equal FROM lm2 GROUP BY ALL),
+lhard AS (SELECT split_seed, example_id, max(n) AS n, arg_max(c, (n, -c)) AS c FROM (SELECT split_seed, example_id, pred_label AS c, count(*) AS n FROM lone WHERE part >= 8 GROUP BY ALL) GROUP BY ALL),
+lsys AS MATERIALIZED (SELECT s.*, o.pred_label AS single, CASE WHEN h.n >= 2 THEN h.c ELSE s.equal END AS hard FROM lsoft s JOIN lone o ON o.split_seed = s.split_seed AND o.example_id = s.example_id AND o.juror = 'J1'
+  JOIN lhard h ON h.split_seed = s.split_seed AND h.example_id = s.example_id)"""
 
 
 @query
-def h1_overlap_stress(spark, sf_dir):
-    """Orders stand in for examples: two systems by hash for each model seed, compared on the strictly eligible test rows of each split."""
+def jury_by_split(spark, sf_dir):
+    """Validation macro-F1 and weight of each juror on each split."""
+    return _jury_by_split(spark, sf_dir)[1].select("split_seed", "juror", "macro_f1", "weight")
+
+
+SQL["jury_by_split"] = f"WITH {_JURY_SQL} SELECT split_seed, juror, {r('macro_f1')} AS macro_f1, {r('weight')} AS weight FROM lw"
+SYSTEMS = ("weighted", "equal", "single", "hard")
+
+
+@query
+def systems_by_split(spark, sf_dir):
+    """The metric bundle of each system on each split; hard votes are the sensitivity analysis."""
+    s = _systems_by_split(spark, sf_dir)
+    long = s.select("split_seed", "true_label", F.inline(F.array(*(F.struct(F.lit(x).alias("system"), F.col(x).alias("pred_label")) for x in SYSTEMS))))
+    return metrics.bundle(long, ["split_seed", "system"], K)
+
+
+SQL["systems_by_split"] = f"""WITH {_JURY_SQL}, ll AS ({' UNION ALL '.join(f"SELECT split_seed, '{x}' AS system, true_label, {x} AS pred_label FROM lsys" for x in SYSTEMS)}), {class_sql('ll', ['split_seed', 'system'], 'lc')} {bundle_select('lc', ['split_seed', 'system'])}"""
+
+
+def _by_split(spark, sf_dir, other: str):
+    """A row for each split: permutation p and interval of the macro-F1 difference of the weighted jury and another system, McNemar, Cohen's h, TOST."""
+    p = _systems_by_split(spark, sf_dir).select(*BY_SPLIT, "example_id", "true_label", F.col("weighted").alias("pred_a"), F.col(other).alias("pred_b"))
+    right = lambda c: F.col("true_label") == F.col(c)
+    one = p.groupBy(*BY_SPLIT).agg(F.count_if(right("pred_a") & ~right("pred_b")).alias("b"), F.count_if(~right("pred_a") & right("pred_b")).alias("c"), F.avg(right("pred_a").cast("double")).alias("acc_a"), F.avg(right("pred_b").cast("double")).alias("acc_b"))
+    one = one.withColumn("mcnemar_p", mcnemar_exact(F.col("b"), F.col("c"))).withColumn("h", effect_h(F.col("acc_a"), F.col("acc_b")))
+    test = inference.permutation_macro(p, K, REPS, by=BY_SPLIT).select(*BY_SPLIT, "n", "n_differ", "delta", "p")
+    ci = inference.bootstrap_delta(p, K, REPS, metric="macro_f1", by=BY_SPLIT).select(*BY_SPLIT, "ci_low", "ci_high")
+    t = inference.tost(p, by=BY_SPLIT).select(*BY_SPLIT, "z_low", "z_high", "inside", F.col("p").alias("tost_p"))
+    return one.join(test, BY_SPLIT).join(ci, BY_SPLIT).join(t, BY_SPLIT)  # a row for each split
+
+
+def _by_split_sql(other: str) -> str:
+    mc = "CASE WHEN b + c = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))) END"
+    return f"""WITH RECURSIVE {_JURY_SQL}, pairs AS MATERIALIZED (SELECT split_seed, example_id, true_label, weighted AS pred_a, {other} AS pred_b FROM lsys),
+one AS (SELECT split_seed, count(*) FILTER (WHERE true_label = pred_a AND true_label <> pred_b) AS b, count(*) FILTER (WHERE true_label <> pred_a AND true_label = pred_b) AS c, avg((true_label = pred_a)::INT) AS acc_a, avg((true_label = pred_b)::INT) AS acc_b FROM pairs GROUP BY ALL),
+{RS.perm_macro('pairs', K, REPS, BY_SPLIT)},
+{RS.boot_macro('pairs', K, REPS, BY_SPLIT)},
+{RS.tost('pairs', BY_SPLIT)}
+SELECT one.split_seed, b, c, {r('acc_a')} AS acc_a, {r('acc_b')} AS acc_b, {r(mc)} AS mcnemar_p, {r('2 * asin(sqrt(acc_a)) - 2 * asin(sqrt(acc_b))')} AS h, pm.n, n_differ, delta, pm.p, ci_low, ci_high, {r('z_low')} AS z_low, {r('z_high')} AS z_high, inside, {r('tost.p')} AS tost_p
+FROM one JOIN pm ON one.split_seed = pm.split_seed JOIN bm ON one.split_seed = bm.split_seed JOIN tost ON one.split_seed = tost.split_seed"""
+
+
+@query
+def h2_by_split(spark, sf_dir):
+    return _by_split(spark, sf_dir, "single")
+
+
+SQL["h2_by_split"] = _by_split_sql("single")
+
+
+@query
+def h3_by_split(spark, sf_dir):
+    return _by_split(spark, sf_dir, "equal")
+
+
+SQL["h3_by_split"] = _by_split_sql("equal")
+
+
+MODEL_SEEDS = (1, 2, 3)
+
+
+def _h1_pairs(spark, sf_dir):
+    """Strictly eligible test rows of each split for each model seed, with the guesses of two systems."""
     c = corpus(spark, sf_dir)
     x = splits_.assign_roles(c, splits_.author_partitions(c)).where("role = 'test' AND strict").select("split_seed", F.col("id").alias("example_id"), F.col("label").alias("true_label"), F.explode(F.array(*map(F.lit, MODEL_SEEDS))).alias("model_seed"))
     guess = lambda ns: F.when(splits_.order_key(F.col("split_seed"), ns, F.col("model_seed").cast("string"), "example_id") < "c", F.col("true_label")).otherwise("none")
     by = ["split_seed", "model_seed"]
-    p = stored(x.select(*by, "example_id", "true_label", guess("sys_a").alias("pred_a"), guess("sys_b").alias("pred_b")), "h1")
+    return stored(x.select(*by, "example_id", "true_label", guess("sys_a").alias("pred_a"), guess("sys_b").alias("pred_b")), "h1")
+
+
+@query
+def h1_overlap_stress(spark, sf_dir):
+    """Orders stand in for examples: two systems by hash for each model seed, compared on the strictly eligible test rows of each split."""
+    by = ["split_seed", "model_seed"]
+    p = _h1_pairs(spark, sf_dir)
     right = lambda c: F.col("true_label") == F.col(c)
     one = p.groupBy(*by).agg(F.avg(right("pred_a").cast("double")).alias("acc_overlap"), F.avg(right("pred_b").cast("double")).alias("acc_clean"), F.count_if(right("pred_a") & ~right("pred_b")).alias("b"), F.count_if(~right("pred_a") & right("pred_b")).alias("c"))
     one = one.withColumn("mcnemar_p", mcnemar_exact(F.col("b"), F.col("c"))).withColumn("h", effect_h(F.col("acc_overlap"), F.col("acc_clean")))
     return one.join(inference.permutation_accuracy(p, REPS, by=by).select(*by, "n", "delta", "p"), by).join(inference.bootstrap_delta(p, K, REPS, by=by).select(*by, "ci_low", "ci_high"), by)  # a row for each split and seed
 
 
+def _h1_guesses() -> str:
+    guess = lambda ns: f"{sql_key(ns, 'model_seed', 'id', seed='split_seed')} < 'c'"
+    return f"""g AS (SELECT split_seed, model_seed, id, {guess('sys_a')} AS x, {guess('sys_b')} AS y FROM roles, (SELECT unnest([1, 2, 3])::INT AS model_seed) WHERE role = 'test' AND strict)"""
+
+
 def _h1_sql() -> str:
     from .surrogates import SPLIT_SQL
 
-    guess = lambda ns: f"{sql_key(ns, 'model_seed', 'id', seed='split_seed')} < 'c'"
-    reps = f"(SELECT unnest(range(1, {REPS + 1})) AS rep)"
-    return f"""WITH {SPLIT_SQL}, g AS (SELECT split_seed, model_seed, id, {guess('sys_a')} AS x, {guess('sys_b')} AS y FROM roles, (SELECT unnest([1, 2, 3])::INT AS model_seed) WHERE role = 'test' AND strict),
+    return f"""WITH RECURSIVE {SPLIT_SQL}, {_h1_guesses()},
 base AS (SELECT split_seed, model_seed, count(*) AS n, avg(x::INT) AS acc_overlap, avg(y::INT) AS acc_clean, count(*) FILTER (WHERE x AND NOT y) AS b, count(*) FILTER (WHERE y AND NOT x) AS c, sum(x::INT - y::INT) AS d FROM g GROUP BY ALL),
-s AS (SELECT split_seed, model_seed, rep, sum(CASE WHEN {sql_int(sql_key('perm_acc', 'rep', 'id'))} % 2 = 1 THEN x::INT - y::INT ELSE y::INT - x::INT END) AS s FROM g, {reps} WHERE x <> y GROUP BY ALL),
-ex AS (SELECT base.split_seed, base.model_seed, count(s.rep) FILTER (WHERE abs(s.s) >= abs(base.d)) AS extreme FROM base LEFT JOIN s ON s.split_seed = base.split_seed AND s.model_seed = base.model_seed GROUP BY ALL),
-pos AS (SELECT *, row_number() OVER (PARTITION BY split_seed, model_seed ORDER BY id) - 1 AS pos, count(*) OVER (PARTITION BY split_seed, model_seed) AS n FROM g),
-dr AS (SELECT d.split_seed, d.model_seed, rep, sum(p2.x::INT - p2.y::INT) / any_value(p2.n) AS delta FROM (SELECT split_seed, model_seed, rep, {sql_int(sql_key('boot', 'rep', 'split_seed', 'model_seed', 'pos'))} % n AS at FROM pos, {reps}) d JOIN pos p2 ON p2.split_seed = d.split_seed AND p2.model_seed = d.model_seed AND p2.pos = d.at GROUP BY ALL),
-ci AS (SELECT split_seed, model_seed, quantile_cont(delta, 0.025) AS lo, quantile_cont(delta, 0.975) AS hi FROM dr GROUP BY ALL)
-SELECT base.split_seed, base.model_seed, n, b, c, {r('acc_overlap')} AS acc_overlap, {r('acc_clean')} AS acc_clean, {r('d / n')} AS delta, {r(f'CASE WHEN b + c = 0 THEN 1 ELSE (extreme + 1) / {REPS + 1} END')} AS p, {r('lo')} AS ci_low, {r('hi')} AS ci_high,
+gp AS (SELECT split_seed, model_seed, 1 AS true_label, x::INT AS pred_a, y::INT AS pred_b FROM g),
+{RS.perm_accuracy('gp', REPS, ['split_seed', 'model_seed'])},
+{RS.boot_accuracy('gp', REPS, ['split_seed', 'model_seed'], name='ci')}
+SELECT base.split_seed, base.model_seed, base.n, b, c, {r('acc_overlap')} AS acc_overlap, {r('acc_clean')} AS acc_clean, {r('d / base.n')} AS delta, pa.p, ci_low, ci_high,
   {r('CASE WHEN b + c = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))) END')} AS mcnemar_p,
   {r('2 * asin(sqrt(acc_overlap)) - 2 * asin(sqrt(acc_clean))')} AS h
-FROM base JOIN ex ON ex.split_seed = base.split_seed AND ex.model_seed = base.model_seed JOIN ci ON ci.split_seed = base.split_seed AND ci.model_seed = base.model_seed"""
+FROM base JOIN pa ON pa.split_seed = base.split_seed AND pa.model_seed = base.model_seed JOIN ci ON ci.split_seed = base.split_seed AND ci.model_seed = base.model_seed"""
 
 
 SQL["h1_overlap_stress"] = _h1_sql()
 
 
+@query
+def h1_summary(spark, sf_dir):
+    """Of each split: mean and range of the difference over model seeds (descriptive: seeds are no independent units), and whether every run has exactly the
+    eligible examples."""
+    runs = _h1_pairs(spark, sf_dir).groupBy("split_seed", "model_seed").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("example_id").alias("ids"), (F.avg((F.col("true_label") == F.col("pred_a")).cast("double")) - F.avg((F.col("true_label") == F.col("pred_b")).cast("double"))).alias("delta"))
+    c = corpus(spark, sf_dir)
+    eligible = splits_.author_partitions(c).where("partition = 'test' AND strict").groupBy("split_seed").agg(F.count(F.lit(1)).alias("n_eligible"))
+    per = runs.groupBy("split_seed").agg(F.count(F.lit(1)).alias("n_runs"), F.avg("delta").alias("mean"), F.min("delta").alias("min"), F.max("delta").alias("max"), F.min(F.least("n", "ids")).alias("least_n"), F.max("n").alias("most_n"))
+    return per.join(eligible, "split_seed").select("split_seed", "n_runs", "mean", "min", "max", "n_eligible", ((F.col("least_n") == F.col("n_eligible")) & (F.col("most_n") == F.col("n_eligible"))).alias("exact"))
+
+
+def _h1_summary_sql() -> str:
+    from .surrogates import SPLIT_SQL
+
+    return f"""WITH {SPLIT_SQL}, {_h1_guesses()},
+d AS (SELECT split_seed, model_seed, count(*) AS n, count(DISTINCT id) AS ids, avg(x::INT) - avg(y::INT) AS delta FROM g GROUP BY ALL),
+e AS (SELECT split_seed, count(DISTINCT author) AS n_eligible FROM parts WHERE "partition" = 'test' AND strict GROUP BY ALL)
+SELECT d.split_seed, count(*) AS n_runs, {r('avg(delta)')} AS mean, {r('min(delta)')} AS min, {r('max(delta)')} AS max, n_eligible, bool_and(n = n_eligible AND ids = n_eligible) AS exact FROM d JOIN e ON d.split_seed = e.split_seed GROUP BY d.split_seed, n_eligible"""
+
+
+SQL["h1_summary"] = _h1_summary_sql()
+
+
 @query
 def streaming_confusion(spark, sf_dir):
     """The stream of a stored predictions table, counted incrementally; equal to the batch result."""

@@ -12,9 +12,8 @@ from ..operators import labels, splits
 
 CATEGORIES = ["click", "error", "purchase", "signup", "view"]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-#: Classes; replicates of the registered resampling queries. The operators' own default is 10,000, for which the draws by SHA-256 that
-#: the SQL can repeat are too slow.
-K, REPS = 10, 200
+#: Classes; replicates of the resampling queries.
+K, REPS = 10, 10_000
 JUROR_BLOCKS = {"J1": (0, 1), "J2": (0, 2), "J3": (1, 2)}
 JURORS = list(JUROR_BLOCKS)
 
@@ -165,10 +164,11 @@ LADDER = {
 }
 
 
-def ladder_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test predictions of all jurors of the ladder on each split: split_seed, config, juror, and those of a prediction row."""
+def ladder_predictions(spark: SparkSession, sf_dir: str, configs: tuple[str, ...] = tuple(LADDER), least: int = 8) -> DataFrame:
+    """Predictions of the jurors of the ladder on each split for parts from `least` on (6 and 7: validation, 8 and 9: test): split_seed, config,
+    part, juror, and those of a prediction row."""
     ints = lambda xs: F.array(*map(F.lit, xs))
-    jurors = F.array(*(F.struct(F.lit(c).alias("config"), F.lit(j).alias("juror"), ints(b).alias("blocks"), ints(x).alias("places")) for c, (_, of) in LADDER.items() for j, (b, x) in zip(JURORS, of, strict=True)))
+    jurors = F.array(*(F.struct(F.lit(c).alias("config"), F.lit(j).alias("juror"), ints(b).alias("blocks"), ints(x).alias("places")) for c, (_, of) in LADDER.items() if c in configs for j, (b, x) in zip(JURORS, of, strict=True)))
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("example_id"), F.col("label").alias("true_label"), "embedding", F.explode(ints(splits.SEEDS)).alias("split_seed"))
     draw = lambda n, ns: uniform_int(n, F.col("split_seed"), ns, F.col("example_id").cast("string")).cast("int")
     e = e.withColumns({"part": draw(10, "part"), "block": draw(3, "block")})
@@ -179,25 +179,29 @@ def ladder_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean = own.groupBy("split_seed", "config", "juror", "true_label", "d").agg((F.sum(seen) / F.sum("n")).alias("m"))
     one = mean.groupBy("split_seed", "config", "juror", "true_label").agg(F.array_sort(F.collect_list(F.struct("d", "m"))).alias("v"))
     model = one.groupBy("split_seed", "config", "juror").agg(F.array_sort(F.collect_list(F.struct("true_label", F.col("v.m").alias("v")))).alias("c"))
-    scored = e.where("part >= 8").join(F.broadcast(model), "split_seed")  # a row for each split and juror
+    scored = e.where(F.col("part") >= least).join(F.broadcast(model), "split_seed")  # a row for each split and juror
     scored = scored.withColumn("scores", F.transform("c", lambda c: 4.0 * dot(F.col("embedding"), c["v"])))
     probs = softmax(F.col("scores"))
-    return scored.select("split_seed", "config", "juror", "example_id", "true_label", probs.alias("probs")).withColumn("pred_label", argmax(F.col("probs")))
+    return scored.select("split_seed", "config", "part", "juror", "example_id", "true_label", probs.alias("probs")).withColumn("pred_label", argmax(F.col("probs")))
 
 
-LADDER_SQL = f"""lj AS (SELECT * FROM (VALUES {', '.join(f"('{c}', '{j}', {list(b)}, {list(x)})" for c, (_, of) in LADDER.items() for j, (b, x) in zip(JURORS, of, strict=True))}) t(config, juror, blocks, places)),
+def ladder_sql(configs: tuple[str, ...] = tuple(LADDER), least: int = 8) -> str:
+    return f"""lj AS (SELECT * FROM (VALUES {', '.join(f"('{c}', '{j}', {list(b)}, {list(x)})" for c, (_, of) in LADDER.items() if c in configs for j, (b, x) in zip(JURORS, of, strict=True))}) t(config, juror, blocks, places)),
 le AS (SELECT split_seed, vec_id AS example_id, label AS true_label, embedding, {sql_int(sql_key('part', 'vec_id', seed='split_seed'))} % 10 AS part, {sql_int(sql_key('block', 'vec_id', seed='split_seed'))} % 3 AS block FROM embeddings, (SELECT unnest({list(splits.SEEDS)})::INT AS split_seed)),
 lx AS (SELECT split_seed, example_id, true_label, part, block, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS d FROM le),
 lm AS (SELECT split_seed, config, juror, true_label AS c, d, avg(CASE WHEN list_contains(places, d % 3) THEN x ELSE 0 END) AS m FROM lx JOIN lj ON list_contains(blocks, block) WHERE part < 6 GROUP BY ALL),
-ls AS (SELECT lx.split_seed, config, juror, example_id, true_label, c, 4.0::DOUBLE * sum(x * m) AS s FROM lx JOIN lm ON lx.split_seed = lm.split_seed AND lx.d = lm.d WHERE part >= 8 GROUP BY ALL),
+ls AS (SELECT lx.split_seed, config, part, juror, example_id, true_label, c, 4.0::DOUBLE * sum(x * m) AS s FROM lx JOIN lm ON lx.split_seed = lm.split_seed AND lx.d = lm.d WHERE part >= {least} GROUP BY ALL),
 lf AS (SELECT *, exp(s - max(s) OVER (PARTITION BY split_seed, config, juror, example_id)) AS e FROM ls),
 lp AS (SELECT *, e / sum(e) OVER (PARTITION BY split_seed, config, juror, example_id) AS p FROM lf),
-lone AS (SELECT split_seed, config, juror, example_id, true_label, arg_max(c, (p, -c)) AS pred_label FROM lp GROUP BY ALL),
+lone AS (SELECT split_seed, config, part, juror, example_id, true_label, arg_max(c, (p, -c)) AS pred_label FROM lp GROUP BY ALL),
 lvote AS (SELECT split_seed, config, example_id, true_label, arg_max(c, (p, -c)) AS pred_label FROM (SELECT split_seed, config, example_id, true_label, c, avg(p) AS p FROM lp GROUP BY ALL) GROUP BY ALL),
 lwide AS (SELECT t.split_seed, t.config, t.example_id, {', '.join(f"max((t.true_label = t.pred_label)::INT) FILTER (WHERE juror = '{j}') AS {j}" for j in JURORS)}, max((v.true_label = v.pred_label)::INT) AS e
   FROM lone t JOIN lvote v ON t.split_seed = v.split_seed AND t.config = v.config AND t.example_id = v.example_id GROUP BY ALL)"""
 
 
+LADDER_SQL = ladder_sql()
+
+
 def class_sql(rows: str, by: list[str], name: str = "cc", y: str = "true_label", p: str = "pred_label", k: int = K) -> str:
     """Relation <name>: by, label, tp, predicted, support, precision, recall, f1."""
     b = "".join(f"{c}, " for c in by)

@@ -124,14 +124,17 @@ def test_identical_systems(spark):
 def test_permutation_floor(spark):
     p = pairs(spark, [(i, 0, 0, 1) for i in range(40)])
     assert one(inference.permutation_accuracy(p, 50)).p == pytest.approx(1 / 51)
-    fast = one(inference.permutation_accuracy(p, 50, fast=True))
-    assert fast.p == pytest.approx(1 / 51)
+    assert one(inference.permutation_macro(p, 2, 50)).p == pytest.approx(1 / 51)
 
 
 def test_mcnemar(spark):
     got = [r[0] for r in spark.createDataFrame([(0, 0), (1, 9), (5, 5), (300, 340)], "b int, c int").select(stats.mcnemar_exact(F.col("b"), F.col("c"))).collect()]
     exact = lambda b, c: min(1, 2 * sum(math.comb(b + c, i) for i in range(min(b, c) + 1)) / 2 ** (b + c)) if b + c else 1.0
-    assert got == pytest.approx([exact(0, 0), exact(1, 9), exact(5, 5), exact(300, 340)])
+    assert got == pytest.approx([exact(0, 0), exact(1, 9), exact(5, 5), exact(300, 340)], rel=1e-12)
+    half = 500_000_000
+    got = [r[0] for r in spark.createDataFrame([(half - 30_000, half + 30_000), (half - 100, half + 100), (half, half), (0, 2 * half)], "b long, c long").select(stats.mcnemar_exact(F.col("b"), F.col("c"))).collect()]
+    normal = lambda gap: math.erfc((gap - 1) / math.sqrt(2 * half) / math.sqrt(2))
+    assert got == pytest.approx([normal(60_000), normal(200), 1.0, 0.0], rel=1e-6)
 
 
 def test_holm(spark):
@@ -144,6 +147,9 @@ def test_holm(spark):
 def test_normal_cdf(spark):
     got = [r[0] for r in spark.createDataFrame([(0.0,), (1.96,), (-40.0,)], "z double").select(stats.normal_cdf("z")).collect()]
     assert got == pytest.approx([0.5, 0.9750021, 0.0], abs=1e-6)
+    points = [i / 7 for i in range(-250, 251)]
+    got = [r[0] for r in spark.createDataFrame([(z,) for z in points], "z double").select(stats.normal_cdf("z")).collect()]
+    assert got == pytest.approx([0.5 * math.erfc(-z / math.sqrt(2)) for z in points], rel=1e-11)
 
 
 def test_running_totals_equal_a_plain_window(spark):
