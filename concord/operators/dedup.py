@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import dot
 from ..functions.text import clean_authors, normalise
 from ..sources.tables import stored
+from . import neighbours
 
 
 def exact_groups(df: DataFrame, key: str, text: str = "text", norm: Column | None = None) -> DataFrame:
@@ -29,20 +30,18 @@ def build_corpus(df: DataFrame, key: str, author: str = "author", text: str = "t
 def knn_edges(vectors: DataFrame, key: str, vector: str, k: int = 10, threshold: float = 0.85, planes: int = 0, tables: int = 0, seed: int = 7) -> DataFrame:
     """(a, b, sim): cosine above the threshold among the k - 1 nearest others, made symmetric; a < b.
 
-    Without `tables` every pair is compared (exact, quadratic). With them, pairs are compared that share the signs of
-    `planes` random directions in one of `tables` tables, which keeps the work near-linear but may miss pairs."""
+    Without `tables` it is exact (`neighbours`). With them, only pairs are compared that share the signs of `planes` random directions in one of `tables` tables, which
+    keeps the work near-linear in any dimension but may miss pairs."""
+    if not tables:
+        return neighbours.edges(neighbours.build(vectors, key, vector, k), k, threshold)
     unit = F.transform(F.col(vector), lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(unit, F.lit(0.0), lambda s, x: s + x * x))
     v = vectors.select(F.col(key).alias("a"), F.transform(unit, lambda x: F.try_divide(x, norm)).alias("va"))
-    w = v.select(F.col("a").alias("b"), F.col("va").alias("vb"))
-    if tables:
-        sign = lambda t, p: F.aggregate(F.transform("va", lambda x, i: x * (F.pmod(F.xxhash64(F.lit(seed), F.lit(t), F.lit(p), i), F.lit(2)) * 2 - 1)), F.lit(0.0), lambda s, x: s + x) > 0
-        code = lambda t: F.concat_ws("", F.lit(f"{t}:"), *(sign(t, p).cast("int").cast("string") for p in range(planes)))
-        v = v.withColumn("bucket", F.explode(F.array(*(code(t) for t in range(tables)))))
-        w = v.select(F.col("a").alias("b"), F.col("va").alias("vb"), "bucket")
-        pairs = v.join(w, "bucket").where("a != b").dropDuplicates(["a", "b"])
-    else:
-        pairs = v.join(w, F.col("a") != F.col("b"))
+    sign = lambda t, p: F.aggregate(F.transform("va", lambda x, i: x * (F.pmod(F.xxhash64(F.lit(seed), F.lit(t), F.lit(p), i), F.lit(2)) * 2 - 1)), F.lit(0.0), lambda s, x: s + x) > 0
+    code = lambda t: F.concat_ws("", F.lit(f"{t}:"), *(sign(t, p).cast("int").cast("string") for p in range(planes)))
+    v = v.withColumn("bucket", F.explode(F.array(*(code(t) for t in range(tables)))))
+    w = v.select(F.col("a").alias("b"), F.col("va").alias("vb"), "bucket")
+    pairs = v.join(w, "bucket").where("a != b").dropDuplicates(["a", "b"])
     near = pairs.select("a", "b", dot(F.col("va"), F.col("vb")).alias("sim")).where(F.col("sim") > threshold)  # ranks among these are the ranks among all
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
     top = near.withColumn("rank", rank).where(F.col("rank") <= k - 1)

@@ -131,15 +131,20 @@ def overlap_training(roles: DataFrame, matches: DataFrame) -> DataFrame:
     return train.join(gone, ["split_seed", "id"], "left_anti").unionByName(matches.select("split_seed", F.col("injected_id").alias("id")))
 
 
-def stratified_split(corpus: DataFrame, key: str = "id", label: str = "label", seeds: tuple[int, ...] = SEEDS) -> DataFrame:
-    """(split_seed, id, label, partition): 70/15/15 of each label by position in hash order."""
-    rows = corpus.select(key, label, F.explode(F.array(*map(F.lit, seeds))).alias("split_seed")).withColumn("h", order_key(F.col("split_seed"), "random", key))
+def stratified_cut(rows: DataFrame, key: str = "id", label: str = "label") -> DataFrame:
+    """(split_seed, id, label, partition) of rows that have a split_seed: 70/15/15 of each label by position in the split's hash order."""
+    rows = rows.select("split_seed", key, label).withColumn("h", order_key(F.col("split_seed"), "random", key))
     rows = running_totals(rows, "h", key, {"n": F.lit(1).cast("bigint")}, ["split_seed", label])
     at = F.col("run_n") - 1
     part = F.when(at < F.floor(0.7 * F.col("all_n")), "train").when(at < F.floor(0.85 * F.col("all_n")), "val").otherwise("test")
     return rows.select("split_seed", key, label, part.alias("partition"))
 
 
+def stratified_split(corpus: DataFrame, key: str = "id", label: str = "label", seeds: tuple[int, ...] = SEEDS) -> DataFrame:
+    """(split_seed, id, label, partition): the whole corpus, cut with each seed."""
+    return stratified_cut(corpus.select(key, label, F.explode(F.array(*map(F.lit, seeds))).alias("split_seed")), key, label)
+
+
 def hash_sample(df: DataFrame, key: str, n: int, seed: int, namespace: str) -> DataFrame:
     """The n rows that come first by hash: top n, no global sort."""
     return df.withColumn("h", order_key(seed, namespace, key)).orderBy("h", key).limit(n)

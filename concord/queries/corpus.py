@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text
-from ..operators import audit, dedup, feasibility, labels, metrics, splits
+from ..operators import audit, dedup, feasibility, labels, metrics, neighbours, splits
 from ..plans import provenance
 from ..schemas import struct
 from ..sources.tables import file_digests, read_csvs, read_ids, read_json_lines, read_manifest, replace_directory, scratch, stored, write_csv
@@ -311,12 +311,12 @@ SELECT split_seed, id, label, CASE WHEN pos < floor(0.7::DOUBLE * n) THEN 'train
 
 @query
 def stratified_split_analysis(spark, sf_dir):
-    """The other population: rows with a role in the first split's analysis set."""
-    rows = roles(spark, sf_dir).where("split_seed = 42 AND role IN ('train', 'val', 'test')")
-    return splits.stratified_split(rows.select("id", "label"))
+    """The other population: the rows with a role in each split's own analysis set, cut with that split's seed."""
+    return splits.stratified_cut(roles(spark, sf_dir).where("role IN ('train', 'val', 'test')").select("split_seed", "id", "label"))
 
 
-SQL["stratified_split_analysis"] = f"WITH {SPLIT_SQL}, pop AS (SELECT id, label FROM roles WHERE split_seed = 42 AND role IN ('train', 'val', 'test')), s AS" + SQL["stratified_split"].split(", s AS", 1)[1].replace("FROM corpus", "FROM pop")
+SQL["stratified_split_analysis"] = f"""WITH {SPLIT_SQL}, s AS (SELECT split_seed, id, label, row_number() OVER (PARTITION BY split_seed, label ORDER BY {sql_key('random', 'id', seed='split_seed')}, id) - 1 AS pos, count(*) OVER (PARTITION BY split_seed, label) AS n FROM roles WHERE role IN ('train', 'val', 'test'))
+SELECT split_seed, id, label, CASE WHEN pos < floor(0.7::DOUBLE * n) THEN 'train' WHEN pos < floor(0.85::DOUBLE * n) THEN 'val' ELSE 'test' END AS "partition" FROM s"""
 
 
 @query
@@ -485,6 +485,12 @@ def knn_edges(spark, sf_dir):
 SQL["knn_edges"] = f"WITH {_KNN} SELECT a, b, {r('sim')} AS sim FROM e"
 
 
+@query
+def knn_pruning(spark, sf_dir):
+    """What the index compares at the threshold of near copies, of all pairs of distinct vectors. (The number depends on the pivots: no SQL.)"""
+    return neighbours.report(neighbours.build(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10, rows=64), 0.85)
+
+
 @query
 def components(spark, sf_dir):
     return dedup.components(table(spark, sf_dir, "embeddings"), _edges(spark, sf_dir), "vec_id")
