@@ -61,6 +61,9 @@ AMENDMENT = {"hypothesis": "H1", "from_status": "confirmatory", "to_status": "ex
 #: What it must have besides. Fixed values.
 AMENDMENT_FIELDS = ("exploratory_dose_k", "h1_primary_metric", "decision_text", "decided_by", "decided_at_utc")
 
+#: What a report's decision must say, and the names that it may have there: those of a report, or of `feasibility.decision`.
+DECISION = {"feasible": ("h1_confirmatory_feasible", "feasible"), "exploratory_dose_k": ("exploratory_dose_k", "exploratory_dose"), "h1_primary_metric": ("h1_primary_metric", "metric")}
+
 
 def is_utc_instant(value: object) -> bool:
     if not isinstance(value, str) or not value.endswith("Z"):
@@ -74,8 +77,11 @@ def is_utc_instant(value: object) -> bool:
 
 def check_amendment(amendment: Mapping, decision: Mapping, report_sha256: str, corpus_sha256: str) -> int:
     """An amendment may only weaken the one hypothesis, must name the report and the corpus that it answers, who decided what and when, and
-    keeps the dose and the metric that the report's decision found. Whatever is absent is refused. Returns the dose."""
-    if decision.get("feasible"):
+    keeps the dose and the metric that the report's decision found. Whatever is absent, in the amendment or in the decision, is refused. Returns the dose."""
+    found = {field: next((decision[n] for n in names if n in decision), None) for field, names in DECISION.items()}
+    if lacking := [field for field, value in found.items() if value is None]:
+        raise GateError(f"the report's decision says nothing of {', '.join(lacking)}")
+    if found["feasible"]:
         raise GateError("the design is feasible: there is nothing to amend")
     bound = AMENDMENT | {"section0_report_sha256": report_sha256, "corpus_content_sha256": corpus_sha256}
     for field, value in bound.items():
@@ -90,8 +96,8 @@ def check_amendment(amendment: Mapping, decision: Mapping, report_sha256: str, c
             raise GateError(f"amendment: {field} is not filled in")
     if not is_utc_instant(amendment["decided_at_utc"]):
         raise GateError("amendment: decided_at_utc is no UTC instant")
-    for field, found in (("exploratory_dose_k", decision.get("exploratory_dose")), ("h1_primary_metric", decision.get("metric"))):
-        if found is not None and amendment[field] != found:
+    for field in ("exploratory_dose_k", "h1_primary_metric"):
+        if amendment[field] != found[field]:
             raise GateError(f"amendment: {field} differs from the report's decision")
     return int(amendment["exploratory_dose_k"])
 

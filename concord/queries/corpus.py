@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, text
 from ..operators import audit, dedup, feasibility, labels, metrics, neighbours, splits
-from ..plans import provenance
+from ..plans import freeze, provenance
 from ..schemas import struct
 from ..sources.tables import file_digests, read_csvs, read_ids, read_json_lines, read_manifest, replace_directory, scratch, stored, write_csv
 from .surrogates import CATEGORIES, CORPUS_SQL, ELIGIBLE_SQL, PARTITIONS_SQL, PRIORITIES, RATERS_SQL, SPLIT_SQL, corpus, match_sql, r, rater_rows, roles, sql_int, sql_key, table, votes
@@ -389,6 +389,131 @@ def split_invariants(spark, sf_dir):
     return audit.split_checks(c, x, m, splits.overlap_training(x, m), splits.stratified_split(c), blocks)
 
 
+_FREEZE_DIGEST = "c" * 64
+
+
+def _freeze_documents(spark, sf_dir, c, cases: dict[str, str]):
+    """Chains of a report, an amendment and a manifest about the corpus, one bundle for each case; a case names the document and the field that is wrong in it."""
+    root = scratch(spark, "freeze")
+    facts = c.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n_examples"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("class_distribution"))
+    facts = facts.crossJoin(F.broadcast(c.agg(F.count_distinct("author").alias("n_authors"))))
+    content = F.sha2(F.to_json(F.struct("n_examples", "n_authors")), 256)
+    facts = stored(facts.withColumn("content", content), "freeze-facts")
+
+    def write(name: str, **fields) -> None:
+        for bundle, wrong in cases.items():
+            own = dict(fields)
+            if wrong.startswith(f"{name}."):
+                field = wrong.split(".", 1)[1]
+                old = own[field]
+                own[field] = F.lit(_FREEZE_DIGEST) if field.endswith("sha256") else F.lit("confirmatory") if field.endswith("status") else F.struct((F.col("n_examples") + 1).alias("n_examples"), "n_authors", "class_distribution") if field == "corpus" else old
+            freeze.write_document(joined.where(F.col("bundle") == bundle).select(*(v.alias(k) for k, v in own.items())), root, bundle, name)
+
+    def known() -> DataFrame:
+        """A row for each bundle: the facts and the digests of the documents written so far."""
+        rows = spark.createDataFrame([(b,) for b in cases], "bundle string").crossJoin(F.broadcast(facts))
+        if not written:
+            return stored(rows, "freeze-known")
+        found = freeze.read_documents(spark, root).groupBy("bundle").pivot("name", written).agg(F.first("digest"))
+        return stored(rows.join(found, "bundle"), "freeze-known")
+
+    written: list[str] = []
+    joined = known()
+    decision = F.struct(F.lit(False).alias("h1_confirmatory_feasible"), F.lit(1).alias("exploratory_dose_k"), F.lit("accuracy").alias("h1_primary_metric"))
+    write("section0", freeze_quality=F.lit(True), decision=decision, meta=F.struct(F.col("content").alias("corpus_content_sha256")))
+    written.append("section0")
+    joined = known()
+    write("amendment", hypothesis=F.lit("H1"), from_status=F.lit("confirmatory"), to_status=F.lit("exploratory"), section0_report_sha256=F.col("section0"), corpus_content_sha256=F.col("content"), exploratory_dose_k=F.lit(1), h1_primary_metric=F.lit("accuracy"))
+    written.append("amendment")
+    joined = known()
+    write("manifest", section0_report_sha256=F.col("section0"), h1_amendment_sha256=F.col("amendment"), corpus_content_sha256=F.col("content"), h1_status=F.lit("exploratory"), dose_k=F.lit(1), h1_primary_metric=F.lit("accuracy"), corpus=F.struct("n_examples", "n_authors", "class_distribution"))
+    return freeze.read_documents(spark, root)
+
+
+#: A bundle without a mistake, and one for each check with the field that is wrong.
+FREEZE_CASES = {"sound": "", "P01": "manifest.section0_report_sha256", "P02": "manifest.h1_amendment_sha256", "P03": "amendment.section0_report_sha256", "P04": "manifest.h1_status", "P05": "amendment.corpus_content_sha256", "P06": "manifest.corpus"}
+
+
+@query
+def verifier(spark, sf_dir):
+    """All 57 checks: six of the freeze chain and 17 of each split."""
+    c = stored(corpus(spark, sf_dir), "corpus")
+    chain = freeze.freeze_checks(_freeze_documents(spark, sf_dir, c, {"sound": ""}), c)
+    return chain.select(F.lit(None).cast("int").alias("split_seed"), "check_id", "passed").unionByName(split_invariants(spark, sf_dir).select("split_seed", F.format_string("S%02d", "check_id").alias("check_id"), "passed"))
+
+
+@query
+def freeze_chain(spark, sf_dir):
+    """The six checks on seven chains, six of which have one mistake each."""
+    c = stored(corpus(spark, sf_dir), "corpus")
+    return freeze.freeze_checks(_freeze_documents(spark, sf_dir, c, FREEZE_CASES), c)
+
+
+SQL["freeze_chain"] = f"SELECT bundle, check_id, bundle <> check_id AS passed FROM (SELECT unnest([{', '.join(map(repr, FREEZE_CASES))}]) AS bundle), (SELECT unnest([{', '.join(map(repr, freeze.CHECKS))}]) AS check_id) WHERE EXISTS (SELECT 1 FROM orders)"
+
+
+@query
+def digest_closure(spark, sf_dir):
+    """What each document of the seven chains rests on: a citation with a wrong digest leads nowhere."""
+    return freeze.closure(_freeze_documents(spark, sf_dir, stored(corpus(spark, sf_dir), "corpus"), FREEZE_CASES))
+
+
+SQL["digest_closure"] = f"""WITH RECURSIVE e AS (SELECT bundle, f, t FROM (SELECT unnest([{', '.join(map(repr, FREEZE_CASES))}]) AS bundle), (VALUES ('amendment', 'section0', 'P03'), ('manifest', 'section0', 'P01'), ('manifest', 'amendment', 'P02')) x(f, t, broken) WHERE bundle <> broken AND EXISTS (SELECT 1 FROM orders)),
+reach AS (SELECT bundle, f, t, 1 AS depth FROM e UNION ALL SELECT r.bundle, r.f, e.t, depth + 1 FROM reach r JOIN e ON r.bundle = e.bundle AND r.t = e.f)
+SELECT bundle, f AS name, t AS rests_on, min(depth)::INT AS depth FROM reach GROUP BY ALL"""
+
+
+#: What is wrong in the configuration of a nation, by its key modulo the number of mistakes; what then breaks.
+CONFIG_MISTAKES = ["", "tokenization.padding", "optimization.optimizer", "checkpoint_rule.restore_best_before_test", "frozen", "class_weighting", "labels", "revision", "baseline", "no labels"]
+CONFIG_LABELS = ["anger", "joy"]
+
+
+def _configs(spark, sf_dir):
+    """A configuration for each nation, in one folder of its own, most with one mistake."""
+    kind = F.element_at(F.array(*map(F.lit, CONFIG_MISTAKES)), (F.col("n_nationkey") % len(CONFIG_MISTAKES) + 1).cast("int"))
+    n = table(spark, sf_dir, "nation").withColumn("wrong", kind)
+    say = lambda when, bad, good: F.when(F.col("wrong") == when, F.lit(bad)).otherwise(F.lit(good))
+    digest = F.sha2("n_name", 256)
+    fields = {
+        "frozen": say("frozen", False, True), "class_weighting": say("class_weighting", "balanced", "none"),
+        "models": F.create_map(F.lower("n_name"), F.struct(F.when(F.col("wrong") == "revision", F.lit("main")).otherwise(F.substring(digest, 1, 40)).alias("revision"))),
+        "tokenization": F.struct(say("tokenization.padding", "longest", "max_length").alias("padding"), F.lit(True).alias("truncation")),
+        "optimization": F.struct(say("optimization.optimizer", "SGD", "AdamW").alias("optimizer"), F.lit("linear_with_warmup").alias("scheduler"), F.lit("cross_entropy").alias("loss")),
+        "checkpoint_rule": F.struct(F.lit("validation_macro_f1").alias("selection_metric"), F.lit("max").alias("selection_mode"), F.lit("epoch").alias("evaluate_every"), F.lit(True).alias("restore_best_before_test")),
+        "model_seeds": F.array(F.lit(1), F.lit(2)), "labels": F.when(F.col("wrong") == "no labels", F.lit(None)).when(F.col("wrong") == "labels", F.array(*map(F.lit, CONFIG_LABELS[::-1]))).otherwise(F.array(*map(F.lit, CONFIG_LABELS))),
+        "determinism": F.struct(F.lit(True).alias("seed_python_numpy_torch")),
+        "data_provenance": F.struct(digest.alias("dataset_manifest_sha256"), digest.alias("corpus_content_sha256"), F.array(F.lit(42)).alias("split_seeds")),
+        "h2_single_model_baseline": F.struct(F.lower("n_name").alias("model"), F.lit("r_clean").alias("regime"), say("baseline", 9, 1).alias("model_seed")),
+    }
+    text = F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())))
+    text = F.when(F.col("wrong") == "checkpoint_rule.restore_best_before_test", F.replace(text, F.lit('"restore_best_before_test":true'), F.lit('"restore_best_before_test":"true"'))).otherwise(text)  # a string is no boolean
+    root = scratch(spark, "configs")
+    n.select(F.lit("nations").alias("bundle"), F.col("n_name").alias("name"), text.alias("value")).repartition("name").write.partitionBy("bundle", "name").text(root)
+    docs = freeze.read_documents(spark, root)
+    return docs.withColumns({"bundle": F.substring_index("bundle", "=", -1), "name": F.url_decode(F.substring_index("name", "=", -1))})
+
+
+@query
+def config_check(spark, sf_dir):
+    return freeze.config_violations(_configs(spark, sf_dir), CONFIG_LABELS)
+
+
+_CONFIG_RULES = [(1, "structure:tokenization.padding"), (2, "structure:optimization.optimizer"), (3, "structure:checkpoint_rule.restore_best_before_test"), (4, "frozen"), (5, "class_weighting"), (6, "labels"), (7, "revision"), (8, "baseline"), (9, "missing:labels"), (9, "labels")]
+SQL["config_check"] = f"SELECT 'nations' AS bundle, n_name AS name, rule FROM nation JOIN (VALUES {', '.join(f'({k}, {v!r})' for k, v in _CONFIG_RULES)}) t(k, rule) ON n_nationkey % {len(CONFIG_MISTAKES)} = k"
+
+
+@query
+def config_binding(spark, sf_dir):
+    """Configurations against a list of digests, in which one in four is another's and one nation has no document."""
+    docs = stored(_configs(spark, sf_dir), "config-documents")
+    key = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("k"))
+    listed = docs.join(key, "name").select("bundle", "name", F.when(F.col("k") % 4 == 1, F.lit("0" * 64)).otherwise(F.col("digest")).alias("expected"))
+    return freeze.unbound(docs, listed.unionByName(spark.range(1).select(F.lit("nations").alias("bundle"), F.lit("ATLANTIS").alias("name"), F.lit("1" * 64).alias("expected"))))
+
+
+SQL["config_binding"] = "SELECT 'nations' AS bundle, n_name AS name, 'digest differs' AS reason FROM nation WHERE n_nationkey % 4 = 1 UNION ALL SELECT 'nations', 'ATLANTIS', 'missing'"
+
+
 _OWN = "split_seed = {seed}"  # filled in for each split: what does not depend on an outer row needs no correlated subquery
 _SHARED = lambda a, b: f"(SELECT count(*) FROM (SELECT author FROM roles WHERE {_OWN} AND role = '{a}' INTERSECT SELECT author FROM roles WHERE {_OWN} AND role = '{b}')) = 0"
 _INVARIANTS = [
@@ -417,6 +542,9 @@ ovr AS (SELECT x.split_seed, x.id, x.label, x.role AS own FROM roles x WHERE rol
 SELECT split_seed::INT AS split_seed, check_id::INT AS check_id, [{', '.join(repr(x) for x in audit.CHECKS)}][check_id] AS name, passed FROM ({' UNION ALL '.join(f'SELECT * FROM v{i}_{seed}' for seed in splits.SEEDS for i in range(len(_INVARIANTS)))})"""
 
 
+SQL["verifier"] = f"""SELECT NULL::INT AS split_seed, check_id, true AS passed FROM (SELECT unnest([{', '.join(map(repr, freeze.CHECKS))}]) AS check_id) UNION ALL SELECT split_seed, printf('S%02d', check_id), passed FROM ({SQL['split_invariants']})"""
+
+
 # --- feasibility
 @query
 def dose_probe(spark, sf_dir):
