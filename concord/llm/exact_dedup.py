@@ -8,7 +8,8 @@
    stays. Texts that share a digest but differ are then grouped by their bytes.
 
 Texts move only for hits. A hot text is salted in that comparison, and keys with most rows are joined by broadcast. With a
-`state` path, a call that was cut off is taken up again where its stream stopped.
+`state` path, a call that was cut off is taken up again where its stream stopped, and a call with a table that has grown by files adds
+only the records of the new rows, which the stream then meets with all that its state holds. A state of other rows is refused.
 
 Null text counts as empty; null ids come after all others, ids of any ordered type are allowed; of rows with equal ids the
 first by locator stays; texts of any length are compared whole; columns but doc_id and text are not looked at, whatever their names; an
@@ -74,17 +75,31 @@ def keyed_state(rows: DataFrame, path: str, bytes_per_trigger: int = 256 << 20,
     return done.groupBy("key").agg(F.max_by(F.struct("group_size", "keeper"), "batch").alias("s")).select("key", "s.*")
 
 
+def _unrecorded(docs: DataFrame, known: DataFrame) -> DataFrame | None:
+    """The places of rows that a state's records lack, or None; neither texts nor digests are read. Records that docs lack are an error."""
+    place = ["__file", "__row"]
+    rows = C.located(docs, "doc_id")
+    total = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*place, "doc_id").cast("decimal(38,0)")).alias("s")).first()
+    if total(rows) == total(known):
+        return None
+    if not known.select(*place, F.struct("doc_id").alias("id")).join(rows.select(*place, F.struct("doc_id").alias("id")), [*place, "id"], "left_anti").isEmpty():  # a struct is never null
+        raise ValueError("the state holds records of rows that the documents lack: it belongs to another table")
+    return C.stored(rows.join(known.select(place), place, "left_anti").select(place), "dedup-new")
+
+
 def decisions(docs: DataFrame, key_bytes: int = 32, files_per_trigger: int | None = None, state: str | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and the locator (__file, __row).
 
-    state: a path of this job in the shared folder. A call that finds records or a stream's log there goes on with them, so
-    it must be the same docs that it is called with."""
+    state: a path of this job in the shared folder. A call that finds records or a stream's log there goes on with them: docs may have more rows than
+    they (in new files), but must have theirs, at the same places and with the same ids; else it raises ValueError."""
     spark = C.ready(docs.sparkSession)
     docs = C.plain(docs)
     state = state or C.scratch(spark, "dedup")
     path = f"{state}/records"
     if not C.exists(spark, f"{path}/_SUCCESS"):
         records(docs, key_bytes).write.mode("overwrite").parquet(path)
+    elif new := _unrecorded(docs, spark.read.parquet(path)):
+        C.by_place(records(docs, key_bytes), new).write.mode("append").parquet(path)
     rows = spark.read.parquet(path)
     groups = C.stored(keyed_state(rows, path, files_per_trigger=files_per_trigger, home=state), "dedup-groups")
 

@@ -5,8 +5,9 @@ on the number of languages) and the scripts that its words are written in. A wor
 that use its script; its score under each is a naive Bayes log-likelihood, no more than `FLOOR` below the best. Viterbi
 with a penalty for each switch labels runs of words; the document's language is the one with most letters.
 
-Null texts and texts without a letter are `und` with score 0, as is everything if no language was learned; equal
-rows are labelled one by one; an empty table gives no rows.
+Null texts and texts without a letter are `und` with score 0, as is everything if no language was learned; texts of any length are labelled whole; of
+languages with equal scores or letters the first by code point is taken; equal rows are labelled one by one; columns but doc_id, text and (in training)
+lang are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -150,11 +151,14 @@ def viterbi(e: np.ndarray, at: np.ndarray, switch: float = SWITCH) -> np.ndarray
     return label
 
 
+#: Languages that a model may have: it takes half a megabyte for each, on the driver and in every worker.
+MOST_LANGUAGES = 256
+TOO_MANY = f"more than {MOST_LANGUAGES} values of lang: too many for one model"
 COUNTED = "lang string, counts binary, scripts binary"
 
 
 def train(docs: DataFrame) -> Model:
-    """Count over all rows of docs that have a text and a language."""
+    """Count over all rows of docs that have a text and a language; more than MOST_LANGUAGES languages are refused, in the task or the driver that meets them."""
     C.ready(docs.sparkSession)
     width = 1 << TABLE_BITS
 
@@ -171,6 +175,8 @@ def train(docs: DataFrame) -> Model:
                     script, _ = scripts_and_letters(words)
                     cells, owner = grams(words)
                     use = script[owner] >= 0
+                    if len(held) == MOST_LANGUAGES and lang not in held:
+                        raise ValueError(TOO_MANY)
                     a, b = held.setdefault(lang, (np.zeros(width, np.int64), np.zeros(OTHER + 1, np.int64)))
                     a += np.bincount(cells[use], times[owner[use]], width).astype(np.int64)
                     b += np.bincount(script[script >= 0], times[script >= 0], OTHER + 1).astype(np.int64)
@@ -178,7 +184,9 @@ def train(docs: DataFrame) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["lang", "counts", "scripts"])
 
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang").mapInArrow(C.trimmed(count), COUNTED)
-    got = sorted((r["lang"], bytes(r["counts"]), bytes(r["scripts"])) for r in rows.groupBy("lang").applyInArrow(_sum_group, COUNTED).collect())  # one row per language
+    got = sorted((r["lang"], bytes(r["counts"]), bytes(r["scripts"])) for r in rows.groupBy("lang").applyInArrow(_sum_group, COUNTED).limit(MOST_LANGUAGES + 1).collect())  # one row per language
+    if len(got) > MOST_LANGUAGES:
+        raise ValueError(TOO_MANY)
     return Model([r[0] for r in got], np.array([np.frombuffer(r[1], np.int64) for r in got]).reshape(-1, width), np.array([np.frombuffer(r[2], np.int64) for r in got]).reshape(-1, OTHER + 1))
 
 

@@ -11,7 +11,7 @@ task sorts a whole source: bucket totals are summed first, in runs of SPAN bucke
 ends in, and only the bucket that it ends in is ranked.
 
 Null text has size 0; a text of any length is one draw of its size; a null source is a source of its own; equal rows are told
-apart by their place; null ids are drawn like others; other columns are passed on whatever their names; empty tables and
+apart by their place; a row without an id is drawn by its place, so that any number of them spread over the buckets; rows with one id share its draw; other columns are passed on whatever their names; empty tables and
 sources without words take nothing.
 """
 
@@ -67,10 +67,11 @@ def sample(docs: DataFrame, weight: Column | None = None, share: float = SHARE,
     """One row per document: __file, __row, doc_id, source, size, source_size, target, copies, taken."""
     spark = C.ready(docs.sparkSession)
     docs = C.plain(docs)
-    digits = F.substring(F.sha2(F.concat(F.lit(f"{SEED}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 13)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat_ws("/", F.lit(""), "__file", "__row"))
+    digits = F.substring(F.sha2(F.concat(F.lit(f"{SEED}|"), name), 256), 1, 13)
     u = (F.conv(digits, 16, 10).cast("bigint") + 1).cast("double") / float(2**52 + 2)
-    rows = C.located(docs, "doc_id", "source", size_of().alias("size"), (-F.log(u) / (weight if weight is not None else quality())).alias("key"))
-    rows = C.stored(rows, "mix-rows")
+    rows = C.located(docs, "doc_id", "source", size_of().alias("size"), (weight if weight is not None else quality()).alias("weight"))
+    rows = C.stored(rows.withColumn("key", -F.log(u) / F.col("weight")).drop("weight"), "mix-rows")
 
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"), F.avg("key").alias("scale")), share)
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")))

@@ -83,6 +83,18 @@ SELECT d.doc_id, len(lines)::BIGINT AS n_lines, coalesce((SELECT count(*) FROM l
 FROM d LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+
+
+def _ablation_sql() -> str:
+    from . import rules
+
+    listed = ", ".join(f"('{p}', {rules.mask(p)}, '{x}', {rules.BIT[x]})" for p, names in rules.POLICIES.items() for x in names)
+    return f"""SELECT policy, rule, count(*) FILTER (WHERE bits & bit <> 0) AS fails, count(*) FILTER (WHERE bits & mask = bit) AS fails_alone, count(*) FILTER (WHERE bits & mask & ~bit = 0) AS kept_without
+FROM ({SQL['op5_rule_ledger']}) l, (VALUES {listed}) r(policy, mask, rule, bit) GROUP BY policy, rule"""
+
+
+SQL["rule_ablation"] = _ablation_sql()
+
 SQL["op11_chat_format"] = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),

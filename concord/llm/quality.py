@@ -7,7 +7,7 @@ complete trees), which go to the executors (some kilobytes) for vectorised trave
 Null and empty texts get the score of a text without words; texts of any length are measured whole; equal rows are scored
 one by one, and rows whose id repeats are that many examples, of which the first TRAIN_ROWS by hash are used; ties between splits go to the first
 feature and the lowest threshold; a table without usable labels scores 0.5 throughout; other columns are passed on, but one named
-__score is refused, as the result has it; an empty table gives no rows.
+a column with the name of the score is refused by `score`, as the result has it, but not by `accepted`; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -114,20 +114,23 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
     return fit(x[order], y[order])
 
 
-def score(docs: DataFrame, trees: Trees) -> DataFrame:
-    """All columns of docs, and __score."""
+def score(docs: DataFrame, trees: Trees, name: str = "__score") -> DataFrame:
+    """All columns of docs, and the score."""
     C.ready(docs.sparkSession)
-    C.reserved(docs, "__score")
+    C.reserved(docs, name)
     model = docs.sparkSession.sparkContext.broadcast(trees)
-    schema = docs.select("*").schema.add("__score", "double")
+    schema = docs.select("*").schema.add(name, "double")
 
     def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
         got = model.value.score(features(C.texts_of(batch)))
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], [*batch.schema.names, "__score"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], [*batch.schema.names, name])
 
     return C.map_arrow(docs, apply, schema, C.SMALL_SLICE)
 
 
 def accepted(docs: DataFrame, trees: Trees) -> DataFrame:
-    """The rows that the classifier does not reject."""
-    return score(docs, trees).where("__score >= 0.5").drop("__score")
+    """The rows that the classifier does not reject, with all columns of docs, whatever their names."""
+    taken, name = {*map(str.lower, docs.columns)}, "__score"
+    while name in taken:
+        name += "_"
+    return score(docs, trees, name).where(F.col(name) >= 0.5).drop(name)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,11 +39,18 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rules.apply_policy(rules.ledger(C.documents(spark, sf_dir)))
+    rows = rules.apply_policy(rules.stored_ledger(C.documents(spark, sf_dir)))
     failed = F.col("bits").bitwiseAND(F.lit(rules.mask("base-1"))) != 0
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (F.col("kept") & ~failed).alias("kept"), "bits")
 
 
+def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy does, from the stored bits of one evaluation."""
+    rows = rules.stored_ledger(C.documents(spark, sf_dir))
+    every = [rules.ablation(rows, p).select(F.lit(p).alias("policy"), "rule", "fails", "fails_alone", "kept_without") for p in rules.POLICIES]
+    return reduce(DataFrame.unionByName, every)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sample(C.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -88,7 +96,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_lm_scoring, op2_line_dedup, op3_exact_dedup, op4_toxicity, op5_rule_ledger, op6_mixing, op7_language_id, op8_quality, op9_packing, op10_jaccard_join, op11_chat_format, op12_vector_codes, op13_whitening]
+    own = [op1_lm_scoring, op2_line_dedup, op3_exact_dedup, op4_toxicity, op5_rule_ledger, op6_mixing, op7_language_id, op8_quality, op9_packing, op10_jaccard_join, op11_chat_format, op12_vector_codes, op13_whitening, rule_ablation]
     return {f.__name__: f for f in own}
 
 

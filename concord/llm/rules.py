@@ -4,7 +4,8 @@
 is a named, versioned mask: a document is kept if none of the policy's bits is set. `ablation` counts, from the
 bits alone, what each rule removes on its own and what would come back without it.
 
-Null and empty texts have no words and fail `few_words`; rows repeat as they come; an empty table gives no rows.
+Null and empty texts have no words and fail `few_words`; texts of any length are measured whole, in slices of several texts; shares on a rule's threshold do not fail it;
+rows repeat as they come; columns but doc_id and text are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -71,6 +72,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return C.map_arrow(docs.select("doc_id", "text"), evaluate, f"doc_id {kind}, bits long, " + ", ".join(f"{k} long" for k in MEASURES), C.SMALL_SLICE)
 
 
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger, written once: policies and ablations read bits, never texts."""
+    return C.stored(ledger(docs), "ledger")
+
+
 def apply_policy(rows: DataFrame, policy: str = "prose-1") -> DataFrame:
     """The ledger with `kept` and `policy`."""
     return rows.withColumn("kept", F.col("bits").bitwiseAND(F.lit(mask(policy))) == 0).withColumn("policy", F.lit(policy))
