@@ -1,4 +1,8 @@
-"""A training-data pipeline of five operators over `documents`; each stage's rows are written and read again."""
+"""A training-data pipeline of five operators over `documents`; each stage's rows are written and read again.
+
+Null and empty texts: scored like any text, equal to each other in exact_dedup, without near copies, of size 0 in the mixture (taken with their source's complete
+epochs), packed as their closing id. Texts of any length pass whole. Ties: the smallest id stays (null ids last, then by place). Repeated rows are copies of each other.
+Null ids, sources and labels are allowed. An empty table gives an empty result. Extra columns pass through all stages but the last, whatever their names."""
 
 from __future__ import annotations
 
