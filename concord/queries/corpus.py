@@ -9,7 +9,7 @@ from ..functions import hashing, text
 from ..operators import audit, dedup, feasibility, labels, metrics, neighbours, splits
 from ..plans import freeze, provenance
 from ..schemas import struct
-from ..sources.tables import file_digests, read_csvs, read_ids, read_json_lines, read_manifest, replace_directory, scratch, stored, write_csv
+from ..sources.tables import read_csvs, read_ids, read_json_lines, replace_directory, scratch, stored, write_csv
 from .surrogates import CATEGORIES, CORPUS_SQL, ELIGIBLE_SQL, PARTITIONS_SQL, PRIORITIES, RATERS_SQL, SPLIT_SQL, corpus, match_sql, r, rater_rows, roles, sql_int, sql_key, table, votes
 
 QUERIES, SQL = {}, {}
@@ -647,28 +647,6 @@ def stable_seeds(spark, sf_dir):
 SQL["stable_seeds"] = f"WITH {CORPUS_SQL} SELECT DISTINCT author, ({sql_int('sha256(author)')} + 7) % 4294967295 AS seed FROM corpus"
 
 
-@query
-def job_grid(spark, sf_dir):
-    return provenance.job_grid(spark)
-
-
-_JOBS = [(m, x, p or "", 1) for m, x, p in provenance.JOBS] + [(m, x, "", s) for m, x, s in provenance.ROBUST]
-_GRID = f"""grid AS (SELECT backbone || '__' || regime || CASE WHEN part <> '' THEN '_' || part ELSE '' END || '__split' || split_seed || '__seed' || model_seed AS run_id, backbone, regime, part, model_seed, split_seed
-  FROM (VALUES {', '.join(f"('{m}', '{x}', '{p}', {s})" for m, x, p, s in _JOBS)}) t(backbone, regime, part, model_seed), (SELECT unnest([42, 123, 2024])::INT AS split_seed))"""
-SQL["job_grid"] = f"WITH {_GRID} SELECT * FROM grid"
-
-
-@query
-def pending_runs(spark, sf_dir):
-    grid = provenance.job_grid(spark)
-    h = F.sha2("run_id", 256)
-    ledger = grid.select("run_id", F.when(F.substring(h, 1, 1) < "8", "complete").otherwise("started").alias("status"), h.alias("digest"), F.when(F.substring(h, 2, 1) < "c", h).otherwise("x").alias("file_digest"), F.lit(10).alias("n_rows"), F.lit(10).alias("n_expected"))
-    return provenance.pending_runs(grid, ledger)
-
-
-SQL["pending_runs"] = f"WITH {_GRID} SELECT * FROM grid WHERE NOT (substr(sha256(run_id), 1, 1) < '8' AND substr(sha256(run_id), 2, 1) < 'c')"
-
-
 @query
 def fingerprint(spark, sf_dir):
     return hashing.fingerprint(corpus(spark, sf_dir), "id", ["label", "author", "sub", "link_id"])
@@ -768,22 +746,6 @@ def id_list_source(spark, sf_dir):
 SQL["id_list_source"] = "SELECT c_custkey::VARCHAR AS id FROM customer"
 
 
-@query
-def manifest_check(spark, sf_dir):
-    """A manifest of stored files, one of which it has a wrong digest for, and one that is missing."""
-    for k in (1, 2, 3):
-        if k == 1:
-            root = scratch(spark, "files")
-        spark.range(1).select(F.lit(f"file {k}").alias("v")).coalesce(1).write.text(f"{root}/{k}")
-    found = file_digests(spark, root).where("path LIKE '%.txt'").select(F.substring("path", 1, 1).alias("path"), "digest")
-    lines = found.select(F.concat(F.when(F.col("path") == "2", F.lit("0" * 64)).otherwise(F.col("digest")), F.lit("  "), F.col("path")).alias("v"))
-    lines.unionByName(spark.range(1).select(F.lit("1" * 64 + "  4").alias("v"))).write.text(listed := scratch(spark, "manifest"))
-    return provenance.manifest_failures(read_manifest(spark, listed), found)
-
-
-SQL["manifest_check"] = "SELECT * FROM (VALUES ('2', 'digest differs'), ('4', 'missing')) t(path, reason)"
-
-
 @query
 def replaced_directory(spark, sf_dir):
     """A sink that is written twice, the second time whole over the first."""
@@ -794,11 +756,3 @@ def replaced_directory(spark, sf_dir):
 
 
 SQL["replaced_directory"] = "SELECT n_nationkey, n_name FROM nation"
-
-
-@query
-def session_runs(spark, sf_dir):
-    return provenance.session_runs(provenance.job_grid(spark), 7)
-
-
-SQL["session_runs"] = f"WITH {_GRID} SELECT * FROM grid ORDER BY run_id LIMIT 7"
