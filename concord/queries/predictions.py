@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import cohen_h as effect_h
 from ..functions.stats import mcnemar_exact
-from ..operators import ensemble, inference, metrics
+from ..operators import ensemble, inference, metrics, prediction_files
 from ..operators import splits as splits_
-from ..sources.tables import stored
+from ..sources.tables import file_digests, scratch, stored
 from . import resampling_sql as RS
 from .surrogates import ENSEMBLE_SQL, JURORS, K, LADDER, LADDER_SQL, PRED_SQL, REPS, bundle_select, class_sql, corpus, ladder_predictions, ladder_sql, predictions, r, sql_int, sql_key, table
 
@@ -130,6 +130,31 @@ def prediction_violations(spark, sf_dir):
 SQL["prediction_violations"] = f"WITH {PRED_SQL} SELECT juror, example_id, 'argmax' AS violations FROM preds WHERE example_id % 7 = 0"
 
 
+@query
+def prediction_file_violations(spark, sf_dir):
+    """Files of the jurors' test predictions with planted faults: in J1's rows another label, a number that is none, sums of 2; J2's header in another order; J3's
+    sidecar with another run and digest. J4 has no sidecar, J5 is sound."""
+    t = _test(spark, sf_dir).select("juror", "example_id", "true_label", "pred_label", *(F.col("probs")[i].alias(f"prob_{i}") for i in range(K)))
+    one = stored(t.where("juror = 'J1'").drop("juror"), "files")
+    k = F.col("example_id")
+    bad = one.withColumn("pred_label", F.when(k % 7 == 0, (F.col("pred_label") + 1) % K).otherwise(F.col("pred_label")))
+    bad = bad.withColumns({f"prob_{i}": F.when(k % 13 == 0, 2 * F.col(f"prob_{i}")).otherwise(F.col(f"prob_{i}")).cast("string") for i in range(K)})
+    bad = bad.withColumn("prob_0", F.when(k % 11 == 0, F.lit("n/a")).otherwise(F.col("prob_0")))
+    runs = {"J1": bad, "J2": one.select("true_label", "example_id", *one.columns[2:]), "J3": one, "J4": one, "J5": one}
+    root = scratch(spark, "prediction-files")
+    for run, df in runs.items():
+        df.coalesce(1).write.option("header", True).csv(f"{root}/{run}")
+    found = file_digests(spark, root).where("path RLIKE '[.]csv$'").select(F.substring_index("path", "/", 1).alias("run"), "digest")
+    wrong = F.col("run") == "J3"
+    sidecars = found.where("run != 'J4'").select("run", F.when(wrong, "J1").otherwise(F.col("run")).alias("run_id"), F.when(wrong, F.lit("0" * 64)).otherwise(F.col("digest")).alias("prediction_file_sha256"))
+    return prediction_files.violations(spark, root, stored(sidecars, "sidecars"), K)
+
+
+SQL["prediction_file_violations"] = f"""WITH {PRED_SQL}, t AS (SELECT example_id AS k FROM preds WHERE part = 'test' AND juror = 'J1')
+SELECT 'J1' AS run, k::VARCHAR AS example_id, rule FROM t, (VALUES ('finite'), ('sum'), ('argmax')) r(rule) WHERE CASE rule WHEN 'finite' THEN k % 11 = 0 WHEN 'sum' THEN k % 11 <> 0 AND k % 13 = 0 ELSE k % 11 <> 0 AND k % 7 = 0 END
+UNION ALL SELECT run, NULL, rule FROM (VALUES ('J2', 'columns'), ('J3', 'run_id'), ('J3', 'digest'), ('J4', 'no sidecar')) f(run, rule) WHERE EXISTS (SELECT 1 FROM t)"""
+
+
 # --- votes
 @query
 def juror_weights(spark, sf_dir):
