@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import dedup, labels, merkle
+from ..operators import dedup, labels, merkle, quantiles
 from ..plans import provenance
 from ..schemas import struct
 from ..sources import tables, verified, versions
 from ..sources.tables import scratch, stored
 from .corpus import norm_sql
-from .surrogates import RATERS_SQL, SPLIT_SQL, rater_rows, roles, table
+from .surrogates import RATERS_SQL, SPLIT_SQL, r, rater_rows, roles, table
 
 QUERIES, SQL = {}, {}
 
@@ -63,6 +63,19 @@ def merkle_differences(spark, sf_dir):
 SQL["merkle_differences"] = f"WITH {SPLIT_SQL} SELECT split_seed, role, id AS key, side, 1::BIGINT AS n FROM roles, (VALUES ('a'), ('b')) s(side) WHERE split_seed = 42 AND substr(sha256(id), 1, 3) < '004'"
 
 
+# --- quantiles
+QUARTILES = [0.0, 0.25, 0.5, 0.75, 1.0]
+
+
+@query
+def exact_quantiles(spark, sf_dir):
+    """Quartiles of prices and the ends of their middle 95 %, by status, without holding the prices."""
+    return quantiles.quantiles(table(spark, sf_dir, "orders"), "o_totalprice", [*QUARTILES, 0.025, 0.975], ["o_orderstatus"])
+
+
+SQL["exact_quantiles"] = f"SELECT o_orderstatus, a AS at, {r('quantile')} AS quantile FROM (SELECT o_orderstatus, {[*QUARTILES, 0.025, 0.975]}::DOUBLE[] AS ats, quantile_cont(o_totalprice::DOUBLE, {[*QUARTILES, 0.025, 0.975]}) AS qs FROM orders GROUP BY 1), LATERAL (SELECT unnest(ats) AS a, unnest(qs) AS quantile)"
+
+
 # --- versions
 @query
 def versioned_tables(spark, sf_dir):
