@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import percent
-from .splits import LEVELS, matched_substitution
+from .splits import LEVELS, matched_doses
 
 #: Thresholds of the decision. Fixed values.
 MIN_ELIGIBLE_TEST, MIN_OVERLAP_PCT, MIN_CLASS_SUPPORT, FULL_COVERAGE_PCT = 1500, 5.0, 50, 99.9
@@ -39,11 +39,10 @@ def dose_probe(roles: DataFrame, doses: tuple[int, ...] = DOSES) -> DataFrame:
     """(split_seed, dose): coverage, injected rows, share of training, levels of the matches in percent."""
     per = roles.where("role = 'reserve'").groupBy("split_seed", "author").agg(F.count(F.lit(1)).alias("n")).groupBy("split_seed").agg(*(F.count_if(F.col("n") >= k).alias(f"ge{k}") for k in doses))
     sizes = roles.groupBy("split_seed").agg(F.count_if(F.col("role") == "train").alias("n_train"), F.count_if((F.col("role") == "test") & F.col("strict")).alias("n_eligible")).join(per, "split_seed", "left")
-    out = None
-    for k in doses:
-        m = matched_substitution(roles, k).groupBy("split_seed").agg(F.count(F.lit(1)).alias("n_injected"), *(F.count_if(F.col("level") == name).alias(f"n_{name}") for name, _ in (*LEVELS, ("failed", ()))))
-        part = sizes.join(m, "split_seed", "left").withColumn("dose", F.lit(k)).withColumn("covered", F.coalesce(f"ge{k}", F.lit(0)))
-        out = part if out is None else out.unionByName(part)
+    levels = [F.count_if(F.col("level") == name).alias(f"n_{name}") for name, _ in (*LEVELS, ("failed", ()))]
+    matched = matched_doses(roles, doses).groupBy("split_seed", "dose").agg(F.count(F.lit(1)).alias("n_injected"), *levels)
+    each = F.inline(F.array(*(F.struct(F.lit(k).alias("dose"), F.coalesce(f"ge{k}", F.lit(0)).alias("covered")) for k in doses)))
+    out = sizes.select("split_seed", "n_train", "n_eligible", each).join(matched, ["split_seed", "dose"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     shares = {f"{name}_pct": percent(zero(f"n_{name}"), zero("n_injected")) for name, _ in LEVELS}
     return out.select("split_seed", "dose", "n_train", "n_eligible", zero("n_injected").alias("n_injected"), zero("n_failed").alias("n_failed"), percent(F.col("covered"), F.col("n_eligible")).alias("coverage_pct"), percent(zero("n_injected"), F.col("n_train")).alias("overlap_pct"), *(v.alias(k) for k, v in shares.items()))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import order_key
 from ..plans.prefix import running_totals
 from ..schemas import JURORS
+from ..sources.tables import stored
 
 TEST_SHARE = VAL_SHARE = 0.15
 SEEDS = (42, 123, 2024)
@@ -71,27 +72,37 @@ def injected(roles: DataFrame, dose: int = 1) -> DataFrame:
     return ranked.where((F.col("r") <= dose) & (F.col("n") >= dose)).drop("h", "r", "n")
 
 
-def matched_substitution(roles: DataFrame, dose: int = 1) -> DataFrame:
-    """(split_seed, injected_id, removed_id, level): for each injected row one training row to remove, once each.
+def matched_doses(roles: DataFrame, doses: tuple[int, ...] = (1,)) -> DataFrame:
+    """(split_seed, dose, injected_id, removed_id, level): for each injected row one training row to remove, once each, at every dose.
 
-    Set-based: at every level, rows that are still free get a rank in hash order within their key, on either side;
-    equal ranks are partners. Both sides pass through the same windows as one table, so no level joins."""
-    keys = ["split_seed", "label", "sub", "len_bucket", "ppa_bucket"]
-    both = injected(roles, dose).select("id", *keys, F.lit(1).alias("side")).unionByName(roles.where("role = 'train'").select("id", *keys, F.lit(0).alias("side")))
-    both = both.withColumn("h", order_key(F.col("split_seed"), "match", "id")).withColumn("level", F.lit(None).cast("string")).withColumn("rank", F.lit(None).cast("bigint"))
+    Set-based: at every level, rows that are still free get a rank in hash order within their key, on either side; equal
+    ranks are partners. A rank is a running total over hash ranges, so a label that holds every row is still many tasks. A level
+    writes its partners and what stays free, which the next level takes up; all doses go through it together."""
+    every = F.explode(F.array(*map(F.lit, doses))).alias("dose")
+    keys = ["label", "sub", "len_bucket", "ppa_bucket"]
+    least = [injected(roles, k).select("split_seed", F.lit(k).alias("dose"), "id", *keys, F.lit(1).alias("side")) for k in doses]
+    free = roles.where("role = 'train'").select("split_seed", every, "id", *keys, F.lit(0).alias("side"))
+    for rows in least:
+        free = free.unionByName(rows)
+    free = free.withColumn("h", order_key(F.col("split_seed"), "match", "id"))
+    by, paired = ["split_seed", "dose", "key"], None
     for name, cols in LEVELS:
-        free = F.col("level").isNull().cast("int")
-        w = Window.partitionBy("split_seed", *cols)
-        other = F.sum(F.when(F.col("side") == 1, free)).over(w), F.sum(F.when(F.col("side") == 0, free)).over(w)
-        own = F.sum(free).over(Window.partitionBy("split_seed", *cols, "side").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0))
-        both = both.withColumn("__own", own.cast("bigint")).withColumn("__least", F.least(F.coalesce(other[0], F.lit(0)), F.coalesce(other[1], F.lit(0))))
-        hit = F.col("level").isNull() & (F.col("__own") <= F.col("__least"))
-        both = both.withColumn("rank", F.when(hit, F.col("__own")).otherwise(F.col("rank"))).withColumn("level", F.when(hit, name).otherwise(F.col("level"))).drop("__own", "__least")
-    where = F.concat_ws("|", "level", *(F.when(F.col("level").isin(*(n for n, cols in LEVELS if c in cols)), F.col(c).cast("string")).otherwise("") for c in keys[1:]))
-    both = both.where("level IS NOT NULL OR side = 1").withColumn("key", where)
-    a = both.where("side = 1").select("split_seed", F.col("id").alias("injected_id"), "level", "key", "rank")
-    b = both.where("side = 0").select("split_seed", F.col("id").alias("removed_id"), "key", "rank")
-    return a.join(b, ["split_seed", "key", "rank"], "left").select("split_seed", "injected_id", "removed_id", F.coalesce("level", F.lit("failed")).alias("level"))
+        rows = stored(free.withColumn("key", F.to_json(F.struct(*cols))), "free")  # a null is a missing field, so it equals itself
+        rows = running_totals(rows, "h", "id", {f"s{i}": (F.col("side") == i).cast("bigint") for i in (0, 1)}, by)
+        rank = F.when(F.col("side") == 1, F.col("run_s1")).otherwise(F.col("run_s0"))
+        rows = stored(rows.select(*free.columns, "key", rank.alias("rank"), (rank <= F.least("all_s0", "all_s1")).alias("hit")), "ranked")
+        a = rows.where("hit AND side = 1").select(*by, "rank", F.col("id").alias("injected_id"))
+        b = rows.where("hit AND side = 0").select(*by, "rank", F.col("id").alias("removed_id"))
+        part = a.join(b, [*by, "rank"]).select("split_seed", "dose", "injected_id", "removed_id", F.lit(name).alias("level"))
+        paired = part if paired is None else paired.unionByName(part)
+        free = rows.where("NOT hit").select(*free.columns)
+    failed = free.where("side = 1").select("split_seed", "dose", F.col("id").alias("injected_id"), F.lit(None).cast(free.schema["id"].dataType).alias("removed_id"), F.lit("failed").alias("level"))
+    return paired.unionByName(failed)
+
+
+def matched_substitution(roles: DataFrame, dose: int = 1) -> DataFrame:
+    """(split_seed, injected_id, removed_id, level) at one dose."""
+    return matched_doses(roles, (dose,)).drop("dose")
 
 
 def exact_greedy_match(roles: DataFrame, dose: int = 1) -> DataFrame:

@@ -280,7 +280,7 @@ SQL["role_profile"] = f"""WITH {SPLIT_SQL}, {_PROFILE} SELECT *, {', '.join(f"{r
 
 @query
 def matched_substitution(spark, sf_dir):
-    return splits.matched_substitution(roles(spark, sf_dir))
+    return splits.matched_substitution(roles_once(spark, sf_dir))
 
 
 SQL["matched_substitution"] = f"WITH {SPLIT_SQL},\n{match_sql()} SELECT * FROM match"
