@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import dedup, labels, merkle, quantiles
+from ..operators import bitmaps, dedup, labels, merkle, quantiles
 from ..plans import provenance
 from ..schemas import struct
 from ..sources import tables, verified, versions
 from ..sources.tables import scratch, stored
-from .corpus import norm_sql
-from .surrogates import RATERS_SQL, SPLIT_SQL, r, rater_rows, roles, table
+from .corpus import _JURORS, _SERPENTINE, _jurors, norm_sql
+from .surrogates import CORPUS_SQL, RATERS_SQL, SPLIT_SQL, corpus, r, rater_rows, roles, table
 
 QUERIES, SQL = {}, {}
 
@@ -247,3 +247,34 @@ def corpus_order(spark, sf_dir):
 
 SQL["corpus_order"] = f"""WITH d AS (SELECT doc_id AS id, 'a' || doc_id % 50 AS author, coalesce({norm_sql('text')}, '') AS t FROM documents WHERE doc_id % 3 <> 0)
 SELECT id, author FROM d WHERE t <> '' QUALIFY id = min(id) OVER (PARTITION BY t)"""
+
+
+@query
+def overlap_matrix(spark, sf_dir):
+    """Every pair of training sets of all splits, from one scan of their ids."""
+    by = ["split_seed", "juror"]
+    sets = stored(_jurors(spark, sf_dir).select(*by, "id"), "sets")
+    o = bitmaps.overlaps(stored(bitmaps.bitmaps(sets, "id", by), "bitmaps"), by)
+    flat = [F.col(f"{side}.{c}").alias(f"{c}_{side}") for side in ("a", "b") for c in by]
+    return o.select(*flat, "n_a", "n_b", "n_both", "overlap", "jaccard", "disjoint", "subset", "equal")
+
+
+SQL["overlap_matrix"] = f"""WITH {SPLIT_SQL}, {_SERPENTINE}, {_JURORS}, s AS (SELECT DISTINCT split_seed, juror, id FROM jt), n AS (SELECT split_seed, juror, count(*) AS n FROM s GROUP BY ALL),
+i AS (SELECT x.split_seed AS sa, x.juror AS ja, y.split_seed AS sb, y.juror AS jb, count(*) AS k FROM s x JOIN s y ON x.id = y.id GROUP BY ALL),
+p AS (SELECT x.split_seed AS split_seed_a, x.juror AS juror_a, y.split_seed AS split_seed_b, y.juror AS juror_b, x.n AS n_a, y.n AS n_b, coalesce(k, 0)::BIGINT AS n_both
+FROM n x JOIN n y ON (x.split_seed, x.juror) < (y.split_seed, y.juror) LEFT JOIN i ON sa = x.split_seed AND ja = x.juror AND sb = y.split_seed AND jb = y.juror)
+SELECT *, {r('n_both / least(n_a, n_b)')} AS overlap, {r('n_both / (n_a + n_b - n_both)')} AS jaccard, n_both = 0 AS disjoint, n_both = least(n_a, n_b) AS subset, n_both = n_a AND n_a = n_b AS equal FROM p"""
+
+
+@query
+def distinct_rollup(spark, sf_dir):
+    """Distinct authors of each label and sub, of each label, and of all: the coarser ones are unions of the finer bitmaps."""
+    fine = stored(bitmaps.bitmaps(stored(corpus(spark, sf_dir).select("label", "sub", "author"), "authors"), "author", ["label", "sub"]), "bitmaps")
+    none = F.lit(None).cast("string")
+    a = bitmaps.sizes(fine, ["label", "sub"]).select("label", "sub", F.lit(0).alias("level"), "n")
+    b = bitmaps.sizes(bitmaps.merged(fine, ["label"]), ["label"]).select("label", none.alias("sub"), F.lit(1).alias("level"), "n")
+    c = bitmaps.sizes(bitmaps.merged(fine, []), []).select(none.alias("label"), none.alias("sub"), F.lit(2).alias("level"), "n")
+    return a.unionByName(b).unionByName(c).withColumnRenamed("n", "n_authors")
+
+
+SQL["distinct_rollup"] = f"WITH {CORPUS_SQL} SELECT label, sub, grouping(label)::INT + grouping(sub)::INT AS level, count(DISTINCT author) AS n_authors FROM corpus GROUP BY ROLLUP (label, sub)"
