@@ -36,9 +36,10 @@ TRAIN_ROWS, KEPT = 8_000, 8
 ORDER, DECAY = 5, 0.6
 #: Toxic landmarks before those that are left to cover all toxic texts.
 TOXIC_LANDMARKS, OTHER_LANDMARKS = 40, 8
-#: Words considered for the first landmarks, and how much a new one may resemble each of those of its kind already chosen.
-CONSIDERED, ALIKE, KIN = 600, 0.3, 3
-LONGEST = 24  # bytes of a landmark
+#: How much words are alike that count as one kind, landmarks of a kind among the first, and common clean words that may become landmarks.
+ALIKE, KIN, USUAL = 0.3, 3, 2400
+#: Bytes of words whose values a worker remembers.
+MEMORY = 64 << 20
 WINDOW = 48  # longer words are read in overlapping windows
 #: ASCII other than letters, which is dropped from words.
 MARKS = bytes(b for b in range(128) if not chr(b).isalpha())
@@ -86,7 +87,8 @@ class Kernel:
     def __init__(self, landmarks: list[bytes]):
         self.words, self.landmarks = landmarks, (landmarks := [b"^" + w + b"$" for w in landmarks])
         self.packs: list[tuple[np.ndarray, np.uint64, list[tuple[int, np.uint64]]]] = []
-        todo = list(enumerate(landmarks))
+        self.long = [k for k, w in enumerate(landmarks) if len(w) > 63]  # read without the test in bits
+        todo = [(k, w) for k, w in enumerate(landmarks) if len(w) <= 63]
         while todo:  # landmarks side by side in 64 bits, a spare bit after each
             table, mask, own, at = np.zeros(256, np.uint64), 0, [], 0
             while todo and at + len(todo[0][1]) + 1 <= 64:
@@ -130,6 +132,8 @@ class Kernel:
                 rows = np.flatnonzero(np.bitwise_count(~v & bits) >= ORDER)
                 if len(rows):
                     out[rows, k] = self._values(s[rows], self.landmarks[k]) / self.scale[k]
+        for k in self.long:
+            out[:, k] = self._values(s, self.landmarks[k]) / self.scale[k]
         return out
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
@@ -163,9 +167,23 @@ def worst_of(value: np.ndarray, codes: np.ndarray, place: np.ndarray, n: int, fl
 class Machine:
     def __init__(self, kernel: Kernel, weight: np.ndarray, bias: float, slope: float, shift: float):
         self.kernel, self.weight, self.bias, self.slope, self.shift = kernel, weight, bias, slope, shift
+        self.known: dict[bytes, float] = {}
+        self.held = 0
 
     def value(self, words: list[bytes]) -> np.ndarray:
-        return spread(self.kernel(words)) @ self.weight + self.bias
+        """Values of words, remembered from batch to batch in bounded memory: a full one is emptied."""
+        out = np.array([self.known.get(w, np.nan) for w in words], np.float64)
+        new = np.flatnonzero(np.isnan(out))
+        if len(new):
+            out[new] = spread(self.kernel([words[i] for i in new])) @ self.weight + self.bias
+            for i in new.tolist():
+                size = len(words[i]) + 160  # with the entry and its number
+                if self.held + size > MEMORY:
+                    self.known, self.held = {}, 0
+                if size <= MEMORY:
+                    self.known[words[i]] = float(out[i])
+                    self.held += size
+        return out
 
     def score(self, text: pa.Array) -> np.ndarray:
         worst = np.full(len(text), self.bias)
@@ -212,17 +230,15 @@ def bent_forms(word: bytes) -> list[bytes]:
 
 
 def spread_out(words: list[bytes], most: int) -> list[bytes]:
-    """The first words of the list, but at most KIN that resemble one another."""
-    if not words:
-        return []
-    kernel = Kernel(words)
-    k = kernel(words)
-    k = np.minimum(k, k.T)
-    chosen: list[int] = []
-    for i in range(len(words)):
-        if len(chosen) < most and (k[i, chosen] > ALIKE).sum() < KIN:
-            chosen.append(i)
-    return [words[i] for i in chosen]
+    """The first words of the list, all of which are considered, but at most KIN that resemble one another."""
+    own = Kernel(words).scale
+    near = np.zeros(len(words), np.int64)  # chosen words that each resembles
+    chosen: list[bytes] = []
+    for i, w in enumerate(words):
+        if len(chosen) < most and near[i] < KIN:
+            chosen.append(w)
+            near += Kernel([w])(words)[:, 0] * own[i] / np.maximum(own, own[i]) > ALIKE
+    return chosen
 
 
 def covering(words: list[bytes], chosen: list[bytes], texts: list[list[int]]) -> list[bytes]:
@@ -266,7 +282,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
         seen = {(int(p), words[c]) for p, c in set(zip(place.tolist(), codes.tolist(), strict=True))}
         toxic: dict[bytes, list[int]] = {}
         for p, w in seen:
-            if ORDER <= len(w) + 2 and len(w) <= LONGEST:
+            if ORDER <= len(w) + 2:
                 toxic.setdefault(w, [0, 0])[int(label[p] == 1)] += 1
         return pa.RecordBatch.from_arrays([pa.array(list(toxic), pa.binary()), pa.array([x[0] for x in toxic.values()], pa.int64()), pa.array([x[1] for x in toxic.values()], pa.int64())], ["word", "clean", "toxic"])
 
@@ -293,8 +309,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
         return pa.RecordBatch.from_arrays([pa.array([sorted(x) for x in own], pa.list_(pa.int32()))], ["tied"])
 
     texts = [r["tied"] for r in C.map_arrow(chosen.where("__label = 1"), ties, "tied array<int>").collect()]  # at most `rows` rows
-    bad = covering(names, spread_out(names[:CONSIDERED], TOXIC_LANDMARKS), texts)
-    usual = [bytes(r["word"]) for r in words.where("clean > 0").where(p < q).orderBy(F.desc("clean"), "word").limit(4 * CONSIDERED).collect()]
+    bad = covering(names, spread_out(names, TOXIC_LANDMARKS), texts)
+    usual = [bytes(r["word"]) for r in words.where("clean > 0").where(p < q).orderBy(F.desc("clean"), "word").limit(USUAL).collect()]
     close = Kernel(bad)(usual).max(1, initial=0)
     good = [usual[i] for i in np.argsort(-close, kind="stable")[:OTHER_LANDMARKS]]  # common clean words that come nearest
     kernel = Kernel(bad + good)
