@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
@@ -24,11 +25,16 @@ def softmax_over(x: Column, by: list[str], temperature: float = 1.0) -> Column:
     return e / F.sum(e).over(w)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), the value being computed once for each row however often `then` names it, in lambdas too."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def softmax(values: Column) -> Column:
     """Of an array."""
-    e = F.transform(values, lambda v: F.exp(v - F.array_max(values)))
-    total = F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(e, lambda v: v / total)
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
+    shares = lambda e: let(total(e), lambda t: F.transform(e, lambda v: v / t))
+    return let(values, lambda x: let(F.array_max(x), lambda top: let(F.transform(x, lambda v: F.exp(v - top)), shares)))
 
 
 def argmax(values: Column) -> Column:
