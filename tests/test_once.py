@@ -24,3 +24,9 @@ def test_softmax_equals_plain_and_names_its_input_once(spark):
 
 def test_prediction_violations_filter_does_not_repeat_the_model(spark, sf_dir):
     assert optimized(__spark_entry__.queries()["prediction_violations"](spark, sf_dir)).upper().count("EXP(") == 1
+
+
+def test_split_checks_are_no_single_plan(spark, sf_dir):
+    """The counts of each relation are written; what is left joins rows of one split each."""
+    plan = optimized(__spark_entry__.queries()["split_invariants"](spark, sf_dir))
+    assert plan.count("Join") <= 2 and "Window" not in plan
