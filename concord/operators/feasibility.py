@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import order_key
 from ..functions.stats import percent
-from .splits import LEVELS, matched_doses
+from ..sources.tables import stored
+from .splits import LEVELS
 
 #: Thresholds of the decision. Fixed values.
 MIN_ELIGIBLE_TEST, MIN_OVERLAP_PCT, MIN_CLASS_SUPPORT, FULL_COVERAGE_PCT = 1500, 5.0, 50, 99.9
@@ -36,15 +38,39 @@ def reserve_per_author(roles: DataFrame) -> DataFrame:
 
 
 def dose_probe(roles: DataFrame, doses: tuple[int, ...] = DOSES) -> DataFrame:
-    """(split_seed, dose): coverage, injected rows, share of training, levels of the matches in percent."""
-    per = roles.where("role = 'reserve'").groupBy("split_seed", "author").agg(F.count(F.lit(1)).alias("n")).groupBy("split_seed").agg(*(F.count_if(F.col("n") >= k).alias(f"ge{k}") for k in doses))
-    sizes = roles.groupBy("split_seed").agg(F.count_if(F.col("role") == "train").alias("n_train"), F.count_if((F.col("role") == "test") & F.col("strict")).alias("n_eligible")).join(per, "split_seed", "left")
-    levels = [F.count_if(F.col("level") == name).alias(f"n_{name}") for name, _ in (*LEVELS, ("failed", ()))]
-    matched = matched_doses(roles, doses).groupBy("split_seed", "dose").agg(F.count(F.lit(1)).alias("n_injected"), *levels)
-    each = F.inline(F.array(*(F.struct(F.lit(k).alias("dose"), F.coalesce(f"ge{k}", F.lit(0)).alias("covered")) for k in doses)))
+    """(split_seed, dose): coverage, injected rows, share of training, levels of the matches in percent.
+
+    No row is matched for it. A level pairs as many rows of a key as its smaller side has free, and the levels' keys are nested, so how many pairs each level
+    makes follows from the rows of the finest keys on either side (`matched_doses` says which ones). One pass over the roles counts them."""
+    keys, names = list(LEVELS[0][1]), [name for name, _ in LEVELS]
+    h = F.when(F.col("role") == "reserve", F.unhex(order_key(F.col("split_seed"), "dose", "id")))
+    rows = roles.select("split_seed", "author", "role", "strict", *keys, h.alias("h"), F.when(F.col("role") == "reserve", F.col("id")).alias("id"))
+    own, any_ = Window.partitionBy("split_seed", "author", "role", "strict"), Window.partitionBy("split_seed", "author", "role")
+    most = F.lit(max(doses))
+    rows = rows.withColumns({"r": F.row_number().over(own.orderBy("h", "id")), "n": F.count(F.lit(1)).over(own)})
+    rows = rows.withColumns({"first": F.row_number().over(any_.orderBy("strict", "h", "id")) == 1, "all": F.count(F.lit(1)).over(any_)})
+    capped = {c: F.when(F.col("role") == "reserve", F.least(F.col(c), most + 1)) for c in ("r", "n", "all")} | {"first": F.when(F.col("role") == "reserve", F.col("first"))}
+    cells = stored(rows.withColumns(capped).groupBy("split_seed", "role", "strict", *keys, "r", "n", "first", "all").agg(F.count(F.lit(1)).alias("c")), "cells")
+
+    total = lambda where: F.coalesce(F.sum(F.when(where, F.col("c"))), F.lit(0))
+    reserve = F.col("role") == "reserve"
+    sizes = cells.groupBy("split_seed").agg(total(F.col("role") == "train").alias("n_train"), total((F.col("role") == "test") & F.col("strict")).alias("n_eligible"), *(total(reserve & F.col("first") & (F.col("all") >= k)).alias(f"ge{k}") for k in doses))
+    each = F.inline(F.array(*(F.struct(F.lit(k).alias("dose"), F.col(f"ge{k}").alias("covered")) for k in doses)))
+    every = F.explode(F.array(*map(F.lit, doses))).alias("dose")
+    free = cells.select("*", every).groupBy("split_seed", "dose", *keys).agg(total(F.col("role") == "train").alias("s0"), total(reserve & F.col("strict") & (F.col("r") <= F.col("dose")) & (F.col("n") >= F.col("dose"))).alias("s1"))
+    injected = free.groupBy("split_seed", "dose").agg(F.sum("s1").alias("n_injected"))
+    hits = None
+    for name, cols in LEVELS:
+        free = stored(free.groupBy("split_seed", "dose", *cols).agg(F.sum("s0").alias("s0"), F.sum("s1").alias("s1")), "free-cells")
+        hit = F.least("s0", "s1")
+        part = free.groupBy("split_seed", "dose").agg(F.sum(hit).alias("n")).withColumn("level", F.lit(name))
+        hits = part if hits is None else hits.unionByName(part)
+        free = free.withColumns({"s0": F.col("s0") - hit, "s1": F.col("s1") - hit})
+    hits = hits.groupBy("split_seed", "dose").agg(*(F.sum(F.when(F.col("level") == x, F.col("n"))).alias(f"n_{x}") for x in names))
+    matched = injected.join(hits, ["split_seed", "dose"]).withColumn("n_failed", F.col("n_injected") - sum((F.col(f"n_{x}") for x in names), F.lit(0)))
     out = sizes.select("split_seed", "n_train", "n_eligible", each).join(matched, ["split_seed", "dose"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    shares = {f"{name}_pct": percent(zero(f"n_{name}"), zero("n_injected")) for name, _ in LEVELS}
+    shares = {f"{name}_pct": percent(zero(f"n_{name}"), zero("n_injected")) for name in names}
     return out.select("split_seed", "dose", "n_train", "n_eligible", zero("n_injected").alias("n_injected"), zero("n_failed").alias("n_failed"), percent(F.col("covered"), F.col("n_eligible")).alias("coverage_pct"), percent(zero("n_injected"), F.col("n_train")).alias("overlap_pct"), *(v.alias(k) for k, v in shares.items()))
 
 

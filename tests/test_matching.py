@@ -88,3 +88,25 @@ def test_ranks_are_cut_by_ranges(spark):
     plan = splits.running_totals(rows, "h", "id", {"n": F.lit(1).cast("bigint")}, ["split_seed", "key"])._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [" in line and " h#" in line]  # the others see totals of ranges
     assert windows and all("__range" in line for line in windows)
+
+
+def test_dose_probe_counts_what_matching_pairs(spark):
+    """Levels come from counts of cells; none of the rows is matched, so the plan of the probe has no shuffle of rows for each level."""
+    rows = some_rows(500, (42, 123), random.Random(9))
+    df = spark.createDataFrame(rows, SCHEMA)
+    probe = feasibility.dose_probe(df, (1, 2, 3))
+    pairs = splits.matched_doses(df, (1, 2, 3)).groupBy("split_seed", "dose", "level").count().collect()
+    n = {(r["split_seed"], r["dose"], r["level"]): r["count"] for r in pairs}
+    for r in probe.collect():
+        at = (r["split_seed"], r["dose"])
+        injected = sum(c for k, c in n.items() if k[:2] == at)
+        assert (r["n_injected"], r["n_failed"]) == (injected, n.get((*at, "failed"), 0))
+        assert [round(r[f"{x}_pct"] * injected / 100) for x, _ in splits.LEVELS] == [n.get((*at, x), 0) for x, _ in splits.LEVELS]
+        own = {}
+        for row in rows:
+            if row[0] == r["split_seed"] and row[7] == "reserve":
+                own[row[2]] = own.get(row[2], 0) + 1
+        eligible = sum(row[0] == r["split_seed"] and row[7] == "test" and row[8] for row in rows)
+        assert r["coverage_pct"] == pytest.approx(100 * sum(c >= r["dose"] for c in own.values()) / eligible if eligible else 0)
+    assert "removed_id" not in probe._jdf.queryExecution().optimizedPlan().toString() and probe.count() == 6
+    assert len(probe.inputFiles()) and not any("ranked" in f or "concord-free-" in f and "free-cells" not in f for f in probe.inputFiles())
