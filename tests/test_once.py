@@ -1,6 +1,7 @@
 """Expensive columns are computed once for each row, whatever is built and filtered on top of them."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,3 +31,14 @@ def test_split_checks_are_no_single_plan(spark, sf_dir):
     """The counts of each relation are written; what is left joins rows of one split each."""
     plan = optimized(__spark_entry__.queries()["split_invariants"](spark, sf_dir))
     assert plan.count("Join") <= 2 and "Window" not in plan
+
+
+def test_roles_are_dealt_by_author_once(spark, sf_dir):
+    from concord.queries.surrogates import roles
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = roles(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search(r"hashpartitioning\((split_seed#\d+, author|author#\d+, split_seed)", plan)
