@@ -3,8 +3,9 @@
 Angles between vectors obey the triangle inequality: with d(x, p) and d(y, p) to a pivot p, d(x, y) >= |d(x, p) - d(y, p)|. Distinct unit vectors are sorted by their nearest
 pivot and the ring around it (their angle to it) and cut into blocks, each with the interval of its angles to every pivot; blocks
 form a tree whose nodes have their children's intervals joined. Pairs of nodes are followed down from the root, level by level, and dropped as soon as one
-pivot's intervals lie further apart than the threshold's angle. Only blocks of pairs that survive meet, as two matrices; each
-vector takes its best few out of each pair, so what leaves a pair is a few rows a vector, and the lists of pairs merge to the result.
+pivot's intervals lie further apart than the threshold's angle. Only blocks of pairs that survive meet, as two matrices; a
+task keeps each vector's best few over all pairs that it sees, so a few rows a vector leave a task, and the lists of tasks merge to the result.
+Where most pairs survive, tasks read the blocks from the shared folder instead of getting them by a shuffle: disk grows with the vectors, time with the pairs.
 
 Nothing is approximate: pruning only drops pairs that can't pass the threshold. How much it drops depends on the data: in many dimensions without
 structure all angles to a pivot are alike, and most pairs remain (`report` says how many); what is left then is blocked matrix products. Equal vectors are one vector with its smallest
@@ -31,13 +32,17 @@ from ..sources.tables import stored
 PIVOTS, ROWS, BLOCKS, FAN = 16, 1024, 16, 16
 #: Vectors from which pivots are chosen; radians and cosine that rounding can't reach.
 SAMPLE, SLACK, NEAR = 2048, 1e-6, 1e-9
+#: Blocks that a block meets on average, at most, for blocks to travel to their pairs; candidates of a row from which a pair of blocks ranks them first.
+MEETS, MANY = 4, 16
+#: Neighbours that a task keeps until it hands them on; places in a block.
+HELD, PLACES = 3_000_000, 1 << 20
 
 
 @dataclass(frozen=True)
 class Index:
     rows: DataFrame  # key, vid (a hash of the unit vector)
     vectors: DataFrame  # vid, ids (its smallest keys, ascending)
-    blocks: DataFrame  # block, part, n, vids, firsts, data (float64, row after row)
+    blocks: DataFrame  # block, n, vids, firsts, data (float64, row after row), lo<j>, hi<j>
     levels: list[DataFrame]  # leaves first: node, parent, lo<j>, hi<j>
     pivots: int
     wide: int
@@ -166,7 +171,7 @@ def build(vectors: DataFrame, key: str, vector: str, k: int, pivots: int = PIVOT
         own = stored(levels[-1].groupBy(F.col("parent").alias("node")).agg(F.lit(0).alias("__x"), *sides).drop("__x"), "nodes")
         levels.append(own.withColumn("parent", F.floor(F.col("node") / FAN)))
         if top == 0:
-            return Index(units.select("key", "vid"), distinct.select("vid", "ids"), blocks.select("block", "n", "vids", "firsts", "data"), levels, p, wide)
+            return Index(units.select("key", "vid"), distinct.select("vid", "ids"), blocks.select("block", "n", "vids", "firsts", "data", *names), levels, p, wide)
         top //= FAN
 
 
@@ -195,52 +200,105 @@ def report(index: Index, threshold: float) -> DataFrame:
     return pairs.crossJoin(F.broadcast(compared)).withColumn("share", F.try_divide(F.col("n_compared"), F.col("n_pairs")))  # single rows
 
 
-def _best(sim: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, cosine) of the k best columns of each row, the first on ties; cosines are added up in one order for every pair, so that equal pairs are equal."""
-    floor = np.full(len(sim), threshold)
-    if sim.shape[1] > k:
-        floor = np.maximum(floor, np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k])
-    i, j = np.nonzero(sim >= (floor - NEAR)[:, None])
+def _best(x: np.ndarray, y: np.ndarray, low: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, cosine) of pairs above the threshold that can be among the k best of a row whose k-th best so far is `low`: no fewer than its k best, and ties.
+
+    Products in single precision only rule pairs out, by more than they can be wrong; cosines are added up in one order for every pair, so that equal pairs are equal."""
+    wrong = NEAR + 2.4e-7 * (x.shape[1] + 4)
+    sim = x.astype(np.float32) @ y.astype(np.float32).T
+    floor = (np.maximum(low, threshold) - wrong).astype(np.float32)
+    some = sim >= floor[:, None]
+    if sim.shape[1] > k and np.count_nonzero(some) > MANY * len(sim):
+        floor = np.maximum(floor, np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k] - np.float32(2 * wrong))
+        some = sim >= floor[:, None]
+    i, j = np.divmod(np.flatnonzero(some), sim.shape[1])
     s = np.zeros(len(i))
     for d in range(x.shape[1]):
         s += x[i, d] * y[j, d]
-    keep = s > threshold
-    i, j, s = i[keep], j[keep], s[keep]
-    order = np.lexsort((j, -s, i))
-    i, j, s = i[order], j[order], s[order]
-    first = np.r_[True, i[1:] != i[:-1]] if len(i) else np.zeros(0, bool)
-    place = np.arange(len(i)) - np.maximum.accumulate(np.where(first, np.arange(len(i)), 0)) if len(i) else i
-    top = place < k
-    return i[top], j[top], s[top]
+    keep = (s > threshold) & (s >= low[i])
+    return i[keep], j[keep], s[keep]
+
+
+class _Lists:
+    """The best k so far of the vectors of one block: row, cosine, first key and place of the other vector, by row and then best first."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.low = k, np.full(n, -np.inf)  # low: the k-th best cosine of each row
+        self.row, self.sim, self.first, self.other = np.zeros(0, np.int64), np.zeros(0), None, np.zeros(0, np.int64)
+
+    def add(self, i: np.ndarray, s: np.ndarray, first: np.ndarray, other: np.ndarray) -> None:
+        if not len(i):
+            return
+        i, s, other = np.r_[self.row, i], np.r_[self.sim, s], np.r_[self.other, other]
+        first = first if self.first is None else np.concatenate([self.first, first])
+        order = np.lexsort((np.unique(first, return_inverse=True)[1], -s, i))
+        i = i[order]
+        begins = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+        place = np.arange(len(i)) - np.repeat(begins, np.diff(np.r_[begins, len(i)]))
+        order = order[place < self.k]
+        self.low[i[place == self.k - 1]] = s[order][place[place < self.k] == self.k - 1]
+        self.row, self.sim, self.first, self.other = i[place < self.k], s[order], first[order], other[order]
+
+
+def _met(index: Index, threshold: float) -> DataFrame:
+    """Ordered pairs of blocks (a, b) that can hold a pair above the threshold, with the vectors of both.
+
+    If they are few for each block, blocks travel to their pairs, MEETS times the vectors at most. Else nothing is shuffled: each task reads a part of the
+    blocks, and all blocks after it, from the shared folder, so that no disk grows with the pairs; single tasks then go on through all blocks."""
+    names = [f"{s}{j}" for s in ("lo", "hi") for j in range(index.pivots)]
+    side = lambda s, *more: index.blocks.select(F.col("block").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in more))
+    columns = ["a", "data_a", "b", "data_b", "firsts_b"]
+    pairs = block_pairs(index, threshold)
+    both = pairs.unionByName(pairs.where("a != b").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    if both.count() <= MEETS * index.blocks.count():
+        return both.join(side("b", "data", "firsts"), "b").join(side("a", "data"), "a").select(columns)
+    widest = math.acos(max(-1.0, min(1.0, threshold))) + SLACK
+    near = F.lit(True)
+    for j in range(index.pivots):
+        near = near & (F.greatest(F.col(f"lo{j}_a") - F.col(f"hi{j}_b"), F.col(f"lo{j}_b") - F.col(f"hi{j}_a")) <= widest)
+    own, others = side("a", "data", *names), side("b", "data", "firsts", *names).hint("shuffle_replicate_nl")
+    parts = own.rdd.getNumPartitions()
+    every = own.join(others, near).select(columns)
+    return every.coalesce(max(parts, 3 * every.sparkSession.sparkContext.defaultParallelism))
 
 
 def neighbours(index: Index, k: int, threshold: float) -> DataFrame:
-    """vid, near: its best k (sim, key) above the threshold, those of its own vector included, best first, smallest key on ties."""
-    pairs = block_pairs(index, threshold)
-    side = lambda s: index.blocks.select(F.col("block").alias(s), F.col("vids").alias(f"vids_{s}"), F.col("firsts").alias(f"firsts_{s}"), F.col("data").alias(f"data_{s}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    """vid, near: its best k (sim, key) above the threshold, those of its own vector included, best first, smallest key on ties.
+
+    A vector goes by the place of its block and its place there until its lists are complete."""
     wide, kind = index.wide, index.rows.schema["key"].dataType.simpleString()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, _Lists] = {}
+
+        def lists() -> Iterator[pa.RecordBatch]:
+            for a, own in held.items():
+                if own.first is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(a * PLACES + own.row), pa.array(own.sim), pa.array(own.first, firsts), pa.array(own.other)], ["at", "sim", "first", "other"])
+
         for batch in batches:
+            firsts = batch.schema.field("firsts_b").type.value_type
             for row in range(batch.num_rows):
-                b = batch.slice(row, 1)
-                x, y = (np.frombuffer(b[f"data_{s}"][0].as_py(), "<f8").reshape(-1, wide) for s in "ab")
-                vids = [b[f"vids_{s}"].flatten() for s in "ab"]
-                firsts = [b[f"firsts_{s}"].flatten() for s in "ab"]
-                sim = x @ y.T
-                ways = [(0, 1, sim, x, y)] if b["a"][0] == b["b"][0] else [(0, 1, sim, x, y), (1, 0, sim.T, y, x)]
-                for own, other, table, p, q in ways:
-                    i, j, s = _best(np.ascontiguousarray(table), p, q, k, threshold)
-                    i, j = pa.array(i, pa.int64()), pa.array(j, pa.int64())
-                    yield pa.RecordBatch.from_arrays([vids[own].take(i), pa.array(s), firsts[other].take(j), vids[other].take(j)], ["vid", "sim", "first", "other"])
-
-    found = stored(met.mapInArrow(compare, f"vid string, sim double, first {kind}, other string"), "found")
-    best = Window.partitionBy("vid").orderBy(F.desc("sim"), "first")
+                r = batch.slice(row, 1)
+                a, b = r["a"][0].as_py(), r["b"][0].as_py()
+                x, y = (np.frombuffer(r[f"data_{s}"][0].as_py(), "<f8").reshape(-1, wide) for s in "ab")
+                if a not in held and (sum(len(h.low) for h in held.values()) + len(x)) * k > HELD:
+                    yield from lists()
+                    held = {}
+                own = held.setdefault(a, _Lists(len(x), k))
+                i, j, s = _best(x, y, own.low, k, threshold)
+                own.add(i, s, r["firsts_b"].flatten().to_numpy(zero_copy_only=False)[j], b * PLACES + j)
+        yield from lists()
+
+    found = stored(_met(index, threshold).mapInArrow(compare, f"at bigint, sim double, first {kind}, other bigint"), "found")
+    best = Window.partitionBy("at").orderBy(F.desc("sim"), "first")
     found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    each = found.join(index.vectors.withColumnRenamed("vid", "other"), "other").select("vid", "sim", F.explode("ids").alias("key"))  # k keys of each of k vectors
-    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("vid").orderBy(F.desc("sim"), "key"))).where(F.col("rank") <= k)
-    return ranked.groupBy("vid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "sim", "key"))), lambda x: F.struct(x["sim"].alias("sim"), x["key"].alias("key"))).alias("near"))
+    numbers = index.blocks.select("block", F.posexplode("vids").alias("j", "vid")).select((F.col("block") * PLACES + F.col("j")).alias("at"), "vid")
+    keys = numbers.withColumnRenamed("at", "other").join(index.vectors, "vid").select("other", "ids")
+    each = found.join(keys, "other").select("at", "sim", F.explode("ids").alias("key"))  # k keys of each of k vectors
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("at").orderBy(F.desc("sim"), "key"))).where(F.col("rank") <= k)
+    near = ranked.groupBy("at").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "sim", "key"))), lambda x: F.struct(x["sim"].alias("sim"), x["key"].alias("key"))).alias("near"))
+    return near.join(numbers, "at").select("vid", "near")
 
 
 def edges(index: Index, k: int, threshold: float) -> DataFrame:

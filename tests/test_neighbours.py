@@ -94,3 +94,40 @@ def test_no_nested_loop_join(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("sim", F.lit(1))
     plan = dedup.knn_edges(df, "vec_id", "embedding", threshold=0.4)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def watched(monkeypatch):
+    """What `stored` writes, by name."""
+    seen, real = {}, neighbours.stored
+    monkeypatch.setattr(neighbours, "stored", lambda df, name: seen.setdefault(name, []).append(df) or real(df, name))
+    return seen
+
+
+def test_disk_does_not_grow_with_pairs_of_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(8)]) for i in range(600)]
+    seen = watched(monkeypatch)
+    index = check(spark, rows, 4, 0.1)
+    assert neighbours.block_pairs(index, 0.1).count() > 400  # nearly all pairs of 38 blocks or more
+    met = seen["found"][0]
+    assert "Exchange" not in met._jdf.queryExecution().executedPlan().toString()  # no block is shipped
+    parts = index.blocks.rdd.getNumPartitions()
+    assert 600 * 4 <= met.count() <= 600 * 4 * max(parts, 12)
+    assert met.rdd.getNumPartitions() <= max(parts, 12)
+
+
+@pytest.mark.parametrize("meets", [0, 10_000])
+@pytest.mark.parametrize("held", [1, 100, 3_000_000])
+def test_both_ways_of_blocks_and_any_memory(spark, monkeypatch, meets, held):
+    monkeypatch.setattr(neighbours, "MEETS", meets)
+    monkeypatch.setattr(neighbours, "HELD", held)
+    monkeypatch.setattr(neighbours, "MANY", 1)
+    rows = clusters(160, 5, 4, 0.05, 6) + [(1000 + i, [1.0, 0.0, 0.0, 0.0]) for i in range(30)] + [(3000 + i, [0.9, 0.1 * (-1) ** i, 0.0, 0.0]) for i in range(20)]
+    check(spark, rows, 5, 0.8)
+
+
+def test_ties_between_blocks_go_to_the_smallest_key(spark):
+    rows = [(0, [1.0, 0.0, 0.0])] + [(1 + i, [0.8, 0.6 * math.cos(i / 7), 0.6 * math.sin(i / 7)]) for i in range(40)]
+    unit = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    spread = [(i, v) for i, v in unit] + [(100 + i, [v[0], -v[1], v[2]]) for i, v in unit[1:]] + [(200 + i, [v[0], v[1], -v[2]]) for i, v in unit[1:]]
+    check(spark, spread, 6, 0.5, pivots=2, size=8)
