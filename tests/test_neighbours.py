@@ -131,3 +131,24 @@ def test_ties_between_blocks_go_to_the_smallest_key(spark):
     unit = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
     spread = [(i, v) for i, v in unit] + [(100 + i, [v[0], -v[1], v[2]]) for i, v in unit[1:]] + [(200 + i, [v[0], v[1], -v[2]]) for i, v in unit[1:]]
     check(spark, spread, 6, 0.5, pivots=2, size=8)
+
+
+def test_components_of_vectors_without_structure(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(8)]) for i in range(400)]
+    seen = watched(monkeypatch)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    edges = neighbours.edges(neighbours.build(df, "id", "v", 3, 4, 16), 3, 0.5)
+    got = {r["id"]: r["comp"] for r in dedup.components(df, edges, "id").collect()}
+    above = {i: i for i, _ in rows}
+
+    def top(i):
+        while above[i] != i:
+            i = above[i]
+        return i
+
+    for a, b in plain_edges(rows, 3, 0.5):
+        a, b = top(a), top(b)
+        above[max(a, b)] = min(a, b)
+    assert got == {i: top(i) for i, _ in rows}
+    assert "Exchange" not in seen["found"][0]._jdf.queryExecution().executedPlan().toString()
