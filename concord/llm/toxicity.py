@@ -41,6 +41,8 @@ ALIKE, KIN, USUAL = 0.3, 3, 2400
 #: Bytes of words whose values a worker remembers.
 MEMORY = 64 << 20
 WINDOW = 48  # longer words are read in overlapping windows
+#: Pairs of a word and a landmark whose kernel is computed in one go.
+PAIRS = 2048
 #: ASCII other than letters, which is dropped from words.
 MARKS = bytes(b for b in range(128) if not chr(b).isalpha())
 ENDS = np.zeros(256, bool)
@@ -100,29 +102,32 @@ class Kernel:
                 own.append((k, np.uint64(bits)))
                 at += len(w) + 1
             self.packs.append((table, np.uint64(mask), own))
-        self.scale = np.array([self._values(np.frombuffer(w, np.uint8)[None], w)[0] for w in landmarks]) if landmarks else np.zeros(0)
+        self.letters = np.zeros((len(landmarks), max(map(len, landmarks), default=0)), np.uint8)
+        for k, w in enumerate(landmarks):
+            self.letters[k, : len(w)] = np.frombuffer(w, np.uint8)
+        self.scale = np.array([self._values(x[None], x[:, None])[0] for x in (np.frombuffer(w, np.uint8) for w in landmarks)]) if landmarks else np.zeros(0)
 
     @staticmethod
-    def _values(s: np.ndarray, t: bytes) -> np.ndarray:
-        """The kernel of each row of s (zero bytes fill it up) with t."""
+    def _values(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """The kernel of each row of s (zero bytes fill it up) with its column of t (or the only one)."""
         n, m = len(s), len(t)
-        own = np.frombuffer(t, np.uint8)
-        before = np.zeros((ORDER, m + 1, n), np.float32)  # subsequences of each length in the prefixes so far, and of t
-        before[0] = 1
+        s = np.ascontiguousarray(s.T)
+        before = np.zeros((m + 1, ORDER, n), np.float32)  # subsequences of each length in the prefixes so far, and of t
+        before[:, 0] = 1
         total = np.zeros(n, np.float32)
-        for k in range(s.shape[1]):
-            same = (own[:, None] == s[:, k]).astype(np.float32) * DECAY**2
-            total += np.einsum("jn,jn->n", same, before[ORDER - 1, :-1])
-            for i in range(ORDER - 1, 0, -1):
-                step = same * before[i - 1, :-1]
-                run = np.zeros(n, np.float32)
-                for j in range(m):
-                    run = DECAY * run + step[j]
-                    before[i, j + 1] = DECAY * before[i, j + 1] + run
+        for letter in s:
+            same = (t == letter).astype(np.float32) * DECAY**2
+            total += np.einsum("jn,jn->n", same, before[:-1, ORDER - 1])
+            run = same[:, None] * before[:-1, :-1]  # all lengths at once, each from the one below it
+            for j in range(1, m):
+                run[j] += DECAY * run[j - 1]
+            before[1:, 1:] *= DECAY
+            before[1:, 1:] += run
         return total
 
     def _some(self, s: np.ndarray) -> np.ndarray:
         out = np.zeros((len(s), len(self.landmarks)), np.float32)
+        todo: dict[int, list[tuple[np.ndarray, int]]] = {}  # rows for each landmark, by its length
         for table, mask, own in self.packs:
             v = np.full(len(s), mask, np.uint64)
             for k in range(s.shape[1]):  # bit-parallel longest common subsequence: a zero bit for each byte of it
@@ -131,9 +136,17 @@ class Kernel:
             for k, bits in own:
                 rows = np.flatnonzero(np.bitwise_count(~v & bits) >= ORDER)
                 if len(rows):
-                    out[rows, k] = self._values(s[rows], self.landmarks[k]) / self.scale[k]
+                    todo.setdefault(len(self.landmarks[k]), []).append((rows, k))
         for k in self.long:
-            out[:, k] = self._values(s, self.landmarks[k]) / self.scale[k]
+            todo.setdefault(len(self.landmarks[k]), []).append((np.arange(len(s)), k))
+        size = s.shape[1] - (s[:, ::-1] != 0).argmax(1)
+        for m, some in todo.items():
+            rows = np.concatenate([r for r, _ in some])
+            mark = np.repeat([k for _, k in some], [len(r) for r, _ in some])
+            order = np.argsort(size[rows], kind="stable")
+            for at in range(0, len(order), PAIRS):
+                r, k = rows[order[at : at + PAIRS]], mark[order[at : at + PAIRS]]
+                out[r, k] = self._values(s[r, : size[r].max()], np.ascontiguousarray(self.letters[k, :m].T)) / self.scale[k]
         return out
 
     def __call__(self, words: list[bytes]) -> np.ndarray:

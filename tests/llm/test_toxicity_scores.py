@@ -61,3 +61,23 @@ def test_all_tied_words_are_considered():
     chosen = toxicity.spread_out([*kin, b"worthless"], 40)
     assert b"worthless" in chosen
     assert toxicity.spread_out([], 40) == []
+
+
+@pytest.mark.parametrize("pairs", [1, 7, 2048])
+def test_landmarks_of_a_length_are_computed_together(monkeypatch, pairs):
+    monkeypatch.setattr(toxicity, "PAIRS", pairs, raising=False)
+    landmarks = [b"idiot" + bytes([97 + i]) for i in range(20)] + [b"stupid", b"imbecile", b"worthless" * 8]
+    words = [b"idiot", b"xidiotb", b"idiiotc", b"stupidity", b"imbeciles", b"worthlessness", b"table", b"", b"id", b"worthless" * 3 + b"idiot" + b"z" * 40]
+    kernel = toxicity.Kernel(landmarks)
+    calls, real = [], kernel._values
+    monkeypatch.setattr(kernel, "_values", lambda s, t: calls.append(len(s)) or real(s, t), raising=False)
+    got = kernel(words)
+    assert sum(calls) > 60 and max(calls) <= pairs
+    if pairs == 2048:  # by width of words and length of landmarks, not by landmark
+        assert len(calls) <= 4 * 3 + 1
+    for i, w in enumerate(words[:-1]):
+        for j, t in enumerate(kernel.landmarks[:-1]):
+            s = b"^" + w + b"$"
+            assert got[i, j] == pytest.approx(plain_kernel(s, t) / plain_kernel(t, t), rel=1e-4, abs=1e-7)
+    each = np.concatenate([kernel([w]) for w in words])
+    assert np.array_equal(got, each)
