@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import stored
+from ..sources.tables import dropped, stored
 
 #: Pivots; vectors to a block; blocks to a range partition, about; children of a node above the partitions.
 PIVOTS, ROWS, BLOCKS, FAN = 16, 1024, 16, 16
@@ -101,9 +101,11 @@ def _pivots(vectors: DataFrame, pivots: int) -> np.ndarray:
 
 
 def build(vectors: DataFrame, key: str, vector: str, k: int, pivots: int = PIVOTS, rows: int = ROWS) -> Index:
-    """The index of all vectors; `vectors` keep k keys each."""
+    """The index of all vectors; `vectors` keep k keys each. Of the stored vectors only those in blocks stay."""
     units = stored(_units(vectors, key, vector).withColumn("vid", F.md5("unit")), "units")
     distinct = stored(_distinct(units, k), "unit-vectors")
+    keys = stored(units.select("key", "vid"), "keys")
+    dropped(units)
     n, wide, least = distinct.agg(F.count(F.lit(1)), F.max(F.octet_length("unit")), F.min(F.octet_length("unit"))).first()
     if wide != least:
         raise ValueError("the vectors of an index have one width")
@@ -163,6 +165,8 @@ def build(vectors: DataFrame, key: str, vector: str, k: int, pivots: int = PIVOT
     box = "".join(f", {s}{j} double" for s in ("lo", "hi") for j in range(p))
     blocks = dealt.mapInArrow(cut, f"part int, seq int, n int, vids array<string>, firsts array<{kind}>, data binary{box}")
     blocks = stored(blocks.withColumn("block", F.col("part").cast("bigint") * (1 << 24) + F.col("seq")), "blocks")
+    few = stored(distinct.select("vid", "ids"), "first-keys")
+    dropped(distinct)
     sides = [F.min(f"lo{j}").alias(f"lo{j}") for j in range(p)] + [F.max(f"hi{j}").alias(f"hi{j}") for j in range(p)]
     names = [f"{s}{j}" for s in ("lo", "hi") for j in range(p)]
     levels = [blocks.select(F.col("block").alias("node"), F.col("part").cast("bigint").alias("parent"), *names)]
@@ -171,7 +175,7 @@ def build(vectors: DataFrame, key: str, vector: str, k: int, pivots: int = PIVOT
         own = stored(levels[-1].groupBy(F.col("parent").alias("node")).agg(F.lit(0).alias("__x"), *sides).drop("__x"), "nodes")
         levels.append(own.withColumn("parent", F.floor(F.col("node") / FAN)))
         if top == 0:
-            return Index(units.select("key", "vid"), distinct.select("vid", "ids"), blocks.select("block", "n", "vids", "firsts", "data", *names), levels, p, wide)
+            return Index(keys, few, blocks.select("block", "n", "vids", "firsts", "data", *names), levels, p, wide)
         top //= FAN
 
 

@@ -152,3 +152,15 @@ def test_components_of_vectors_without_structure(spark, monkeypatch):
         above[max(a, b)] = min(a, b)
     assert got == {i: top(i) for i, _ in rows}
     assert "Exchange" not in seen["found"][0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_blocks_keep_vectors(spark, sf_dir, monkeypatch):
+    seen = watched(monkeypatch)
+    real, wide = neighbours.dropped, []
+    monkeypatch.setattr(neighbours, "dropped", lambda df: wide.append(df.columns) or real(df))
+    check(spark, clusters(120, 4, 5, 0.05, 9), 4, 0.9)
+    assert wide == [["key", "unit", "vid"], ["vid", "unit", "ids"]]
+    kept = {name for name, (df, *_) in seen.items() if {"unit", "data"} & {*df.columns}}
+    assert kept - {"units", "unit-vectors"} == {"blocks"}
+    with pytest.raises(ValueError, match="scratch"):
+        real(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
