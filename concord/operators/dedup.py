@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import dot
 from ..functions.text import clean_authors, normalise
-from ..sources.tables import stored
+from ..sources.tables import dropped, replaced, stored
 from . import neighbours
 
 
@@ -33,7 +33,10 @@ def knn_edges(vectors: DataFrame, key: str, vector: str, k: int = 10, threshold:
     Without `tables` it is exact (`neighbours`). With them, only pairs are compared that share the signs of `planes` random directions in one of `tables` tables, which
     keeps the work near-linear in any dimension but may miss pairs."""
     if not tables:
-        return neighbours.edges(neighbours.build(vectors, key, vector, k), k, threshold)
+        index = neighbours.build(vectors, key, vector, k)
+        found = neighbours.edges(index, k, threshold)
+        dropped(index.blocks)
+        return found
     unit = F.transform(F.col(vector), lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(unit, F.lit(0.0), lambda s, x: s + x * x))
     v = vectors.select(F.col(key).alias("a"), F.transform(unit, lambda x: F.try_divide(x, norm)).alias("va"))
@@ -50,7 +53,7 @@ def knn_edges(vectors: DataFrame, key: str, vector: str, k: int = 10, threshold:
 
 def components(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """(key, comp): the least key that each node reaches. Labels spread along edges and jump to their label's label;
-    every round is stored, so lineage stays short and lost executors cost no recomputation."""
+    every round is stored, so lineage stays short and lost executors cost no recomputation, and takes the place of the one before."""
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     now = both.groupBy("a").agg(F.least("a", F.min("b")).alias("comp"))
     now = stored(now, "labels")
@@ -58,15 +61,29 @@ def components(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
         near = both.join(now.select(F.col("a").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
         jump = now.select(F.col("a").alias("comp"), F.col("comp").alias("next"))
         after = now.join(near, "a").join(jump, "comp", "left").select("a", F.least("comp", "near", F.coalesce("next", "comp")).alias("comp"), F.col("comp").alias("was"))
-        after = stored(after, "labels")
+        after = replaced(after, "labels", now)
         now = after.select("a", "comp")
         if after.where("comp != was").isEmpty():
             break
+    dropped(both)
     found = now.withColumnRenamed("a", key)
     return nodes.select(key).join(found, key, "left").select(key, F.coalesce("comp", key).alias("comp"))
 
 
+def near_components(vectors: DataFrame, key: str, vector: str, k: int = 10, threshold: float = 0.85, **how) -> DataFrame:
+    """`components` of the edges of `knn_edges`. Without `tables` nothing of the index stays on disk once its links are stored."""
+    if how.get("tables"):
+        return components(vectors, knn_edges(vectors, key, vector, k, threshold, **how), key)
+    index = neighbours.build(vectors, key, vector, k)
+    links = neighbours.links(index, k, threshold)
+    dropped(index.blocks)
+    dropped(index.rows)
+    found = components(vectors, links, key)
+    dropped(links)
+    return found
+
+
 def near_dedup(df: DataFrame, key: str, vector: str, **how) -> DataFrame:
     """Rows that are the least of their component of near copies."""
-    comps = components(df, knn_edges(df, key, vector, **how), key)
+    comps = near_components(df, key, vector, **how)
     return df.join(comps.where(F.col(key) == F.col("comp")).select(key), key, "left_semi")

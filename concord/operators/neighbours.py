@@ -6,6 +6,7 @@ form a tree whose nodes have their children's intervals joined. Pairs of nodes a
 pivot's intervals lie further apart than the threshold's angle. Only blocks of pairs that survive meet, as two matrices; a
 task keeps each vector's best few over all pairs that it sees, so a few rows a vector leave a task, and the lists of tasks merge to the result.
 Where most pairs survive, tasks read the blocks from the shared folder instead of getting them by a shuffle: disk grows with the vectors, time with the pairs.
+Vectors are kept in the precision that they came in and become unit vectors where they are read; each step's scratch table goes once the next one is written.
 
 Nothing is approximate: pruning only drops pairs that can't pass the threshold. How much it drops depends on the data: in many dimensions without
 structure all angles to a pivot are alike, and most pairs remain (`report` says how many); what is left then is blocked matrix products. Equal vectors are one vector with its smallest
@@ -17,6 +18,7 @@ Vectors that are null, empty, of length zero or hold null or non-finite componen
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import dropped, stored
+from ..sources.tables import dropped, replaced, stored
 
 #: Pivots; vectors to a block; blocks to a range partition, about; children of a node above the partitions.
 PIVOTS, ROWS, BLOCKS, FAN = 16, 1024, 16, 16
@@ -40,30 +42,48 @@ HELD, PLACES = 3_000_000, 1 << 20
 
 @dataclass(frozen=True)
 class Index:
-    rows: DataFrame  # key, vid (a hash of the unit vector)
-    vectors: DataFrame  # vid, ids (its smallest keys, ascending)
-    blocks: DataFrame  # block, n, vids, firsts, data (float64, row after row), lo<j>, hi<j>
+    rows: DataFrame  # key, at (the place of its vector: its block's and its own there)
+    blocks: DataFrame  # block, n, ids (of each vector its smallest keys, ascending), data (vectors, row after row), lo<j>, hi<j>
     levels: list[DataFrame]  # leaves first: node, parent, lo<j>, hi<j>
     pivots: int
     wide: int
+    dtype: str  # of data
+
+
+def _dtype(vectors: DataFrame, vector: str) -> str:
+    return "<f4" if vectors.schema[vector].dataType.elementType.simpleString() == "float" else "<f8"
+
+
+def _normed(data: bytes, wide: int, dtype: str) -> np.ndarray:
+    """The unit vectors of vectors in a row. Squares are added up in one order, so that a vector has the same one wherever it is read."""
+    x = np.frombuffer(data, dtype).astype(np.float64).reshape(-1, wide)
+    x /= np.abs(x).max(1, initial=0.0)[:, None]  # squares of huge or tiny components stay finite
+    s = np.zeros(len(x))
+    for d in range(wide):
+        s += x[:, d] * x[:, d]
+    x /= np.sqrt(s)[:, None]
+    return x + 0.0
 
 
 def _units(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """key, unit (its bytes) of vectors that have a direction."""
+    """key, unit (the vector's bytes as given, from which `_normed` makes the unit vector), vid (a hash of the unit vector) of vectors that have a direction."""
     odd = lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf"))
-    x = F.transform(F.col(vector), lambda v: v.cast("double"))
+    dtype = _dtype(vectors, vector)
+    x = F.col(vector) if dtype == "<f4" else F.transform(F.col(vector), lambda v: v.cast("double"))
     rows = vectors.where(F.col(vector).isNotNull() & ~F.exists(F.col(vector), odd) & F.exists(F.col(vector), lambda v: v != 0)).select(F.col(key).alias("key"), x.alias("x"))
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for v in b["x"].to_numpy(zero_copy_only=False):
-                v = v / np.abs(v).max()  # squares of huge or tiny components stay finite
-                out.append((v / math.sqrt(sum(v * v)) + 0.0).astype("<f8").tobytes())
-            yield pa.RecordBatch.from_arrays([b["key"], pa.array(out, pa.binary())], ["key", "unit"])
+            raw = [v.astype(dtype).tobytes() for v in b["x"].to_numpy(zero_copy_only=False)]
+            vids = [b""] * len(raw)
+            for size in {*map(len, raw)}:  # one, as a rule
+                at = [i for i, r in enumerate(raw) if len(r) == size]
+                for i, u in zip(at, _normed(b"".join(raw[i] for i in at), size // int(dtype[2]), dtype), strict=True):
+                    vids[i] = hashlib.md5(u.astype("<f8").tobytes(), usedforsecurity=False).digest()
+            yield pa.RecordBatch.from_arrays([b["key"], pa.array(raw, pa.binary()), pa.array(vids, pa.binary())], ["key", "unit", "vid"])
 
-    return rows.mapInArrow(run, f"key {kind}, unit binary")
+    return rows.mapInArrow(run, f"key {kind}, unit binary, vid binary")
 
 
 def _distinct(units: DataFrame, k: int) -> DataFrame:
@@ -86,12 +106,12 @@ def _distinct(units: DataFrame, k: int) -> DataFrame:
     return best.groupBy("vid").agg(F.first("unit").alias("unit"), F.array_sort(F.collect_list("key")).alias("ids"))  # k at most
 
 
-def _pivots(vectors: DataFrame, pivots: int) -> np.ndarray:
+def _pivots(vectors: DataFrame, pivots: int, wide: int, dtype: str) -> np.ndarray:
     """Vectors far from each other, from a sample that does not grow."""
     rows = vectors.orderBy("vid").limit(SAMPLE).select("unit").toArrow()["unit"].to_pylist()
     if not rows:
         return np.zeros((0, 0))
-    x = np.stack([np.frombuffer(r, "<f8") for r in rows])
+    x = _normed(b"".join(rows), wide, dtype)
     chosen = [0]
     far = x @ x[0]
     while len(chosen) < min(pivots, len(x)):
@@ -102,30 +122,32 @@ def _pivots(vectors: DataFrame, pivots: int) -> np.ndarray:
 
 def build(vectors: DataFrame, key: str, vector: str, k: int, pivots: int = PIVOTS, rows: int = ROWS) -> Index:
     """The index of all vectors; `vectors` keep k keys each. Of the stored vectors only those in blocks stay."""
-    units = stored(_units(vectors, key, vector).withColumn("vid", F.md5("unit")), "units")
+    dtype = _dtype(vectors, vector)
+    units = stored(_units(vectors, key, vector), "units")
     distinct = stored(_distinct(units, k), "unit-vectors")
     keys = stored(units.select("key", "vid"), "keys")
     dropped(units)
     n, wide, least = distinct.agg(F.count(F.lit(1)), F.max(F.octet_length("unit")), F.min(F.octet_length("unit"))).first()
     if wide != least:
         raise ValueError("the vectors of an index have one width")
-    wide = (wide or 0) // 8
-    at = _pivots(distinct, pivots)
+    wide = (wide or 0) // int(dtype[2])
+    at = _pivots(distinct, pivots, wide, dtype)
     p = len(at)
 
+    def to_pivots(units: list[bytes]) -> np.ndarray:
+        return np.arccos(np.clip(_normed(b"".join(units), wide, dtype) @ at.T, -1, 1))
+
     def angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.frombuffer(b"".join(b["unit"].to_pylist()), "<f8").reshape(-1, wide)
-            d = np.arccos(np.clip(x @ at.T, -1, 1))
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * p), pa.array(d.ravel()))
-            yield pa.RecordBatch.from_arrays([b["vid"], b["unit"], b["first"], pa.array(d.argmin(1).astype(np.int32)), pa.array(d.min(1)), flat], ["vid", "unit", "first", "cell", "ring", "angles"])
+            d = to_pivots(b["unit"].to_pylist())
+            yield pa.RecordBatch.from_arrays([b["vid"], b["unit"], b["ids"], pa.array(d.argmin(1).astype(np.int32)), pa.array(d.min(1))], ["vid", "unit", "ids", "cell", "ring"])
 
     kind = units.schema["key"].dataType.simpleString()
-    ringed = distinct.select("vid", "unit", F.col("ids")[0].alias("first"))
+    ringed = distinct.select("vid", "unit", "ids")
     if p:
-        ringed = ringed.mapInArrow(angles, f"vid string, unit binary, first {kind}, cell int, ring double, angles array<double>")
+        ringed = ringed.mapInArrow(angles, f"vid binary, unit binary, ids array<{kind}>, cell int, ring double")
     else:
-        ringed = ringed.select("*", F.lit(0).alias("cell"), F.lit(0.0).alias("ring"), F.array().cast("array<double>").alias("angles"))
+        ringed = ringed.select("*", F.lit(0).alias("cell"), F.lit(0.0).alias("ring"))
     parts = max(1, -(-n // (rows * BLOCKS)))
     dealt = ringed.repartitionByRange(parts, "cell", "ring", "vid").sortWithinPartitions("cell", "ring", "vid").withColumn("part", F.spark_partition_id())
 
@@ -136,10 +158,11 @@ def build(vectors: DataFrame, key: str, vector: str, k: int, pivots: int = PIVOT
 
         def block() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
-            order = sorted(range(t.num_rows), key=t["first"].to_pylist().__getitem__)
-            t = t.take(pa.array(order, pa.int64()))
-            d = np.array(t["angles"].to_pylist()).reshape(t.num_rows, p)
-            one = {"part": [t["part"][0].as_py()], "seq": [count], "n": [t.num_rows], "vids": [t["vid"].to_pylist()], "firsts": [t["first"].to_pylist()], "data": [b"".join(t["unit"].to_pylist())]}
+            first = [ids[0] for ids in t["ids"].to_pylist()]
+            t = t.take(pa.array(sorted(range(t.num_rows), key=first.__getitem__), pa.int64()))
+            units = t["unit"].to_pylist()
+            d = to_pivots(units)
+            one = {"part": [t["part"][0].as_py()], "seq": [count], "n": [t.num_rows], "vids": [t["vid"].to_pylist()], "ids": [t["ids"].to_pylist()], "data": [b"".join(units)]}
             one |= {f"lo{j}": [float(d[:, j].min())] for j in range(p)} | {f"hi{j}": [float(d[:, j].max())] for j in range(p)}
             return pa.RecordBatch.from_pydict(one, schema=arrow)
 
@@ -160,13 +183,14 @@ def build(vectors: DataFrame, key: str, vector: str, k: int, pivots: int = PIVOT
         if held:
             yield block()
 
-    fields = [("part", pa.int32()), ("seq", pa.int32()), ("n", pa.int32()), ("vids", pa.list_(pa.string())), ("firsts", pa.list_(ringed.limit(0).toArrow().schema.field("first").type)), ("data", pa.binary()), *((f"{s}{j}", pa.float64()) for s in ("lo", "hi") for j in range(p))]
+    fields = [("part", pa.int32()), ("seq", pa.int32()), ("n", pa.int32()), ("vids", pa.list_(pa.binary())), ("ids", pa.list_(ringed.limit(0).toArrow().schema.field("ids").type)), ("data", pa.binary()), *((f"{s}{j}", pa.float64()) for s in ("lo", "hi") for j in range(p))]
     arrow = pa.schema(fields)
     box = "".join(f", {s}{j} double" for s in ("lo", "hi") for j in range(p))
-    blocks = dealt.mapInArrow(cut, f"part int, seq int, n int, vids array<string>, firsts array<{kind}>, data binary{box}")
+    blocks = dealt.mapInArrow(cut, f"part int, seq int, n int, vids array<binary>, ids array<array<{kind}>>, data binary{box}")
     blocks = stored(blocks.withColumn("block", F.col("part").cast("bigint") * (1 << 24) + F.col("seq")), "blocks")
-    few = stored(distinct.select("vid", "ids"), "first-keys")
     dropped(distinct)
+    places = blocks.select("block", F.posexplode("vids").alias("j", "vid")).select((F.col("block") * PLACES + F.col("j")).alias("at"), "vid")
+    keys = replaced(keys.join(places, "vid").select("key", "at"), "places", keys)
     sides = [F.min(f"lo{j}").alias(f"lo{j}") for j in range(p)] + [F.max(f"hi{j}").alias(f"hi{j}") for j in range(p)]
     names = [f"{s}{j}" for s in ("lo", "hi") for j in range(p)]
     levels = [blocks.select(F.col("block").alias("node"), F.col("part").cast("bigint").alias("parent"), *names)]
@@ -175,7 +199,7 @@ def build(vectors: DataFrame, key: str, vector: str, k: int, pivots: int = PIVOT
         own = stored(levels[-1].groupBy(F.col("parent").alias("node")).agg(F.lit(0).alias("__x"), *sides).drop("__x"), "nodes")
         levels.append(own.withColumn("parent", F.floor(F.col("node") / FAN)))
         if top == 0:
-            return Index(keys, few, blocks.select("block", "n", "vids", "firsts", "data", *names), levels, p, wide)
+            return Index(keys, blocks.select("block", "n", "ids", "data", *names), levels, p, wide, dtype)
         top //= FAN
 
 
@@ -224,24 +248,29 @@ def _best(x: np.ndarray, y: np.ndarray, low: np.ndarray, k: int, threshold: floa
 
 
 class _Lists:
-    """The best k so far of the vectors of one block: row, cosine, first key and place of the other vector, by row and then best first."""
+    """The best k so far of the vectors of one block: row, cosine and key, by row and then best first."""
 
     def __init__(self, n: int, k: int):
         self.k, self.low = k, np.full(n, -np.inf)  # low: the k-th best cosine of each row
-        self.row, self.sim, self.first, self.other = np.zeros(0, np.int64), np.zeros(0), None, np.zeros(0, np.int64)
+        self.row, self.sim, self.key = np.zeros(0, np.int64), np.zeros(0), None
 
-    def add(self, i: np.ndarray, s: np.ndarray, first: np.ndarray, other: np.ndarray) -> None:
+    def add(self, i: np.ndarray, s: np.ndarray, j: np.ndarray, ids: pa.ListArray) -> None:
+        """Pairs (i, j) of cosine s; ids: the keys of each j."""
         if not len(i):
             return
-        i, s, other = np.r_[self.row, i], np.r_[self.sim, s], np.r_[self.other, other]
-        first = first if self.first is None else np.concatenate([self.first, first])
-        order = np.lexsort((np.unique(first, return_inverse=True)[1], -s, i))
+        at = np.asarray(ids.offsets) - ids.offsets[0].as_py()
+        size = (at[1:] - at[:-1])[j]
+        ends = np.cumsum(size)
+        key = ids.flatten().to_numpy(zero_copy_only=False)[np.repeat(at[j] - ends + size, size) + np.arange(ends[-1])]
+        i, s = np.r_[self.row, np.repeat(i, size)], np.r_[self.sim, np.repeat(s, size)]
+        key = key if self.key is None else np.concatenate([self.key, key])
+        order = np.lexsort((np.unique(key, return_inverse=True)[1], -s, i))
         i = i[order]
         begins = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
         place = np.arange(len(i)) - np.repeat(begins, np.diff(np.r_[begins, len(i)]))
         order = order[place < self.k]
         self.low[i[place == self.k - 1]] = s[order][place[place < self.k] == self.k - 1]
-        self.row, self.sim, self.first, self.other = i[place < self.k], s[order], first[order], other[order]
+        self.row, self.sim, self.key = i[place < self.k], s[order], key[order]
 
 
 def _met(index: Index, threshold: float) -> DataFrame:
@@ -251,63 +280,68 @@ def _met(index: Index, threshold: float) -> DataFrame:
     blocks, and all blocks after it, from the shared folder, so that no disk grows with the pairs; single tasks then go on through all blocks."""
     names = [f"{s}{j}" for s in ("lo", "hi") for j in range(index.pivots)]
     side = lambda s, *more: index.blocks.select(F.col("block").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in more))
-    columns = ["a", "data_a", "b", "data_b", "firsts_b"]
+    columns = ["a", "data_a", "b", "data_b", "ids_b"]
     pairs = block_pairs(index, threshold)
     both = pairs.unionByName(pairs.where("a != b").select(F.col("b").alias("a"), F.col("a").alias("b")))
     if both.count() <= MEETS * index.blocks.count():
-        return both.join(side("b", "data", "firsts"), "b").join(side("a", "data"), "a").select(columns)
+        return both.join(side("b", "data", "ids"), "b").join(side("a", "data"), "a").select(columns)
     widest = math.acos(max(-1.0, min(1.0, threshold))) + SLACK
     near = F.lit(True)
     for j in range(index.pivots):
         near = near & (F.greatest(F.col(f"lo{j}_a") - F.col(f"hi{j}_b"), F.col(f"lo{j}_b") - F.col(f"hi{j}_a")) <= widest)
-    own, others = side("a", "data", *names), side("b", "data", "firsts", *names).hint("shuffle_replicate_nl")
+    own, others = side("a", "data", *names), side("b", "data", "ids", *names).hint("shuffle_replicate_nl")
     parts = own.rdd.getNumPartitions()
     every = own.join(others, near).select(columns)
     return every.coalesce(max(parts, 3 * every.sparkSession.sparkContext.defaultParallelism))
 
 
 def neighbours(index: Index, k: int, threshold: float) -> DataFrame:
-    """vid, near: its best k (sim, key) above the threshold, those of its own vector included, best first, smallest key on ties.
+    """at, sims, keys: its best k above the threshold, those of its own vector included, best first, smallest key on ties. Stored; the index is not read again.
 
-    A vector goes by the place of its block and its place there until its lists are complete."""
-    wide, kind = index.wide, index.rows.schema["key"].dataType.simpleString()
+    A vector goes by the place of its block and its place there."""
+    wide, dtype, kind = index.wide, index.dtype, index.rows.schema["key"].dataType.simpleString()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, _Lists] = {}
+        last = x = None
 
         def lists() -> Iterator[pa.RecordBatch]:
             for a, own in held.items():
-                if own.first is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(a * PLACES + own.row), pa.array(own.sim), pa.array(own.first, firsts), pa.array(own.other)], ["at", "sim", "first", "other"])
+                if own.key is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(a * PLACES + own.row), pa.array(own.sim), pa.array(own.key, keys)], ["at", "sim", "key"])
 
         for batch in batches:
-            firsts = batch.schema.field("firsts_b").type.value_type
+            keys = batch.schema.field("ids_b").type.value_type.value_type
             for row in range(batch.num_rows):
                 r = batch.slice(row, 1)
-                a, b = r["a"][0].as_py(), r["b"][0].as_py()
-                x, y = (np.frombuffer(r[f"data_{s}"][0].as_py(), "<f8").reshape(-1, wide) for s in "ab")
+                a = r["a"][0].as_py()
+                if a != last:
+                    last, x = a, _normed(r["data_a"][0].as_py(), wide, dtype)
+                y = _normed(r["data_b"][0].as_py(), wide, dtype)
                 if a not in held and (sum(len(h.low) for h in held.values()) + len(x)) * k > HELD:
                     yield from lists()
                     held = {}
                 own = held.setdefault(a, _Lists(len(x), k))
                 i, j, s = _best(x, y, own.low, k, threshold)
-                own.add(i, s, r["firsts_b"].flatten().to_numpy(zero_copy_only=False)[j], b * PLACES + j)
+                own.add(i, s, j, r["ids_b"].flatten())
         yield from lists()
 
-    found = stored(_met(index, threshold).mapInArrow(compare, f"at bigint, sim double, first {kind}, other bigint"), "found")
-    best = Window.partitionBy("at").orderBy(F.desc("sim"), "first")
-    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    numbers = index.blocks.select("block", F.posexplode("vids").alias("j", "vid")).select((F.col("block") * PLACES + F.col("j")).alias("at"), "vid")
-    keys = numbers.withColumnRenamed("at", "other").join(index.vectors, "vid").select("other", "ids")
-    each = found.join(keys, "other").select("at", "sim", F.explode("ids").alias("key"))  # k keys of each of k vectors
-    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("at").orderBy(F.desc("sim"), "key"))).where(F.col("rank") <= k)
-    near = ranked.groupBy("at").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "sim", "key"))), lambda x: F.struct(x["sim"].alias("sim"), x["key"].alias("key"))).alias("near"))
-    return near.join(numbers, "at").select("vid", "near")
+    found = stored(_met(index, threshold).mapInArrow(compare, f"at bigint, sim double, key {kind}"), "found")
+    best = F.row_number().over(Window.partitionBy("at").orderBy(F.desc("sim"), "key"))
+    near = found.withColumn("rank", best).where(F.col("rank") <= k).groupBy("at").agg(F.array_sort(F.collect_list(F.struct("rank", "sim", "key"))).alias("near"))  # k at most
+    return replaced(near.select("at", F.col("near.sim").alias("sims"), F.col("near.key").alias("keys")), "near", found)
 
 
 def edges(index: Index, k: int, threshold: float) -> DataFrame:
     """(a, b, sim), a < b: pairs one of which is among the k - 1 best others of the other one."""
-    near = index.rows.join(neighbours(index, k, threshold), "vid")
-    others = F.slice(F.filter("near", lambda x: x["key"] != F.col("key")), 1, k - 1)
+    near = index.rows.join(neighbours(index, k, threshold), "at")
+    others = F.slice(F.filter(F.arrays_zip("sims", "keys"), lambda x: x["keys"] != F.col("key")), 1, k - 1)
     pairs = near.select("key", F.explode(others).alias("o"))
-    return pairs.select(F.least("key", "o.key").alias("a"), F.greatest("key", "o.key").alias("b"), "o.sim").groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    return pairs.select(F.least("key", "o.keys").alias("a"), F.greatest("key", "o.keys").alias("b"), F.col("o.sims").alias("sim")).groupBy("a", "b").agg(F.max("sim").alias("sim"))
+
+
+def links(index: Index, k: int, threshold: float) -> DataFrame:
+    """(a, b): the pairs of `edges`, some twice, either end first. Stored; only blocks and places of the index stay beside it."""
+    near = neighbours(index, k, threshold)
+    others = F.slice(F.filter("keys", lambda x: x != F.col("key")), 1, k - 1)
+    return replaced(index.rows.join(near.select("at", "keys"), "at").select(F.col("key").alias("a"), F.explode(others).alias("b")), "links", near)

@@ -2,13 +2,16 @@
 
 import collections
 import math
+import os
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from concord.operators import dedup, neighbours
+from concord.sources import tables
 
 SCHEMA = "id long, v array<float>"
 
@@ -164,3 +167,40 @@ def test_only_blocks_keep_vectors(spark, sf_dir, monkeypatch):
     assert kept - {"units", "unit-vectors"} == {"blocks"}
     with pytest.raises(ValueError, match="scratch"):
         real(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def test_components_leave_only_labels(spark, monkeypatch):
+    seen, real = [], tables.scratch
+    monkeypatch.setattr(tables, "scratch", lambda spark, name: seen.append(real(spark, name)) or seen[-1])
+    rows = clusters(300, 6, 8, 0.2, 10) + [(1000 + i, [1.0] * 8) for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    expected = {r["id"]: r["comp"] for r in dedup.components(df, neighbours.edges(neighbours.build(df, "id", "v", 4), 4, 0.9), "id").collect()}
+    assert 6 < len(set(expected.values())) < 300
+    seen.clear()
+    found = dedup.near_components(df, "id", "v", 4, 0.9)
+    left = [p.rsplit("/", 1)[1].split("-")[1] for p in seen if os.path.exists(p)]
+    assert {*left} <= {"labels", "nodes", "block"} and left.count("labels") == 1  # the last labels, and the boxes of blocks
+    assert {r["id"]: r["comp"] for r in found.collect()} == expected
+
+
+def test_blocks_keep_the_precision_of_the_vectors(spark):
+    rows = clusters(100, 4, 6, 0.05, 11)
+    single = check(spark, rows, 4, 0.9)
+    double = check(spark, rows, 4, 0.9, schema="id long, v array<double>")
+    size = lambda index: index.blocks.agg(F.sum(F.octet_length("data"))).first()[0]
+    assert size(single) == 100 * 6 * 4 and size(double) == 100 * 6 * 8
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    before = files()
+    was = spark.conf.get(tables.CLEANUP)
+    out = tables.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("x")).count(), "groups")
+    for _ in range(50):  # they are deleted in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and out.count() == 7 and spark.conf.get(tables.CLEANUP) == was
